@@ -42,3 +42,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches to Python hold at most about ``size``, however long the texts are (a session setting)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
