@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docspark.llm.common import table
+import uuid
+
+from docspark.llm.common import shared_dir, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -24,11 +26,19 @@ def op5_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op7_token_id_files(spark, sf_dir):
+    from docspark.llm.idfiles import read_ids, write_ids
+
+    path = f"{shared_dir(spark)}/id-files-{uuid.uuid4().hex}"
+    write_ids(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"))
+    return read_ids(spark, path)
+
+
 def op8_sharding(spark, sf_dir):
     from docspark.llm.sharding import assign_shards
 
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_secret_scan, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_secret_scan, op7_token_id_files, op8_sharding)}
 ORACLE_SQL: dict[str, str] = {}
