@@ -1,73 +1,70 @@
 """Token ids of texts by the tokenizers library, with a bounded cache of word chunks.
 
-Both tokenizer kinds used here split a text before a space or line feed that follows another character, so
-a text's ids are its chunks' ids in turn.  A chunk's ids come from the tokenizers library once and are then
-looked up.  The cache is bounded; chunks beyond it are encoded again.
+The tokenizers used here split a text into words and runs of signs before they look anything up, so a text's
+ids are its chunks' ids in turn, as long as chunks end where such a split must be: before a space or line feed
+that follows another character, and between a letter and a full stop or comma.  A chunk's ids come from the
+tokenizers library once and are then looked up.  The cache is bounded; chunks beyond it are encoded each time.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
-CACHE_CHUNKS = 300_000
-LONGEST_CACHED = 48
+CACHE_CHUNKS = 800_000
+LONGEST_CACHED = 32
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = rf"[{_LETTERS}]+(?=[ \n.,])"
+
+
+class _Known(dict):
+    """Chunk to ids; what is missing is encoded, and kept while there is room."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        if len(self) < CACHE_CHUNKS and len(chunk) <= LONGEST_CACHED:
+            self[chunk] = ids
+        return ids
 
 
 class ChunkEncoder:
-    """``ids(text)``: the text's ids as little-endian unsigned 32-bit bytes.
+    """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes; null counts as empty.
 
-    ``spaces_matter``: whether white space becomes ids (byte-level) or only separates words.  Where it
-    matters and a text holds white space besides space and line feed, the text is encoded whole.
+    ``spaces_matter``: white space becomes ids (byte-level).  A text with white space besides space and line
+    feed is then encoded whole.  Otherwise white space only separates words, and case is of no matter: ASCII
+    letters are lowered first, unless the text may hold a special token.
     """
 
     def __init__(self, path: str, spaces_matter: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.chunks = re.compile(r"[ \n]*[^ \n]+|[ \n]+" if spaces_matter else r"[^ \n]+").findall
-        self.odd = re.compile(r"[^\S \n]").search if spaces_matter else lambda _: None
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        tokenizer = Tokenizer.from_file(path)
+        if array("I").itemsize != 4:
+            raise RuntimeError("ids need unsigned 32-bit arrays")
+        self.known = _Known(tokenizer.encode)
+        self.spaces_matter = spaces_matter
+        self.chunks = re.compile(
+            rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
+        ).findall
+        self.odd = re.compile(r"[^\S \n]").search
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text; null counts as empty.  Missing chunks of a group of texts are encoded together."""
-        out: list[bytes] = []
-        group: list[list[str] | str] = []
-        size = 0
+        get, out = self.known.__getitem__, []
         for text in texts:
             text = text or ""
-            group.append(text if self.odd(text) else self.chunks(text))
-            size += len(text)
-            if size > 1_000_000:
-                out += self._group(group)
-                group, size = [], 0
-        return out + self._group(group)
-
-    def _group(self, group: list[list[str] | str]) -> list[bytes]:
-        known, extra = self.known, {}
-        missing = {c for chunks in group if isinstance(chunks, list) for c in chunks if c not in known}
-        if missing:
-            names = list(missing)
-            for c, ids in zip(names, self._encode(names)):
-                if len(known) < CACHE_CHUNKS and len(c) <= LONGEST_CACHED:
-                    known[c] = ids
-                else:
-                    extra[c] = ids
-        out = []
-        for chunks in group:
-            if isinstance(chunks, str):
-                out += self._encode([chunks])
-            elif extra:
-                out.append(b"".join([known.get(c) or extra.get(c, b"") for c in chunks]))
+            if self.spaces_matter:
+                chunks = [text] if self.odd(text) else self.chunks(text)
             else:
-                out.append(b"".join([known[c] for c in chunks]))
+                if "<|" not in text:
+                    text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+                chunks = self.chunks(text)
+            out.append(b"".join(map(get, chunks)))
         return out
 
 
