@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from docspark.llm import quality_rules
+from docspark.llm import jaccard, quality_rules
 from docspark.llm.common import shared_dir, table
 
 
@@ -21,6 +21,10 @@ def op1_best_fit_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op2_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate", "host_rejected")
 
@@ -45,5 +49,5 @@ def op8_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op3_quality_rules, op5_secret_scan, op7_token_id_files, op8_sharding)}
-ORACLE_SQL: dict[str, str] = {"op3_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op7_token_id_files, op8_sharding)}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
