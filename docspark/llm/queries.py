@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from docspark.llm import jaccard, quality_rules
+from pyspark.sql import functions as F
+
+from docspark.llm import jaccard, quality_rules, topk
 from docspark.llm.common import shared_dir, table
 
 
@@ -35,6 +37,10 @@ def op5_secret_scan(spark, sf_dir):
     return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_exact_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", F.pmod("vec_id", F.lit(50)) == 0, k=5)
+
+
 def op7_token_id_files(spark, sf_dir):
     from docspark.llm.idfiles import read_ids, write_ids
 
@@ -49,5 +55,5 @@ def op8_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op7_token_id_files, op8_sharding)}
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding)}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
