@@ -55,5 +55,11 @@ def op8_sharding(spark, sf_dir):
     return assign_shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding)}
+def op9_quality_classifier(spark, sf_dir):
+    from docspark.llm.quality_model import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
