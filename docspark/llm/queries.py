@@ -31,6 +31,12 @@ def op3_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents")).drop("host_rate", "host_rejected")
 
 
+def op4_license_scan(spark, sf_dir):
+    from docspark.llm.licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_secret_scan(spark, sf_dir):
     from docspark.llm.secrets import scan_secrets
 
@@ -61,5 +67,5 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier)}
 ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
