@@ -8,11 +8,11 @@
    sets it may link with.  Signatures meet in tiles (band, range, members).  Ranges without members are left out
    unless a set has more than e of them, in which case all are emitted: no link is lost, and empty
    ranges do not gather unrelated sets.  A common passage rarely fills a range alone, so it makes no hot tile.
-3. Stars.  Every set is compared with the smallest of all sets it shares a tile with; links join them.
-4. Tiles that still hold more than one group are compared whole, block by block: bitmaps of hashed members,
-   as wide as the size asks for, bound the overlap from above by bit counts, and only pairs that pass have their
-   sorted arrays intersected exactly.  Pairs already in one group are skipped, a block yields a spanning
-   forest of its links, never all pairs.
+3. Bounds.  Bitmaps of hashed members, as wide as the size asks for, bound a pair's overlap from above by bit
+   counts.  Only pairs that pass have their sorted member arrays fetched and intersected exactly.
+4. Stars.  Every set is paired with the smallest of all sets it shares a tile with; links join them into groups.
+5. Tiles that still hold more than one group are compared whole by their bitmaps, block by block.  Pairs in one
+   group already are skipped, so a group of near copies is not expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from docspark.llm.common import bounded_batches, written
 from docspark.llm.components import components
 from docspark.llm.words import gram_hashes, mix, word_hashes
 
-BLOCK_MEMBERS = 60_000
+BLOCK_MEMBERS = 300_000
+FILTER_BITS = 1 << 25
 
 
 def band_edges(limit: int) -> list[int]:
@@ -141,7 +142,7 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
 
         signer = _Signer(num, den)
         for batch in batches:
-            sizes, k0, k1, sigs, counts = [], [], [], [], []
+            sizes, k0, k1, sigs, counts, bits = [], [], [], [], [], []
             for group in _slices(batch.column(1).to_pylist()):
                 for h in member_sets(group, n):
                     a, b = _set_key(h)
@@ -151,19 +152,36 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     k1.append(b)
                     sigs.append(s)
                     counts.append(len(s))
+                    bits.append(bitmap(h).tobytes())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
             arrays = [batch.column(0), *[pa.array(np.array(c, np.int64)) for c in (sizes, k0, k1)]]
-            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(arrays, ["_id", "n", "k0", "k1", "sigs"])
+            arrays += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "n", "k0", "k1", "sigs", "bits"])
 
     kind = dict(slim.dtypes)["_id"]
-    return slim.mapInArrow(sign, f"_id {kind}, n long, k0 long, k1 long, sigs array<long>")
+    return slim.mapInArrow(sign, f"_id {kind}, n long, k0 long, k1 long, sigs array<long>, bits binary")
 
 
-def _fetched(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
-    """(``rep``, ``n``, ``bits``, ``members``) of the needed classes, computed again from one text of each."""
-    joined = slim.join(needed.select("an_id", "rep", "k0", "k1"), F.col("_id").eqNullSafe(F.col("an_id")))
+def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``df`` whose id may be in ``ids``, so that a join shuffles few others.
+
+    A bitmap of hashed ids of fixed size (at most 4 MB, in 1024 rows) is sent to every task.  It is only a first
+    sieve: the join that follows decides.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    bucket = lambda c: F.bitmap_bucket_number(place(c))
+    maps = ids.groupBy(bucket(id_col).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(id_col))).alias("_map"))
+    at = F.bitmap_bit_position(place(col))
+    byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = df.withColumn("_bucket", bucket(col)).join(F.broadcast(maps), "_bucket")
+    return held.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("_bucket", "_map")
+
+
+def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
+    """(``rep``, ``members``) of the needed classes, computed again from one text of each.  A written table."""
+    sieved = _worth_dealing(slim, "_id", needed, "an_id")
+    joined = sieved.join(needed.select("an_id", "rep", "k0", "k1"), F.col("_id").eqNullSafe(F.col("an_id")))
 
     def fetch(batches):
         import pyarrow as pa
@@ -172,12 +190,12 @@ def _fetched(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             rows = zip(*[batch.column(c).to_pylist() for c in ("rep", "k0", "k1")])
             sets = (h for group in _slices(batch.column("_text").to_pylist()) for h in member_sets(group, n))
             # rows that share the id but not the text are not the class
-            kept = [(rep, len(h), bitmap(h).tobytes(), h.tobytes()) for (rep, *key), h in zip(rows, sets) if _set_key(h) == tuple(key)]
-            cols = list(zip(*kept)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["rep", "n", "bits", "members"])
+            kept = [(rep, h.tobytes()) for (rep, *key), h in zip(rows, sets) if _set_key(h) == tuple(key)]
+            reps, members = zip(*kept) if kept else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(members, pa.binary())], ["rep", "members"])
 
-    return joined.select("_text", "rep", "k0", "k1").mapInArrow(fetch, "rep long, n long, bits binary, members binary")
+    got = joined.select("_text", "rep", "k0", "k1").mapInArrow(fetch, "rep long, members binary")
+    return written(got, "jaccard-members")
 
 
 def overlap_bound(a, b, n_a: int, n_b: int) -> int:
@@ -204,10 +222,35 @@ def _least_overlap(n_a: int, n_b: int, num: int, den: int) -> int:
     return -(-num * (n_a + n_b) // (num + den))
 
 
-def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    left = sets.select(F.col("rep").alias("a"), F.col("bits").alias("bits_a"), F.col("members").alias("members_a"))
-    right = sets.select(F.col("rep").alias("b"), F.col("bits").alias("bits_b"), F.col("members").alias("members_b"))
-    full = pairs.join(left, "a").join(right, "b")
+def _within_bound(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a link; ``bits``: rep, n, bits."""
+    sides = [bits.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
+    near = num * F.greatest("n_a", "n_b") <= den * F.least("n_a", "n_b")
+    full = pairs.join(sides[0], "a").join(sides[1], "b").where(near)
+
+    def test(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            sizes = zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist())
+            for i, (x, y) in enumerate(sizes):
+                p, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("bits_a", "bits_b"))
+                if (num + den) * overlap_bound(p, q, x, y) >= num * (x + y):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
+
+    return full.mapInArrow(test, "a long, b long")
+
+
+def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that link, by their members; ``pairs`` is a written table."""
+    reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sets = _members(slim, written(classes.join(reps, "rep", "left_semi"), "jaccard-needed"), n)
+    sides = [sets.select(F.col("rep").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab"]
+    full = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
 
     def test(batches):
         import numpy as np
@@ -217,8 +260,7 @@ def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
             keep = []
             for i in range(batch.num_rows):
                 x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in ("members_a", "members_b"))
-                p, q = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("bits_a", "bits_b"))
-                if overlap_bound(p, q, len(x), len(y)) >= _least_overlap(len(x), len(y), num, den) and linked(x, y, num, den):
+                if linked(x, y, num, den):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
@@ -226,57 +268,42 @@ def _star_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     return full.mapInArrow(test, "a long, b long")
 
 
-def block_links(left: list[dict], right: list[dict] | None, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that join groups: within ``left``, or between ``left`` and ``right``.
+def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs of reps that may link by their bitmaps: within ``left``, or between ``left`` and ``right``.
 
-    A block's rows have ``label`` (the group so far), ``n``, ``bits`` and ``members``.  Returned are pairs of
-    labels, a spanning forest of the links found; pairs in one group already are not compared.
+    Rows have ``rep``, ``label`` (the group so far), ``n`` and ``bits``.  Pairs in one group are left out.
     """
     import numpy as np
 
-    group: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while group.setdefault(x, x) != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
     rows = right if right is not None else left
-    sizes = np.array([r["n"] for r in rows], np.int64)
-    labels = np.array([r["label"] for r in rows], np.int64)
+    sizes, labels, reps = (np.array([r[c] for r in rows], np.int64) for c in ("n", "label", "rep"))
     widths = np.array([len(r["bits"]) for r in rows])
-    maps = {w: np.stack([np.frombuffer(rows[i]["bits"], np.uint8) for i in np.flatnonzero(widths == w)]) for w in set(widths.tolist())}
-    places = {w: np.flatnonzero(widths == w) for w in maps}
+    places = {int(w): np.flatnonzero(widths == w) for w in set(widths.tolist())}
+    maps = {w: np.stack([np.frombuffer(rows[i]["bits"], np.uint8) for i in at]) for w, at in places.items()}
     found = []
     for i, one in enumerate(left):
-        x, bits, n = np.frombuffer(one["members"], np.uint64), np.frombuffer(one["bits"], np.uint8), one["n"]
-        for w, many in maps.items():
+        bits, n = np.frombuffer(one["bits"], np.uint8), one["n"]
+        for w, b in maps.items():
             at = places[w]
-            a, b = bits, many
-            while len(a) > b.shape[1]:
-                a = a[: len(a) // 2] | a[len(a) // 2 :]
-            while b.shape[1] > len(a):
-                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
             m = sizes[at]
             may = (labels[at] != one["label"]) & (num * np.maximum(m, n) <= den * np.minimum(m, n))
             if right is None:
                 may &= at > i
-            at, b, m = at[may], b[may], m[may]
-            if not len(at):
+            if not may.any():
                 continue
+            a, b, at, m = bits, b[may], at[may], m[may]
+            while len(a) > b.shape[1]:
+                a = a[: len(a) // 2] | a[len(a) // 2 :]
+            while b.shape[1] > len(a):
+                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
             bound = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            for j in at[(num + den) * bound >= num * (n + m)]:
-                p, q = find(one["label"]), find(int(labels[j]))
-                if p != q and linked(x, np.frombuffer(rows[j]["members"], np.uint64), num, den):
-                    group[max(p, q)] = min(p, q)
-                    found.append((one["label"], int(labels[j])))
+            found += [(one["rep"], int(r)) for r in reps[at[(num + den) * bound >= num * (n + m)]]]
     return found
 
 
-def _tile_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between groups in tiles; ``rows``: sig, block, rep, label, n, bits, members."""
-    item = F.struct("label", "n", "bits", "members")
+def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of reps in different groups that share a tile and may link; ``rows``: sig, block, rep, label, n, bits."""
+    item = F.struct("rep", "label", "n", "bits")
     blocks = written(rows.groupBy("sig", "block").agg(F.collect_list(item).alias("items")), "jaccard-blocks")
     alone = blocks.select("items", F.lit(None).cast(blocks.schema["items"].dataType).alias("others"))
     later = blocks.select("sig", F.col("block").alias("block_b"), F.col("items").alias("others"))
@@ -288,11 +315,12 @@ def _tile_links(rows: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             found = set()
             for i in range(batch.num_rows):
-                found.update(block_links(batch.column("items")[i].as_py(), batch.column("others")[i].as_py(), num, den))
+                got = block_pairs(batch.column("items")[i].as_py(), batch.column("others")[i].as_py(), num, den)
+                found.update((min(x), max(x)) for x in got)
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return alone.union(pairs).mapInArrow(compare, "a long, b long")
+    return alone.union(pairs).mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -330,20 +358,29 @@ def jaccard_components(
     )
     tiles = written(tiles.where("center <> _last").drop("_last"), "jaccard-tiles")
 
-    stars = tiles.where("rep <> center").groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b"))
     shared = tiles.select("rep").distinct()
-    sets = written(_fetched(slim, classes.join(shared, "rep", "left_semi"), n), "jaccard-members")
-    first = components(_star_links(stars, sets, num, den))
+    bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(shared, "rep", "left_semi")
+    bits = written(bits, "jaccard-bits")
+    stars = tiles.where("rep <> center").groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b"))
+    stars = written(_within_bound(stars, bits, num, den), "jaccard-stars")
+    first = components(_exact(stars, slim, classes, n, num, den))
 
     labels = first.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    open_ = tiles.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_ = tiles.select("sig", "rep", "block").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = open_.withColumn("_lo", F.min("label").over(tile)).withColumn("_hi", F.max("label").over(tile))
     open_ = written(open_.where("_lo <> _hi").select("sig", "rep", "block", "label"), "jaccard-open")
     # tiles with the same rows are compared once
-    same = open_.groupBy("sig").agg(F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("c"))
+    same = open_.groupBy("sig").agg(
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("c")
+    )
     once = same.groupBy("s", "x", "c").agg(F.min("sig").alias("sig")).select("sig")
-    rows = written(open_.join(once, "sig", "left_semi"), "jaccard-once").join(sets, "rep")
-    second = components(_tile_links(rows, num, den))
+    rows = written(open_.join(once, "sig", "left_semi"), "jaccard-once").join(bits, "rep")
+    rest = written(_tile_pairs(rows, num, den), "jaccard-rest")
+    links = _exact(rest, slim, classes, n, num, den)
+    for x in "ab":
+        named = labels.select(F.col("rep").alias(x), F.col("label").alias(f"label_{x}"))
+        links = links.join(named, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    second = components(links, "label_a", "label_b")
 
     named = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = named.join(second.select(F.col("node").alias("label"), "component"), "label", "left")

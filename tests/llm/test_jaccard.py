@@ -6,7 +6,7 @@ import pytest
 
 from docspark.llm.common import table
 from docspark.llm.components import components
-from docspark.llm.jaccard import _Signer, band_edges, bitmap, block_links, jaccard_components, linked, member_sets, overlap_bound
+from docspark.llm.jaccard import _Signer, band_edges, bitmap, block_pairs, jaccard_components, linked, member_sets, overlap_bound
 from docspark.llm.words import mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -111,17 +111,18 @@ def test_linked_sets_share_a_signature(num):
     assert tried > 40
 
 
-def test_blocks_find_every_group():
+def test_blocks_miss_no_link():
     texts = near_copies(9, 120, (40,))
     sets = member_sets(list(texts.values()), 3)
-    rows = [{"label": i, "n": len(h), "bits": bitmap(h).tobytes(), "members": h.tobytes()} for i, h in enumerate(sets)]
-    got = block_links(rows, None, 90, 100) + block_links(rows[:50], rows[50:], 90, 100)
-    want = brute(texts, 3, 90, 100)
-    group = {i: i for i in texts}
-    for _ in texts:
-        for a, b in got:
-            group[a] = group[b] = min(group[a], group[b])
-    assert group == {i: c for i, (_, c) in want.items()}
+    rows = [{"rep": i, "label": i % 7, "n": len(h), "bits": bitmap(h).tobytes()} for i, h in enumerate(sets)]
+    within, across = set(block_pairs(rows, None, 90, 100)), set(block_pairs(rows[:50], rows[50:], 90, 100))
+    links = 0
+    for i, x in enumerate(sets):
+        for j in range(i + 1, len(sets)):
+            if linked(x, sets[j], 90, 100) and i % 7 != j % 7:
+                links += 1
+                assert (i, j) in within and ((i, j) in across or not i < 50 <= j)
+    assert links > 20 and all(i % 7 != j % 7 for i, j in within | across)
 
 
 def test_components(spark):
