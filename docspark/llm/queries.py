@@ -67,5 +67,11 @@ def op9_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier)}
+def op10_piece_segmentation(spark, sf_dir):
+    from docspark.llm.pieces import encode_pieces
+
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier, op10_piece_segmentation)}
 ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
