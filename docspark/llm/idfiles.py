@@ -17,7 +17,7 @@ from docspark.llm.common import bounded_batches
 from docspark.llm.tokens import encoder
 
 END_ID = 1
-SEGMENT_IDS = 6_000_000
+SEGMENT_IDS = 3_000_000
 
 
 def write_ids(

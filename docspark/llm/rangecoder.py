@@ -25,7 +25,7 @@ import zlib
 import numpy as np
 
 MAGIC = b"DSR1"
-BLOCK = 4096
+BLOCK = 2048
 BITS1, BITS2 = 10, 12
 TOTAL = 1 << 24
 RATE = 5
@@ -118,8 +118,12 @@ def encode(ids: np.ndarray) -> bytes:
         x = grid[t, :k]
         s2, s1, m2, m1, m0 = model.predict(k)
         hit2, hit1 = s2 == x, s1 == x
-        start = np.where(hit2, 0, np.where(hit1 & (m1 > 0), m2, m2 + m1 + model.cum[x] * m0)).astype(U)
-        part = np.where(hit2, m2, np.where(hit1 & (m1 > 0), m1, model.freq[x] * m0)).astype(U)
+        start, part = m2 + m1 + model.cum[x] * m0, model.freq[x] * m0
+        at = np.flatnonzero(hit1 & (m1 > 0))
+        start[at], part[at] = m2[at], m1[at]
+        at = np.flatnonzero(hit2)
+        start[at], part[at] = 0, m2[at]
+        start, part = start.view(U), part.view(U)
         unit = rng[:k] >> U(24)
         add = unit * start
         now = low[:k]
@@ -185,12 +189,14 @@ def decode(segment: bytes) -> np.ndarray:
         s2, s1, m2, m1, m0 = model.predict(k)
         unit = rng[:k] >> U(24)
         value = np.minimum(code[:k] // unit, U(TOTAL - 1)).astype(np.int64)
-        is2 = value < m2
-        is1 = ~is2 & (value < m2 + m1)
-        x = model.slot[np.minimum(np.maximum(value - m2 - m1, 0) // m0, 65535)]
-        x = np.where(is2, s2, np.where(is1, s1, x))
-        start = np.where(is2, 0, np.where(is1, m2, m2 + m1 + model.cum[x] * m0)).astype(U)
-        part = np.where(is2, m2, np.where(is1, m1, model.freq[x] * m0)).astype(U)
+        past = m2 + m1
+        x = model.slot[np.clip((value - past) // m0, 0, 65535)]
+        start, part = past + model.cum[x] * m0, model.freq[x] * m0
+        at = np.flatnonzero(value < past)  # predicted by order 1, unless by order 2
+        x[at], start[at], part[at] = s1[at], m2[at], m1[at]
+        at = at[value[at] < m2[at]]
+        x[at], start[at], part[at] = s2[at], 0, m2[at]
+        start, part = start.view(U), part.view(U)
         now = code[:k]
         now -= unit * start
         r = unit * part

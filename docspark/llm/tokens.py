@@ -12,21 +12,40 @@ import os
 import re
 from array import array
 
-CACHE_CHUNKS = 800_000
+CACHE_CHUNKS = 500_000
 LONGEST_CACHED = 32
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = rf"[{_LETTERS}]+(?=[ \n.,])"
+_PLAIN = re.compile(rf"( ?)([{_LETTERS}]+)").fullmatch
+
+
+def _byte_signs() -> dict[int, str]:
+    """What the byte-level alphabet writes for each non-ASCII Latin-1 letter (and for the space)."""
+    stay = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in stay)}
+    sign = lambda b: chr(b if b in stay else moved[b])
+    return {c: "".join(map(sign, chr(c).encode())) for c in (0x20, *range(0xC0, 0x100))}
+
+
+_SIGNS = _byte_signs()
 
 
 class _Known(dict):
-    """Chunk to ids; what is missing is encoded, and kept while there is room."""
+    """Chunk to ids; what is missing is encoded, and kept while there is room.
+
+    A chunk of plain letters needs no normalising or splitting: the tokenizer's model takes it as it is.
+    """
 
-    def __init__(self, encode):
+    def __init__(self, tokenizer, spaces_matter: bool):
         super().__init__()
-        self.encode = encode
+        self.encode, self.model, self.spaces_matter = tokenizer.encode, tokenizer.model.tokenize, spaces_matter
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
+        plain = _PLAIN(chunk)
+        if plain and (self.spaces_matter or not plain[1] and chunk.lower() == chunk):
+            ids = array("I", [t.id for t in self.model(chunk.translate(_SIGNS))]).tobytes()
+        else:
+            ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self) < CACHE_CHUNKS and len(chunk) <= LONGEST_CACHED:
             self[chunk] = ids
         return ids
@@ -47,7 +66,7 @@ class ChunkEncoder:
         tokenizer = Tokenizer.from_file(path)
         if array("I").itemsize != 4:
             raise RuntimeError("ids need unsigned 32-bit arrays")
-        self.known = _Known(tokenizer.encode)
+        self.known = _Known(tokenizer, spaces_matter)
         self.spaces_matter = spaces_matter
         self.chunks = re.compile(
             rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
