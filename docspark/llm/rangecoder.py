@@ -29,7 +29,7 @@ BLOCK = 2048
 BITS1, BITS2 = 10, 12
 TOTAL = 1 << 24
 RATE = 5
-LEAST, MOST = 1 << 10, (1 << 16) - (1 << 12)
+LEAST, MOST = TOTAL >> 6, TOTAL - (TOTAL >> 4)  # of a share
 U = np.uint64
 
 
@@ -66,30 +66,29 @@ class _Model:
         self.t2 = np.zeros(lanes << BITS2, np.uint16)
         self.base1 = np.arange(lanes, dtype=np.int64) << BITS1
         self.base2 = np.arange(lanes, dtype=np.int64) << BITS2
-        self.w1 = np.full(lanes, 1 << 13, np.int64)
-        self.w2 = np.full(lanes, 1 << 13, np.int64)
+        self.w1 = np.full(lanes, TOTAL >> 3, np.int64)
+        self.w2 = np.full(lanes, TOTAL >> 3, np.int64)
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
 
     def predict(self, n: int):
         """Of the first n blocks: predicted symbols and shares of orders 2 and 1, and order 0's multiplier."""
         a = self.a[:n]
-        self.i1 = self.base1[:n] + ((a * 40503 >> 4) & ((1 << BITS1) - 1))
-        self.i2 = self.base2[:n] + (((a * 2654435761 + self.b[:n] * 40503) >> 12) & ((1 << BITS2) - 1))
+        self.i1 = (a & ((1 << BITS1) - 1)) + self.base1[:n]
+        self.i2 = ((a * 40503 + self.b[:n]) & ((1 << BITS2) - 1)) + self.base2[:n]
         s1, s2 = self.t1[self.i1], self.t2[self.i2]
-        m2 = self.w2[:n] << 8
-        m1 = ((TOTAL - m2) >> 8) * self.w1[:n] >> 8
+        m2 = self.w2[:n]
+        rest = TOTAL - m2
+        m1 = (rest >> 12) * (self.w1[:n] >> 12)
         m1 *= s1 != s2
-        m1 &= ~255
-        return s2, s1, m2, m1, (TOTAL - m2 - m1) >> 16
+        return s2, s1, m2, m1, (rest - m1) >> 16
 
     def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         self.t1[self.i1] = x
         self.t2[self.i2] = x
         for w, hit in ((self.w2[:n], hit2), (self.w1[:n], hit1)):
-            w += (hit * 65536 - w) >> RATE
-            np.clip(w, LEAST, MOST, out=w)
-        self.b[:n] = self.a[:n]
+            w += ((hit * (MOST - LEAST) + LEAST) - w) >> RATE  # stays between the two
+        self.b[:n] = self.a[:n] << 5
         self.a[:n] = x
 
 
@@ -190,7 +189,7 @@ def decode(segment: bytes) -> np.ndarray:
         unit = rng[:k] >> U(24)
         value = np.minimum(code[:k] // unit, U(TOTAL - 1)).astype(np.int64)
         past = m2 + m1
-        x = model.slot[np.clip((value - past) // m0, 0, 65535)]
+        x = model.slot[np.minimum(np.maximum(value - past, 0) // m0, 65535)]
         start, part = past + model.cum[x] * m0, model.freq[x] * m0
         at = np.flatnonzero(value < past)  # predicted by order 1, unless by order 2
         x[at], start[at], part[at] = s1[at], m2[at], m1[at]

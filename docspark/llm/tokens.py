@@ -2,7 +2,7 @@
 
 The tokenizers used here split a text into words and runs of signs before they look anything up, so a text's
 ids are its chunks' ids in turn, as long as chunks end where such a split must be: before a space or line feed
-that follows another character, and between a letter and a full stop or comma.  A chunk's ids come from the
+that follows another character, and between a letter and an ASCII sign.  A chunk's ids come from the
 tokenizers library once and are then looked up.  The cache is bounded; chunks beyond it are encoded each time.
 """
 
@@ -12,11 +12,11 @@ import os
 import re
 from array import array
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 600_000
 LONGEST_CACHED = 32
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = rf"[{_LETTERS}]+(?=[ \n.,])"
-_PLAIN = re.compile(rf"( ?)([{_LETTERS}]+)").fullmatch
+_WORD = rf"[{_LETTERS}]+(?=[ \n!-/:-@\[-`{{-~])"
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
 
 
 def _byte_signs() -> dict[int, str]:
@@ -41,9 +41,9 @@ class _Known(dict):
         self.encode, self.model, self.spaces_matter = tokenizer.encode, tokenizer.model.tokenize, spaces_matter
 
     def __missing__(self, chunk: str) -> bytes:
-        plain = _PLAIN(chunk)
-        if plain and (self.spaces_matter or not plain[1] and chunk.lower() == chunk):
-            ids = array("I", [t.id for t in self.model(chunk.translate(_SIGNS))]).tobytes()
+        if _PLAIN(chunk) and (self.spaces_matter or chunk.islower()):
+            signs = chunk if chunk.isascii() and chunk[0] != " " else chunk.translate(_SIGNS)
+            ids = array("I", [t.id for t in self.model(signs)]).tobytes()
         else:
             ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
         if len(self) < CACHE_CHUNKS and len(chunk) <= LONGEST_CACHED:
