@@ -7,9 +7,10 @@ best it can become, so paths come off the agenda in order of score, and none is
 is exact, the best completion of a popped path is known, and only its deviations are put on the agenda.
 
 Spaces become U+2581, with one before the text.  A character without a piece of its own is spelt in byte pieces, each
-scored BYTE_PENALTY below the lowest piece.  No piece has U+2581 after another character, or (checked when a model
-is loaded) a full stop, comma or line feed after a letter, so every path passes these places: the lattice is cut there,
-chunks are solved once and kept in a bounded cache, and the N best of a text follow from its chunks'.
+scored BYTE_PENALTY below the lowest piece.  Where no piece reaches over a place, every path passes it: before a
+U+2581 that follows another character, and between a letter and such ASCII signs as no piece has after a letter (found
+when a model is loaded).  The lattice is cut there, chunks are solved once and kept in a bounded cache, and the N best
+of a text follow from its chunks'.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from docspark.llm.common import bounded_batches
 
 SPACE = "▁"
 BYTE_PENALTY = 10.0
-CACHE_CHUNKS = 350_000
+CACHE_CHUNKS = 700_000
 LONGEST_CACHED = 32
 N_BEST = 3
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -54,8 +55,10 @@ class Lattice:
         self.longest = max(map(len, pieces), default=1)
         self.prefixes = {p[:i] for p in pieces for i in range(1, len(p))}
         self.byte_score = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - BYTE_PENALTY
-        crossing = any(re.search(f"[^{SPACE}]{SPACE}|[{_LETTERS}][.,\n]", p) for p in pieces)
-        cut = rf"{SPACE}?[{_LETTERS}]+(?=[{SPACE}.,\n]|\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+"
+        after = {x for p in pieces for x in re.findall(rf"(?<=[{_LETTERS}])[^{_LETTERS}]", p)}
+        ends = "".join(re.escape(x) for x in map(chr, (10, *range(33, 127))) if not x.isalnum() and x not in after)
+        cut = rf"{SPACE}?[{_LETTERS}]+(?=[{SPACE}{ends}]|\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+"
+        crossing = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
         self.chunks = re.compile(r"(?s).+" if crossing else cut).findall
         self.known: dict[int, _Known] = {}
 
