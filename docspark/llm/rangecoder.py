@@ -29,6 +29,7 @@ BLOCK = 2048
 BITS1, BITS2 = 10, 12
 TOTAL = 1 << 24
 RATE = 5
+DENSE_IDS = 1 << 20  # below, ids are looked up in tables
 LEAST, MOST = TOTAL >> 6, TOTAL - (TOTAL >> 4)  # of a share
 U = np.uint64
 
@@ -39,7 +40,12 @@ class CorruptSegment(ValueError):
 
 def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct ids and their frequencies, scaled to sum to 2**16 with none under 1."""
-    names, counts = np.unique(ids, return_counts=True)
+    if int(ids.max()) < DENSE_IDS:
+        counts = np.bincount(ids)
+        names = np.flatnonzero(counts)
+        counts = counts[names]
+    else:
+        names, counts = np.unique(ids, return_counts=True)
     if len(names) > 1 << 16:
         raise ValueError("more than 65536 distinct ids in a segment")
     scaled = np.maximum(1, counts * (1 << 16) // counts.sum())
@@ -99,7 +105,12 @@ def encode(ids: np.ndarray) -> bytes:
     if not n:
         return MAGIC + struct.pack("<III", 0, 0, 0)
     names, freq = _frequencies(ids)
-    lookup = np.searchsorted(names, ids).astype(np.uint16)
+    if int(names[-1]) < DENSE_IDS:
+        places = np.zeros(int(names[-1]) + 1, np.uint16)
+        places[names] = np.arange(len(names), dtype=np.uint16)
+        lookup = places[ids]
+    else:
+        lookup = np.searchsorted(names, ids).astype(np.uint16)
     lanes = -(-n // BLOCK)
     last = n - (lanes - 1) * BLOCK
     grid = np.zeros((BLOCK, lanes), np.uint16)
