@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.llm import jaccard, quality_rules, topk
+from docspark.llm import jaccard, quality_rules, secrets, topk
 from docspark.llm.common import shared_dir, table
 
 
@@ -38,9 +38,7 @@ def op4_license_scan(spark, sf_dir):
 
 
 def op5_secret_scan(spark, sf_dir):
-    from docspark.llm.secrets import scan_secrets
-
-    return scan_secrets(table(spark, sf_dir, "documents")).drop("found")
+    return secrets.scan_secrets(table(spark, sf_dir, "documents")).drop("found")
 
 
 def op6_exact_top_k(spark, sf_dir):
@@ -74,4 +72,4 @@ def op10_piece_segmentation(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier, op10_piece_segmentation)}
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op6_exact_top_k": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op5_secret_scan": secrets.oracle_sql(), "op6_exact_top_k": topk.ORACLE_SQL}

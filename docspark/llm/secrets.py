@@ -149,3 +149,33 @@ def scan_secrets(
         F.size(F.filter(found_or_none, lambda s: s["verdict"] == "example")).cast("long").alias("n_example"),
         found_or_none.alias("found"),
     )
+
+
+def oracle_sql() -> str:
+    """The same result over ``documents`` as DuckDB SQL (without the column ``found``)."""
+    kinds = []
+    for i, (kind, pattern, group, least) in enumerate((*BASE, GENERIC)):
+        p = "'" + pattern.replace("'", "''") + "'"
+        kinds.append(f"""
+  SELECT r, {i} AS ord, '{kind}' AS kind, start, start + length(m[i]) AS stop, val[i] AS v FROM (
+    SELECT r, i, m, val, (list_sum(list_transform(gap[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT r, m, val, gap, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT r, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS val, regexp_split_to_array(text, {p}) AS gap FROM d)))
+  WHERE length(val[i]) >= {least}""")
+    span = "string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, ord, stop)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(source, chr(0)) AS source FROM documents),
+every AS ({" UNION ALL ".join(kinds)}),
+base AS (SELECT * FROM every WHERE ord < {len(BASE)}),
+cand AS (
+  SELECT * FROM base UNION ALL SELECT * FROM every e WHERE ord = {len(BASE)}
+    AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = e.r AND b.start < e.stop AND e.start < b.stop)),
+owners AS (SELECT v, count(DISTINCT source) >= 3 AS example FROM cand JOIN d USING (r) GROUP BY v),
+told AS (SELECT cand.*, example FROM cand JOIN owners USING (v) WHERE ord < {len(BASE)} OR NOT example),
+b AS (SELECT r, count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex, {span} AS s FROM base GROUP BY r),
+t AS (SELECT r, {span} AS s, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM told GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(b.s, '')) AS base_sha256, coalesce(t.s, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+FROM d LEFT JOIN b USING (r) LEFT JOIN t USING (r)
+"""
