@@ -2,6 +2,10 @@
 
 A stage takes (spark, docs, sf_dir) and returns what it kept, with the columns of ``documents``; the last returns the
 packed pieces.  ``run`` writes every stage's result into the shared folder before the next one reads it.
+
+Documents are told apart by ``doc_id``.  Rows that repeat an id, rows without one included, are kept or dropped together
+by the filters: they stay if any of them does.  A null text is empty: the rules reject it.  Empty tables stay empty;
+other columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -22,7 +26,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents whose id is in ``ids``."""
-    return docs.join(ids.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    kept = ids.select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(*COLUMNS)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +42,19 @@ def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a similarity of 0.8, that with the smallest id stays."""
-    return _only(docs, jaccard_components(docs, n=5, num=80, den=100).where("doc_id = component_id"))
+    return _only(docs, jaccard_components(docs, n=5, num=80, den=100).where("doc_id <=> component_id"))
 
 
 def mask_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets that look live are masked in the texts; examples that many owners hold stay as they are."""
+    """Secrets that look live are masked in the texts; examples that many owners hold stay as they are.
+
+    Findings come back by id and text, so that rows that share an id are masked each by its own.
+    """
     live = F.filter("found", lambda s: s["verdict"] == "live")
-    found = scan_secrets(docs).select("doc_id", live.alias("_live")).where(F.size("_live") > 0)
-    full = docs.select(*COLUMNS).join(found, "doc_id", "left")
+    text_of = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
+    keyed = docs.select(*COLUMNS, F.sha2(text_of, 256).alias("_key"))
+    found = scan_secrets(keyed, "_key").select("_key", live.alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_key"])
+    full = keyed.join(found, "_key", "left")
     # gaps between the spans, in order; spans that overlap are taken up by the earlier one
     pieces = F.aggregate(
         F.array_sort(F.transform("_live", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))),

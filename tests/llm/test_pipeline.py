@@ -77,3 +77,19 @@ def test_last_stage_packs_every_document_whole(kept):
     for r in pieces:
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 1024 and len(used) <= 1.02 * sum(used.values()) / 1024 + 1
+
+
+def test_odd_rows(spark, docs):
+    good = " ".join(f"word{i} of{i}" for i in range(60))
+    token = "token = Zx9qwertyuiop123"
+    rows = [(1, None), (2, ""), (3, good), (3, good), (None, good + " more"), (4, good + f" {token} end"), (4, "other " + good + f" {token}")]
+    df = docs(rows).select("*").drop("n_words")
+    rules = p.apply_quality_rules(spark, df, SF)
+    assert rules.columns == p.COLUMNS and sorted(str(r.doc_id) for r in rules.collect()) == ["3", "3", "4", "4", "None"]
+    assert p.apply_quality_classifier(spark, df, SF).count() <= len(rows)
+    assert p.keep_one_of_each_group(spark, rules, SF).count() >= 1
+    masked = p.mask_live_secrets(spark, rules, SF).collect()
+    assert len(masked) == 5 and sum("<secret:assign>" in r.text for r in masked) == 2 and not any(token in r.text for r in masked)
+    assert p.pack(spark, rules, SF).count() == 5
+    for _, stage in p.STAGES:
+        assert stage(spark, docs([]), SF).count() == 0
