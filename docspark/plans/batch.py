@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions.ids import batch_name
+from docspark.operators.numbering import number_rows
 
 # Warning codes that mean a document came out empty or failed.
 FAILURES = ("file_not_found", "unsupported_type", "mineru_failed", "docling_failed", "mineru_error", "docling_error")
@@ -25,7 +26,7 @@ def path_message(status: Column, path: Column) -> Column:
 
 def plan_passes(files: DataFrame, size: int, order: str = "input_pos", stem: str | None = None) -> DataFrame:
     """``files`` with ``place``, ``chunk`` (consecutive runs of ``size``) and, given a stem column, a name no other has."""
-    ranked = files.withColumn("place", F.row_number().over(Window.orderBy(order)) - 1)
+    ranked = number_rows(files, [order], "passes").withColumnRenamed("row_number", "place")
     planned = ranked.withColumn("chunk", F.floor(F.col("place") / size).cast("int"))
     return planned.withColumn("batch_name", batch_name(F.col("place"), F.col(stem))) if stem else planned
 
@@ -45,11 +46,16 @@ def merge_in_order(asked: DataFrame, invalid: DataFrame, hits: DataFrame, parsed
 
 def summary(requested: DataFrame, hits: DataFrame, parsed: DataFrame, fallback: DataFrame) -> DataFrame:
     """One row: requested, cache_hits, parsed, empty_or_failed (of the parsed: a warning code of FAILURES), fallback."""
+    names = ("requested", "cache_hits", "parsed", "empty_or_failed", "fallback")
     failed = F.exists("warnings", lambda w: w["code"].isin(*FAILURES))
-    count = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
-    totals = parsed.agg(F.count(F.lit(1)).alias("parsed"), F.coalesce(F.sum(failed.cast("long")), F.lit(0)).alias("empty_or_failed"))
-    # every side is one row
-    return count(requested, "requested").join(count(hits, "cache_hits")).join(totals).join(count(fallback, "fallback"))
+
+    def counted(df: DataFrame, **sums) -> DataFrame:
+        return df.agg(*[F.coalesce(F.sum(sums[n]), F.lit(0)).cast("long").alias(n) if n in sums else F.lit(0).cast("long").alias(n) for n in names])
+
+    one = F.lit(1)
+    rows = counted(requested, requested=one).unionByName(counted(hits, cache_hits=one)).unionByName(counted(fallback, fallback=one))
+    rows = rows.unionByName(counted(parsed, parsed=one, empty_or_failed=failed.cast("long")))
+    return rows.agg(*[F.sum(n).alias(n) for n in names])
 
 
 def throughput(outputs: DataFrame, seconds: float) -> DataFrame:

@@ -5,20 +5,31 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+SHARED_KEY = "spark.checkpoint.dir"
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written below the folder the cluster names in spark.checkpoint.dir, and read back.
 
-    What is costly (an engine, a model) runs once, and a lost executor costs no more than its running tasks.  Only
-    where the setting is missing, as on one machine, a temporary folder takes its place.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share.
+
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (single-machine tests) a
+    temporary folder is used, and remembered in the session so that later calls agree on it.
     """
-    spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get(SHARED_KEY, None)
     if not at:
         at = tempfile.mkdtemp(prefix="docspark-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        spark.conf.set(SHARED_KEY, at)
+    return at.rstrip("/")
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read back.
+
+    It cuts the lineage: a lost executor costs its running tasks and nothing that was written.  Costly or
+    non-deterministic steps (engines, models, range sampling, row numbers, Python passes over text) run once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -56,3 +56,11 @@ def test_driver_contract(spark):
 def test_gate_stays_in_the_jvm(spark):
     plan = queries.gate_pages(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
+
+
+@pytest.mark.parametrize("name", ["gate_pages", "content_list_elements", "char_spans", "chunk_plan"])
+def test_partitions_do_not_matter(spark, monkeypatch, name):
+    want = sorted(map(repr, queries.QUERIES[name](spark, SF).collect()))
+    plain = queries.table
+    monkeypatch.setattr(queries, "table", lambda *a: plain(*a).repartition(7))
+    assert sorted(map(repr, queries.QUERIES[name](spark, SF).collect())) == want
