@@ -1,13 +1,13 @@
-"""What the operators of this subpackage share: table access and tables written to the cluster's shared folder."""
+"""What the operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-SHARED_KEY = "spark.checkpoint.dir"
+from docspark.staging import shared_dir
+from docspark.staging import staged as written
+
+__all__ = ["bounded_batches", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,35 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (single-machine tests) a
-    temporary folder is used, and remembered in the session so that later calls agree on it.
-    """
-    at = spark.conf.get(SHARED_KEY, None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="docspark-")
-        spark.conf.set(SHARED_KEY, at)
-    return at.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read back.
-
-    It cuts the lineage: a lost executor costs its running tasks and nothing that was written.  Costly or
-    non-deterministic steps (range sampling, row numbers, Python passes over text) are computed once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def shuffle_parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches to Python hold at most about ``size``, however long the texts are (a session setting)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -86,21 +86,27 @@ def host_verdicts(rules: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataFram
     )
     hosts = written(hosts, "quality-hosts")  # read twice
     n, k = F.col("n_docs"), F.col("n_failed")
-    sums = hosts.agg(
+    got = hosts.agg(
         F.sum(n).alias("n1"), F.sum(k).alias("k1"), F.sum(n.cast("double") * n).alias("n2"), F.sum(k.cast("double") * k / n).alias("kk"),
         F.count(F.lit(1)).alias("h"),
-    )
-    m = F.col("k1") / F.col("n1")
+    ).first()  # one row of sums over all hosts
+    m, s = beta_prior(got.n1, got.k1, got.n2, got.kk, got.h) if got.h else (0.0, 1.0)
+    rate = (k + F.lit(m * s)) / (n + F.lit(s))
+    judged = hosts.select("_host", "n_docs", "n_failed", rate.alias("host_rate"))
+    return judged.withColumn("host_rejected", F.col("host_rate") > max_rate)
+
+
+def beta_prior(n1: int, k1: int, n2: float, kk: float, h: int) -> tuple[float, float]:
+    """(m, s) of the prior Beta(m*s, (1-m)*s) of failure rates, from sums over the hosts.
+
+    n1, k1: documents and failures; n2, kk: sums of n*n and k*k/n; h: hosts.  The variance between hosts is weighted by
+    their documents, with each host's share of sampling noise taken off.
+    """
+    m = k1 / n1
     within = m * (1 - m)
-    # weighted between-host variance (method of moments), with each host's share of sampling noise taken off
-    spread = F.col("kk") - F.col("k1") * m
-    between = (spread - (F.col("h") - 1) * within) / F.greatest(F.col("n1") - F.col("n2") / F.col("n1"), F.lit(1.0))
-    strength = F.when(between > 0, F.greatest(within / between - 1, F.lit(1.0))).otherwise(F.col("n1").cast("double"))
-    prior = sums.where("n1 > 0").select(m.alias("_m"), F.least(strength, F.col("n1").cast("double")).alias("_s"))
-    rate = (k + F.col("_m") * F.col("_s")) / (n + F.col("_s"))
-    # the prior is one row
-    got = hosts.join(F.broadcast(prior)).select("_host", "n_docs", "n_failed", rate.alias("host_rate"))
-    return got.withColumn("host_rejected", F.col("host_rate") > max_rate)
+    between = (kk - k1 * m - (h - 1) * within) / max(n1 - n2 / n1, 1.0)
+    strength = max(within / between - 1, 1.0) if between > 0 else float(n1)
+    return m, min(strength, float(n1))
 
 
 def quality_rules(

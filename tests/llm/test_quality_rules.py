@@ -4,7 +4,7 @@ from collections import Counter
 import pytest
 
 from docspark.llm.common import table, written
-from docspark.llm.quality_rules import document_rules, host_verdicts, measure, quality_rules
+from docspark.llm.quality_rules import beta_prior, document_rules, host_verdicts, measure, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -66,3 +66,17 @@ def test_edges(spark, docs):
     assert len(got) == 4 and sum(r.kept for r in got) == 1 and all(r.host_rate is None for r in got)
     assert all(r.kept for r in quality_rules(docs([(i, GOOD) for i in range(5)])).collect())
     assert not any(r.kept for r in quality_rules(docs([(i, "x") for i in range(5)])).collect())
+
+
+def test_prior_finds_the_spread_of_hosts():
+    import random
+
+    rng = random.Random(5)
+    hosts = []
+    for _ in range(4000):
+        n, p = rng.randint(5, 80), rng.betavariate(2.0, 6.0)
+        hosts.append((n, sum(rng.random() < p for _ in range(n))))
+    sums = sum(n for n, _ in hosts), sum(k for _, k in hosts), sum(n * n for n, _ in hosts), sum(k * k / n for n, k in hosts), len(hosts)
+    m, s = beta_prior(*sums)
+    assert abs(m - 0.25) < 0.02 and 6 < s < 10.5
+    assert beta_prior(100, 10, 10000 / 10, 1.0, 10)[1] == 100.0

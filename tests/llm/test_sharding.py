@@ -5,7 +5,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 from docspark.llm.common import table
-from docspark.llm.sharding import ROUNDS, SEED, assign_shards, number_rows, permuted, sides, write_shards
+from docspark.llm.sharding import ROUNDS, SEED, assign_shards, permuted, sides, write_shards
+from docspark.operators.numbering import number_rows
 
 
 def keyed(v, i):
