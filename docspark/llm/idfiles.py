@@ -18,6 +18,7 @@ from docspark.llm.tokens import encoder
 
 END_ID = 1
 SEGMENT_IDS = 3_000_000
+CACHE_CHUNKS = 600_000
 
 
 def write_ids(
@@ -46,7 +47,7 @@ def write_ids(
         from docspark.llm import rangecoder
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, False)
+        encode = encoder(tokenizer, False, CACHE_CHUNKS)
         docs, ids, n, nth, before = [], [], 0, 0, 0
 
         def row():

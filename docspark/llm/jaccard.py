@@ -8,11 +8,12 @@
    sets it may link with.  Signatures meet in tiles (band, range, members).  Ranges without members are left out
    unless a set has more than e of them, in which case all are emitted: no link is lost, and empty
    ranges do not gather unrelated sets.  A common passage rarely fills a range alone, so it makes no hot tile.
-3. Bounds.  Bitmaps of hashed members, as wide as the size asks for, bound a pair's overlap from above by bit
-   counts.  Only pairs that pass have their sorted member arrays fetched and intersected exactly.
-4. Stars.  Every set is paired with the smallest of all sets it shares a tile with; links join them into groups.
-5. Tiles that still hold more than one group are compared whole by their bitmaps, block by block.  Pairs in one
-   group already are skipped, so a group of near copies is not expanded into all its pairs.
+3. Bounds.  Bitmaps of hashed members (parities, as wide as the size asks for) bound a pair's overlap from above by
+   bit counts.  Only pairs that pass have their sorted member arrays fetched and intersected exactly.
+4. Stars.  In each tile every set is paired with the smallest; links join them into groups.  Tiles of two are done.
+5. What is left of tiles that still hold more than one group is compared whole by its bitmaps, block by block.  Pairs
+   in one group already are skipped, so a group of near copies is not expanded into all its pairs; a pair that
+   shares several tiles is told by the first of them.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches, written
 from docspark.llm.components import components
-from docspark.llm.words import gram_hashes, mix, word_hashes
+from docspark.llm.words import gram_hashes, mix, text_groups, word_hashes
 
 BLOCK_MEMBERS = 300_000
 FILTER_BITS = 1 << 25
+FIRST_TILES = 4
 
 
 def band_edges(limit: int) -> list[int]:
@@ -83,13 +85,16 @@ class _Signer:
 
 
 def bitmap(h):
-    """Bit map of member hashes: a power of two of bits, about two to four a member, at least 64."""
+    """Parity bits of member hashes: a power of two of bits, one to two a member, at least 64.
+
+    A bit tells whether an odd number of members hash to it.  Two sets' maps differ in no more bits than the sets in
+    members, and sets as unlike as twice the limit still differ in most of the bits that this takes to tell.
+    """
     import numpy as np
 
-    bits = max(64, 1 << (2 * len(h) - 1).bit_length()) if len(h) else 64
-    m = np.zeros(bits, np.uint8)
-    m[(h & np.uint64(bits - 1)).astype(np.int64)] = 1
-    return np.packbits(m, bitorder="little")
+    bits = max(64, 1 << len(h).bit_length())
+    odd = np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
 def member_sets(texts: list[str | None], n: int):
@@ -122,19 +127,6 @@ def _set_key(h):
     return first.astype(np.int64), second.astype(np.int64)
 
 
-def _slices(texts: list, size: int = 2_000_000):
-    """Groups of texts of about ``size`` characters."""
-    group, n = [], 0
-    for t in texts:
-        group.append(t)
-        n += len(t or "")
-        if n >= size:
-            yield group
-            group, n = [], 0
-    if group:
-        yield group
-
-
 def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
     def sign(batches):
         import numpy as np
@@ -143,7 +135,7 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
         signer = _Signer(num, den)
         for batch in batches:
             sizes, k0, k1, sigs, counts, bits = [], [], [], [], [], []
-            for group in _slices(batch.column(1).to_pylist()):
+            for group in text_groups(batch.column(1).to_pylist()):
                 for h in member_sets(group, n):
                     a, b = _set_key(h)
                     s = signer.sign(h) if len(h) else h
@@ -188,7 +180,7 @@ def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
         for batch in batches:
             rows = zip(*[batch.column(c).to_pylist() for c in ("rep", "k0", "k1")])
-            sets = (h for group in _slices(batch.column("_text").to_pylist()) for h in member_sets(group, n))
+            sets = (h for group in text_groups(batch.column("_text").to_pylist()) for h in member_sets(group, n))
             # rows that share the id but not the text are not the class
             kept = [(rep, h.tobytes()) for (rep, *key), h in zip(rows, sets) if _set_key(h) == tuple(key)]
             reps, members = zip(*kept) if kept else ((), ())
@@ -198,16 +190,20 @@ def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return written(got, "jaccard-members")
 
 
+def _folded(a, width: int):
+    """A map (or rows of maps) folded to ``width`` bytes."""
+    while a.shape[-1] > width:
+        half = a.shape[-1] // 2
+        a = a[..., :half] ^ a[..., half:]
+    return a
+
+
 def overlap_bound(a, b, n_a: int, n_b: int) -> int:
-    """At most so many members are common, by the bit maps ``a`` and ``b``."""
+    """At most so many members are common, by the bit maps ``a`` and ``b``: those that differ are as many as the bits that do."""
     import numpy as np
 
-    while len(a) > len(b):
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    only_a, only_b = int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
-    return min(n_a - only_a, n_b - only_b)
+    width = min(len(a), len(b))
+    return (n_a + n_b - int(np.bitwise_count(_folded(a, width) ^ _folded(b, width)).sum())) // 2
 
 
 def linked(x, y, num: int, den: int) -> bool:
@@ -218,10 +214,6 @@ def linked(x, y, num: int, den: int) -> bool:
     return den * both >= num * (len(x) + len(y) - both)
 
 
-def _least_overlap(n_a: int, n_b: int, num: int, den: int) -> int:
-    return -(-num * (n_a + n_b) // (num + den))
-
-
 def _within_bound(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps allow a link; ``bits``: rep, n, bits."""
     sides = [bits.select(F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab"]
@@ -268,10 +260,11 @@ def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: i
     return full.mapInArrow(test, "a long, b long")
 
 
-def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int) -> list[tuple[int, int]]:
+def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int, sig: int = -(1 << 63)) -> list[tuple[int, int]]:
     """Pairs of reps that may link by their bitmaps: within ``left``, or between ``left`` and ``right``.
 
-    Rows have ``rep``, ``label`` (the group so far), ``n`` and ``bits``.  Pairs in one group are left out.
+    Rows have ``rep``, ``label`` (the group so far), ``n``, ``bits`` and ``first`` (the row's first tiles).  Left out are
+    pairs in one group, and pairs with a tile in both rows' ``first`` that comes before ``sig``: that one tells them.
     """
     import numpy as np
 
@@ -291,23 +284,34 @@ def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int)
                 may &= at > i
             if not may.any():
                 continue
-            a, b, at, m = bits, b[may], at[may], m[may]
-            while len(a) > b.shape[1]:
-                a = a[: len(a) // 2] | a[len(a) // 2 :]
-            while b.shape[1] > len(a):
-                b = b[:, : b.shape[1] // 2] | b[:, b.shape[1] // 2 :]
-            bound = np.minimum(n - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), m - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
-            found += [(one["rep"], int(r)) for r in reps[at[(num + den) * bound >= num * (n + m)]]]
+            b, at, m = b[may], at[may], m[may]
+            width = min(len(bits), b.shape[1])
+            differ = np.bitwise_count(_folded(bits, width) ^ _folded(b, width)).sum(1, dtype=np.int64)
+            bound = (n + m - differ) // 2
+            for j in at[(num + den) * bound >= num * (n + m)]:
+                if not any(t < sig for t in one["first"] if t in rows[j]["first"]):
+                    found.append((one["rep"], int(reps[j])))
     return found
 
 
-def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of reps in different groups that share a tile and may link; ``rows``: sig, block, rep, label, n, bits."""
-    item = F.struct("rep", "label", "n", "bits")
-    blocks = written(rows.groupBy("sig", "block").agg(F.collect_list(item).alias("items")), "jaccard-blocks")
-    alone = blocks.select("items", F.lit(None).cast(blocks.schema["items"].dataType).alias("others"))
-    later = blocks.select("sig", F.col("block").alias("block_b"), F.col("items").alias("others"))
-    pairs = blocks.join(later, "sig").where("block < block_b").select("items", "others")
+def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of reps in different groups that share a tile and may link.
+
+    ``tiles``: sig, block, rep, label, a written table; ``bits``: rep, n, bits.
+    """
+    item = F.struct("rep", "label", "n", "bits", "first")
+    first = tiles.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list("sig")), 1, FIRST_TILES).alias("first"))
+    held = written(bits.join(first, "rep"), "jaccard-held")
+    blocks = lambda t: t.join(held, "rep").groupBy("sig", "block").agg(F.collect_list(item).alias("items"))
+    kind = "array<struct<rep:bigint,label:bigint,n:bigint,bits:binary,first:array<bigint>>>"
+    alone = blocks(tiles).select("sig", "items", F.lit(None).cast(kind).alias("others"))
+    # only tiles of several blocks are paired block by block
+    large = written(tiles.groupBy("sig").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("sig"), "jaccard-large")
+    every = alone
+    if not large.isEmpty():
+        some = written(blocks(tiles.join(large, "sig", "left_semi")), "jaccard-blocks")
+        later = some.select("sig", F.col("block").alias("block_b"), F.col("items").alias("others"))
+        every = alone.union(some.join(later, "sig").where("block < block_b").select("sig", "items", "others"))
 
     def compare(batches):
         import pyarrow as pa
@@ -315,12 +319,13 @@ def _tile_pairs(rows: DataFrame, num: int, den: int) -> DataFrame:
         for batch in batches:
             found = set()
             for i in range(batch.num_rows):
-                got = block_pairs(batch.column("items")[i].as_py(), batch.column("others")[i].as_py(), num, den)
+                sig, items, others = (batch.column(c)[i].as_py() for c in ("sig", "items", "others"))
+                got = block_pairs(items, others, num, den, sig)
                 found.update((min(x), max(x)) for x in got)
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return alone.union(pairs).mapInArrow(compare, "a long, b long").distinct()
+    return every.mapInArrow(compare, "a long, b long").distinct()
 
 
 def jaccard_components(
@@ -354,19 +359,19 @@ def jaccard_components(
     run = tile.orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tiles = emitted.select(
         "sig", "rep", "n", F.min("rep").over(tile).alias("center"), F.max("rep").over(tile).alias("_last"),
-        F.floor(F.sum("n").over(run) / BLOCK_MEMBERS).alias("block"),
+        F.floor(F.sum("n").over(run) / BLOCK_MEMBERS).alias("block"), F.count(F.lit(1)).over(tile).alias("size"),
     )
     tiles = written(tiles.where("center <> _last").drop("_last"), "jaccard-tiles")
 
     shared = tiles.select("rep").distinct()
     bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(shared, "rep", "left_semi")
     bits = written(bits, "jaccard-bits")
-    stars = tiles.where("rep <> center").groupBy(F.col("rep").alias("a")).agg(F.min("center").alias("b"))
+    stars = tiles.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     stars = written(_within_bound(stars, bits, num, den), "jaccard-stars")
     first = components(_exact(stars, slim, classes, n, num, den))
 
     labels = first.select(F.col("node").alias("rep"), F.col("component").alias("label"))
-    open_ = tiles.select("sig", "rep", "block").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    open_ = tiles.where("size > 2 and rep <> center").select("sig", "rep", "block").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     open_ = open_.withColumn("_lo", F.min("label").over(tile)).withColumn("_hi", F.max("label").over(tile))
     open_ = written(open_.where("_lo <> _hi").select("sig", "rep", "block", "label"), "jaccard-open")
     # tiles with the same rows are compared once
@@ -374,8 +379,8 @@ def jaccard_components(
         F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("c")
     )
     once = same.groupBy("s", "x", "c").agg(F.min("sig").alias("sig")).select("sig")
-    rows = written(open_.join(once, "sig", "left_semi"), "jaccard-once").join(bits, "rep")
-    rest = written(_tile_pairs(rows, num, den), "jaccard-rest")
+    once = written(open_.join(once, "sig", "left_semi"), "jaccard-once")
+    rest = written(_tile_pairs(once, bits, num, den), "jaccard-rest")
     links = _exact(rest, slim, classes, n, num, den)
     for x in "ab":
         named = labels.select(F.col("rep").alias(x), F.col("label").alias(f"label_{x}"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches
-from docspark.llm.words import gram_hashes, word_hashes
+from docspark.llm.words import gram_hashes, text_groups, word_hashes
 
 GRAM = 3
 WINDOW = 2
@@ -195,9 +195,8 @@ def scan_licenses(
         index = TemplateIndex(templates)
         kind = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            texts, rows = batch.column(1).to_pylist(), []
-            for i in range(0, len(texts), 400):
-                group = texts[i : i + 400]
+            rows = []
+            for group in text_groups(batch.column(1).to_pylist()):
                 hits = index.hits([fold(t) for t in group])
                 for j, t in enumerate(group):
                     got = matches(t, hits[j], index, min_coverage) if j in hits else []

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches
-from docspark.llm.words import gram_hashes, mix, word_hashes
+from docspark.llm.words import gram_hashes, mix, text_groups, word_hashes
 
 BITS = 18
 MAX_TRAINING_ROWS = 10_000
@@ -122,10 +122,10 @@ def fit(
 
         model = Ftrl()
         for batch in batches:
-            labels_, texts_ = batch.column("_label").to_pylist(), batch.column("_text").to_pylist()
-            for i in range(0, len(texts_), 200):
-                for (slots, values), y in zip(features(texts_[i : i + 200]), labels_[i : i + 200]):
-                    model.learn(slots, values, y)
+            answers = iter(batch.column("_label").to_pylist())
+            for group in text_groups(batch.column("_text").to_pylist()):
+                for slots, values in features(group):
+                    model.learn(slots, values, next(answers))
         yield pa.RecordBatch.from_arrays([pa.array([model.weights().astype("<f4").tobytes()], pa.binary())], ["weights"])
 
     got = rows.select("_text", "_label").coalesce(1).mapInArrow(learn, "weights binary").collect()
@@ -148,9 +148,9 @@ def score(df: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str =
 
         w = np.frombuffer(model.value, "<f4").astype(np.float64)
         for batch in batches:
-            out, texts = [], batch.column(1).to_pylist()
-            for i in range(0, len(texts), 200):
-                out += [probability(float(w[slots] @ values)) for slots, values in features(texts[i : i + 200])]
+            out = []
+            for group in text_groups(batch.column(1).to_pylist()):
+                out += [probability(float(w[slots] @ values)) for slots, values in features(group)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["_id", "score"])
 
     got = slim.mapInArrow(rate, f"_id {dict(slim.dtypes)['_id']}, score double")

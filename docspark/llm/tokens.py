@@ -12,7 +12,7 @@ import os
 import re
 from array import array
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 32
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = rf"[{_LETTERS}]+(?=[ \n!-/:-@\[-`{{-~])"
@@ -36,8 +36,9 @@ class _Known(dict):
     A chunk of plain letters needs no normalising or splitting: the tokenizer's model takes it as it is.
     """
 
-    def __init__(self, tokenizer, spaces_matter: bool):
+    def __init__(self, tokenizer, spaces_matter: bool, most: int):
         super().__init__()
+        self.most = most
         self.encode, self.model, self.spaces_matter = tokenizer.encode, tokenizer.model.tokenize, spaces_matter
 
     def __missing__(self, chunk: str) -> bytes:
@@ -46,7 +47,7 @@ class _Known(dict):
             ids = array("I", [t.id for t in self.model(signs)]).tobytes()
         else:
             ids = array("I", self.encode(chunk, add_special_tokens=False).ids).tobytes()
-        if len(self) < CACHE_CHUNKS and len(chunk) <= LONGEST_CACHED:
+        if len(self) < self.most and len(chunk) <= LONGEST_CACHED:
             self[chunk] = ids
         return ids
 
@@ -59,14 +60,14 @@ class ChunkEncoder:
     letters are lowered first, unless the text may hold a special token.
     """
 
-    def __init__(self, path: str, spaces_matter: bool):
+    def __init__(self, path: str, spaces_matter: bool, most: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         if array("I").itemsize != 4:
             raise RuntimeError("ids need unsigned 32-bit arrays")
-        self.known = _Known(tokenizer, spaces_matter)
+        self.known = _Known(tokenizer, spaces_matter, most)
         self.spaces_matter = spaces_matter
         self.chunks = re.compile(
             rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
@@ -90,9 +91,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, spaces_matter: bool) -> ChunkEncoder:
-    """One encoder for each Python worker and tokenizer file."""
+def encoder(path: str, spaces_matter: bool, most: int = CACHE_CHUNKS) -> ChunkEncoder:
+    """One encoder for each Python worker and tokenizer file, with up to ``most`` chunks cached (some 200 bytes each)."""
     key = (path, spaces_matter)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, spaces_matter)
+        _ENCODERS[key] = ChunkEncoder(path, spaces_matter, most)
     return _ENCODERS[key]

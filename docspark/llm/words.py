@@ -23,6 +23,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def text_groups(texts: list, size: int = 400_000):
+    """The texts in groups of about ``size`` characters (one text at least), in order: what is worked on at once."""
+    group, n = [], 0
+    for t in texts:
+        group.append(t)
+        n += len(t or "")
+        if n >= size:
+            yield group
+            group, n = [], 0
+    if group:
+        yield group
+
+
 def _powers(n: int) -> np.ndarray:
     global _POWERS
     while len(_POWERS) < n:

@@ -70,6 +70,15 @@ def test_groups_of_the_table(spark, sf):
     assert got == brute(texts, 3, 90, 100)
 
 
+def test_tiles_of_several_blocks(spark, docs, monkeypatch):
+    from docspark.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK_MEMBERS", 200)
+    texts = near_copies(7, 220, (30, 40))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs(list(texts.items())), n=3, num=80).collect()}
+    assert got == brute(texts, 3, 80, 100)
+
+
 def test_odd_tables(spark, docs):
     long = " ".join(f"v{i % 3000}" for i in range(9000))
     texts = dict(enumerate([None, "", " \n", "one", "One", "one two", "ONE\ttwo", "Ärger x", "ärger x", "a\xa0b", long, long + " tail", "q r s t", "q r s t", "q r s"]))
@@ -114,7 +123,7 @@ def test_linked_sets_share_a_signature(num):
 def test_blocks_miss_no_link():
     texts = near_copies(9, 120, (40,))
     sets = member_sets(list(texts.values()), 3)
-    rows = [{"rep": i, "label": i % 7, "n": len(h), "bits": bitmap(h).tobytes()} for i, h in enumerate(sets)]
+    rows = [{"rep": i, "label": i % 7, "n": len(h), "bits": bitmap(h).tobytes(), "first": []} for i, h in enumerate(sets)]
     within, across = set(block_pairs(rows, None, 90, 100)), set(block_pairs(rows[:50], rows[50:], 90, 100))
     links = 0
     for i, x in enumerate(sets):
@@ -122,6 +131,9 @@ def test_blocks_miss_no_link():
             if linked(x, sets[j], 90, 100) and i % 7 != j % 7:
                 links += 1
                 assert (i, j) in within and ((i, j) in across or not i < 50 <= j)
+    for r in rows:
+        r["first"] = [5, 9]
+    assert block_pairs(rows, None, 90, 100, 9) == [] and set(block_pairs(rows, None, 90, 100, 5)) == within
     assert links > 20 and all(i % 7 != j % 7 for i, j in within | across)
 
 
