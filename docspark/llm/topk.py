@@ -16,13 +16,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches, written
-from docspark.llm.sharding import number_rows
+from docspark.operators.numbering import number_rows
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 LEAST_BLOCKS = 16
-LEVELS = (1.0, 0.5, 0.25, 0.1)
+LEVELS = (0.35, 0.2, 0.1, 0.05)
 FEW = 0.12
+MAX_SIZE = 1 << 14
+UNIT = float(1 << 40)
 
 
 class ImpactIndex:
@@ -37,31 +39,36 @@ class ImpactIndex:
         self.vals = np.take_along_axis(self.x.T, self.ids, axis=1)
         self.keys = -np.take_along_axis(size.T, self.ids, axis=1)  # ascending
         self.mean = float(size.mean()) if size.size else 0.0
+        # reach[d, v]: how many postings of dimension d have a component of size v or more, up to a size
+        self.top_size = min(int(size.max(initial=0)), MAX_SIZE)
+        self.reach = np.stack([np.searchsorted(k, -np.arange(self.top_size + 2), side="right") for k in self.keys]) if size.size else None
 
     def possible(self, q, k: int):
         """Candidates that may be among the k best for ``q`` (ties included), in row order."""
         import numpy as np
 
         n, dims = self.x.shape
-        if n <= k:
-            return np.arange(n)
-        score, rest = np.zeros(n), np.full(n, np.count_nonzero(q), np.int64)
-        read = np.zeros(dims, np.int64)
         live = np.flatnonzero(q)
-        base = float(np.abs(q[live]).mean()) * self.mean if len(live) else 0.0
+        if n <= k or not len(live):
+            return np.arange(n)
+        weight = q[live]
+        size = np.abs(weight)
+        base = float(size.mean()) * self.mean
+        if self.top_size == MAX_SIZE or 2 * float(size.max()) * self.top_size * dims >= UNIT or dims > 4096:
+            return np.arange(n)  # sizes beyond the tables: every posting is read
+        # a posting read adds UNIT to its candidate, so that one sum holds the score and the number of postings read
+        total, read = np.zeros(n), np.zeros(len(live), np.int64)
         for share in LEVELS:
             level = base * share
             if level < 1:
                 break
-            for d in live:
-                to = int(np.searchsorted(self.keys[d], -level / abs(q[d]), side="right"))
-                at = read[d]
-                if to > at:
-                    ids = self.ids[d, at:to]
-                    score[ids] += self.vals[d, at:to] * q[d]
-                    rest[ids] -= 1
-                    read[d] = to
-            slack = rest * level
+            to = self.reach[live, np.minimum(np.ceil(level / size), self.top_size + 1).astype(np.int64)]
+            for d, w, a, b in zip(live.tolist(), weight.tolist(), read.tolist(), to.tolist()):
+                if b > a:
+                    total[self.ids[d, a:b]] += self.vals[d, a:b] * w + UNIT
+            read = np.maximum(read, to)
+            count = np.rint(total / UNIT)
+            score, slack = total - count * UNIT, (len(live) - count) * level
             floor = np.partition(score - slack, n - k)[n - k]
             left = np.flatnonzero(score + slack >= floor)
             if len(left) <= max(k, FEW * n):

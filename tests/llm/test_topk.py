@@ -54,6 +54,12 @@ def test_what_is_left_out_is_left_out_by_proof(seed):
     assert seed == 2 or seed == 3 or pruned > 0
 
 
+def test_very_large_components(spark):
+    rows = [(i, [float((i * 37) % 11 - 5) * 10 ** (i % 7), float(i)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert run(df) == brute([(r.vec_id, r.embedding) for r in df.collect()], 5)
+
+
 def test_blocks_do_not_matter(spark, monkeypatch):
     from docspark.llm import topk
 
