@@ -19,6 +19,7 @@ import heapq
 import re
 import zlib
 from array import array
+from operator import itemgetter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ CACHE_CHUNKS = 700_000
 LONGEST_CACHED = 32
 N_BEST = 3
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_IDS, _SCORE, _LOSS = map(itemgetter, range(3))
 
 
 class _Known(dict):
@@ -52,8 +54,9 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.pieces, self.byte_ids = pieces, byte_ids
-        self.longest = max(map(len, pieces), default=1)
-        self.prefixes = {p[:i] for p in pieces for i in range(1, len(p))}
+        # every start of a piece: (score, ids) where it is a piece itself, else None
+        self.starts: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:i]: None for p in pieces for i in range(1, len(p))}
+        self.starts.update((p, (score, (i,))) for p, (i, score) in pieces.items())
         self.byte_score = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - BYTE_PENALTY
         after = {x for p in pieces for x in re.findall(rf"(?<=[{_LETTERS}])[^{_LETTERS}]", p)}
         ends = "".join(re.escape(x) for x in map(chr, (10, *range(33, 127))) if not x.isalnum() and x not in after)
@@ -75,36 +78,37 @@ class Lattice:
                 pieces[model.id_to_piece(i)] = (i, model.get_score(i))
         return cls(pieces, byte_ids)
 
-    def _edges(self, s: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each place, the edges that end there: (start, score, ids)."""
-        n, get, prefixes = len(s), self.pieces.get, self.prefixes
-        into: list[list] = [[] for _ in range(n + 1)]
+    def _edges(self, s: str):
+        """The lattice over ``s`` and its forward pass.
+
+        For each place: the edges that end there (start, score, ids), the best score up to it, and the edge it comes by.
+        """
+        n, get = len(s), self.starts.get
+        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        best, via = [0.0] + [-float("inf")] * n, [0] * (n + 1)
         for i in range(n):
-            single = False
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                part = s[i:j]
-                hit = get(part)
+            so_far, single = best[i], False
+            for j in range(i + 1, n + 1):
+                hit = get(s[i:j], False)
                 if hit:
-                    into[j].append((i, hit[1], (hit[0],)))
+                    edges, score = into[j], hit[0]
+                    if so_far + score > best[j]:
+                        best[j], via[j] = so_far + score, len(edges)
+                    edges.append((i, score, hit[1]))
                     single = single or j == i + 1
-                if part not in prefixes:
+                elif hit is False:
                     break
             if not single:
                 raw = s[i].encode("utf-8", "surrogatepass")
-                into[i + 1].append((i, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)))
-        return into
+                edges, score = into[i + 1], self.byte_score * len(raw)
+                if so_far + score > best[i + 1]:
+                    best[i + 1], via[i + 1] = so_far + score, len(edges)
+                edges.append((i, score, tuple(self.byte_ids[b] for b in raw)))
+        return into, best, via
 
     def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
         """The n best segmentations of ``s`` (all, if fewer), best first: (score, ids)."""
-        into = self._edges(s)
-        best = [0.0] * (len(s) + 1)
-        via = [0] * (len(s) + 1)
-        for j in range(1, len(s) + 1):
-            top, at = -float("inf"), 0
-            for k, (i, score, _) in enumerate(into[j]):
-                if best[i] + score > top:
-                    top, at = best[i] + score, k
-            best[j], via[j] = top, at
+        into, best, via = self._edges(s)
         out: list[tuple[float, list[int]]] = []
         # (negated score of the best path that ends in this suffix, order, place the suffix starts at, suffix)
         agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(s), 0.0, None)]
@@ -146,13 +150,13 @@ class Lattice:
         if not text:
             return [(0.0, b"")]
         parts = list(map(self._solved(n).__getitem__, self.chunks(SPACE + text.replace(" ", SPACE))))
-        ids, scores, losses, _ = map(list, zip(*parts))
-        total = sum(scores)
+        ids = list(map(_IDS, parts))
+        total = sum(map(_SCORE, parts))
         out = [(total, b"".join(ids))]
         if n < 2:
             return out
         # at most n - 1 chunks change in the n best, and only those that lose least
-        loose = []
+        loose, losses = [], list(map(_LOSS, parts))
         for _ in range(n - 1):
             loss = min(losses)
             if loss == float("inf"):

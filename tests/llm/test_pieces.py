@@ -14,7 +14,7 @@ MODEL = public_tokenizers.path("piece_bpe_32k.model")
 def every(lattice, s):
     """All segmentations of ``s``, best first."""
     paths = {0: [(0.0, [])]}
-    into = lattice._edges(s)
+    into, _, _ = lattice._edges(s)
     for j in range(1, len(s) + 1):
         paths[j] = [(score + more, ids + list(new)) for i, more, new in into[j] for score, ids in paths[i]]
     return sorted(paths[len(s)], key=lambda p: -p[0])
