@@ -17,8 +17,8 @@ from docspark.llm.common import bounded_batches
 from docspark.llm.tokens import encoder
 
 END_ID = 1
-SEGMENT_IDS = 3_000_000
-CACHE_CHUNKS = 600_000
+SEGMENT_IDS = 8_000_000
+CACHE_CHUNKS = 700_000
 
 
 def write_ids(

@@ -52,7 +52,7 @@ def checked(rows, docs):
 
 def test_files_give_back_the_table(spark, sf, tmp_path):
     df = table(spark, sf, "documents")
-    for i, size in enumerate((6_000_000, 1000)):
+    for i, size in enumerate((8_000_000, 1000)):
         write_ids(df.repartition(3), str(tmp_path / f"f{i}"), PATH, segment_ids=size)
         checked(read_ids(spark, str(tmp_path / f"f{i}")).collect(), {d.doc_id: d.text for d in df.collect()})
 
