@@ -153,6 +153,16 @@ def heading_prefix(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.heading(text, level).alias("heading"))
 
 
+@register("""
+SELECT doc_id, CASE WHEN starts_with(t, '#') THEN t ELSE repeat('#', greatest(1, least(6, coalesce(lvl, 1)))) || ' ' || t END AS heading
+FROM (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '#' || text ELSE text END AS t, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE (doc_id % 12)::INTEGER - 2 END AS lvl FROM documents)""")
+def heading_prefix_whole(spark, sf_dir):
+    """``heading_prefix`` over whole texts."""
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("#"), "text")).otherwise(F.col("text"))
+    level = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 12 - 2).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.heading(text, level).alias("heading"))
+
+
 @register(f"""
 WITH {BLOCKS}, {TYPED}
 SELECT doc_id::VARCHAR AS doc_key, (row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, pos) - 1)::INTEGER AS seq, page_idx, type, text,
@@ -295,6 +305,13 @@ def truncate_words(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(text, 25).alias("short"))
 
 
+@register(f"SELECT doc_id, {CUT % (25, 25)} AS short FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN ' ' || text ELSE text END AS x FROM documents)")
+def truncate_words_whole(spark, sf_dir):
+    """``truncate_words`` over whole texts."""
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", T.truncate_words(text, 25).alias("short"))
+
+
 @register(f"WITH {TURNS}, {CONTEXT_SQL} SELECT conv_id, turn, replace({repr(enrich.PROMPTS['image'])}, '%s', coalesce(nullif({CUT % (64, 64)}, ''), '(none)')) AS prompt FROM c WHERE type = 'image'".replace('\\n', "' || chr(10) || '"))
 def prompts(spark, sf_dir):
     rows = context.block_context(turns(spark, sf_dir), 2, 64, "conv_id", "turn").where("type = 'image'")
