@@ -6,6 +6,8 @@ of a depth-first walk -> ``elements``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,11 +16,10 @@ from docspark.functions.geometry import bbox_from_sides
 from docspark.functions.ids import element_id
 from docspark.functions.media import decoded_picture
 from docspark.functions.python_only import dumped_json
-from docspark.staging import staged
+from docspark.staging import shared_dir, staged
 
 LEAVES = ("texts", "pictures", "tables")
 CONTAINERS = ("groups", "body")
-MAX_DEPTH = 100
 
 
 def reference(child: Column) -> Column:
@@ -61,27 +62,50 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.join(nodes.select("doc_key", "node_type", "idx", "node"), ["doc_key", "node_type", "idx"])
 
 
-def walk(nodes: DataFrame) -> DataFrame:
-    """``leaves`` (doc_key, element_idx, node_type, node) in depth-first order from the body.
+def walk_trees(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``leaves`` (doc_key, element_idx, node_type, node) in depth-first order from the body, and ``bad`` trees.
 
-    Level by level, a join of the containers reached with their children; a path of positions keeps the order.  A tree
-    deeper than MAX_DEPTH, which only a cycle can be, ends there.
+    Level by level, to any depth: each level is a written table, the containers of the one before joined with their
+    children.  A path of positions keeps the order, the containers above a node tell a cycle.  A tree with a cycle that
+    its body reaches has no leaves; ``bad`` (doc_key, code, message) names it.  A reference to the body names nothing.
     """
     edges = resolve_refs(child_refs(nodes).select("doc_key", F.struct("node_type", "idx").alias("parent"), "child_pos", "ref"), nodes)
+    edges = edges.where("node_type in ('texts', 'pictures', 'tables', 'groups')")
     edges = edges.select("doc_key", F.col("parent.node_type").alias("p_type"), F.col("parent.idx").alias("p_idx"), "child_pos", "node_type", "idx")
     edges = staged(edges, "edges")  # every level reads them
     spark = nodes.sparkSession
-    edges.createOrReplaceTempView("_docling_edges")
-    reached = spark.sql(f"""
-        WITH RECURSIVE walk (doc_key, node_type, idx, path, depth) AS (
-          SELECT doc_key, 'body', 0, cast(array() AS array<int>), 0 FROM (SELECT DISTINCT doc_key FROM _docling_edges)
-          UNION ALL
-          SELECT e.doc_key, e.node_type, e.idx, concat(w.path, array(e.child_pos)), w.depth + 1
-          FROM walk w JOIN _docling_edges e ON e.doc_key = w.doc_key AND e.p_type = w.node_type AND e.p_idx = w.idx
-          WHERE w.depth < {MAX_DEPTH} - 1)
-        SELECT doc_key, node_type, idx, path FROM walk WHERE node_type IN ('texts', 'pictures', 'tables')""")
+    at = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
+    spine = edges.where("p_type = 'body'").select("doc_key").distinct()
+    level = spine.select("doc_key", F.lit("body").alias("node_type"), F.lit(0).alias("idx"), F.array().cast("array<int>").alias("path"), F.array().cast("array<int>").alias("above"))
+    depth, cyclic = 0, F.array_contains("above", F.col("idx"))
+    while True:
+        up = level.select("doc_key", F.col("node_type").alias("p_type"), F.col("idx").alias("p_idx"), "path", "above")
+        # only groups can come again; the body is not among those above
+        above = F.when(F.col("p_type") == "groups", F.array_append("above", F.col("p_idx"))).otherwise(F.col("above"))
+        reached = up.join(edges, ["doc_key", "p_type", "p_idx"]).select(
+            "doc_key", "node_type", "idx", F.array_append("path", F.col("child_pos")).alias("path"), above.alias("above")
+        )
+        reached.select("*", ((F.col("node_type") == "groups") & cyclic).alias("cyclic")).write.parquet(f"{at}/{depth}")
+        schema = f"doc_key {dict(nodes.dtypes)['doc_key']}, node_type string, idx int, path array<int>, above array<int>, cyclic boolean"
+        written = spark.read.schema(schema).parquet(f"{at}/{depth}")
+        level = written.where("node_type = 'groups'")
+        if level.isEmpty():
+            break
+        again = level.where("cyclic").select("doc_key").distinct()
+        if not again.isEmpty():
+            level = level.join(again, "doc_key", "left_anti")
+        depth += 1
+    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
+    said = F.lit("the layout tree has a cycle")
+    bad = found.where("cyclic").select("doc_key").distinct().select("doc_key", F.lit("docling_failed").alias("code"), said.alias("message"))
     order = F.row_number().over(Window.partitionBy("doc_key").orderBy("path")) - 1
-    return reached.withColumn("element_idx", order).join(nodes, ["doc_key", "node_type", "idx"]).drop("idx", "path")
+    leaves = found.where(F.col("node_type").isin(*LEAVES)).select("doc_key", "node_type", "idx", "path").join(bad.select("doc_key"), "doc_key", "left_anti")
+    return leaves.withColumn("element_idx", order).join(nodes, ["doc_key", "node_type", "idx"]).drop("idx", "path"), bad
+
+
+def walk(nodes: DataFrame) -> DataFrame:
+    """The ``leaves`` of ``walk_trees``."""
+    return walk_trees(nodes)[0]
 
 
 def route_leaves(leaves: DataFrame, sha256: Column | None = None) -> DataFrame:

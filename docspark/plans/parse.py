@@ -38,10 +38,11 @@ def parse_contents(
     told = spark.createDataFrame([], WARNINGS)
     if config.parser == "docling":
         nodes = staged(D.explode_nodes(keyed), "nodes")
-        leaves = D.walk(nodes).join(keyed.select("doc_key", "doc_sha"), "doc_key")
+        leaves, bad = D.walk_trees(nodes)
+        leaves = leaves.join(keyed.select("doc_key", "doc_sha"), "doc_key")
         elements = staged(D.route_leaves(leaves, F.col("doc_sha")), "elements")
         told = told.unionByName(D.size_warnings(elements))
-        elements, bad = elements.drop("too_large"), told.limit(0)
+        elements = elements.drop("too_large")
         if config.enabled:
             said = F.lit("Enrichment is not supported for parser 'docling'")
             told = told.unionByName(docs.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("enrichment_not_supported").alias("code"), said.alias("message")))
