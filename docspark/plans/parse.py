@@ -18,7 +18,7 @@ from docspark.plans.batch import path_message, path_status
 from docspark.plans.cache import ResultCache, full_key, split_hits
 from docspark.staging import staged
 from docspark.schema import EnrichmentConfig
-from docspark.sources.engines import Cascade, DoclingEngine, MinerUEngine, run_engine, text_layer_tokens
+from docspark.sources.engines import MINERU_COMMAND, Cascade, CommandEngine, DoclingEngine, MinerUEngine, run_engine, text_layer_tokens
 from docspark.sources.files import scan_files
 
 WARNINGS = "doc_key string, page_idx int, code string, message string"
@@ -67,8 +67,8 @@ def parse_contents(
 
 def default_engine(config: EnrichmentConfig) -> Callable:
     if config.parser == "docling":
-        return lambda: DoclingEngine(config.table_mode, config.do_ocr, config.do_table_structure)
-    return lambda: Cascade(MinerUEngine())
+        return lambda: DoclingEngine(config.table_mode, config.do_ocr, config.do_table_structure, config.docling_artifacts_path)
+    return lambda: Cascade(MinerUEngine(), CommandEngine(MINERU_COMMAND))
 
 
 def parse_batch(

@@ -52,7 +52,9 @@ class CommandEngine:
             with tempfile.TemporaryDirectory() as at:
                 source, target = Path(at, name), Path(at, "out")
                 source.write_bytes(content)
-                subprocess.run([c.format(source=source, target=target) for c in self.command], check=True, timeout=TIMEOUT_S, capture_output=True)
+                command = [c.format(source=source, target=target) for c in self.command]
+                env = {"CUDA_VISIBLE_DEVICES": "", **os.environ}  # a graphics card is used only where it is named
+                subprocess.run(command, check=True, timeout=TIMEOUT_S, capture_output=True, env=env)
                 found = sorted(target.rglob("*.json"), key=lambda p: (not p.name.endswith("_content_list.json"), str(p)))
                 if not found:
                     raise RuntimeError("the command left no content list")
@@ -75,38 +77,65 @@ class MinerUEngine:
             return {k: found[k].read_text() for k in names if k in found}
 
 
+#: MinerU as a command, where it cannot be run in this process or gave nothing.
+MINERU_COMMAND = ["mineru", "-p", "{source}", "-o", "{target}", "-m", "auto", "-b", "pipeline"]
+
+
 class DoclingEngine:
     """Docling: one converter for each worker and set of options."""
 
     converters: dict[tuple, object] = {}
 
-    def __init__(self, table_mode: str = "fast", do_ocr: bool = True, do_table_structure: bool = True):
-        self.options = (table_mode, do_ocr, do_table_structure)
+    def __init__(self, table_mode: str = "fast", do_ocr: bool = True, do_table_structure: bool = True, artifacts_path: str | None = None):
+        self.options = (table_mode, do_ocr, do_table_structure, artifacts_path)
+
+    def converter(self):
+        if self.options not in self.converters:
+            from docling.datamodel.base_models import InputFormat
+            from docling.datamodel.pipeline_options import PdfPipelineOptions, TableFormerMode
+            from docling.document_converter import DocumentConverter, PdfFormatOption
+
+            table_mode, do_ocr, do_table_structure, artifacts_path = self.options
+            made = PdfPipelineOptions()
+            made.do_ocr, made.do_table_structure = do_ocr, do_table_structure
+            made.table_structure_options.mode = TableFormerMode.FAST if table_mode == "fast" else TableFormerMode.ACCURATE
+            made.generate_picture_images, made.images_scale = True, 2.0
+            if artifacts_path is not None:
+                made.artifacts_path = artifacts_path
+            self.converters[self.options] = DocumentConverter(format_options={InputFormat.PDF: PdfFormatOption(pipeline_options=made)})
+        return self.converters[self.options]
 
     def run(self, files):
         from docling.datamodel.base_models import DocumentStream
-        from docling.document_converter import DocumentConverter
         from io import BytesIO
 
-        converter = self.converters.setdefault(self.options, DocumentConverter())
+        converter = self.converter()
         return {k: json.dumps(converter.convert(DocumentStream(name=n, stream=BytesIO(b))).document.export_to_dict()) for k, (n, b) in files.items()}
 
 
+def has_content(text: str | None) -> bool:
+    return (text or "").strip() not in ("", "[]", "{}", "null")
+
+
 class Cascade:
-    """The first engine that gives a content for a file; if none does, the last error."""
+    """The first engine that gives a content for a file; if none does, the last error.
+
+    Engines after the first get the files one by one, so that a file that fails costs no other.
+    """
 
     def __init__(self, *engines: Engine):
         self.engines = engines
 
     def run(self, files):
         out, error = {}, None
-        for engine in self.engines:
-            left = {k: v for k, v in files.items() if not out.get(k)}
-            try:
-                out |= engine.run(left) if left else {}
-            except Exception as e:  # noqa: BLE001
-                error = e
-        if error and not any(out.values()):
+        for n, engine in enumerate(self.engines):
+            left = {k: v for k, v in files.items() if not has_content(out.get(k))}
+            for part in ([left] if not n else [{k: v} for k, v in left.items()]) if left else ():
+                try:
+                    out |= engine.run(part)
+                except Exception as e:  # noqa: BLE001
+                    error = e
+        if error and not any(map(has_content, out.values())):
             raise RuntimeError(str(error)) from error
         return out
 
