@@ -509,6 +509,12 @@ def gold_similarity(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", T.similarity(short, F.replace(short, F.lit("e"), F.lit(""))).alias("ned"))
 
 
+@register("""SELECT item_id, 1 - levenshtein(text, replace(text, 'e', ''))::DOUBLE / greatest(length(text), length(replace(text, 'e', '')))::DOUBLE AS ned FROM benchmark""")
+def gold_similarity_whole(spark, sf_dir):
+    """``gold_similarity`` over whole texts."""
+    return table(spark, sf_dir, "benchmark").select("item_id", T.similarity(F.col("text"), F.replace("text", F.lit("e"), F.lit(""))).alias("ned"))
+
+
 @register(f"""WITH {BLOCKS}, {TYPED}, d AS (SELECT doc_id, max(page_idx) + 1 AS page_count, count(*) AS n_elements, sum(length(text)) AS n_chars, sum(CASE WHEN type = 'heading' THEN 1 ELSE 0 END) AS n_headings FROM typed GROUP BY doc_id)
 SELECT doc_id::VARCHAR AS doc_key, page_count::INTEGER AS page_count, page_count::INTEGER AS n_pages, n_elements::INTEGER AS n_elements, n_chars::BIGINT AS n_chars, n_headings::INTEGER AS n_headings, '1.0' AS schema_version FROM d""")
 def assemble_output(spark, sf_dir):

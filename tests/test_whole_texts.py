@@ -14,3 +14,9 @@ def test_headings_and_cuts_are_of_whole_texts(spark):
         words = texts[r.doc_id].split()
         if len(words) > 25:
             assert r.short == " ".join(words[:25]) + "..."
+
+
+def test_similarity_is_of_whole_texts(spark, tmp_path):
+    text = "abcd" * 150 + "e" * 200
+    spark.createDataFrame([(1, text)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert abs(queries.QUERIES["gold_similarity_whole"](spark, str(tmp_path)).first().ned - 0.75) < 1e-12
