@@ -6,11 +6,16 @@ leaves a common fingerprint.  An inverted index of the templates' fingerprints t
 diagonal).  Around each group of anchors a local alignment in a band of diagonals reports the matched words, the
 share of the template they cover, and the span of the text.
 
+The templates here are eight notices: one line each for Apache-2.0, MIT, GPL-3.0, CC BY-NC 4.0 and CC BY 4.0, the MIT
+text, and the short headers of Apache-2.0 and GPL-3.0.  Other licenses (BSD, ISC, MPL, LGPL, AGPL, Unlicense) and full
+Apache, GPL and CC texts match only if a caller gives their templates.
+
 Templates are few and fixed, so the index goes to every task; texts are scanned where they are, without a shuffle.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import defaultdict
 
@@ -113,10 +118,11 @@ class TemplateIndex:
         return out
 
 
-def align(text: list[bytes], template: list[bytes], diagonal: int, band: int = BAND):
+def align(text: list[bytes | None], template: list[bytes], diagonal: int, band: int = BAND):
     """Best local alignment with text place - template place within ``band`` of ``diagonal``.
 
     Returns (matched words, first text word, last text word), or None.  Among equal scores more matches win, then the earliest end.
+    No alignment holds a place where ``text`` is None.
     """
     width = 2 * band + 1
     zero = (0, 0, -1)  # score, matched, first
@@ -126,7 +132,7 @@ def align(text: list[bytes], template: list[bytes], diagonal: int, band: int = B
         row = [zero] * (width + 1)
         for b in range(width):
             i = t + diagonal - band + b
-            if not 0 <= i < len(text):
+            if not 0 <= i < len(text) or text[i] is None:
                 continue
             same = text[i] == word
             score, matched, first = above[b]  # one word back in both
@@ -149,7 +155,10 @@ def align(text: list[bytes], template: list[bytes], diagonal: int, band: int = B
 
 
 def matches(text: str | None, found: list[tuple[int, int]], index: TemplateIndex, min_coverage: float) -> list[tuple]:
-    """(name, coverage, start, end) of one text's matches; overlapping matches of one template are told once."""
+    """(name, coverage, start, end) of one text's matches; overlapping matches of one template are told once.
+
+    The best match comes first; its words are then taken, and the groups of anchors that held them are aligned again.
+    """
     spots = list(_WORD.finditer(text or ""))
     words = fold(text).split()
     anchors = defaultdict(set)
@@ -158,18 +167,25 @@ def matches(text: str | None, found: list[tuple[int, int]], index: TemplateIndex
             anchors[t].add(place - at)
     out = []
     for t, diagonals in anchors.items():
-        template, taken, last = index.words[t], [], None
+        template, free, last, heap = index.words[t], list(words), None, []
+
+        def offer(d):
+            got = align(free, template, d)
+            if got and got[0] >= min_coverage * len(template):
+                heapq.heappush(heap, (-got[0], got[1], got[2], d))
+
         for d in sorted(diagonals):
             if last is not None and d - last <= BAND // 2:
                 continue  # in the band of the last one already
             last = d
-            got = align(words, template, d)
-            if got and got[0] >= min_coverage * len(template):
-                taken.append(got)
-        for matched, first, end in sorted(taken, key=lambda g: (-g[0], g[1])):
-            if not any(r[0] == index.names[t] and r[4] <= end and first <= r[5] for r in out):
-                out.append((index.names[t], matched / len(template), spots[first].start(), spots[end].end(), first, end))
-    return sorted(((r[0], r[1], r[2], r[3]) for r in out), key=lambda r: (r[2], r[3], r[0]))
+            offer(d)
+        while heap:
+            matched, first, end, d = heapq.heappop(heap)
+            if None not in free[first : end + 1]:
+                out.append((index.names[t], -matched / len(template), spots[first].start(), spots[end].end()))
+                free[first : end + 1] = [None] * (end + 1 - first)
+            offer(d)
+    return sorted(out, key=lambda r: (r[2], r[3], r[0]))
 
 
 def scan_licenses(
