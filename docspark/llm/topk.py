@@ -12,6 +12,8 @@ Queries against all rows meet in pairs of blocks; each pair gives its k best, an
 
 from __future__ import annotations
 
+from operator import mul
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,8 @@ LEVELS = (0.35, 0.2, 0.1, 0.05)
 FEW = 0.12
 MAX_SIZE = 1 << 14
 UNIT = float(1 << 40)
+EXACT = 1 << 53
+LEAST, MOST = -(1 << 63), (1 << 63) - 1  # also stand for scores beyond them
 
 
 class ImpactIndex:
@@ -33,8 +37,9 @@ class ImpactIndex:
     def __init__(self, x):
         import numpy as np
 
-        self.x = x.astype(np.float64)
+        self.ints, self.x = x, x.astype(np.float64)
         size = np.abs(x)
+        self.biggest = int(size.max(initial=0))
         self.ids = np.argsort(-size, axis=0, kind="stable").T.copy()
         self.vals = np.take_along_axis(self.x.T, self.ids, axis=1)
         self.keys = -np.take_along_axis(size.T, self.ids, axis=1)  # ascending
@@ -76,9 +81,15 @@ class ImpactIndex:
         return np.arange(n)  # every posting would be read: scored exactly as they are
 
     def top(self, q, k: int, ids, skip: int = -1):
-        """The k best (position, score) for ``q``, ties to the smaller of ``ids``; position ``skip`` takes no part."""
+        """The k best (position, score) for integers ``q``, ties to the smaller of ``ids``; position ``skip`` takes no part."""
         import numpy as np
 
+        if len(q) and self.biggest * sum(abs(c) for c in q.tolist()) >= EXACT:  # beyond what floats hold: whole numbers
+            left = np.delete(np.arange(len(self.ints)), [skip] if skip >= 0 else [])
+            exact = [sum(map(mul, row, q.tolist())) for row in self.ints[left].tolist()]
+            best = sorted(range(len(left)), key=lambda j: (-exact[j], ids[left[j]], left[j]))[:k]
+            return left[best], [exact[j] for j in best]
+        q = q.astype(np.float64)
         left = self.possible(q, k + (skip >= 0))
         left = left[left != skip]
         exact = self.x[left] @ q
@@ -107,14 +118,17 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
 
     Defined cases: vectors null, or with null or non-finite components, take no part; rows with null ids neither;
     vectors of different lengths never meet; repeated rows and ids are rows of their own; fewer than k candidates
-    give all there are; an empty table gives no rows.  Scores are exact below 2**53.
+    give all there are; an empty table gives no rows.  Scores are exact.  A component, or a score
+    among the k, that does not fit a 64-bit integer is an error.
     """
     spark = df.sparkSession
     bounded_batches(spark)
-    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e15)
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", good))
-    ints = rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+    too_large = F.raise_error(F.lit("a component does not fit a 64-bit integer")).cast("long")
+    whole = lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(too_large)
+    ints = rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("v", whole).alias("v"))
     numbered = number_rows(ints, ["id"], "topk-rows")
     n = numbered.count()
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
@@ -147,16 +161,19 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
                         continue
                     at, index = built[s]
                     where = {int(r): j for j, r in enumerate(row[at])}
-                    for j, q in zip(at_q, vectors.astype(np.float64)):
+                    for j, q in zip(at_q, vectors):
                         best, score = index.top(q, k, ids[at], where.get(int(own[j]), -1))
-                        out += [(own[j], who[j], row[at[b]], ids[at[b]], x) for b, x in zip(best, score)]
+                        out += [(own[j], who[j], row[at[b]], ids[at[b]], min(max(int(x), LEAST), MOST)) for b, x in zip(best, score)]
                 cols = zip(*out) if out else [()] * 5
                 names = ["own", "query_id", "row", "vec_id", "score"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.float64).astype(np.int64) if m == "score" else np.array(c, np.int64)) for c, m in zip(cols, names)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names)
 
     found = pairs.select("items", "asked").mapInArrow(search, "own long, query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+    beyond = F.raise_error(F.lit("a score does not fit a 64-bit integer")).cast("long")
+    score = F.when((F.col("score") > LEAST) & (F.col("score") < MOST), F.col("score")).otherwise(beyond).alias("score")
+    return best.select("query_id", "rank", "vec_id", score)
 
 
 ORACLE_SQL = """
