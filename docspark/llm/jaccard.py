@@ -65,8 +65,9 @@ class _Signer:
         import numpy as np
 
         n = len(h)
-        if self.edges[-1] <= n * 2:
-            self.edges = band_edges(n * 2)
+        largest = max(n * 2, n * self.den // self.num)  # of the sets that this one may link to
+        if self.edges[-1] <= largest:
+            self.edges = band_edges(largest)
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(mix(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), out=sums[1:])
         j = int(np.searchsorted(self.edges, n, side="right")) - 1
