@@ -6,6 +6,10 @@ searched backward from the end, A*: a partial path's suffix score plus the forwa
 best it can become, so paths come off the agenda in order of score, and none is expanded in vain.  As the heuristic
 is exact, the best completion of a popped path is known, and only its deviations are put on the agenda.
 
+The best path is the one of the highest summed scores.  For a BPE model, whose scores are merge ranks, that is not
+SentencePiece's own encoding: with piece_bpe_32k.model the ids of 150 documents (sf0.1, first 4000 characters) agreed
+with the library's for none, 124,865 ids to its 109,838.  The merge encoding is not offered.
+
 Spaces become U+2581, with one before the text.  A character without a piece of its own is spelt in byte pieces, each
 scored BYTE_PENALTY below the lowest piece.  Where no piece reaches over a place, every path passes it: before a
 U+2581 that follows another character, and between a letter and such ASCII signs as no piece has after a letter (found
