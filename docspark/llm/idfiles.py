@@ -31,7 +31,6 @@ def write_ids(
     null ids sort first; rows with equal ids follow one another in any order; an empty table writes no segment.
     """
     bounded_batches(df.sparkSession)
-    end = end_id.to_bytes(4, "little")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     # the place in the input tells equal ids apart, so that one id's rows need not share a partition
     ranged = (
@@ -48,13 +47,13 @@ def write_ids(
 
         part = TaskContext.get().partitionId()
         encode = encoder(tokenizer, False, CACHE_CHUNKS)
-        docs, ids, n, nth, before = [], [], 0, 0, 0
+        docs, ids, lengths, n, nth, before = [], [], [], 0, 0, 0
 
         def row():
-            found = np.frombuffer(b"".join(ids), "<u4")
+            found = np.concatenate(ids)
             who = pa.concat_arrays(docs)
             whole = pa.array([0, len(who)], pa.int32())
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
+            sizes = pa.array(np.concatenate(lengths))
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([nth], pa.int64()), pa.array([before], pa.int64()),
@@ -64,18 +63,24 @@ def write_ids(
             )
 
         for batch in batches:
-            got = encode.ids(batch.column(1).to_pylist())
+            got, bounds = encode.arrays(batch.column(1))
+            # the end id follows each text
+            got = np.insert(got, bounds[1:], end_id).astype("<u4", copy=False)
+            bounds = bounds + np.arange(len(bounds))
             since = 0
-            for i, x in enumerate(got):
-                ids.append(x + end)
-                n += len(x) // 4 + 1
+            while since < batch.num_rows:
+                # up to the document that fills the segment, or the batch's last
+                to = int(np.searchsorted(bounds, bounds[since] + segment_ids - n))
+                to = min(max(to, since + 1), batch.num_rows)
+                docs.append(batch.column(0).slice(since, to - since))
+                ids.append(got[bounds[since] : bounds[to]])
+                lengths.append(np.diff(bounds[since : to + 1]))
+                n += int(bounds[to] - bounds[since])
+                since = to
                 if n >= segment_ids:
-                    docs.append(batch.column(0).slice(since, i + 1 - since))
                     yield row()
-                    since, nth, before = i + 1, nth + 1, before + n
-                    docs, ids, n = [], [], 0
-            if since < len(got):
-                docs.append(batch.column(0).slice(since))
+                    nth, before = nth + 1, before + n
+                    docs, ids, lengths, n = [], [], [], 0
         if ids:
             yield row()
 

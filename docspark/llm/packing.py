@@ -115,31 +115,32 @@ def token_pieces(
     piece takes the remainder, the others are full.  A null text counts as empty: one piece of the end id.
     """
     bounded_batches(df.sparkSession)
-    end = end_id.to_bytes(4, "little")
     slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
 
     def cut(batches):
+        import numpy as np
         import pyarrow as pa
 
         encode = encoder(tokenizer, True)
         for batch in batches:
-            who, rows = [], []
-            for i, ids in enumerate(encode.ids(batch.column(1).to_pylist())):
-                ids += end
-                n = len(ids) // 4
-                at, k = 0, 0
-                while at < n:
-                    to = at + (((n - 1) % capacity + 1) if k == 0 else capacity)
-                    part = ids[4 * at : 4 * to]
-                    who.append(i)
-                    rows.append((k, at, to - at, zlib.crc32(part), part))
-                    at, k = to, k + 1
-            cols = list(zip(*rows)) if rows else [()] * 5
-            arrays = [batch.column(0).take(pa.array(who, pa.int64())), pa.array(cols[0], pa.int32())]
-            arrays += [pa.array(c, pa.int64()) for c in cols[1:4]]
+            ids, bounds = encode.arrays(batch.column(1))
+            ids = np.insert(ids, bounds[1:], end_id).astype("<u4", copy=False)  # the end id follows each text
+            first = bounds[:-1] + np.arange(batch.num_rows)
+            n = np.diff(bounds) + 1
+            pieces = -(-n // capacity)
+            who = np.repeat(np.arange(batch.num_rows), pieces)
+            k = np.arange(len(who)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            rest = n - (pieces - 1) * capacity  # of a text's ids, what its first piece takes
+            start = np.where(k == 0, 0, rest[who] + (k - 1) * capacity)
+            length = np.where(k == 0, rest[who], capacity)
+            at = first[who] + start
+            raw = memoryview(ids).cast("B")
+            parts = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), (at + length).tolist())]
+            arrays = [batch.column(0).take(pa.array(who)), pa.array(k, pa.int32()), pa.array(start), pa.array(length)]
+            arrays.append(pa.array(list(map(zlib.crc32, parts)), pa.int64()))
             names = ["_id", "piece", "start", "length", "ids_crc32"]
             if with_ids:
-                arrays.append(pa.array(cols[4], pa.binary()))
+                arrays.append(pa.array(list(map(bytes, parts)), pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(arrays, names)
 

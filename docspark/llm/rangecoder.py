@@ -4,16 +4,22 @@ The ids of a segment are cut into blocks of ``BLOCK`` ids.  Every block starts f
 coder, so blocks decode alone, and so many blocks can be coded side by side: each numpy operation below works
 on one id of every block at once.
 
-The model mixes three predictions of the next id: the id last seen after the same two ids (order 2), the id
-last seen after the same id (order 1), and the segment's id frequencies (order 0).  The first two get a share
-of the probability that adapts to how often they were right; the rest is dealt out by order 0.
+Ids are ranked by frequency in the segment.  The model mixes three predictions of the next one:
+- order 2: the id last seen after the same two ids in this block; its share adapts to how often it was right.
+- order 1: the frequencies of the ids that follow the last id in the segment (pairs seen LEAST_PAIRS times or more, of the
+  HEAD1 most frequent ids).  Its share is the mean of what the segment says of that id and of an adaptive one.
+- order 0: the counts of this block so far, added to the segment's frequencies; brought up to date every EPOCH ids.  The
+  HEAD0 most frequent ids have counts of their own, the others share those of their rank's power of two, and the bits
+  below it follow as they are.  Any number of distinct ids can be coded.
+The segment's frequencies are what each block starts from; they are stored once in a segment.
 
 The coder keeps a 64-bit low and range.  A step divides the range into 2**24 parts; ranges under 2**32
 are scaled up by moving out the low's upper 32-bit word.  Carries go to the word moved out last, and are
 settled at the end of a block.
 
-Segment layout (little-endian): magic ``DSR1``, u32 count of ids, u32 ids in the frequency table, u32 blocks;
-the table as u32 ids and u32 frequencies; then for each block u32 words and u32 crc32 of its ids; then the
+Segment layout (little-endian): magic ``DSR2``, u32 count of ids, u32 distinct ids, u32 blocks, u32 bytes of tables and
+their u32 crc32; the deflated tables (ids by rank, order 0 frequencies, and for each id of order 1 its share, its number
+of successors, the successors and their frequencies); for each block u32 words and u32 crc32 of its ids; then the
 blocks' words, u32 each.
 """
 
@@ -24,13 +30,19 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"DSR1"
+MAGIC = b"DSR2"
 BLOCK = 2048
-BITS1, BITS2 = 10, 12
+LANES = 4096  # blocks that are coded side by side
+HEAD0, HEAD1, LEAST_PAIRS = 1024, 2048, 5
+EPOCH, SEEN = 1024, 1024  # the segment's frequencies count as much as SEEN ids
+BITS2 = 9
 TOTAL = 1 << 24
+PARTS0, PARTS1 = 16, 12  # bits of the frequencies' sums
 RATE = 5
+PASS = 1 << 20  # a whole number of blocks
 DENSE_IDS = 1 << 20  # below, ids are looked up in tables
-LEAST, MOST = TOTAL >> 6, TOTAL - (TOTAL >> 4)  # of a share
+LEAST, MOST2, MOST1 = TOTAL >> 7, TOTAL - (TOTAL >> 3), TOTAL - (TOTAL >> 5)  # of a share
+GAIN2, LOSS1 = (MOST2 - LEAST) >> RATE, (MOST1 - LEAST) >> RATE
 U = np.uint64
 
 
@@ -38,64 +50,253 @@ class CorruptSegment(ValueError):
     pass
 
 
-def _frequencies(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids and their frequencies, scaled to sum to 2**16 with none under 1."""
-    if int(ids.max()) < DENSE_IDS:
-        counts = np.bincount(ids)
-        names = np.flatnonzero(counts)
-        counts = counts[names]
-    else:
-        names, counts = np.unique(ids, return_counts=True)
-    if len(names) > 1 << 16:
-        raise ValueError("more than 65536 distinct ids in a segment")
-    scaled = np.maximum(1, counts * (1 << 16) // counts.sum())
-    over = int(scaled.sum()) - (1 << 16)
-    if over < 0:
-        scaled[np.argmax(scaled)] -= over
-    while over > 0:
-        order = np.argsort(-scaled, kind="stable")
-        cut = np.minimum(scaled[order] - 1, -(-scaled[order] * over // max(1, scaled.sum())))
-        room = np.minimum(cut, np.maximum(0, over - (np.cumsum(cut) - cut)))
-        scaled[order] -= room
-        over -= int(room.sum())
-    return names.astype(np.uint32), scaled.astype(np.uint32)
+def _shared_out(counts: np.ndarray, total: int, whole: int) -> np.ndarray:
+    """Whole numbers of at least 1 in proportion to ``counts``, whose sum ``total`` is; at most ``whole`` together."""
+    return 1 + counts.astype(np.int64) * (whole - len(counts)) // max(total, 1)
+
+
+class _Tables:
+    """What a segment says of its ids: names by rank, frequencies of order 0 and order 1."""
+
+    def __init__(self, names, prior, shares, sizes, successors, frequencies):
+        self.names, self.prior = names, prior.astype(np.int64)
+        self.shares, self.sizes, self.successors, self.frequencies = shares, sizes, successors.astype(np.int32), frequencies.astype(np.int32)
+        self.head = len(shares)
+        self.first = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        before = np.cumsum(frequencies, dtype=np.int64) - frequencies
+        self.before = (before - np.repeat(before[self.first[:-1][sizes > 0]], sizes[sizes > 0])).astype(np.int32)
+
+    def packed(self) -> np.ndarray:
+        """Each pair's successor, place and frequency in one number, and one for no pair."""
+        return np.append((self.successors.astype(np.int64) << 32) | (self.before.astype(np.int64) << 16) | self.frequencies, 0)
+
+    @staticmethod
+    def n_classes(kinds: int) -> int:
+        return kinds if kinds <= HEAD0 else HEAD0 + (kinds - HEAD0).bit_length()
+
+    @classmethod
+    def of(cls, ids: np.ndarray):
+        """The tables of a segment, the ranks of its ids, and for each id its pair's place in order 1 (-1: none)."""
+        if int(ids.max()) < DENSE_IDS:
+            counts = np.bincount(ids)
+            order = np.argsort(-counts, kind="stable")[: np.count_nonzero(counts)]
+            places = np.zeros(len(counts), np.int32)
+            places[order] = np.arange(len(order), dtype=np.int32)
+            names, counts, ranks = order, counts[order], places[ids]
+        else:
+            names, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+            order = np.argsort(-counts, kind="stable")
+            places = np.empty(len(order), np.int32)
+            places[order] = np.arange(len(order), dtype=np.int32)
+            names, counts, ranks = names[order], counts[order], places[inverse]
+        n = cls.n_classes(len(names))
+        classes = np.add.reduceat(counts, [*range(min(len(names), HEAD0)), *(HEAD0 - 1 + (1 << j) for j in range(n - min(n, HEAD0)))])
+        prior = _shared_out(classes, len(ids), 1 << PARTS0)
+        head = min(len(names), HEAD1)
+        keys, pairs = np.empty(len(ids), np.int32), np.zeros(head * head + 1, np.int64)
+        for at in range(0, len(ids), PASS):
+            x = ranks[at : at + PASS]
+            last = np.concatenate([ranks[at - 1 : at] if at else x[:1], x[:-1]])
+            last[:: BLOCK] = 0  # what comes before a block
+            key = last * head + x
+            key[(x >= head) | (last >= head)] = head * head
+            keys[at : at + PASS] = key
+            pairs += np.bincount(key, minlength=head * head + 1)
+        pairs = pairs[:-1]
+        kept = np.flatnonzero(pairs >= LEAST_PAIRS)
+        who, counts1 = kept // head, pairs[kept]
+        sizes = np.bincount(who, minlength=head)
+        sums = np.bincount(who, counts1, minlength=head).astype(np.int64)
+        seen = counts[:head] + 1
+        shares = np.where(sizes > 0, np.clip((sums << 12) // seen, 1, MOST1 >> 12), 0)
+        frequencies = 1 + counts1 * ((1 << PARTS1) - sizes[who]) // np.maximum(sums[who], 1)
+        made = cls(names.astype(np.uint32), prior, shares.astype(np.uint16), sizes.astype(np.int64), kept % head, frequencies)
+        places = np.full(head * head + 1, -1, np.int32)
+        places[kept] = np.arange(len(kept), dtype=np.int32)
+        return made, ranks, places[keys]
+
+    def stored(self) -> bytes:
+        arrays = (self.names.astype("<u4"), (self.prior - 1).astype("<u2"), self.shares.astype("<u2"), self.sizes.astype("<u2"))
+        arrays += (self.successors.astype("<u2"), (self.frequencies - 1).astype("<u2"))
+        return zlib.compress(b"".join(a.tobytes() for a in arrays), 6)
+
+    @classmethod
+    def read(cls, stored: bytes, kinds: int):
+        raw, at = zlib.decompress(stored), 0
+
+        def array(kind: str, n: int):
+            nonlocal at
+            got = np.frombuffer(raw, kind, n, at)
+            at += got.nbytes
+            return got
+
+        head = min(kinds, HEAD1)
+        names, prior, shares = array("<u4", kinds), array("<u2", cls.n_classes(kinds)), array("<u2", head)
+        sizes = array("<u2", head).astype(np.int64)
+        pairs = int(sizes.sum())
+        return cls(names, prior.astype(np.int64) + 1, shares, sizes, array("<u2", pairs).astype(np.int64), array("<u2", pairs).astype(np.int64) + 1)
 
 
 class _Model:
-    """The mixing model of all blocks; symbols are indices into the segment's table."""
-
-    def __init__(self, lanes: int, freq: np.ndarray):
-        self.cum = np.concatenate([[0], np.cumsum(freq.astype(np.int64))])[:-1].astype(np.int64)
-        self.freq = freq.astype(np.int64)
-        self.slot = np.repeat(np.arange(len(freq), dtype=np.uint16), freq)
-        self.t1 = np.zeros(lanes << BITS1, np.uint16)
-        self.t2 = np.zeros(lanes << BITS2, np.uint16)
-        self.base1 = np.arange(lanes, dtype=np.int64) << BITS1
+    """The mixing model of some blocks; symbols are ranks."""
+
+    def __init__(self, lanes: int, tables: _Tables):
+        self.tables, self.lanes, self.n = tables, lanes, len(tables.prior)
+        # half of the share in 4096ths; what has no successors comes out negative
+        self.half1 = np.append(np.where(tables.sizes > 0, tables.shares.astype(np.int32) >> 1, -4096), -4096).astype(np.int32)
+        self.counts = np.zeros(lanes * self.n, np.int32)
+        self.t2 = np.zeros(lanes << BITS2, np.uint16)  # a rank beyond is held as 65535, and so predicts that one
         self.base2 = np.arange(lanes, dtype=np.int64) << BITS2
-        self.w1 = np.full(lanes, TOTAL >> 3, np.int64)
-        self.w2 = np.full(lanes, TOTAL >> 3, np.int64)
+        self.w2 = np.full(lanes, TOTAL >> 6, np.int32)
+        self.w1 = np.full(lanes, TOTAL >> 1, np.int32)
         self.a = np.zeros(lanes, np.int64)
         self.b = np.zeros(lanes, np.int64)
+        self.offset = np.arange(lanes, dtype=np.int32) << (PARTS0 + 1)
+        self.settle(0)
+
+    def settle(self, seen: int, rows: np.ndarray | None = None) -> None:
+        """Order 0 after ``seen`` ids of every block; ``rows`` are those since the last time."""
+        lanes, n = self.lanes, self.n
+        if rows is not None:
+            where = self.classes(rows) + np.arange(rows.shape[1], dtype=np.int64) * n
+            self.counts += np.bincount(where.reshape(-1), minlength=lanes * n).astype(np.int32)
+        # a sum of 2**PARTS0, of which the prior has as much as SEEN ids
+        whole, each = (1 << PARTS0) - n, (1 << PARTS0) // SEEN
+        scale = (whole << 10) // ((SEEN + seen) * each)
+        prior = (self.tables.prior * scale >> 10).astype(np.int32) + 1
+        cum = np.zeros((lanes, n + 1), np.int32)
+        np.cumsum((self.counts * np.int32(each * scale) >> 10).reshape(lanes, n) + prior, axis=1, out=cum[:, 1:])
+        cum += self.offset[:, None]
+        self.cum0 = cum.reshape(-1)
+
+    @staticmethod
+    def classes(ranks: np.ndarray) -> np.ndarray:
+        """The order 0 classes of ranks: themselves, or HEAD0 and on by the power of two beyond."""
+        ranks = ranks.astype(np.int64)
+        if ranks.size and int(ranks.max()) >= HEAD0:
+            beyond = ranks >= HEAD0
+            ranks[beyond] = HEAD0 + np.frexp((ranks[beyond] - HEAD0 + 1).astype(np.float64))[1] - 1
+        return ranks
 
     def predict(self, n: int):
-        """Of the first n blocks: predicted symbols and shares of orders 2 and 1, and order 0's multiplier."""
-        a = self.a[:n]
-        self.i1 = (a & ((1 << BITS1) - 1)) + self.base1[:n]
+        """Of the first n blocks: order 2's symbol and share, the width of a part of order 1, and what both take."""
+        a, m2 = self.a[:n], self.w2[:n]
         self.i2 = ((a * 40503 + self.b[:n]) & ((1 << BITS2) - 1)) + self.base2[:n]
-        s1, s2 = self.t1[self.i1], self.t2[self.i2]
-        m2 = self.w2[:n]
-        rest = TOTAL - m2
-        m1 = (rest >> 12) * (self.w1[:n] >> 12)
-        m1 *= s1 != s2
-        return s2, s1, m2, m1, (rest - m1) >> 16
-
-    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.t1[self.i1] = x
-        self.t2[self.i2] = x
-        for w, hit in ((self.w2[:n], hit2), (self.w1[:n], hit1)):
-            w += ((hit * (MOST - LEAST) + LEAST) - w) >> RATE  # stays between the two
-        self.b[:n] = self.a[:n] << 5
-        self.a[:n] = x
+        share = np.maximum(self.half1[a] + (self.w1[:n] >> 13), 0)
+        q = ((TOTAL - m2) >> 12) * share >> 12
+        return self.t2[self.i2], m2, q, m2 + (q << PARTS1)
+
+    def update(self, n: int, x: np.ndarray, hit2: np.ndarray, rest: np.ndarray) -> None:
+        """``hit2``: where order 2 was right, ``rest``: where neither was."""
+        self.t2[self.i2] = np.minimum(x, 65535)
+        w1, w2 = self.w1[:n], self.w2[:n]
+        w2 -= (w2 - LEAST) >> RATE  # both stay between their limits
+        w2[hit2] += GAIN2
+        w1 += (MOST1 - w1) >> RATE
+        w1[rest] -= LOSS1
+        a = self.a[:n]
+        np.left_shift(a, 5, out=self.b[:n])
+        np.minimum(x, self.tables.head, out=a, casting="unsafe")
+
+class _Writer:
+    """The coders of some blocks."""
+
+    def __init__(self, lanes: int, width: int):
+        self.lanes, self.width = lanes, width
+        self.low, self.range = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
+        self.flat = np.zeros(lanes * width, np.uint64)
+        self.pos = np.ones(lanes, np.int64) + np.arange(lanes) * width  # word 0 takes no carry and is dropped
+
+    def room(self, steps: int) -> None:
+        """Make room for that many steps."""
+        lanes, width = self.lanes, self.width
+        used = int((self.pos - np.arange(lanes) * width).max())
+        if used + steps + 4 > width:
+            wide = max(2 * width, used + steps + 4)
+            flat = np.zeros((lanes, wide), np.uint64)
+            flat[:, :width] = self.flat.reshape(lanes, width)
+            self.pos += np.arange(lanes) * (wide - width)
+            self.flat, self.width = flat.reshape(-1), wide
+
+    def put(self, at, start: np.ndarray, part: np.ndarray) -> None:
+        """Parts start..start+part-1 of TOTAL in the blocks ``at`` (a slice, or distinct places)."""
+        low, rng, pos = self.low[at], self.range[at], self.pos[at]
+        unit = rng >> U(24)
+        add = unit * start.astype(U)
+        low = low + add
+        carry = np.flatnonzero(low < add)
+        if len(carry):
+            self.flat[pos[carry] - 1] += U(1)
+        rng = unit * part.astype(U)
+        out = np.flatnonzero(rng < U(1 << 32))
+        if len(out):
+            self.flat[pos[out]] = low[out] >> U(32)
+            pos[out] += 1
+            low[out] <<= U(32)
+            rng[out] <<= U(32)
+            self.pos[at] = pos
+        self.low[at], self.range[at] = low, rng
+
+    def ended(self) -> list[bytes]:
+        """Each block's words."""
+        for _ in range(2):
+            self.flat[self.pos] = self.low >> U(32)
+            self.pos += 1
+            self.low <<= U(32)
+        words = self.flat.reshape(self.lanes, self.width)
+        used = self.pos - np.arange(self.lanes) * self.width
+        for j in range(int(used.max()) - 1, 0, -1):
+            words[:, j - 1] += words[:, j] >> U(32)
+            words[:, j] &= U(0xFFFFFFFF)
+        return [words[i, 1 : used[i]].astype("<u4").tobytes() for i in range(self.lanes)]
+
+
+def _encode_blocks(ranks: np.ndarray, places: np.ndarray, tables: _Tables) -> list[bytes]:
+    """The words of the blocks of some ids; ``places`` are those of their pairs in order 1, -1 for none."""
+    n = len(ranks)
+    lanes = -(-n // BLOCK)
+    last = n - (lanes - 1) * BLOCK
+    steps = BLOCK if lanes > 1 else last
+    padded = np.zeros((2, lanes * BLOCK), np.int32)
+    padded[:, :n] = ranks, places
+    grid, places = (p.reshape(lanes, BLOCK).T for p in padded)
+    grid = np.ascontiguousarray(grid)
+    packed = tables.packed()
+    model, out = _Model(lanes, tables), _Writer(lanes, steps // 3 + 64)
+    for t in range(steps):
+        k = lanes if t < last else lanes - 1
+        if t % EPOCH == 0:
+            out.room(2 * EPOCH)
+            if t:
+                model.settle(t, grid[t - EPOCH : t])
+        if t % 64 == 0:
+            held = packed[places[t : t + 64]]
+            before, frequency, none = ((held >> 16) & 0xFFFF).astype(np.int32), (held & 0xFFFF).astype(np.int32), held == 0
+        x, i = grid[t, :k], t % 64
+        s2, m2, q, past = model.predict(k)
+        same = s2 == x
+        hit2 = np.flatnonzero(same)
+        start, part = q * before[i, :k], q * frequency[i, :k]
+        start += m2
+        start[hit2], part[hit2] = 0, m2[hit2]
+        rest = np.flatnonzero(none[i, :k] & ~same)
+        if len(rest):
+            kinds, over = model.classes(x[rest]), past[rest]
+            i = kinds + rest * (model.n + 1)
+            m0, low = (TOTAL - over) >> PARTS0, model.cum0[i]
+            start[rest] = over + (low - model.offset[rest]) * m0
+            part[rest] = (model.cum0[i + 1] - low) * m0
+        out.put(slice(0, k), start, part)
+        if len(rest) and int(kinds.max()) > HEAD0:
+            far = np.flatnonzero(kinds > HEAD0)
+            where, bits = rest[far], kinds[far] - HEAD0
+            value = x[where].astype(np.int64) - HEAD0 + 1 - (np.int64(1) << bits)
+            low = np.minimum(bits, 16)  # two steps of 16 bits at most
+            for few, shown in ((bits - low, value >> low), (low, value & ((np.int64(1) << low) - 1))):
+                if few.any():
+                    out.put(where, shown << (24 - few), np.int64(1) << (24 - few))
+        model.update(k, x, hit2, rest)
+    return out.ended()
 
 
 def encode(ids: np.ndarray) -> bytes:
@@ -103,124 +304,126 @@ def encode(ids: np.ndarray) -> bytes:
     ids = np.ascontiguousarray(ids, dtype="<u4")
     n = len(ids)
     if not n:
-        return MAGIC + struct.pack("<III", 0, 0, 0)
-    names, freq = _frequencies(ids)
-    if int(names[-1]) < DENSE_IDS:
-        places = np.zeros(int(names[-1]) + 1, np.uint16)
-        places[names] = np.arange(len(names), dtype=np.uint16)
-        lookup = places[ids]
-    else:
-        lookup = np.searchsorted(names, ids).astype(np.uint16)
-    lanes = -(-n // BLOCK)
+        return MAGIC + struct.pack("<IIIII", 0, 0, 0, 0, 0)
+    tables, ranks, places = _Tables.of(ids)
+    body = []
+    for at in range(0, n, LANES * BLOCK):
+        body += _encode_blocks(ranks[at : at + LANES * BLOCK], places[at : at + LANES * BLOCK], tables)
+    heads = np.empty((len(body), 2), "<u4")
+    raw = memoryview(ids).cast("B")
+    heads[:, 0] = [len(b) // 4 for b in body]
+    heads[:, 1] = [zlib.crc32(raw[i * 4 * BLOCK : (i + 1) * 4 * BLOCK]) for i in range(len(body))]
+    stored = tables.stored()
+    sizes = struct.pack("<IIIII", n, len(tables.names), len(body), len(stored), zlib.crc32(stored))
+    return b"".join((MAGIC, sizes, stored, heads.tobytes(), *body))
+
+
+def _decode_blocks(words: np.ndarray, used: np.ndarray, n: int, tables: _Tables, slots: np.ndarray, slot_of: np.ndarray) -> np.ndarray:
+    """The ranks of some blocks: ``used`` words each, ``n`` ids together."""
+    lanes = len(used)
     last = n - (lanes - 1) * BLOCK
-    grid = np.zeros((BLOCK, lanes), np.uint16)
-    padded = np.zeros(lanes * BLOCK, np.uint16)
-    padded[:n] = lookup
-    grid[:] = padded.reshape(lanes, BLOCK).T
-    model = _Model(lanes, freq)
-    low, rng = np.zeros(lanes, U), np.full(lanes, (1 << 64) - 1, U)
     steps = BLOCK if lanes > 1 else last
-    words = np.zeros((lanes, steps + 4), np.uint64)
-    flat, width = words.reshape(-1), steps + 4
-    pos = np.ones(lanes, np.int64) + np.arange(lanes) * width  # word 0 takes no carry and is dropped
+    words = np.concatenate([words, np.zeros(4, "<u4")]).astype(U)
+    pos = np.cumsum(used) - used
+    code = (words[pos] << U(32)) | words[pos + 1]
+    pos += 2
+    top = len(words) - 1
+    rng = np.full(lanes, (1 << 64) - 1, U)
+    grid = np.zeros((steps, lanes), np.int32)
+    model = _Model(lanes, tables)
+    packed = tables.packed()
+
+    def take(at, unit, start, part) -> None:
+        now = code[at] - unit * start.astype(U)
+        r = unit * part.astype(U)
+        more = np.flatnonzero(r < U(1 << 32))
+        if len(more):
+            p = pos[at][more]
+            now[more] = (now[more] << U(32)) | words[np.minimum(p, top)]
+            r[more] <<= U(32)
+            pos[np.arange(lanes)[at][more]] = p + 1
+        code[at], rng[at] = now, r
+
+    def shown(at):
+        unit = rng[at] >> U(24)
+        return unit, np.minimum(code[at] // unit, U(TOTAL - 1)).astype(np.int64)
+
     for t in range(steps):
         k = lanes if t < last else lanes - 1
-        x = grid[t, :k]
-        s2, s1, m2, m1, m0 = model.predict(k)
-        hit2, hit1 = s2 == x, s1 == x
-        start, part = m2 + m1 + model.cum[x] * m0, model.freq[x] * m0
-        at = np.flatnonzero(hit1 & (m1 > 0))
-        start[at], part[at] = m2[at], m1[at]
-        at = np.flatnonzero(hit2)
-        start[at], part[at] = 0, m2[at]
-        start, part = start.view(U), part.view(U)
-        unit = rng[:k] >> U(24)
-        add = unit * start
-        now = low[:k]
-        now += add
-        carry = np.flatnonzero(now < add)
-        if len(carry):
-            flat[pos[carry] - 1] += U(1)
-        r = unit * part
-        out = np.flatnonzero(r < U(1 << 32))
-        if len(out):
-            flat[pos[out]] = now[out] >> U(32)
-            pos[out] += 1
-            now[out] <<= U(32)
-            r[out] <<= U(32)
-        rng[:k] = r
-        model.update(k, x, hit2, hit1)
-    for _ in range(2):
-        flat[pos] = low >> U(32)
-        pos += 1
-        low <<= U(32)
-    used = pos - np.arange(lanes) * width
-    for j in range(int(used.max()) - 1, 0, -1):
-        words[:, j - 1] += words[:, j] >> U(32)
-        words[:, j] &= U(0xFFFFFFFF)
-    raw = ids.tobytes()
-    heads = np.empty((lanes, 2), "<u4")
-    heads[:, 0] = used - 1
-    heads[:, 1] = [zlib.crc32(raw[i * 4 * BLOCK : (i + 1) * 4 * BLOCK]) for i in range(lanes)]
-    body = b"".join(words[i, 1 : used[i]].astype("<u4").tobytes() for i in range(lanes))
-    return b"".join((
-        MAGIC, struct.pack("<III", n, len(names), lanes), names.astype("<u4").tobytes(), freq.astype("<u4").tobytes(), heads.tobytes(), body,
-    ))
+        if t and t % EPOCH == 0:
+            model.settle(t, grid[t - EPOCH : t])
+        s2, m2, q, past = model.predict(k)
+        unit, value = shown(slice(0, k))
+        part1 = ((value - m2) / np.maximum(q, 1)).astype(np.int64)  # exact: both are small
+        held = packed[slots[slot_of[model.a[:k]] + np.clip(part1, 0, (1 << PARTS1) - 1, out=part1)]]
+        x, start, part = (held >> 32).astype(np.int32), q * (held >> 16 & 0xFFFF), q * (held & 0xFFFF)
+        start += m2
+        hit2 = np.flatnonzero(value < m2)
+        x[hit2], start[hit2], part[hit2] = s2[hit2], 0, m2[hit2]
+        rest = np.flatnonzero(value >= past)
+        if len(rest):
+            over, offset, base = past[rest], model.offset[rest], rest * (model.n + 1)
+            m0 = (TOTAL - over) >> PARTS0
+            v = (value[rest] - over) // m0
+            i = np.searchsorted(model.cum0, (v + offset).astype(np.int32), side="right") - 1
+            i = np.minimum(np.maximum(i, base), base + model.n - 1)
+            kinds, low = i - base, model.cum0[i]
+            start[rest] = over + (low - offset) * m0
+            part[rest] = (model.cum0[i + 1] - low) * m0
+            x[rest] = np.minimum(kinds, HEAD0)
+        take(slice(0, k), unit, start, part)
+        if len(rest) and int(kinds.max()) > HEAD0:
+            far = np.flatnonzero(kinds > HEAD0)
+            where, bits = rest[far], kinds[far] - HEAD0
+            value = np.int64(1) << bits
+            low = np.minimum(bits, 16)
+            for few, shift in ((bits - low, low), (low, 0)):
+                if not few.any():
+                    continue
+                unit, v = shown(where)
+                v >>= 24 - few
+                take(where, unit, v << (24 - few), np.int64(1) << (24 - few))
+                value += v << shift
+            x[where] = np.minimum(value + HEAD0 - 1, len(tables.names) - 1)
+        grid[t, :k] = x
+        model.update(k, x, hit2, rest)
+    return grid.T.reshape(-1)[:n]
 
 
 def decode(segment: bytes) -> np.ndarray:
     """The ids of a segment; ``CorruptSegment`` where a block's checksum, or the layout, does not hold."""
-    if segment[:4] != MAGIC or len(segment) < 16:
+    if segment[:4] != MAGIC or len(segment) < 24:
         raise CorruptSegment("not a segment")
-    n, kinds, lanes = struct.unpack_from("<III", segment, 4)
+    n, kinds, lanes, stored, crc = struct.unpack_from("<IIIII", segment, 4)
     if not n:
         return np.zeros(0, "<u4")
-    at = 16 + 8 * kinds + 8 * lanes
-    if len(segment) < at or lanes != -(-n // BLOCK):
+    at = 24 + stored + 8 * lanes
+    if len(segment) < at or lanes != -(-n // BLOCK) or zlib.crc32(segment[24 : 24 + stored]) != crc:
         raise CorruptSegment("cut short")
-    names = np.frombuffer(segment, "<u4", kinds, 16)
-    freq = np.frombuffer(segment, "<u4", kinds, 16 + 4 * kinds)
-    heads = np.frombuffer(segment, "<u4", 2 * lanes, 16 + 8 * kinds).reshape(lanes, 2)
+    tables = _Tables.read(segment[24 : 24 + stored], kinds)
+    heads = np.frombuffer(segment, "<u4", 2 * lanes, 24 + stored).reshape(lanes, 2)
     used = heads[:, 0].astype(np.int64)
-    if int(freq.sum()) != 1 << 16 or len(segment) != at + 4 * int(used.sum()):
+    if len(segment) != at + 4 * int(used.sum()):
         raise CorruptSegment("cut short")
-    words = np.concatenate([np.frombuffer(segment, "<u4", offset=at), np.zeros(4, "<u4")]).astype(U)
-    pos = np.cumsum(used) - used
-    model = _Model(lanes, freq)
-    last = n - (lanes - 1) * BLOCK
-    code = (words[pos] << U(32)) | words[pos + 1]
-    pos += 2
-    top = len(words) - 1
-    rng = np.full(lanes, (1 << 64) - 1, U)
-    steps = BLOCK if lanes > 1 else last
-    grid = np.zeros((steps, lanes), np.uint16)
-    for t in range(steps):
-        k = lanes if t < last else lanes - 1
-        s2, s1, m2, m1, m0 = model.predict(k)
-        unit = rng[:k] >> U(24)
-        value = np.minimum(code[:k] // unit, U(TOTAL - 1)).astype(np.int64)
-        past = m2 + m1
-        x = model.slot[np.minimum(np.maximum(value - past, 0) // m0, 65535)]
-        start, part = past + model.cum[x] * m0, model.freq[x] * m0
-        at = np.flatnonzero(value < past)  # predicted by order 1, unless by order 2
-        x[at], start[at], part[at] = s1[at], m2[at], m1[at]
-        at = at[value[at] < m2[at]]
-        x[at], start[at], part[at] = s2[at], 0, m2[at]
-        start, part = start.view(U), part.view(U)
-        now = code[:k]
-        now -= unit * start
-        r = unit * part
-        more = np.flatnonzero(r < U(1 << 32))
-        if len(more):
-            p = pos[more]
-            now[more] = (now[more] << U(32)) | words[np.minimum(p, top)]
-            pos[more] = p + 1
-            r[more] <<= U(32)
-        rng[:k] = r
-        grid[t, :k] = x
-        model.update(k, x, s2 == x, s1 == x)
-    ids = names[grid.T.reshape(-1)[:n]].astype("<u4")
-    raw = ids.tobytes()
+    words = np.frombuffer(segment, "<u4", offset=at)
+    # the pair of each part of order 1, row by row; ids without successors share a row
+    sums = np.bincount(np.repeat(np.arange(tables.head), tables.sizes), tables.frequencies, minlength=tables.head).astype(np.int64)
+    full = np.flatnonzero(tables.sizes)
+    slot_of = np.zeros(tables.head + 1, np.int64)
+    slot_of[full] = (np.arange(len(full)) + 1) << PARTS1
+    slots = np.zeros((len(full) + 1) << PARTS1, np.int32)
+    widths = tables.frequencies.copy()
+    if len(full):
+        widths[tables.first[1:][full] - 1] += (1 << PARTS1) - sums[full]  # parts that no pair has
+        slots[1 << PARTS1 :] = np.repeat(np.arange(len(widths), dtype=np.int32), widths)
+    ids, first = [], 0
+    for lane in range(0, lanes, LANES):
+        some = used[lane : lane + LANES]
+        size = min(n - lane * BLOCK, LANES * BLOCK)
+        ids.append(tables.names[_decode_blocks(words[first : first + int(some.sum())], some, size, tables, slots, slot_of)])
+        first += int(some.sum())
+    ids = np.concatenate(ids).astype("<u4")
+    raw = memoryview(ids).cast("B")
     for i in range(lanes):
         if zlib.crc32(raw[i * 4 * BLOCK : (i + 1) * 4 * BLOCK]) != heads[i, 1]:
             raise CorruptSegment(f"block {i} fails its checksum")

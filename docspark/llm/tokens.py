@@ -4,6 +4,9 @@ The tokenizers used here split a text into words and runs of signs before they l
 ids are its chunks' ids in turn, as long as chunks end where such a split must be: before a space or line feed
 that follows another character, and between a letter and an ASCII sign.  A chunk's ids come from the
 tokenizers library once and are then looked up.  The cache is bounded; chunks beyond it are encoded each time.
+
+A batch of texts is first cut at its spaces and line feeds by Arrow, and its distinct words are numbered; chunks are
+looked for in those only, and the batch's ids are gathered from theirs.
 """
 
 from __future__ import annotations
@@ -14,6 +17,8 @@ from array import array
 
 CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 32
+START = "\x1e"  # stands for the start of a text, which no space precedes; texts that hold it are odd
+ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORD = rf"[{_LETTERS}]+(?=[ \n!-/:-@\[-`{{-~])"
 _PLAIN = re.compile(rf" ?[{_LETTERS}]+").fullmatch
@@ -53,11 +58,11 @@ class _Known(dict):
 
 
 class ChunkEncoder:
-    """``ids(texts)``: each text's ids as little-endian unsigned 32-bit bytes; null counts as empty.
+    """Ids of texts; null counts as empty.
 
-    ``spaces_matter``: white space becomes ids (byte-level).  A text with white space besides space and line
-    feed is then encoded whole.  Otherwise white space only separates words, and case is of no matter: ASCII
-    letters are lowered first, unless the text may hold a special token.
+    ``spaces_matter``: white space becomes ids (byte-level).  Words then carry the space or line feeds before them; a
+    text with other white space, or with a space next to white space, is encoded by itself.  Otherwise white space only
+    separates words, and case is of no matter: ASCII letters are lowered first, unless the text may hold a special token.
     """
 
     def __init__(self, path: str, spaces_matter: bool, most: int = CACHE_CHUNKS):
@@ -67,26 +72,107 @@ class ChunkEncoder:
         tokenizer = Tokenizer.from_file(path)
         if array("I").itemsize != 4:
             raise RuntimeError("ids need unsigned 32-bit arrays")
-        self.known = _Known(tokenizer, spaces_matter, most)
-        self.spaces_matter = spaces_matter
+        self.known = _Known(tokenizer, spaces_matter, most // 3)
+        self.words: dict[bytes, bytes] = {}
+        self.most, self.spaces_matter = most, spaces_matter
         self.chunks = re.compile(
             rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
         ).findall
         self.odd = re.compile(r"[^\S \n]").search
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        get, out = self.known.__getitem__, []
-        for text in texts:
-            text = text or ""
-            if self.spaces_matter:
-                chunks = [text] if self.odd(text) else self.chunks(text)
-            else:
-                if "<|" not in text:
-                    text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
-                chunks = self.chunks(text)
-            out.append(b"".join(map(get, chunks)))
+    def _alone(self, text: str) -> bytes:
+        """The ids of one text."""
+        if self.spaces_matter:
+            chunks = [text] if self.odd(text) else self.chunks(text)
+        else:
+            if "<|" not in text:
+                text = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+            chunks = self.chunks(text)
+        return b"".join(map(self.known.__getitem__, chunks))
+
+    def _new(self, word: bytes) -> bytes:
+        """The ids of a word as ``arrays`` cuts them off."""
+        text, space = word.decode(), ""
+        if self.spaces_matter:
+            if text[:1] == START:
+                text = text[1:]
+            elif text[:1] != "\n":
+                space = " "  # and no more for the space that ends a text
+        core, tail = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
+        # letters, which the tokenizer's model takes as they are, and perhaps a stop
+        if core.isalpha() and (self.spaces_matter or core.islower()) and (core.isascii() or _PLAIN(core)):
+            signs = core if core.isascii() else core.translate(_SIGNS)
+            ids = array("I", [t.id for t in self.known.model(_SIGNS[0x20] + signs if space else signs)]).tobytes()
+            return ids + self.known[tail] if tail else ids
+        return b"".join(map(self.known.__getitem__, self.chunks(space + text)))
+
+    def _words(self, dictionary) -> list[bytes]:
+        """The ids of each word of a string array."""
+        import numpy as np
+
+        n = len(dictionary)
+        if not n:
+            return []
+        _, offsets, data = dictionary.buffers()
+        places = np.frombuffer(offsets, np.int32)[dictionary.offset : dictionary.offset + n + 1].tolist()
+        data, get, keep = data.to_pybytes() if data else b"", self.words.get, self.words.__setitem__
+        words = [data[a:b] for a, b in zip(places[:-1], places[1:])]
+        out = [get(w) for w in words]
+        room, new = self.most - len(self.words), self._new
+        for i, ids in enumerate(out):
+            if ids is None:
+                word = words[i]
+                out[i] = ids = new(word)
+                if room > 0 and len(word) <= LONGEST_CACHED:
+                    keep(word, ids)
+                    room -= 1
         return out
 
+    def arrays(self, texts):
+        """(ids, bounds): text i of a string array has the ids ``ids[bounds[i]:bounds[i + 1]]``."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        alone = np.zeros(0, np.int64)
+        if self.spaces_matter:
+            odd = pc.match_substring_regex(texts, ODD)
+            alone = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+            cut = pc.binary_join_element_wise(START, pc.replace_substring_regex(texts, "\n+", " \\0"), "")
+            cut = pc.if_else(odd, START, cut)
+        else:
+            lowered = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+            cut = pc.replace_substring(lowered, "\n", " ")
+        lists = pc.split_pattern(cut, " ")
+        numbered = lists.flatten().dictionary_encode()
+        words = self._words(numbered.dictionary)
+        if self.spaces_matter and len(alone):
+            # an odd text is a word of its own
+            place = len(words) + np.arange(len(alone))
+            words += [self._alone(texts[int(i)].as_py()) for i in alone]
+        flat = np.frombuffer(b"".join(words), "<u4")
+        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
+        starts = np.cumsum(sizes) - sizes
+        which = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+        bounds = lists.offsets.to_numpy().astype(np.int64)
+        bounds -= bounds[0] if len(bounds) else 0
+        if self.spaces_matter and len(alone):
+            which = which.copy()
+            which[bounds[alone]] = place  # an odd text was cut to one word, of nothing
+        n = sizes[which]
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+        at += np.repeat(starts[which] - (ends - n), n)
+        return flat[at], np.concatenate([[0], ends])[bounds]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit bytes."""
+        import pyarrow as pa
+
+        got, bounds = self.arrays(pa.array(texts, pa.string()))
+        return [got[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+
 
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 

@@ -26,7 +26,37 @@ def test_round_trip(case):
 def test_predictable_ids_take_little_room_and_blocks_stand_alone():
     ids = np.array([3, 9, 4, 9, 5] * 10000, dtype="<u4")
     assert len(encode(ids)) < len(ids)
-    assert encode(ids)[:4] == b"DSR1"
+    assert encode(ids)[:4] == b"DSR2"
+
+
+def order_0_bytes(ids):
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    return -(p * np.log2(p)).sum() * len(ids) / 8
+
+
+def test_contexts_take_the_ids_well_under_their_order_0_entropy():
+    # every id tells much of the next one, and the second half of each block repeats its first
+    rng = np.random.default_rng(3)
+    steps = rng.zipf(1.6, 400_000) % 300
+    ids = (np.cumsum(steps) * 7919 % 1500).astype("<u4")
+    assert len(encode(ids)) < 0.7 * order_0_bytes(ids)
+    noise = rng.integers(0, 1000, BLOCK // 2).astype("<u4")
+    copied = np.concatenate([np.roll(noise, i)[: BLOCK // 2] for i in range(40) for _ in range(2)])
+    assert len(encode(copied)) < 0.85 * order_0_bytes(copied)
+
+
+def test_real_ids_take_much_less_than_their_order_0_entropy(spark, sf):
+    from docspark.llm.tokens import encoder
+
+    texts = [r.text for r in table(spark, sf.replace("0.001", "0.01"), "documents").select("text").collect()]
+    ids = np.frombuffer(b"".join(encoder(PATH, False).ids(texts)), "<u4")
+    assert len(encode(ids)) < 0.86 * order_0_bytes(ids)  # 0.84; 0.75 for ten times as many documents
+
+
+def test_more_than_65536_distinct_ids():
+    ids = np.random.default_rng(1).permutation(200_000).astype("<u4")
+    ids = np.concatenate([ids, ids[:1000] * 20_000])
+    assert (decode(encode(ids)) == ids).all()
 
 
 def test_damage_is_found():
