@@ -16,6 +16,7 @@ from docspark.functions.geometry import bbox_from_sides
 from docspark.functions.ids import element_id
 from docspark.functions.media import decoded_picture
 from docspark.functions.python_only import dumped_json
+from docspark.operators.elements import MOST_PAGES
 from docspark.staging import shared_dir, staged
 
 LEAVES = ("texts", "pictures", "tables")
@@ -142,3 +143,10 @@ def size_warnings(elements: DataFrame) -> DataFrame:
     """``warnings`` of pictures that were too large."""
     message = F.concat(F.lit("Picture block "), F.col("seq").cast("string"), F.lit(" exceeds 10 MB; its bytes are left out"))
     return elements.where("too_large").select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("image_too_large").alias("code"), message.alias("message"))
+
+
+def bad_pages(elements: DataFrame) -> DataFrame:
+    """``warnings`` of documents with an element on a page beyond MOST_PAGES."""
+    bad = elements.where(F.col("page_idx") >= MOST_PAGES).select("doc_key").distinct()
+    said = F.lit(f"page_no is not a whole number up to {MOST_PAGES}")
+    return bad.select("doc_key", F.lit("docling_error").alias("code"), said.alias("message"))

@@ -14,6 +14,7 @@ from docspark.functions.ids import element_id
 from docspark.functions.python_only import table_markdown
 from docspark.functions.text import heading
 
+MOST_PAGES = 1_000_000  # a document with a page beyond has an error, as its pages are told one by one
 ELEMENT_COLUMNS = ("element_id", "type", "text", "description", "bbox", "page_idx", "is_enriched", "image_bytes")
 
 
@@ -32,8 +33,9 @@ def explode_blocks(contents: DataFrame, key: str = "doc_key", content: str = "co
 
 
 def page_of(block: Column) -> Column:
-    """A block's page: 0 where it names none, null where it names no whole number."""
-    return F.when(B.kind_of(block, "page_idx").isNull(), 0).otherwise(B.field(block, "page_idx", "int"))
+    """A block's page: 0 where it names none, null where it names no whole number under MOST_PAGES."""
+    named = B.field(block, "page_idx", "int")
+    return F.when(B.kind_of(block, "page_idx").isNull(), 0).otherwise(F.when(named < MOST_PAGES, named))
 
 
 def number_blocks(blocks: DataFrame, page: Column) -> DataFrame:
@@ -69,6 +71,6 @@ def route_blocks(blocks: DataFrame, sha256: Column | None = None) -> DataFrame:
 
 
 def bad_documents(blocks: DataFrame) -> DataFrame:
-    """``warnings`` of documents that have a block whose page is no whole number."""
+    """``warnings`` of documents that have a block whose page is no whole number, or too large a one."""
     bad = blocks.where(page_of(F.col("block")).isNull()).select("doc_key").distinct()
-    return bad.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("mineru_error").alias("code"), F.lit("page_idx is not a whole number").alias("message"))
+    return bad.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("mineru_error").alias("code"), F.lit(f"page_idx is not a whole number under {MOST_PAGES}").alias("message"))

@@ -49,8 +49,11 @@ def prompt_content(block: Column, kind: Column, by: str = "process") -> Column:
     return F.when(kind == "table", table).when(kind == "equation", equation).otherwise(B.first_text(block, "text", "content"))
 
 
-def with_prompts(elements: DataFrame, blocks: DataFrame, config: EnrichmentConfig) -> DataFrame:
-    """``elements`` with ``prompt`` (null where the modality is not asked for), from the blocks they were made of."""
+def with_prompts(elements: DataFrame, blocks: DataFrame, config: EnrichmentConfig, others: tuple[str, ...] = ()) -> DataFrame:
+    """``elements`` with ``prompt`` (null where the modality is not asked for), from the blocks they were made of.
+
+    ``others`` are further types to be described, by the prompt that names the type.
+    """
     said = blocks.select("doc_key", "block_pos", "block", B.field("block", "type").alias("_type"), B.first_text(F.col("block"), "text", "content").alias("_said"))
     around = block_context(said, config.context_window, config.max_context_tokens, kind="_type", text="_said")
     rows = elements.join(around.select("doc_key", "block_pos", "block", "context"), ["doc_key", "block_pos"], "left")
@@ -58,30 +61,54 @@ def with_prompts(elements: DataFrame, blocks: DataFrame, config: EnrichmentConfi
     asked = F.when(kind == "image", prompt("image", F.col("context")))
     for mode in ("table", "equation"):
         asked = asked.when(kind == mode, prompt(mode, F.col("context"), content))
-    return rows.withColumn("prompt", F.when(kind.isin(*config.modalities or ("",)), asked)).drop("block", "context")
+    asked = asked.when(kind.isin(*others or ("",)), prompt("text", F.col("context"), content, kind))
+    return rows.withColumn("prompt", F.when(kind.isin(*config.modalities, *others, ""), asked)).drop("block", "context")
 
 
-def enrich_elements(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
-    """``elements`` (with ``prompt``) after the model has described those with a prompt.
-
-    An answer with an error, without a description, or a call that fails leaves the element as it was.
-    """
+def described(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
+    """``enrich_elements`` with ``enrichment_error``: why a client could not be made, or what its call raised."""
     asked = elements.where("prompt is not null")
+    picture = "picture" if "picture" in elements.columns else "image_bytes"
 
     def describe(batches):
         import pyarrow as pa
 
-        client = factory()
+        try:
+            client, failed = factory(), None
+        except Exception as error:  # noqa: BLE001  told as a warning of each document
+            client, failed = None, str(error)
         for batch in batches:
-            told = []
-            for image, text, mode in zip(*[batch.column(c).to_pylist() for c in ("image_bytes", "prompt", "type")]):
-                try:
-                    answer = client.call(image, text, mode)
-                    told.append("" if "error" in answer else str(answer.get("description", "")).strip())
-                except Exception:  # noqa: BLE001  a client that fails must not fail the task
-                    told.append("")
+            told, errors = [], []
+            for image, text, mode in zip(*[batch.column(c).to_pylist() for c in (picture, "prompt", "type")]):
+                said, wrong = "", failed
+                if client is not None:
+                    try:
+                        answer = client.call(image, text, mode)
+                        said = "" if "error" in answer else str(answer.get("description", "")).strip()
+                    except Exception as error:  # noqa: BLE001  a client that fails must not fail the task
+                        wrong = str(error)
+                told.append(said)
+                errors.append(wrong)
             columns = [pa.array(told, pa.string()) if n == "description" else c for n, c in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], [*batch.schema.names, "enrichment_error"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
+    made = asked.mapInArrow(describe, f"{kinds}, enrichment_error string").withColumn("is_enriched", F.col("description") != "")
+    others = elements.where("prompt is null").withColumn("enrichment_error", F.lit(None).cast("string"))
+    return others.unionByName(made).drop("prompt", "picture")
+
+
+def enrich_elements(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
+    """``elements`` (with ``prompt``) after the model has described those with a prompt.
+
+    An answer with an error, without a description, or a call that fails leaves the element as it was.  The model sees
+    ``picture`` where there is such a column, else ``image_bytes``.
+    """
+    return described(elements, factory).drop("enrichment_error")
+
 
-    described = asked.mapInArrow(describe, asked.schema).withColumn("is_enriched", F.col("description") != "")
-    return elements.where("prompt is null").unionByName(described).drop("prompt")
+def enrichment_warnings(elements: DataFrame) -> DataFrame:
+    """``warnings`` of documents whose enrichment failed, one a document."""
+    failed = elements.where("enrichment_error is not null").groupBy("doc_key").agg(F.min("enrichment_error").alias("e"))
+    said = F.concat(F.lit("Enrichment failed: "), "e")
+    return failed.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("enrichment_error").alias("code"), said.alias("message"))

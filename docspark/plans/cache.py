@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,6 +29,7 @@ class ResultCache:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._aside = f"{path.rstrip('/')}-aside"
 
     def _folder(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -37,14 +39,20 @@ class ResultCache:
         """The last output of each key; no rows where there is no cache."""
         fs, at = self._folder(self.path)
         if not fs.exists(at):
-            return self.spark.createDataFrame([], SCHEMA)
+            aside = self._folder(self._aside)[1]
+            if not fs.exists(aside):
+                return self.spark.createDataFrame([], SCHEMA)
+            fs.rename(aside, at)  # a swap that was cut short
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         return rows.groupBy("cache_key").agg(F.max_by(F.struct(*rows.columns), "cached_at").alias("r")).select("r.*")
 
     def put(self, outputs: DataFrame) -> None:
-        """Add outputs (with ``cache_key``).  Rows with a failure of their own are not kept."""
+        """Add outputs (with ``cache_key``).  A cache that cannot be written is a warning in the log, no more."""
         kept = outputs.withColumn("cached_at", F.current_timestamp()).select("cache_key", "cached_at", *OUTPUT_NAMES)
-        kept.write.mode("append").parquet(self.path)
+        try:
+            kept.write.mode("append").parquet(self.path)
+        except Exception as error:  # noqa: BLE001  the outputs are there all the same
+            logging.getLogger(__name__).warning("results are not kept in %s: %s", self.path, error)
 
     def get(self, keys: DataFrame) -> DataFrame:
         """``keys`` (cache_key) with their outputs; keys without one are left out."""
@@ -58,8 +66,12 @@ class ResultCache:
         rows = self.spark.read.schema(SCHEMA).parquet(self.path)
         staged = f"{self.path.rstrip('/')}-{uuid.uuid4().hex}"
         rows.join(keys.select("cache_key"), "cache_key", "left_anti").write.parquet(staged)
-        fs.delete(at, True)
+        # the old files are put aside until the new ones are in place, and ``table`` finds them there
+        aside = self._folder(self._aside)[1]
+        fs.delete(aside, True)
+        fs.rename(at, aside)
         fs.rename(self._folder(staged)[1], at)
+        fs.delete(aside, True)
 
 
 OUTPUT_NAMES = ["schema_version", "file_path", "file_sha256", "page_count", "pages", "elements", "warnings", "enrichment_config"]

@@ -11,25 +11,28 @@ from docspark.operators import docling as D
 from docspark.operators import elements as E
 from docspark.operators.assemble import OUTPUT_COLUMNS, assemble, warned
 from docspark.operators.clients import make_client
-from docspark.operators.enrich import enrich_elements, with_prompts
+from docspark.operators.enrich import described, enrichment_warnings, with_prompts
 from docspark.operators.gate import escalations, evaluate_pages
 from docspark.operators.render import render_documents
 from docspark.plans.batch import path_message, path_status
 from docspark.plans.cache import ResultCache, full_key, split_hits
 from docspark.staging import staged
 from docspark.schema import EnrichmentConfig
-from docspark.sources.engines import MINERU_COMMAND, Cascade, CommandEngine, DoclingEngine, MinerUEngine, run_engine, text_layer_tokens
+from docspark.sources.engines import MINERU_COMMAND, Cascade, CommandEngine, DoclingEngine, MinerUEngine, region_rasters, run_engine, text_layer_tokens
 from docspark.sources.files import scan_files
 
 WARNINGS = "doc_key string, page_idx int, code string, message string"
 
 
 def parse_contents(
-    contents: DataFrame, config: EnrichmentConfig | None = None, client: Callable | None = None, layer_tokens: DataFrame | None = None
+    contents: DataFrame, config: EnrichmentConfig | None = None, client: Callable | None = None, layer_tokens: DataFrame | None = None,
+    files: DataFrame | None = None,
 ) -> DataFrame:
     """Outputs of ``contents`` (doc_key, file_path, file_sha256, content), what an engine made of each document.
 
-    A content that is null, cannot be read or has no block is a failure of its document, told by a warning.
+    A content that is null, cannot be read or has no block is a failure of its document, told by a warning; its message is
+    that of the column ``error``, if there is one.  ``files`` (doc_key, content) are the PDF files that the pictures to be
+    described are cut out of.
     """
     config = config or EnrichmentConfig()
     spark = contents.sparkSession
@@ -41,6 +44,8 @@ def parse_contents(
         leaves, bad = D.walk_trees(nodes)
         leaves = leaves.join(keyed.select("doc_key", "doc_sha"), "doc_key")
         elements = staged(D.route_leaves(leaves, F.col("doc_sha")), "elements")
+        beyond = D.bad_pages(elements)
+        bad, elements = bad.unionByName(beyond), elements.join(beyond.select("doc_key"), "doc_key", "left_anti")
         told = told.unionByName(D.size_warnings(elements))
         elements = elements.drop("too_large")
         if config.enabled:
@@ -54,11 +59,19 @@ def parse_contents(
         good = blocks.join(bad.select("doc_key"), "doc_key", "left_anti").join(keyed.select("doc_key", "doc_sha"), "doc_key")
         elements = E.route_blocks(good, F.col("doc_sha"))
         if config.enabled:
-            elements = enrich_elements(with_prompts(elements, good, config), client or (lambda: make_client(config)))
+            asked = with_prompts(elements, good, config)
+            if files is not None:
+                regions = asked.where("type = 'image' and prompt is not null").select("doc_key", "block_pos", "page_idx", "bbox")
+                asked = asked.join(region_rasters(files, regions), ["doc_key", "block_pos"], "left")
+            elements = described(asked, client or (lambda: make_client(config)))
         elements = staged(elements, "elements")
-    failed = docs.join(with_content, "doc_key", "left_anti")
+        if config.enabled:
+            told = told.unionByName(enrichment_warnings(elements))
+            elements = elements.drop("enrichment_error")
+    failed = contents.select(*docs.columns, *(["error"] if "error" in contents.columns else [])).join(with_content, "doc_key", "left_anti")
     code = F.lit("docling_failed" if config.parser == "docling" else "mineru_failed")
-    failed = warned(failed, code, F.lit("the engine produced no output"), config)
+    nothing = F.lit("the engine produced no output")
+    failed = warned(failed, code, F.coalesce("error", nothing) if "error" in failed.columns else nothing, config)
     wrong = warned(docs.join(bad.select("doc_key", "code", "message"), "doc_key"), F.col("code"), F.col("message"), config)
     pages = staged(evaluate_pages(elements, layer_tokens), "pages")
     fine = docs.join(with_content, "doc_key", "left_semi").join(bad.select("doc_key"), "doc_key", "left_anti")
@@ -95,9 +108,9 @@ def parse_batch(
         wanted = wanted.join(missing.select("cache_key").distinct(), "cache_key", "left_semi")
     wanted = staged(wanted, "files")
     made = staged(run_engine(wanted, engine or default_engine(config)), "contents")
-    contents = wanted.select("doc_key", "file_path", "file_sha256").join(made, "doc_key")
-    layers = text_layer_tokens(wanted.where(F.lower("path").endswith(".pdf")))
-    parsed = staged(parse_contents(contents, config, client, layers), "outputs")
+    contents = wanted.select("doc_key", "file_path", "file_sha256").join(made.withColumn("error", F.nullif("error", F.lit(""))), "doc_key")
+    pdfs = wanted.where(F.lower("path").endswith(".pdf"))
+    parsed = staged(parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs), "outputs")
     if cache:
         kept = parsed.join(wanted.select("doc_key", "cache_key"), "doc_key")
         cache.put(kept.where(~F.exists("warnings", lambda w: w["code"].isin("mineru_failed", "docling_failed", "mineru_error", "docling_error"))))

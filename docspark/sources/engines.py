@@ -10,11 +10,14 @@ import json
 import os
 import subprocess
 import tempfile
+import time
 from collections.abc import Callable
+from contextlib import ExitStack, contextmanager
 from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 TIMEOUT_S = 900
 
@@ -33,11 +36,34 @@ def env_count(name: str, default: int) -> int:
 
 
 def batch_size() -> int:
-    return env_count("DOCSPARK_BATCH_SIZE", 8)
+    return env_count("MINERU_BATCH_SIZE", env_count("DOCSPARK_BATCH_SIZE", 8))
 
 
 def max_in_flight() -> int:
-    return env_count("DOCSPARK_MAX_IN_FLIGHT", 1)
+    return env_count("MINERU_MAX_INFLIGHT", env_count("DOCSPARK_MAX_IN_FLIGHT", 1))
+
+
+@contextmanager
+def in_flight(most: int):
+    """Holds one of ``most`` places of this machine, waiting for it if need be; a process that dies gives its place up."""
+    import fcntl
+
+    at = Path(tempfile.gettempdir(), f"docspark-engine-{os.getuid()}")
+    at.mkdir(exist_ok=True)
+    with ExitStack() as stack:
+        places = [stack.enter_context(open(at / str(i), "w")) for i in range(most)]
+        held = None
+        while held is None:
+            for place in places:
+                try:
+                    fcntl.flock(place, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                    held = place
+                    break
+                except OSError:
+                    continue
+            else:
+                time.sleep(0.02)
+        yield
 
 
 class CommandEngine:
@@ -66,14 +92,20 @@ class MinerUEngine:
     """MinerU in this process: one model pass for a batch."""
 
     def run(self, files):
-        from mineru.cli.common import do_parse
+        from mineru.cli.common import do_parse, read_fn
 
         with tempfile.TemporaryDirectory() as at:
-            names = list(files)
-            do_parse(output_dir=at, pdf_file_names=names, pdf_bytes_list=[files[k][1] for k in names], p_lang_list=["en"] * len(names),
+            names, contents = list(files), []
+            for i, (name, content) in enumerate(files.values()):
+                source = Path(at, f"{i}{Path(name).suffix}")
+                source.write_bytes(content)
+                contents.append(read_fn(source))  # pictures become pages here
+            out = Path(at, "out")
+            do_parse(output_dir=str(out), pdf_file_names=names, pdf_bytes_list=contents, p_lang_list=["en"] * len(names),
+                     backend=os.environ.get("MINERU_BACKEND", "pipeline"), parse_method="auto", f_dump_content_list=True,
                      f_dump_md=False, f_dump_middle_json=False, f_dump_model_output=False, f_dump_orig_pdf=False,
                      f_draw_layout_bbox=False, f_draw_span_bbox=False)
-            found = {p.name.removesuffix("_content_list.json"): p for p in Path(at).rglob("*.json") if p.name.endswith("_content_list.json")}
+            found = {p.name.removesuffix("_content_list.json"): p for p in out.rglob("*.json") if p.name.endswith("_content_list.json")}
             return {k: found[k].read_text() for k in names if k in found}
 
 
@@ -143,11 +175,11 @@ class Cascade:
 def run_engine(files: DataFrame, factory: Callable[[], Engine], size: int | None = None) -> DataFrame:
     """(doc_key, content, error) for ``files`` (doc_key, path, content), in passes of ``size`` files.
 
-    A pass that fails is tried again file by file, so that one bad file costs no other.  At most ``max_in_flight``
-    passes run at once: the files go to so many partitions.
+    A pass that fails is tried again file by file, so that one bad file costs no other.  Files stay in their partitions;
+    on one machine at most ``max_in_flight`` passes run at once.
     """
-    size = size or batch_size()
-    slim = files.select("doc_key", "path", "content").repartition(max_in_flight())
+    size, most = size or batch_size(), max_in_flight()
+    slim = files.select("doc_key", "path", "content")
 
     def run(batches):
         import pyarrow as pa
@@ -156,7 +188,8 @@ def run_engine(files: DataFrame, factory: Callable[[], Engine], size: int | None
 
         def one_pass(group):
             asked = {f"{i}_{Path(p).stem}": (Path(p).name, b) for i, (_, p, b) in enumerate(group)}
-            found = engine.run(asked)
+            with in_flight(most):
+                found = engine.run(asked)
             return [(k, found.get(name), None) for (k, *_), name in zip(group, asked)]
 
         def results(group):
@@ -208,35 +241,89 @@ def text_layer_tokens(files: DataFrame) -> DataFrame:
     return files.select("doc_key", "content").mapInArrow(count, "doc_key string, page_idx int, n_tokens long")
 
 
+def _settings(dpi: int, max_pixels: int) -> tuple[int, int]:
+    """The resolution and the budget of pixels, from the environment where it names them."""
+    try:
+        return int(os.environ.get("PARSER_RENDER_DPI", dpi)), int(float(os.environ.get("PARSER_MAX_RENDER_MP", max_pixels / 1e6)) * 1e6)
+    except ValueError:
+        return dpi, max_pixels
+
+
+def crop_box(box, height: float, scale: float, size: tuple[int, int]) -> tuple[int, int, int, int]:
+    """Pixels (left, top, right, bottom) of a box in points with its origin at the bottom left, cut to the image.
+
+    A box without any area in the image is an error.
+    """
+    x0, y0, x1, y1 = (float(v) for v in box)
+    across, down = (lambda v: min(max(v * scale, 0.0), size[0])), (lambda v: min(max((height - v) * scale, 0.0), size[1]))
+    left, top, right, bottom = across(x0), down(y1), across(x1), down(y0)
+    if right <= left or bottom <= top:
+        raise ValueError("the box has no area in the image")
+    return int(left), int(top), int(right), int(bottom)
+
+
+def _png(pdf, page_idx: int, box, dpi: int, max_pixels: int) -> bytes | None:
+    """A page, or the part of it in ``box``; null where that fails."""
+    import io
+
+    try:
+        page = pdf[page_idx]
+        scale, (w, h) = dpi / 72, page.get_size()
+        if w * h * scale * scale > max_pixels > 0:
+            scale *= (max_pixels / (w * h * scale * scale)) ** 0.5
+        image = page.render(scale=scale).to_pil()
+        if box is not None:
+            image = image.crop(crop_box(box, h, scale, image.size))
+        out = io.BytesIO()
+        image.save(out, "PNG")
+        return out.getvalue()
+    except Exception:  # noqa: BLE001
+        return None
+
+
+def _opened(content):
+    try:
+        import pypdfium2
+
+        return pypdfium2.PdfDocument(content)
+    except Exception:  # noqa: BLE001  no reader here, or no PDF
+        return None
+
+
 def page_rasters(pages: DataFrame, dpi: int = 144, max_pixels: int = 40_000_000) -> DataFrame:
     """``pages`` (doc_key, page_idx, content) as PNG, whole or (with ``bbox``) cut to a region; null where that fails."""
     boxed = "bbox" in pages.columns
     slim = pages.select("doc_key", "page_idx", "content", *(["bbox"] if boxed else []))
+    dpi, max_pixels = _settings(dpi, max_pixels)
 
     def draw(batches):
-        import io
-
         import pyarrow as pa
 
         for batch in batches:
-            drawn = []
-            for row in batch.to_pylist():
-                try:
-                    import pypdfium2
-
-                    page = pypdfium2.PdfDocument(row["content"])[row["page_idx"]]
-                    scale, (w, h) = dpi / 72, page.get_size()
-                    if w * h * scale * scale > max_pixels > 0:
-                        scale *= (max_pixels / (w * h * scale * scale)) ** 0.5
-                    image = page.render(scale=scale).to_pil()
-                    if boxed:
-                        x0, y0, x1, y1 = row["bbox"]
-                        image = image.crop((int(x0 * scale), int((h - y1) * scale), int(x1 * scale), int((h - y0) * scale)))
-                    out = io.BytesIO()
-                    image.save(out, "PNG")
-                    drawn.append(out.getvalue())
-                except Exception:  # noqa: BLE001
-                    drawn.append(None)
+            drawn = [_png(_opened(r["content"]), r["page_idx"], r.get("bbox"), dpi, max_pixels) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(drawn, pa.binary())], ["doc_key", "page_idx", "png"])
 
     return slim.mapInArrow(draw, "doc_key string, page_idx int, png binary")
+
+
+def region_rasters(files: DataFrame, regions: DataFrame, dpi: int = 144, max_pixels: int = 40_000_000) -> DataFrame:
+    """(doc_key, block_pos, picture): the ``regions`` (doc_key, block_pos, page_idx, bbox) of ``files`` (doc_key, content) as PNG.
+
+    A file is sent and opened once for all its regions; what cannot be drawn gives no row.
+    """
+    asked = regions.groupBy("doc_key").agg(F.collect_list(F.struct("block_pos", "page_idx", "bbox")).alias("asked"))
+    dpi, max_pixels = _settings(dpi, max_pixels)
+
+    def draw(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                pdf = _opened(row["content"])
+                drawn = [(r["block_pos"], _png(pdf, r["page_idx"], r["bbox"], dpi, max_pixels)) for r in row["asked"]] if pdf else []
+                kept = [d for d in drawn if d[1] is not None]
+                at, png = zip(*kept) if kept else ((), ())
+                names = ["doc_key", "block_pos", "picture"]
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_key"]] * len(kept), pa.string()), pa.array(at, pa.int32()), pa.array(png, pa.binary())], names)
+
+    return files.join(asked, "doc_key").select("doc_key", "content", "asked").mapInArrow(draw, "doc_key string, block_pos int, picture binary")

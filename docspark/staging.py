@@ -13,11 +13,13 @@ SHARED_KEY = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset (single-machine tests) a
-    temporary folder is used, and remembered in the session so that later calls agree on it.
+    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset on a single machine (tests) a
+    temporary folder is used, and remembered in the session so that later calls agree on it; on a cluster it is an error.
     """
     at = spark.conf.get(SHARED_KEY, None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {SHARED_KEY} to a folder that driver and executors share")
         at = tempfile.mkdtemp(prefix="docspark-")
         spark.conf.set(SHARED_KEY, at)
     return at.rstrip("/")
@@ -32,4 +34,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove the files of tables that ``staged`` returned and that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.functions import text as T
 from docspark.functions.ids import content_hash
 from docspark.operators.gate import with_signals
 from docspark.sources.files import is_accepted
@@ -21,7 +22,7 @@ def arriving_files(spark: SparkSession, folder: str, config, late: str = "1 hour
 def gated_texts(texts: DataFrame, text: str = "text") -> DataFrame:
     """A stream (or table) of texts with the gate's signals and the decision on each."""
     rows = with_signals(texts, text)
-    poor = (F.trim(F.col(text)) != "") & (F.size("failing_signals") > 0)
+    poor = (T.strip(F.col(text)) != "") & (F.size("failing_signals") > 0)
     return rows.withColumn("quality_decision", F.when(poor, "promote_to_vlm").otherwise("keep"))
 
 
