@@ -66,7 +66,7 @@ def with_prompts(elements: DataFrame, blocks: DataFrame, config: EnrichmentConfi
 
 
 def described(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
-    """``enrich_elements`` with ``enrichment_error``: why a client could not be made, or what its call raised."""
+    """``enrich_elements`` with ``enrichment_error``: why no client could be made."""
     asked = elements.where("prompt is not null")
     picture = "picture" if "picture" in elements.columns else "image_bytes"
 
@@ -80,15 +80,15 @@ def described(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFram
         for batch in batches:
             told, errors = [], []
             for image, text, mode in zip(*[batch.column(c).to_pylist() for c in (picture, "prompt", "type")]):
-                said, wrong = "", failed
+                said = ""
                 if client is not None:
                     try:
                         answer = client.call(image, text, mode)
                         said = "" if "error" in answer else str(answer.get("description", "")).strip()
-                    except Exception as error:  # noqa: BLE001  a client that fails must not fail the task
-                        wrong = str(error)
+                    except Exception:  # noqa: BLE001  one call that fails leaves its element as it was
+                        said = ""
                 told.append(said)
-                errors.append(wrong)
+                errors.append(failed)
             columns = [pa.array(told, pa.string()) if n == "description" else c for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], [*batch.schema.names, "enrichment_error"])
 
