@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.staging import shared_dir
+from docspark.staging import discard, shared_dir
 from docspark.staging import staged as written
 
-__all__ = ["bounded_batches", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "discard", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import written
+from docspark.llm.common import discard, written
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,11 +27,15 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         up = written(up, "pointers")
         for _ in range(2):
             over = up.select(F.col("c").alias("p"), F.col("p").alias("q"))
-            up = written(up.join(over, "p").select("c", F.col("q").alias("p")), "pointers")
+            before, up = up, written(up.join(over, "p").select("c", F.col("q").alias("p")), "pointers")
+            discard(before)
+        read = edges
         for end in ("u", "v"):
             edges = edges.join(up.withColumnRenamed("c", end), end).withColumn(end, F.col("p")).drop("p")
         edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct()
-        edges = written(edges, "links")
+        before, edges = read, written(edges, "links")
         renamed = names.join(up.withColumnRenamed("c", "component"), "component", "left")
-        names = written(renamed.select("node", F.coalesce("p", "component").alias("component")), "components")
+        older, names = names, written(renamed.select("node", F.coalesce("p", "component").alias("component")), "components")
+        discard(before, up, older)
+    discard(edges)
     return names

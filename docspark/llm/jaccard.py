@@ -1,4 +1,4 @@
-"""Jaccard join of documents on word n-grams: every link between different texts, and the groups they form.
+"""Jaccard join of documents on word n-grams: the groups that links form, or every link between different texts.
 
 1. Sets.  A document is its set of n-gram hashes.  Equal sets are one class from here on; copies are never
    paired.
@@ -14,6 +14,10 @@
 5. What is left of tiles that still hold more than one group is compared whole by its bitmaps, block by block.  Pairs
    in one group already are skipped, so a group of near copies is not expanded into all its pairs; a pair that
    shares several tiles is told by the first of them.
+Steps 4 and 5 give the groups (``jaccard_components``); ``jaccard_links`` compares all of a tile at once and skips no pair.
+
+Tiles are counted by partial sums before any row is sent to them, a tile's rows are dealt into blocks by hash, and a class
+is found again by its document's id and text: no step sorts or gathers all rows of one tile, id or text in a task.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, written
+from docspark.llm.common import bounded_batches, discard, written
 from docspark.llm.components import components
 from docspark.llm.words import gram_hashes, mix, text_groups, word_hashes
 
@@ -148,12 +152,12 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
                     bits.append(bitmap(h).tobytes())
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             flat = np.concatenate(sigs).view(np.int64) if sigs else np.zeros(0, np.int64)
-            arrays = [batch.column(0), *[pa.array(np.array(c, np.int64)) for c in (sizes, k0, k1)]]
+            arrays = [batch.column(0), batch.column(2), *[pa.array(np.array(c, np.int64)) for c in (sizes, k0, k1)]]
             arrays += [pa.ListArray.from_arrays(offsets, pa.array(flat)), pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["_id", "n", "k0", "k1", "sigs", "bits"])
+            yield pa.RecordBatch.from_arrays(arrays, ["_id", "_hash", "n", "k0", "k1", "sigs", "bits"])
 
     kind = dict(slim.dtypes)["_id"]
-    return slim.mapInArrow(sign, f"_id {kind}, n long, k0 long, k1 long, sigs array<long>, bits binary")
+    return slim.mapInArrow(sign, f"_id {kind}, _hash long, n long, k0 long, k1 long, sigs array<long>, bits binary")
 
 
 def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
@@ -173,22 +177,32 @@ def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> Data
 
 def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(``rep``, ``members``) of the needed classes, computed again from one text of each.  A written table."""
-    sieved = _worth_dealing(slim, "_id", needed, "an_id")
-    joined = sieved.join(needed.select("an_id", "rep", "k0", "k1"), F.col("_id").eqNullSafe(F.col("an_id")))
+    sieved = _worth_dealing(slim, "_hash", needed, "a_hash")
+    same = (F.col("_hash") == F.col("a_hash")) & F.col("_id").eqNullSafe(F.col("an_id"))
+    joined = sieved.join(needed.select("an_id", "a_hash", "rep", "k0", "k1"), same)
 
     def fetch(batches):
         import pyarrow as pa
 
+        told = set()
         for batch in batches:
             rows = zip(*[batch.column(c).to_pylist() for c in ("rep", "k0", "k1")])
             sets = (h for group in text_groups(batch.column("_text").to_pylist()) for h in member_sets(group, n))
-            # rows that share the id but not the text are not the class
-            kept = [(rep, h.tobytes()) for (rep, *key), h in zip(rows, sets) if _set_key(h) == tuple(key)]
+            kept = []
+            for (rep, *key), h in zip(rows, sets):
+                if rep not in told and _set_key(h) == tuple(key):
+                    told.add(rep)
+                    kept.append((rep, h.tobytes()))
             reps, members = zip(*kept) if kept else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(members, pa.binary())], ["rep", "members"])
 
     got = joined.select("_text", "rep", "k0", "k1").mapInArrow(fetch, "rep long, members binary")
-    return written(got, "jaccard-members")
+    got = written(got, "jaccard-members")
+    # rows that repeat id and text were found again by several tasks
+    if got.count() > got.select("rep").distinct().count():
+        every, got = got, written(got.groupBy("rep").agg(F.first("members").alias("members")), "jaccard-members")
+        discard(every)
+    return got
 
 
 def _folded(a, width: int):
@@ -239,9 +253,10 @@ def _within_bound(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> Data
 
 
 def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their members; ``pairs`` is a written table."""
+    """The pairs (a, b) that link, by their members; ``pairs`` is a written table, and so is the result."""
     reps = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
-    sets = _members(slim, written(classes.join(reps, "rep", "left_semi"), "jaccard-needed"), n)
+    needed = written(classes.join(reps, "rep", "left_semi"), "jaccard-needed")
+    sets = _members(slim, needed, n)
     sides = [sets.select(F.col("rep").alias(x), F.col("members").alias(f"members_{x}")) for x in "ab"]
     full = pairs.select("a", "b").join(sides[0], "a").join(sides[1], "b")
 
@@ -258,7 +273,9 @@ def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: i
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return full.mapInArrow(test, "a long, b long")
+    links = written(full.mapInArrow(test, "a long, b long"), "jaccard-links")
+    discard(needed, sets)
+    return links
 
 
 def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int, sig: int = -(1 << 63)) -> list[tuple[int, int]]:
@@ -296,7 +313,7 @@ def block_pairs(left: list[dict], right: list[dict] | None, num: int, den: int,
 
 
 def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of reps in different groups that share a tile and may link.
+    """Pairs of reps in different groups that share a tile and may link, a written table.
 
     ``tiles``: sig, block, rep, label, a written table; ``bits``: rep, n, bits.
     """
@@ -308,10 +325,11 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFr
     alone = blocks(tiles).select("sig", "items", F.lit(None).cast(kind).alias("others"))
     # only tiles of several blocks are paired block by block
     large = written(tiles.groupBy("sig").agg(F.min("block").alias("lo"), F.max("block").alias("hi")).where("lo <> hi").select("sig"), "jaccard-large")
-    every = alone
+    every, spare = alone, []
     if not large.isEmpty():
         some = written(blocks(tiles.join(large, "sig", "left_semi")), "jaccard-blocks")
         later = some.select("sig", F.col("block").alias("block_b"), F.col("items").alias("others"))
+        spare.append(some)
         every = alone.union(some.join(later, "sig").where("block < block_b").select("sig", "items", "others"))
 
     def compare(batches):
@@ -326,7 +344,71 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFr
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return every.mapInArrow(compare, "a long, b long").distinct()
+    found = written(every.mapInArrow(compare, "a long, b long").distinct(), "jaccard-rest")
+    discard(held, large, *spare)
+    return found
+
+
+def _tiles(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, ...]:
+    """The texts (``_id``, ``_text``, ``_hash``), their sets, classes, the tiles that several classes share, and their bitmaps."""
+    spark = df.sparkSession
+    bounded_batches(spark)
+    text = F.col(text_col).cast("string")
+    slim = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
+    signed = written(
+        _signed(slim, n, num, den).withColumn("_row", F.monotonically_increasing_id()), "jaccard-sets"
+    )
+    one = F.min_by(F.struct("_id", "_hash"), "_row")
+    classes = signed.where("n > 0").groupBy("k0", "k1", "n").agg(F.min("_row").alias("rep"), F.min("_id").alias("least_id"), one.alias("one"))
+    classes = written(classes.select("k0", "k1", "n", "rep", "least_id", F.col("one._id").alias("an_id"), F.col("one._hash").alias("a_hash")), "jaccard-classes")
+    # one emission a class: the row that stands for it
+    emitted = signed.join(classes.select(F.col("rep").alias("_row")), "_row", "left_semi")
+    emitted = emitted.select(F.col("_row").alias("rep"), "n", F.explode("sigs").alias("sig"))
+    # a tile is a few sums before its rows are sent anywhere; nearly all tiles hold one class and end here
+    sums = emitted.groupBy("sig").agg(
+        F.min("rep").alias("center"), F.max("rep").alias("_last"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("_members")
+    )
+    shared = written(sums.where("center <> _last").drop("_last"), "jaccard-shared")
+    blocks = F.ceil(F.col("_members") / BLOCK_MEMBERS)
+    tiles = _worth_dealing(emitted, "sig", shared, "sig").join(shared, "sig")
+    tiles = written(tiles.select("sig", "rep", "n", "center", F.pmod(F.xxhash64("rep"), blocks).alias("block"), "size"), "jaccard-tiles")
+    discard(shared)
+    bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(tiles.select("rep").distinct(), "rep", "left_semi")
+    return slim, signed, classes, tiles, written(bits, "jaccard-bits")
+
+
+def _once(tiles: DataFrame) -> DataFrame:
+    """``tiles`` (sig, rep, block, label) without those whose rows another has as well, a written table."""
+    same = tiles.groupBy("sig").agg(
+        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("c")
+    )
+    once = same.groupBy("s", "x", "c").agg(F.min("sig").alias("sig")).select("sig")
+    return written(tiles.join(once, "sig", "left_semi"), "jaccard-once")
+
+
+def jaccard_links(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, num: int = 80, den: int = 100
+) -> tuple[DataFrame, DataFrame]:
+    """Every link: ``pairs`` (class_a, class_b; class_a < class_b) of classes that link, and the ``members`` of classes.
+
+    ``members`` has one row a document: ``<id_col>``, n_shingles, class_id, class_size and n_links (long), the number of
+    other documents that it links with: those of its own class, and of the classes linked with that.  Documents with equal
+    sets are a class; those without words have no class and no link.  Cases are defined as in ``jaccard_components``.  No pair
+    of unlike texts is left out, so a group of m near copies that all link gives m * (m - 1) / 2 pairs.
+    """
+    slim, signed, classes, tiles, bits = _tiles(df, id_col, text_col, n, num, den)
+    found = _tile_pairs(_once(tiles.select("sig", "rep", "block", F.col("rep").alias("label"))), bits, num, den)
+    links = _exact(found, slim, classes, n, num, den)
+    discard(tiles, bits, found)
+    pairs = links.select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"))
+    sizes = signed.where("n > 0").groupBy("k0", "k1", "n").agg(F.count(F.lit(1)).alias("class_size"))
+    sized = written(classes.join(sizes, ["k0", "k1", "n"]).select("k0", "k1", "n", F.col("rep").alias("class_id"), "class_size"), "jaccard-sizes")
+    both = pairs.union(pairs.select("class_b", "class_a")).toDF("class_id", "other")
+    reached = both.join(sized.select(F.col("class_id").alias("other"), F.col("class_size").alias("more")), "other").groupBy("class_id").agg(F.sum("more").alias("more"))
+    known = written(sized.join(reached, "class_id", "left").fillna({"more": 0}), "jaccard-known")
+    full = signed.select("_id", "n", "k0", "k1").join(known, ["k0", "k1", "n"], "left")
+    n_links = F.coalesce(F.col("class_size") - 1 + F.col("more"), F.lit(0)).cast("long")
+    return pairs, full.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "class_size", n_links.alias("n_links"))
 
 
 def jaccard_components(
@@ -341,58 +423,32 @@ def jaccard_components(
     words than ``n`` are one n-gram; equal sets, repeated rows too, are one group; null ids take part, and are the
     component's id only where no other is; an empty table gives no rows; other columns are not read.
     """
-    spark = df.sparkSession
-    bounded_batches(spark)
-    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    signed = written(
-        _signed(slim, n, num, den).withColumn("_row", F.monotonically_increasing_id()), "jaccard-sets"
-    )
-    classes = written(
-        signed.where("n > 0").groupBy("k0", "k1", "n").agg(
-            F.min("_row").alias("rep"), F.min("_id").alias("least_id"), F.min_by("_id", "_row").alias("an_id")
-        ),
-        "jaccard-classes",
-    )
-    # one emission a class: the row that stands for it
-    emitted = signed.join(classes.select(F.col("rep").alias("_row")), "_row", "left_semi")
-    emitted = emitted.select(F.col("_row").alias("rep"), "n", F.explode("sigs").alias("sig"))
-    tile = Window.partitionBy("sig")
-    run = tile.orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tiles = emitted.select(
-        "sig", "rep", "n", F.min("rep").over(tile).alias("center"), F.max("rep").over(tile).alias("_last"),
-        F.floor(F.sum("n").over(run) / BLOCK_MEMBERS).alias("block"), F.count(F.lit(1)).over(tile).alias("size"),
-    )
-    tiles = written(tiles.where("center <> _last").drop("_last"), "jaccard-tiles")
-
-    shared = tiles.select("rep").distinct()
-    bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(shared, "rep", "left_semi")
-    bits = written(bits, "jaccard-bits")
+    slim, signed, classes, tiles, bits = _tiles(df, id_col, text_col, n, num, den)
     stars = tiles.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     stars = written(_within_bound(stars, bits, num, den), "jaccard-stars")
-    first = components(_exact(stars, slim, classes, n, num, den))
+    links = _exact(stars, slim, classes, n, num, den)
+    first = components(links)
+    discard(stars, links)
 
     labels = first.select(F.col("node").alias("rep"), F.col("component").alias("label"))
     open_ = tiles.where("size > 2 and rep <> center").select("sig", "rep", "block").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    open_ = open_.withColumn("_lo", F.min("label").over(tile)).withColumn("_hi", F.max("label").over(tile))
-    open_ = written(open_.where("_lo <> _hi").select("sig", "rep", "block", "label"), "jaccard-open")
-    # tiles with the same rows are compared once
-    same = open_.groupBy("sig").agg(
-        F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("x"), F.count(F.lit(1)).alias("c")
-    )
-    once = same.groupBy("s", "x", "c").agg(F.min("sig").alias("sig")).select("sig")
-    once = written(open_.join(once, "sig", "left_semi"), "jaccard-once")
-    rest = written(_tile_pairs(once, bits, num, den), "jaccard-rest")
+    open_ = written(open_, "jaccard-open")
+    unlike = open_.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("sig")
+    rest = _tile_pairs(_once(open_.join(written(unlike, "jaccard-unlike"), "sig", "left_semi")), bits, num, den)
     links = _exact(rest, slim, classes, n, num, den)
+    discard(tiles, bits, open_, rest)
+    ends = links
     for x in "ab":
         named = labels.select(F.col("rep").alias(x), F.col("label").alias(f"label_{x}"))
-        links = links.join(named, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
-    second = components(links, "label_a", "label_b")
+        ends = ends.join(named, x, "left").withColumn(f"label_{x}", F.coalesce(f"label_{x}", x))
+    second = components(ends, "label_a", "label_b")
 
     named = classes.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     named = named.join(second.select(F.col("node").alias("label"), "component"), "label", "left")
     named = written(named.select("k0", "k1", "n", "least_id", F.coalesce("component", "label").alias("label")), "jaccard-named")
     least = written(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     final = written(named.join(least, "label").select("k0", "k1", "n", "component_id"), "jaccard-final")
+    discard(links, first, second, classes, named, least)
     full = signed.select("_id", "n", "k0", "k1").join(final, ["k0", "k1", "n"], "left")
     own = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
     return full.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))

@@ -147,3 +147,37 @@ def test_components(spark):
 def test_band_edges_cover_all_sizes():
     edges = band_edges(1000)
     assert edges[0] == 1 and edges[-1] > 1000 and all(a < b for a, b in zip(edges, edges[1:]))
+
+
+def test_links_and_their_counts_equal_brute_force(spark, docs):
+    from docspark.llm.jaccard import jaccard_links
+
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(60)] for _ in range(4)]
+    texts = {}
+    for i in range(60):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            words[rng.randrange(len(words))] = rng.choice("xyz")
+        texts[i] = " ".join(words)
+    texts |= {100: "", 101: None, 102: "one two", 103: "one two", 104: "word"}
+    pairs, members = jaccard_links(docs(list(texts.items())), n=3, num=70, den=100)
+    sets = {i: brute_set(t, 3) for i, t in texts.items()}
+    want = {i: sum(j != i and bool(s) and bool(o) and 100 * len(s & o) >= 70 * len(s | o) for j, o in sets.items()) for i, s in sets.items()}
+    got = members.collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    classes = {r.class_id: sets[r.doc_id] for r in got if r.class_id is not None}
+    linked = {(a, b) for a in classes for b in classes if a < b and 100 * len(classes[a] & classes[b]) >= 70 * len(classes[a] | classes[b])}
+    assert {(r.class_a, r.class_b) for r in pairs.collect()} == linked and len(linked) > 20
+
+
+def test_ten_thousand_rows_without_an_id(spark):
+    words = "one two three four five six seven eight nine ten eleven twelve"
+    rows = spark.range(10_000).selectExpr("cast(null as long) as doc_id", f"concat('{words} ', case when id % 2 = 0 then 'a' else concat('b', id div 100) end) as text")
+    got = jaccard_components(rows, n=3, num=50, den=100)
+    assert got.where("component_id is null").count() == 10_000
+
+
+def brute_set(text, n):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
