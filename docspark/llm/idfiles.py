@@ -18,7 +18,7 @@ from docspark.llm.tokens import encoder
 
 END_ID = 1
 SEGMENT_IDS = 8_000_000
-CACHE_CHUNKS = 700_000
+CACHE_CHUNKS = 500_000
 
 
 def write_ids(
@@ -51,6 +51,7 @@ def write_ids(
 
         def row():
             found = np.concatenate(ids)
+            ids.clear()
             who = pa.concat_arrays(docs)
             whole = pa.array([0, len(who)], pa.int32())
             sizes = pa.array(np.concatenate(lengths))

@@ -257,9 +257,7 @@ def _encode_blocks(ranks: np.ndarray, places: np.ndarray, tables: _Tables) -> li
     lanes = -(-n // BLOCK)
     last = n - (lanes - 1) * BLOCK
     steps = BLOCK if lanes > 1 else last
-    padded = np.zeros((2, lanes * BLOCK), np.int32)
-    padded[:, :n] = ranks, places
-    grid, places = (p.reshape(lanes, BLOCK).T for p in padded)
+    grid, places = (np.append(p, np.zeros(lanes * BLOCK - n, p.dtype)).reshape(lanes, BLOCK).T for p in (ranks, places))
     grid = np.ascontiguousarray(grid)
     packed = tables.packed()
     model, out = _Model(lanes, tables), _Writer(lanes, steps // 3 + 64)

@@ -17,6 +17,7 @@ from array import array
 
 CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 32
+TEXT_BYTES = 4_000_000
 START = "\x1e"  # stands for the start of a text, which no space precedes; texts that hold it are odd
 ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -131,10 +132,23 @@ class ChunkEncoder:
     def arrays(self, texts):
         """(ids, bounds): text i of a string array has the ids ``ids[bounds[i]:bounds[i + 1]]``."""
         import numpy as np
-        import pyarrow as pa
         import pyarrow.compute as pc
 
         texts = pc.fill_null(texts, "")
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        ids, bounds, at = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
+        while at < len(texts):  # some at a time: what is worked on is several times as large
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+            got, cuts = self._arrays(texts.slice(at, to - at))
+            ids.append(got)
+            bounds.append(cuts[1:] + bounds[-1][-1])
+            at = to
+        return np.concatenate(ids), np.concatenate(bounds)
+
+    def _arrays(self, texts):
+        import numpy as np
+        import pyarrow.compute as pc
+
         alone = np.zeros(0, np.int64)
         if self.spaces_matter:
             odd = pc.match_substring_regex(texts, ODD)
@@ -156,7 +170,7 @@ class ChunkEncoder:
         starts = np.cumsum(sizes) - sizes
         which = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
         bounds = lists.offsets.to_numpy().astype(np.int64)
-        bounds -= bounds[0] if len(bounds) else 0
+        bounds -= bounds[0]
         if self.spaces_matter and len(alone):
             which = which.copy()
             which[bounds[alone]] = place  # an odd text was cut to one word, of nothing
