@@ -48,6 +48,14 @@ class ImpactIndex:
         self.top_size = min(int(size.max(initial=0)), MAX_SIZE)
         self.reach = np.stack([np.searchsorted(k, -np.arange(self.top_size + 2), side="right") for k in self.keys]) if size.size else None
 
+    def _reach(self, live, least):
+        """How many postings of each of the dimensions ``live`` have a component of at least the size in ``least``."""
+        import numpy as np
+
+        if self.biggest == self.top_size:
+            return self.reach[live, np.minimum(least, self.top_size + 1).astype(np.int64)]
+        return np.array([np.searchsorted(self.keys[d], -v, side="right") for d, v in zip(live.tolist(), least.tolist())], np.int64)
+
     def possible(self, q, k: int):
         """Candidates that may be among the k best for ``q`` (ties included), in row order."""
         import numpy as np
@@ -58,34 +66,40 @@ class ImpactIndex:
             return np.arange(n)
         weight = q[live]
         size = np.abs(weight)
-        base = float(size.mean()) * self.mean
-        if self.top_size == MAX_SIZE or 2 * float(size.max()) * self.top_size * dims >= UNIT or dims > 4096:
-            return np.arange(n)  # sizes beyond the tables: every posting is read
-        # a posting read adds UNIT to its candidate, so that one sum holds the score and the number of postings read
-        total, read = np.zeros(n), np.zeros(len(live), np.int64)
-        for share in LEVELS:
-            level = base * share
-            if level < 1:
-                break
-            to = self.reach[live, np.minimum(np.ceil(level / size), self.top_size + 1).astype(np.int64)]
+        most = float(size.sum()) * self.biggest  # of a score
+        # where sums fit, a posting read adds UNIT to its candidate, so that one sum holds the score and the number of
+        # postings read; otherwise they are counted apart
+        together = 2 * most < UNIT and len(live) < 4096
+        unit = UNIT if together else 0.0
+        error = 0.0 if most < EXACT else most * len(live) * 2.0**-51  # of sums beyond what floats hold
+        total, counted, read = np.zeros(n), np.zeros(n), np.zeros(len(live), np.int64)
+        level, step = float(size.mean()) * self.mean, 0
+        base, left = level, np.arange(n)
+        while level > 0:
+            level = base * LEVELS[step] if step < len(LEVELS) else level / 2
+            level, step = (level if level >= 1 else 0.0), step + 1  # at zero everything is read
+            to = self._reach(live, np.ceil(level / size))
             for d, w, a, b in zip(live.tolist(), weight.tolist(), read.tolist(), to.tolist()):
                 if b > a:
-                    total[self.ids[d, a:b]] += self.vals[d, a:b] * w + UNIT
+                    total[self.ids[d, a:b]] += self.vals[d, a:b] * w + unit
+                    if not together:
+                        counted[self.ids[d, a:b]] += 1
             read = np.maximum(read, to)
-            count = np.rint(total / UNIT)
-            score, slack = total - count * UNIT, (len(live) - count) * level
+            count = np.rint(total / unit) if together else counted
+            score, slack = total - count * unit, (len(live) - count) * level + error
             floor = np.partition(score - slack, n - k)[n - k]
             left = np.flatnonzero(score + slack >= floor)
             if len(left) <= max(k, FEW * n):
-                return left
-        return np.arange(n)  # every posting would be read: scored exactly as they are
+                break
+        return left
 
     def top(self, q, k: int, ids, skip: int = -1):
         """The k best (position, score) for integers ``q``, ties to the smaller of ``ids``; position ``skip`` takes no part."""
         import numpy as np
 
         if len(q) and self.biggest * sum(abs(c) for c in q.tolist()) >= EXACT:  # beyond what floats hold: whole numbers
-            left = np.delete(np.arange(len(self.ints)), [skip] if skip >= 0 else [])
+            left = self.possible(q.astype(np.float64), k + (skip >= 0))
+            left = left[left != skip]
             exact = [sum(map(mul, row, q.tolist())) for row in self.ints[left].tolist()]
             best = sorted(range(len(left)), key=lambda j: (-exact[j], ids[left[j]], left[j]))[:k]
             return left[best], [exact[j] for j in best]
@@ -141,6 +155,7 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
     )
     held, asked = written(held, "topk-blocks"), written(asked, "topk-asked")
     # the query set against all rows, block by block: a pair of blocks is one bounded row
+    # (a task builds a block's index once for the sets that follow one another)
     pairs = held.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).join(
         asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["s", "c"]
     )
@@ -149,13 +164,15 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
         import numpy as np
         import pyarrow as pa
 
+        block, built = None, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 have, want = (batch.column(c)[i].values for c in ("items", "asked"))
                 row, ids = (have.field(c).to_numpy() for c in ("row_number", "id"))
                 own, who = (want.field(c).to_numpy() for c in ("row_number", "id"))
                 out = []
-                built = {s: (at, ImpactIndex(x)) for s, (at, x) in _vectors(have.field("v")).items()}
+                if batch.column("c")[i].as_py() != block:
+                    block, built = batch.column("c")[i].as_py(), {s: (at, ImpactIndex(x)) for s, (at, x) in _vectors(have.field("v")).items()}
                 for s, (at_q, vectors) in _vectors(want.field("v")).items():
                     if s not in built:
                         continue
@@ -168,7 +185,7 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
                 names = ["own", "query_id", "row", "vec_id", "score"]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names)
 
-    found = pairs.select("items", "asked").mapInArrow(search, "own long, query_id long, row long, vec_id long, score long")
+    found = pairs.select("c", "items", "asked").mapInArrow(search, "own long, query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     beyond = F.raise_error(F.lit("a score does not fit a 64-bit integer")).cast("long")
