@@ -132,15 +132,17 @@ def fit(
     return bytes(got[0].weights) if got else bytes(4 << BITS)
 
 
-def score(df: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(df: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Result, one row a document: ``<id_col>``, ``held_out``, ``score`` (0 to 1), ``predicted`` (1 if score >= 0.5).
 
-    A null or empty text scores by the constant alone; an empty table gives no rows; other columns are not read.
+    The columns in ``keep`` go along unread, so that a row need not be looked for again by its id.  A null or empty text
+    scores by the constant alone; an empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     model = spark.sparkContext.broadcast(weights)  # 4 bytes a slot: one MB
-    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    carried = [F.col(c).alias(f"_kept{i}") for i, c in enumerate(keep)]
+    slim = df.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), *carried)
 
     def rate(batches):
         import numpy as np
@@ -151,14 +153,16 @@ def score(df: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str =
             out = []
             for group in text_groups(batch.column(1).to_pylist()):
                 out += [probability(float(w[slots] @ values)) for slots, values in features(group)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["_id", "score"])
+            names = [n for n in batch.schema.names if n != "_text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.float64())], [*names, "score"])
 
-    got = slim.mapInArrow(rate, f"_id {dict(slim.dtypes)['_id']}, score double")
-    return got.select(
-        F.col("_id").alias(id_col), held_out("_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
-    )
+    schema = "".join(f"{name} {kind}, " for name, kind in slim.dtypes if name != "_text")
+    got = slim.mapInArrow(rate, f"{schema}score double")
+    kept = [F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)]
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return got.select(*([] if id_col in keep else [F.col("_id").alias(id_col)]), *kept, held_out("_id").alias("held_out"), "score", predicted)
 
 
-def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def quality_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``score`` over ``df`` with weights fitted on its labelled rows."""
-    return score(df, fit(df, labels, id_col, text_col), id_col, text_col)
+    return score(df, fit(df, labels, id_col, text_col), id_col, text_col, keep)

@@ -49,3 +49,34 @@ def test_edges(spark, docs):
     odd = spark.createDataFrame([(1, None), (None, 1), (2, 7), (3, 1), (3, 0)], "doc_id bigint, quality int")
     assert len(quality_scores(df, odd).collect()) == 5
     assert score(docs([]), bytes(4 << BITS)).collect() == [] and fit(docs([]), odd) == bytes(4 << BITS)
+
+
+def test_training_equals_a_plain_version():
+    import math
+    import random
+
+    from docspark.llm.quality_model import ALPHA, BETA, L1, L2
+
+    rng, z, n, model = random.Random(4), {}, {}, Ftrl()
+    for _ in range(150):
+        text = " ".join(rng.choice(["Alpha", "beta", "12", "x!", "gamma"]) for _ in range(rng.randint(0, 9)))
+        label = int("Alpha" in text)
+        ((slots, values),) = features([text])
+        seen = [(int(i), float(v)) for i, v in zip(slots, values)]
+        w = {i: 0.0 if abs(z.get(i, 0.0)) <= L1 else -(z[i] - math.copysign(L1, z[i])) / ((BETA + math.sqrt(n[i])) / ALPHA + L2) for i, _ in seen}
+        p = 1 / (1 + math.exp(-sum(w[i] * v for i, v in seen)))
+        old = {i: n.get(i, 0.0) for i, _ in seen}
+        for i, v in seen:
+            g = (p - label) * v
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(old[i] + g * g) - math.sqrt(old[i])) / ALPHA * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+        model.learn(slots, values, label)
+    for i in z:
+        assert abs(model.z[i] - z[i]) < 1e-9 and abs(model.n[i] - n[i]) < 1e-9
+    assert np.count_nonzero(model.n) == len([i for i in n if n[i]])
+
+
+def test_kept_columns_go_along(spark, docs):
+    got = score(docs([(1, "a", "s"), (None, None, "t")]), bytes(4 << BITS), keep=("doc_id", "text", "source"))
+    assert got.columns == ["doc_id", "text", "source", "held_out", "score", "predicted"]
+    assert sorted((str(r.doc_id), r.text, r.source, r.score) for r in got.collect()) == [("1", "a", "s", 0.5), ("None", None, "t", 0.5)]
