@@ -364,14 +364,25 @@ def _tiles(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int
     # one emission a class: the row that stands for it
     emitted = signed.join(classes.select(F.col("rep").alias("_row")), "_row", "left_semi")
     emitted = emitted.select(F.col("_row").alias("rep"), "n", F.explode("sigs").alias("sig"))
-    # a tile is a few sums before its rows are sent anywhere; nearly all tiles hold one class and end here
-    sums = emitted.groupBy("sig").agg(
-        F.min("rep").alias("center"), F.max("rep").alias("_last"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("_members")
-    )
-    shared = written(sums.where("center <> _last").drop("_last"), "jaccard-shared")
-    blocks = F.ceil(F.col("_members") / BLOCK_MEMBERS)
-    tiles = _worth_dealing(emitted, "sig", shared, "sig").join(shared, "sig")
-    tiles = written(tiles.select("sig", "rep", "n", "center", F.pmod(F.xxhash64("rep"), blocks).alias("block"), "size"), "jaccard-tiles")
+    # a tile is two numbers before its rows are sent anywhere; nearly all tiles hold one class and end here
+    sums = emitted.groupBy("sig").agg(F.min("rep").alias("center"), F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
+    shared = written(sums, "jaccard-shared")
+    tiles = _worth_dealing(emitted, "sig", shared, "sig").join(shared, "sig").select("sig", "rep", "n", "center", "size")
+    # large tiles are few, and dealt into blocks by hash
+    undealt = written(tiles, "jaccard-tiles")
+    large = undealt.groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).alias("_blocks")).where("_blocks > 1")
+    large = written(large, "jaccard-large")
+    tiles = undealt
+    if not large.isEmpty():
+        dealt = undealt.join(large, "sig", "left")
+        tiles = dealt.select(*undealt.columns, F.coalesce(F.pmod(F.xxhash64("rep"), "_blocks"), F.lit(0)).alias("block"))
+        tiles = written(tiles, "jaccard-tiles")
+        discard(undealt)
+    else:
+        at = undealt.staged_at
+        tiles = undealt.withColumn("block", F.lit(0).cast("bigint"))
+        tiles.staged_at = at
+    discard(large)
     discard(shared)
     bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(tiles.select("rep").distinct(), "rep", "left_semi")
     return slim, signed, classes, tiles, written(bits, "jaccard-bits")
