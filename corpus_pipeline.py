@@ -4,7 +4,7 @@ A stage takes (spark, docs, sf_dir) and returns what it kept, with the columns o
 packed pieces.  ``run`` writes every stage's result into the shared folder before the next one reads it.
 
 Documents are told apart by ``doc_id``.  Rows that repeat an id, rows without one included, are kept or dropped together
-by the filters: they stay if any of them does.  A null text is empty: the rules reject it.  Empty tables stay empty;
+by the rules and the join: they stay if any of them does.  The classifier judges each row by its own text.  A null text is empty: the rules reject it.  Empty tables stay empty;
 other columns of the input are dropped.
 """
 
@@ -37,7 +37,7 @@ def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def apply_quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones among them, calls poor go."""
-    return _only(docs, quality_scores(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    return quality_scores(docs, table(spark, sf_dir, "labels"), keep=tuple(COLUMNS)).where("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,6 +54,7 @@ def mask_live_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     text_of = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit("")))
     keyed = docs.select(*COLUMNS, F.sha2(text_of, 256).alias("_key"))
     found = scan_secrets(keyed, "_key").select("_key", live.alias("_live")).where(F.size("_live") > 0).dropDuplicates(["_key"])
+    found = written(found, "pipeline-live")  # its size is known then: few findings are sent to the texts, not these to them
     full = keyed.join(found, "_key", "left")
     # gaps between the spans, in order; spans that overlap are taken up by the earlier one
     pieces = F.aggregate(
