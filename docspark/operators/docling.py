@@ -32,13 +32,20 @@ def reference(child: Column) -> Column:
 
 
 def explode_nodes(trees: DataFrame, key: str = "doc_key", content: str = "content") -> DataFrame:
-    """``nodes``: every node of the arrays, and the body as node (body, 0)."""
-    parsed = trees.select(F.col(key).alias("doc_key"), F.try_parse_json(F.col(content)).alias("tree"))
-    found = [
-        parsed.select("doc_key", F.lit(name).alias("node_type"), F.posexplode(F.try_variant_get("tree", f"$.{name}", "array<variant>")).alias("idx", "node"))
-        for name in (*LEAVES, "groups")
-    ]
-    nodes = parsed.select("doc_key", F.lit("body").alias("node_type"), F.lit(0).alias("idx"), F.try_variant_get("tree", "$.body", "variant").alias("node"))
+    """``nodes``: every node of the arrays, and the body as node (body, 0); ``raw`` is the JSON text of a table's data."""
+    # a variant orders an object's keys by name; the data of tables is told in its own order
+    raw = F.from_json(F.col(content), "tables array<struct<data:string>>")["tables"]["data"]
+    parsed = trees.select(F.col(key).alias("doc_key"), F.try_parse_json(F.col(content)).alias("tree"), raw.alias("raw"))
+    none = F.lit(None).cast("string").alias("raw")
+
+    def listed(name: str) -> DataFrame:
+        items = F.try_variant_get("tree", f"$.{name}", "array<variant>")
+        pairs = F.transform(items, lambda x, i: F.struct(x.alias("node"), (F.get("raw", i) if name == "tables" else none).alias("raw")))
+        rows = parsed.select("doc_key", F.lit(name).alias("node_type"), F.posexplode(pairs).alias("idx", "pair"))
+        return rows.select("doc_key", "node_type", "idx", "pair.node", "pair.raw")
+
+    found = [listed(name) for name in (*LEAVES, "groups")]
+    nodes = parsed.select("doc_key", F.lit("body").alias("node_type"), F.lit(0).alias("idx"), F.try_variant_get("tree", "$.body", "variant").alias("node"), none)
     for other in found:
         nodes = nodes.unionByName(other)
     return nodes.where("node is not null")
@@ -121,11 +128,15 @@ def route_leaves(leaves: DataFrame, sha256: Column | None = None) -> DataFrame:
         .when(B.kind_of(box).startswith("ARRAY"), F.try_variant_get(box, "$", "array<double>"))
         .otherwise(F.array().cast("array<double>"))
     )
+    data = B.field(node, "data", "variant")
+    told = F.to_json(data)
+    if "raw" in leaves.columns:
+        told = F.when(B.kind_of(data).rlike("^(OBJECT|ARRAY)"), F.coalesce("raw", told)).otherwise(told)
     rows = leaves.select(
         "doc_key", F.col("element_idx").cast("int").alias("seq"), "node_type", F.when(page_no == 0, 0).otherwise(page_no - 1).alias("page_idx"),
         bbox.alias("bbox"), B.field(node, "label").alias("_label"), B.first_text(node, "orig", "text").alias("_text"),
         decoded_picture(F.coalesce(F.try_variant_get(node, "$.image.uri", "string"), F.lit(""))).alias("_picture"),
-        F.coalesce(B.field(node, "caption"), F.lit("")).alias("_caption"), F.to_json(B.field(node, "data", "variant")).alias("_data"), sha256.alias("_sha"),
+        F.coalesce(B.field(node, "caption"), F.lit("")).alias("_caption"), told.alias("_data"), sha256.alias("_sha"),
     ).where(~B.bbox_is_bad(F.col("bbox")))
     tables = rows.where("node_type = 'tables'").withColumn("_text", F.concat(F.col("_caption"), F.lit("\n"), dumped_json("_data")))
     rows = rows.where("node_type <> 'tables'").unionByName(tables)

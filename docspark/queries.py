@@ -509,7 +509,11 @@ def html_elements(spark, sf_dir):
     return elements.route_blocks(blocks).select("doc_key", "seq", "type", "text", "element_id")
 
 
-@register()
+@register(f"""WITH {BLOCKS}, {TYPED},
+d AS (SELECT doc_id, pos, page_idx, text, CASE type WHEN 'text' THEN 'paragraph' ELSE type END AS kind, CASE WHEN type = 'heading' AND starts_with(text, '#') THEN {STRIP % "regexp_replace(text, '^#+', '')"} ELSE text END AS display FROM typed),
+s AS (SELECT *, coalesce(sum(length(display) + 1) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begun FROM d)
+SELECT doc_id AS doc_key, pos AS seq, '{{"element_id":"' || {UUID5 % "doc_id || ':' || page_idx || ':' || pos"} || '","type":"' || kind || '","page_index":' || page_idx || ',"char_span":[' || begun || ',' || (begun + length(display))
+  || '],"text":' || to_json(display) || ',"content":{{"kind":"text"}}' || CASE WHEN kind = 'heading' THEN ',"level":' || greatest(1, length(regexp_extract(text, '^(#*)', 1))) ELSE '' END || '}}' AS json FROM s""")
 def bench_json(spark, sf_dir):
     """The document elements as benchmark JSON."""
     rows = document_elements(spark, sf_dir).withColumns({
@@ -527,6 +531,9 @@ def arrival_rates(spark, sf_dir):
     return rows.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+from docspark import block_queries as _block_queries  # noqa: E402, F401  registers its queries here
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """The flagship query on the smallest tables: the page gate over all documents."""
     return gate_pages(spark, "/root/testdata/sf0.001")

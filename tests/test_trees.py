@@ -46,3 +46,14 @@ def test_a_cycle_fails_its_own_document(spark):
     assert [(w.code, w.message) for w in got["loop"].warnings] == [("docling_failed", "the layout tree has a cycle")]
     assert [e.text for e in got["shared"].elements] == ["one", "one"] and [e.text for e in got["apart"].elements] == ["one"]
     assert not any(w.code == "docling_failed" for k in ("shared", "apart") for w in got[k].warnings)
+
+
+def test_table_data_keeps_its_own_order(spark):
+    tables = [{"data": {"z": 1, "a": [2, {"y": None, "b": "é"}]}}, {"data": "said"}, {"caption": "c"}, {"data": [1.5, "x"]}]
+    tree = {"body": {"children": [f"#/tables/{i}" for i in range(4)]}, "tables": tables}
+    odd = {"body": {"children": ["#/tables/1"]}, "tables": ["odd", {"data": {"b": 1, "a": 2}}]}
+    got = leaves(spark, {"d": tree, "o": odd}).orderBy("doc_key", "seq").collect()
+    want = [t.get("caption", "") + "\n" + json.dumps(t.get("data", [])) for t in tables]
+    assert [r.text for r in got if r.doc_key == "d"] == want
+    # next to a table that is no object
+    assert [sorted(json.loads(r.text).items()) for r in got if r.doc_key == "o"] == [[("a", 2), ("b", 1)]]
