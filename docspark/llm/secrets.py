@@ -21,6 +21,7 @@ BASE = (
 # The kind that the ownership counts decide on: long mixed tokens, reported where few owners hold them.
 GENERIC = ("generic", r"[A-Za-z0-9+/_-]{32,}", 0, 32)
 SPAN = "array<struct<start:bigint,end:bigint,ord:int,kind:string,value_hash:string>>"
+_VALUED = SPAN.replace(">>", ",value:string>>")
 
 
 def _found(text: Column, ord_: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -50,9 +51,24 @@ def _found(text: Column, ord_: int, kind: str, pattern: str, group: int, least:
             F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
         )
 
-    none = F.from_json(F.lit("[]"), SPAN.replace(">>", ",value:string>>"))
-    start = F.struct(F.lit(0).cast("bigint").alias("pos"), none.alias("out"))
-    return F.aggregate(rows, start, step, lambda acc: acc["out"])
+    def begin(kind: str) -> Column:
+        return F.struct(F.lit(0).cast("bigint").alias("pos"), F.from_json(F.lit("[]"), kind).alias("out"))
+
+    def append(acc: Column, part: Column) -> Column:
+        moved = F.transform(part["out"], lambda s: F.struct(
+            (s["start"] + acc["pos"]).alias("start"), (s["end"] + acc["pos"]).alias("end"), *[s[n].alias(n) for n in ("ord", "kind", "value_hash", "value")]
+        ))
+        return F.struct((acc["pos"] + part["pos"]).alias("pos"), F.concat(acc["out"], F.array(moved)).alias("out"))
+
+    # Appending copies a list, so n matches go in about sqrt(n) parts of sqrt(n), each placed from its own start.
+    def placed(rows: Column) -> Column:
+        wide = F.ceil(F.sqrt(F.size(rows))).cast("int")
+        at = F.sequence(F.lit(0), ((F.size(rows) - 1) / wide).cast("int"))
+        parts = F.transform(at, lambda j: F.aggregate(F.slice(rows, j * wide + 1, wide), begin(_VALUED), step))
+        return F.aggregate(parts, begin(f"array<{_VALUED}>"), append, lambda acc: F.flatten(acc["out"]))
+
+    # a list of one binds the rows to a name, so that they are matched once
+    return F.transform(F.array(rows), placed)[0]
 
 
 def _without_value(spans: Column) -> Column:

@@ -63,3 +63,12 @@ def test_repeats_nulls_and_empty(spark, docs):
     assert scan_secrets(docs([])).collect() == []
     got = scan_secrets(docs([(1, "token=abcdef", None)] * 3 + [(None, None, None)])).collect()
     assert len(got) == 4 and sorted(r.n_assign for r in got) == [0, 1, 1, 1]
+
+
+def test_texts_of_very_many_secrets(spark, docs):
+    one = ["token=abcdef%d é" % i for i in range(11)] + ["f" * (20 + i) for i in range(9)]
+    texts = [" ".join(one[:i]) for i in range(20)] + ["".join(f"{i:032x} pw token=v{i:07d}\n" for i in range(30_000))]
+    got = {r.doc_id: r for r in scan_secrets(docs(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        want, joined = brute(t)
+        assert tuple(got[i][1:5]) == want and got[i].spans == joined
