@@ -6,9 +6,14 @@ leaves a common fingerprint.  An inverted index of the templates' fingerprints t
 diagonal).  Around each group of anchors a local alignment in a band of diagonals reports the matched words, the
 share of the template they cover, and the span of the text.
 
-The templates here are eight notices: one line each for Apache-2.0, MIT, GPL-3.0, CC BY-NC 4.0 and CC BY 4.0, the MIT
-text, and the short headers of Apache-2.0 and GPL-3.0.  Other licenses (BSD, ISC, MPL, LGPL, AGPL, Unlicense) and full
-Apache, GPL and CC texts match only if a caller gives their templates.
+Templates that differ in a word or two (the headers of the GPL family, BSD with two or three clauses) all match a text
+of one of them: a match that is not word for word gives way to an overlapping match that covers more of its template, or as
+much of a longer one.
+
+The templates (``license_texts``) are the whole texts of MIT, BSD-2-Clause, BSD-3-Clause, ISC, zlib, BSL-1.0 and Unlicense
+(without the last link), the headers of Apache-2.0, GPL-2.0, GPL-3.0, AGPL-3.0, LGPL-2.1, LGPL-3.0, MPL-2.0 and CC0-1.0, and
+one line each for Apache-2.0, MIT, GPL-3.0, CC BY-NC 4.0 and CC BY 4.0.  The full Apache, GPL, MPL and CC texts match only if
+a caller gives their templates.
 
 Templates are few and fixed, so the index goes to every task; texts are scanned where they are, without a shuffle.
 """
@@ -23,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches
+from docspark.llm.license_texts import TEMPLATES
 from docspark.llm.words import gram_hashes, text_groups, word_hashes
 
 GRAM = 3
@@ -31,33 +37,6 @@ BAND = 6
 MIN_COVERAGE = 0.7
 MATCH, MISMATCH, GAP = 2, -2, -1
 
-# Public license notices.
-TEMPLATES = {
-    "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
-    "mit-line": "Released under the MIT License.",
-    "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
-    "cc-by-4.0-line": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
-documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to
-use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom
-the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice
-shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF
-ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
-AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
-WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR
-OTHER DEALINGS IN THE SOFTWARE.""",
-    "apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance
-with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable
-law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR
-CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
-under the License.""",
-    "gpl-3.0": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public
-License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This
-program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
-MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
-}
-
 _FOLD = bytes(
     i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256)
 )
@@ -99,6 +78,9 @@ class TemplateIndex:
             for at in np.flatnonzero(winnowed(h)):
                 self.posts[int(h[at])].append((t, int(at)))
         self.keys = np.array(sorted(self.posts), np.uint64)
+        # one window is not full in a template of so few words: a text's winnowing may leave out its only fingerprint
+        short = {key for key, places in self.posts.items() if any(len(self.words[t]) < GRAM + WINDOW - 1 for t, _ in places)}
+        self.short = np.array(sorted(short), np.uint64)
 
     def hits(self, texts: list[bytes]) -> dict[int, list[tuple[int, int]]]:
         """{text: [(place, fingerprint)]} of the texts that share a fingerprint with a template."""
@@ -109,9 +91,10 @@ class TemplateIndex:
         out: dict[int, list[tuple[int, int]]] = defaultdict(list)
         if not len(h):
             return out
-        # every hash is looked up: a text's winnowed ones are among them, and its windows need not be cut at its ends
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        for p in np.flatnonzero(self.keys[at] == h):
+        # windows across the end of a text keep some more, which loses nothing
+        kept = np.flatnonzero(winnowed(h) | np.isin(h, self.short))
+        at = np.minimum(np.searchsorted(self.keys, h[kept]), len(self.keys) - 1)
+        for p in kept[self.keys[at] == h[kept]]:
             i = int(np.searchsorted(bounds, p, side="right")) - 1
             if p + GRAM <= bounds[i + 1]:
                 out[i].append((int(p - bounds[i]), int(h[p])))
@@ -170,6 +153,10 @@ def matches(text: str | None, found: list[tuple[int, int]], index: TemplateIndex
         template, free, last, heap = index.words[t], list(words), None, []
 
         def offer(d):
+            # no alignment matches more words than the template has in the stretch of text that its band can reach
+            near = set(free[max(d - BAND, 0) : max(d + len(template) + BAND, 0)])
+            if sum(word in near for word in template) < min_coverage * len(template):
+                return
             got = align(free, template, d)
             if got and got[0] >= min_coverage * len(template):
                 heapq.heappush(heap, (-got[0], got[1], got[2], d))
@@ -182,10 +169,28 @@ def matches(text: str | None, found: list[tuple[int, int]], index: TemplateIndex
         while heap:
             matched, first, end, d = heapq.heappop(heap)
             if None not in free[first : end + 1]:
-                out.append((index.names[t], -matched / len(template), spots[first].start(), spots[end].end()))
+                out.append((index.names[t], -matched / len(template), spots[first].start(), spots[end].end(), -matched, end - first + 1 == len(template)))
                 free[first : end + 1] = [None] * (end + 1 - first)
             offer(d)
-    return sorted(out, key=lambda r: (r[2], r[3], r[0]))
+    return sorted((r[:4] for r in undisputed(out)), key=lambda r: (r[2], r[3], r[0]))
+
+
+def undisputed(found: list[tuple]) -> list[tuple]:
+    """Of (name, coverage, start, end, matched words, as many words in the span as in the template): those that are word for
+    word, or overlap none that covers more of its template, or as much of a longer one."""
+    groups: list[list[tuple]] = []
+    reach = 0
+    for match in sorted(found, key=lambda r: r[2]):
+        if groups and match[2] < reach:
+            groups[-1].append(match)
+        else:
+            groups.append([match])
+        reach = max(reach, match[3])
+
+    def gives_way(match: tuple, group: list[tuple]) -> bool:
+        return any((r[1], r[4]) > (match[1], match[4]) and r[2] < match[3] and match[2] < r[3] for r in group)
+
+    return [m for g in groups for m in g if (m[1] == 1 and m[5]) or not gives_way(m, g)]
 
 
 def scan_licenses(

@@ -79,3 +79,44 @@ def test_low_coverage_is_a_parameter():
     found = index.hits([fold(text)])[0]
     assert matches(text, found, index, 0.9) == [] and matches(text, found, index, 0.5)[0][:2] == ("t", 0.5)
     assert BAND > 2
+
+
+def test_every_template_is_told_from_its_relatives(spark, docs):
+    names = list(TEMPLATES)
+    texts = ["aa bb. " + TEMPLATES[n] + " cc" for n in names]
+    got = {names[r.doc_id]: r for r in scan_licenses(docs(list(enumerate(texts)))).collect()}
+    for n in names:
+        inside = {m for m in names if b" ".join(fold(TEMPLATES[m]).split()) in b" ".join(fold(TEMPLATES[n]).split())}
+        assert set(got[n].licenses.split(",")) == inside and got[n].coverage == 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_the_scan_matches_brute_force(seed):
+    """Every template against every text, without fingerprints, bands or bounds."""
+    rng = random.Random(seed)
+    chosen = {n: TEMPLATES[n] for n in ("mit-line", "mpl-2.0", "gpl-2.0", "lgpl-2.1", "cc0-1.0", "apache-2.0")}
+    index = TemplateIndex(chosen)
+    for _ in range(4):
+        name = rng.choice(list(chosen))
+        said = chosen[name].split()
+        for _ in range(rng.randint(0, 3)):
+            said[rng.randrange(len(said))] = "odd"
+        text = " ".join([*("w%d" % rng.randrange(99) for _ in range(rng.randint(0, 9))), *said, "end"])
+        found = index.hits([fold(text)]).get(0, [])
+        words = fold(text).split()
+        want = {n: unbanded(words, w) / len(w) for n, w in zip(index.names, index.words)}
+        want = {n: c for n, c in want.items() if c >= 0.7}
+        size = {n: round(c * len(w)) for n, w in zip(index.names, index.words) if (c := want.get(n))}
+        # all but the mit-line overlap here: one wins, unless another is there word for word
+        best = max(want, key=lambda n: (want[n], size[n]), default=None)
+        got = matches(text, found, index, 0.7)
+        if name != "mit-line":  # five words with three changed may share no three in a row
+            assert {r[0]: r[1] for r in got} == ({best: want[best]} if best else {})
+
+
+def test_no_window_is_full_in_a_template_of_three_words():
+    index = TemplateIndex({"t": "one two three", "u": "six seven eight nine"})
+    for head in range(40):
+        text = " ".join(["z%d" % i for i in range(head)] + ["one", "two", "three", "and", "six", "seven", "eight", "nine", "y"])
+        got = matches(text, index.hits([fold(text)])[0], index, 0.7)
+        assert [r[:2] for r in got] == [("t", 1.0), ("u", 1.0)]
