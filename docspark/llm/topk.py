@@ -7,22 +7,27 @@ What a candidate has not yet received is less than the level for each of its pos
 score from both sides.  Candidates that cannot be among the k best any more are out by proof; once few are left,
 those are scored exactly.  Levels go down to zero, so a query always ends, at worst with everything read.
 
-Queries against all rows meet in pairs of blocks; each pair gives its k best, and the k best of those are kept.
+Queries go through all blocks in rounds: a round's queries, some megabytes whatever the table's size, are sent to
+every task, and each task takes them through its blocks one by one.  It keeps the k best so far of each query, and
+the last of them is a bound that candidates of the blocks to come must reach.  The k best of all tasks are kept.
 """
 
 from __future__ import annotations
 
+import math
 from operator import mul
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, written
+from docspark.llm.common import bounded_batches, discard, written
 from docspark.operators.numbering import number_rows
 
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 LEAST_BLOCKS = 16
+MOST_FILES = 512  # of blocks; a task reads one or more
+ROUND_BYTES = 16 << 20  # of the queries of a round, which pass through the driver
 LEVELS = (0.35, 0.2, 0.1, 0.05)
 FEW = 0.12
 MAX_SIZE = 1 << 14
@@ -56,8 +61,8 @@ class ImpactIndex:
             return self.reach[live, np.minimum(least, self.top_size + 1).astype(np.int64)]
         return np.array([np.searchsorted(self.keys[d], -v, side="right") for d, v in zip(live.tolist(), least.tolist())], np.int64)
 
-    def possible(self, q, k: int):
-        """Candidates that may be among the k best for ``q`` (ties included), in row order."""
+    def possible(self, q, k: int, least: float = -math.inf):
+        """Candidates that may be among the k best for ``q`` and reach ``least`` (ties included), in row order."""
         import numpy as np
 
         n, dims = self.x.shape
@@ -87,24 +92,27 @@ class ImpactIndex:
             read = np.maximum(read, to)
             count = np.rint(total / unit) if together else counted
             score, slack = total - count * unit, (len(live) - count) * level + error
-            floor = np.partition(score - slack, n - k)[n - k]
+            floor = max(np.partition(score - slack, n - k)[n - k], least)
             left = np.flatnonzero(score + slack >= floor)
             if len(left) <= max(k, FEW * n):
                 break
         return left
 
-    def top(self, q, k: int, ids, skip: int = -1):
-        """The k best (position, score) for integers ``q``, ties to the smaller of ``ids``; position ``skip`` takes no part."""
+    def top(self, q, k: int, ids, skip: int = -1, least: float = -math.inf):
+        """The k best (position, score) for integers ``q``, ties to the smaller of ``ids``; position ``skip`` takes no part.
+
+        Those that do not reach ``least`` may be missing.
+        """
         import numpy as np
 
         if len(q) and self.biggest * sum(abs(c) for c in q.tolist()) >= EXACT:  # beyond what floats hold: whole numbers
-            left = self.possible(q.astype(np.float64), k + (skip >= 0))
+            left = self.possible(q.astype(np.float64), k + (skip >= 0), least)
             left = left[left != skip]
             exact = [sum(map(mul, row, q.tolist())) for row in self.ints[left].tolist()]
             best = sorted(range(len(left)), key=lambda j: (-exact[j], ids[left[j]], left[j]))[:k]
             return left[best], [exact[j] for j in best]
         q = q.astype(np.float64)
-        left = self.possible(q, k + (skip >= 0))
+        left = self.possible(q, k + (skip >= 0), least)
         left = left[left != skip]
         exact = self.x[left] @ q
         if len(left) > k:
@@ -147,50 +155,59 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
     n = numbered.count()
     blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
     item = F.struct("row_number", "id", "v")
-    held = numbered.groupBy(F.pmod("row_number", F.lit(blocks)).cast("int").alias("c")).agg(F.collect_list(item).alias("items"))
+    dealt = numbered.select(F.pmod("row_number", F.lit(blocks)).cast("int").alias("c"), item.alias("item"))
+    held = dealt.repartition(min(4 * blocks, MOST_FILES), "c").groupBy("c").agg(F.collect_list("item").alias("items"))
     queries = number_rows(numbered.where("q").select("id", "v", F.col("row_number").alias("own")), ["own"], "topk-queries")
-    sets = max(1, -(-queries.count() // QUERY_ROWS))
+    many, components = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    room = 64 * many + 8 * components
+    sets = max(1, -(-many // QUERY_ROWS), -(-room // ROUND_BYTES))
     asked = queries.groupBy(F.pmod("row_number", F.lit(sets)).cast("int").alias("s")).agg(
         F.collect_list(F.struct(F.col("own").alias("row_number"), "id", "v")).alias("asked")
     )
     held, asked = written(held, "topk-blocks"), written(asked, "topk-asked")
-    # the query set against all rows, block by block: a pair of blocks is one bounded row
-    # (a task builds a block's index once for the sets that follow one another)
-    pairs = held.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).join(
-        asked.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))), ["s", "c"]
-    )
 
     def search(batches):
         import numpy as np
         import pyarrow as pa
 
-        block, built = None, {}
+        block, built, best = None, {}, {}
         for batch in batches:
             for i in range(batch.num_rows):
                 have, want = (batch.column(c)[i].values for c in ("items", "asked"))
                 row, ids = (have.field(c).to_numpy() for c in ("row_number", "id"))
                 own, who = (want.field(c).to_numpy() for c in ("row_number", "id"))
-                out = []
                 if batch.column("c")[i].as_py() != block:
                     block, built = batch.column("c")[i].as_py(), {s: (at, ImpactIndex(x)) for s, (at, x) in _vectors(have.field("v")).items()}
+                so_far = best.setdefault(batch.column("s")[i].as_py(), (own.copy(), who.copy(), [[] for _ in own]))[2]
                 for s, (at_q, vectors) in _vectors(want.field("v")).items():
                     if s not in built:
                         continue
                     at, index = built[s]
                     where = {int(r): j for j, r in enumerate(row[at])}
                     for j, q in zip(at_q, vectors):
-                        best, score = index.top(q, k, ids[at], where.get(int(own[j]), -1))
-                        out += [(own[j], who[j], row[at[b]], ids[at[b]], min(max(int(x), LEAST), MOST)) for b, x in zip(best, score)]
-                cols = zip(*out) if out else [()] * 5
-                names = ["own", "query_id", "row", "vec_id", "score"]
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names)
+                        least = np.nextafter(-float(so_far[j][-1][0]), -math.inf) if len(so_far[j]) == k else -math.inf
+                        found = zip(*index.top(q, k, ids[at], where.get(int(own[j]), -1), least))
+                        more = [(-min(max(int(x), LEAST), MOST), int(ids[at[b]]), int(row[at[b]])) for b, x in found]
+                        so_far[j] = sorted(so_far[j] + more)[:k]
+        for own, who, kept in best.values():
+            out = [(o, w, r, v, -s) for o, w, items in zip(own, who, kept) for s, v, r in items]
+            cols = zip(*out) if out else [()] * 5
+            names = ["own", "query_id", "row", "vec_id", "score"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in cols], names)
 
-    found = pairs.select("c", "items", "asked").mapInArrow(search, "own long, query_id long, row long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "vec_id", "row"))
-    best = found.withColumn("rank", rank).where(F.col("rank") <= k)
     beyond = F.raise_error(F.lit("a score does not fit a 64-bit integer")).cast("long")
     score = F.when((F.col("score") > LEAST) & (F.col("score") < MOST), F.col("score")).otherwise(beyond).alias("score")
-    return best.select("query_id", "rank", "vec_id", score)
+    parts, each = [], max(1, sets * ROUND_BYTES // max(1, room))
+    for first in range(0, sets, each):
+        # every block meets the sets of the round in turn: a block and a set are one bounded row
+        # (a task builds a block's index once for the sets that follow one another)
+        pairs = held.crossJoin(F.broadcast(asked.where(F.col("s").between(first, first + each - 1))))
+        found = pairs.select("c", "s", "items", "asked").mapInArrow(search, "own long, query_id long, row long, vec_id long, score long")
+        best = found.withColumn("rank", rank).where(F.col("rank") <= k)
+        parts.append(written(best.select("query_id", "rank", "vec_id", score), "topk-best"))
+    discard(held, asked)
+    return spark.read.schema(parts[0].schema).parquet(*[part.staged_at for part in parts])
 
 
 ORACLE_SQL = """
