@@ -39,7 +39,8 @@ BITS2 = 9
 TOTAL = 1 << 24
 PARTS0, PARTS1 = 16, 12  # bits of the frequencies' sums
 RATE = 5
-PASS = 1 << 20  # a whole number of blocks
+ROWS = 16  # ids of every block that are modelled at a time; EPOCH is a multiple
+PASS = 1 << 22  # a whole number of blocks
 DENSE_IDS = 1 << 20  # below, ids are looked up in tables
 LEAST, MOST2, MOST1 = TOTAL >> 7, TOTAL - (TOTAL >> 3), TOTAL - (TOTAL >> 5)  # of a share
 GAIN2, LOSS1 = (MOST2 - LEAST) >> RATE, (MOST1 - LEAST) >> RATE
@@ -159,7 +160,7 @@ class _Model:
         lanes, n = self.lanes, self.n
         if rows is not None:
             where = self.classes(rows) + np.arange(rows.shape[1], dtype=np.int64) * n
-            self.counts += np.bincount(where.reshape(-1), minlength=lanes * n).astype(np.int32)
+            self.counts += np.bincount(where.ravel("K"), minlength=lanes * n).astype(np.int32)
         # a sum of 2**PARTS0, of which the prior has as much as SEEN ids
         whole, each = (1 << PARTS0) - n, (1 << PARTS0) // SEEN
         scale = (whole << 10) // ((SEEN + seen) * each)
@@ -186,6 +187,45 @@ class _Model:
         q = ((TOTAL - m2) >> 12) * share >> 12
         return self.t2[self.i2], m2, q, m2 + (q << PARTS1)
 
+    def known(self, x: np.ndarray, none: np.ndarray):
+        """Of ids to come, row by row: where order 2 is right, where neither it nor order 1 (``none``: not) is, order 2's
+        share, and the width of a part of order 1; the model goes past them."""
+        c = len(x)
+        a = np.empty((c + 2, self.lanes), np.int64)
+        a[0], a[1] = self.b >> 5, self.a
+        np.minimum(x, self.tables.head, out=a[2:])
+        self.a[:], self.b[:] = a[c + 1], a[c] << 5
+        places = a[1:-1] * 40503
+        places += a[:-2] << 5
+        places &= (1 << BITS2) - 1
+        places += self.base2
+        held, guess = np.minimum(x, 65535).astype(np.uint16), np.empty(x.shape, np.uint16)
+        for i in range(c):
+            self.t2.take(places[i], out=guess[i], mode="clip")
+            self.t2[places[i]] = held[i]
+        same = guess == x
+        rest = none & ~same
+        m2, m1 = np.empty(x.shape, np.int32), np.empty(x.shape, np.int32)
+        w1, w2, less = self.w1, self.w2, np.empty(self.lanes, np.int32)
+        gain, loss = same * np.int32(GAIN2), rest * np.int32(LOSS1)
+        for i in range(c):
+            m2[i], m1[i] = w2, w1
+            np.subtract(w2, LEAST, out=less)
+            less >>= RATE
+            w2 -= less
+            w2 += gain[i]
+            np.subtract(MOST1, w1, out=less)
+            less >>= RATE
+            w1 += less
+            w1 -= loss[i]
+        m1 >>= 13
+        m1 += self.half1.take(a[1:-1])
+        np.maximum(m1, 0, out=m1)
+        q = (TOTAL - m2) >> 12
+        q *= m1
+        q >>= 12
+        return same, rest, m2, q
+
     def update(self, n: int, x: np.ndarray, hit2: np.ndarray, rest: np.ndarray) -> None:
         """``hit2``: where order 2 was right, ``rest``: where neither was."""
         self.t2[self.i2] = np.minimum(x, 65535)
@@ -218,8 +258,26 @@ class _Writer:
             self.pos += np.arange(lanes) * (wide - width)
             self.flat, self.width = flat.reshape(-1), wide
 
-    def put(self, at, start: np.ndarray, part: np.ndarray) -> None:
-        """Parts start..start+part-1 of TOTAL in the blocks ``at`` (a slice, or distinct places)."""
+    def step(self, start: np.ndarray, part: np.ndarray) -> None:
+        """Parts start..start+part-1 of TOTAL (unsigned 64-bit) in the first blocks."""
+        low, rng = self.low[: len(start)], self.range[: len(start)]
+        rng >>= U(24)
+        add = rng * start
+        low += add
+        carry = (low < add).nonzero()[0]
+        if len(carry):
+            self.flat[self.pos[carry] - 1] += U(1)
+        rng *= part
+        out = (rng < U(1 << 32)).nonzero()[0]
+        if len(out):
+            pos, moved = self.pos.take(out), low.take(out)
+            self.flat[pos] = moved >> U(32)
+            self.pos[out] = pos + 1
+            low[out] = moved << U(32)
+            rng[out] = rng.take(out) << U(32)
+
+    def put(self, at: np.ndarray, start: np.ndarray, part: np.ndarray) -> None:
+        """Parts start..start+part-1 of TOTAL in the blocks ``at`` (distinct places)."""
         low, rng, pos = self.low[at], self.range[at], self.pos[at]
         unit = rng >> U(24)
         add = unit * start.astype(U)
@@ -251,49 +309,73 @@ class _Writer:
         return [words[i, 1 : used[i]].astype("<u4").tobytes() for i in range(self.lanes)]
 
 
+def _rows(x: np.ndarray, lanes: int) -> np.ndarray:
+    """One block a row.  A row is a little longer, as columns of rows a power of two apart share their place in caches."""
+    rows = np.zeros((lanes, BLOCK + 16), x.dtype)[:, :BLOCK]
+    full = len(x) // BLOCK
+    rows[:full] = x[: full * BLOCK].reshape(full, BLOCK)
+    if full < lanes:
+        rows[full, : len(x) - full * BLOCK] = x[full * BLOCK :]
+    return rows
+
+
 def _encode_blocks(ranks: np.ndarray, places: np.ndarray, tables: _Tables) -> list[bytes]:
     """The words of the blocks of some ids; ``places`` are those of their pairs in order 1, -1 for none."""
     n = len(ranks)
     lanes = -(-n // BLOCK)
     last = n - (lanes - 1) * BLOCK
     steps = BLOCK if lanes > 1 else last
-    grid, places = (np.append(p, np.zeros(lanes * BLOCK - n, p.dtype)).reshape(lanes, BLOCK).T for p in (ranks, places))
-    grid = np.ascontiguousarray(grid)
+    grid, places = _rows(ranks, lanes), _rows(places, lanes)
     packed = tables.packed()
     model, out = _Model(lanes, tables), _Writer(lanes, steps // 3 + 64)
-    for t in range(steps):
-        k = lanes if t < last else lanes - 1
+    lane = np.tile(np.arange(lanes, dtype=np.int32), ROWS)
+    for t in range(0, steps, ROWS):
         if t % EPOCH == 0:
             out.room(2 * EPOCH)
             if t:
-                model.settle(t, grid[t - EPOCH : t])
-        if t % 64 == 0:
-            held = packed[places[t : t + 64]]
-            before, frequency, none = ((held >> 16) & 0xFFFF).astype(np.int32), (held & 0xFFFF).astype(np.int32), held == 0
-        x, i = grid[t, :k], t % 64
-        s2, m2, q, past = model.predict(k)
-        same = s2 == x
-        hit2 = np.flatnonzero(same)
-        start, part = q * before[i, :k], q * frequency[i, :k]
+                model.settle(t, grid[:, t - EPOCH : t].T)
+        # of a block that has ended, the last, nothing is put from here on
+        x = np.ascontiguousarray(grid[:, t : min(t + ROWS, steps)].T)
+        held = packed.take(np.ascontiguousarray(places[:, t : t + len(x)].T))
+        none = held == 0
+        same, rest, m2, q = model.known(x, none)
+        part = q * (held & 0xFFFF).astype(np.int32)
+        held >>= 16
+        start = q * (held & 0xFFFF).astype(np.int32)
         start += m2
-        start[hit2], part[hit2] = 0, m2[hit2]
-        rest = np.flatnonzero(none[i, :k] & ~same)
-        if len(rest):
-            kinds, over = model.classes(x[rest]), past[rest]
-            i = kinds + rest * (model.n + 1)
-            m0, low = (TOTAL - over) >> PARTS0, model.cum0[i]
-            start[rest] = over + (low - model.offset[rest]) * m0
-            part[rest] = (model.cum0[i + 1] - low) * m0
-        out.put(slice(0, k), start, part)
-        if len(rest) and int(kinds.max()) > HEAD0:
-            far = np.flatnonzero(kinds > HEAD0)
-            where, bits = rest[far], kinds[far] - HEAD0
-            value = x[where].astype(np.int64) - HEAD0 + 1 - (np.int64(1) << bits)
-            low = np.minimum(bits, 16)  # two steps of 16 bits at most
-            for few, shown in ((bits - low, value >> low), (low, value & ((np.int64(1) << low) - 1))):
-                if few.any():
-                    out.put(where, shown << (24 - few), np.int64(1) << (24 - few))
-        model.update(k, x, hit2, rest)
+        start[same] = 0
+        np.copyto(part, m2, where=same)
+        start, part = start.reshape(-1).astype(U), part.reshape(-1).astype(U)
+        at = np.flatnonzero(rest)
+        symbols, whose = x.reshape(-1).take(at), lane.take(at)
+        over = (m2 + (q << PARTS1)).reshape(-1).take(at)
+        kinds = model.classes(symbols)
+        i = kinds + whose.astype(np.int64) * (model.n + 1)
+        m0, low = (TOTAL - over) >> PARTS0, model.cum0.take(i)
+        i += 1
+        part[at] = (model.cum0.take(i) - low) * m0
+        low -= model.offset.take(whose)
+        low *= m0
+        start[at] = over + low
+        far = np.flatnonzero(kinds > HEAD0)
+        if t + len(x) > last:
+            far = far[(at[far] // lanes < last - t) | (whose[far] < lanes - 1)]
+        # the bits below the power of two, in two steps of 16 at most
+        bits = kinds[far] - HEAD0
+        value = symbols[far].astype(np.int64) - HEAD0 + 1 - (np.int64(1) << bits)
+        low = np.minimum(bits, 16)
+        below = [(low, value & ((np.int64(1) << low) - 1))]
+        if len(far) and int(bits.max()) > 16:
+            below.insert(0, (bits - low, value >> low))
+        below = [(shown << (24 - few), np.int64(1) << (24 - few)) for few, shown in below]
+        where, ends = whose[far], np.searchsorted(at[far], np.arange(len(x) + 1) * lanes)
+        for r in range(len(x)):
+            k = lanes if t + r < last else lanes - 1
+            out.step(start[r * lanes : r * lanes + k], part[r * lanes : r * lanes + k])
+            some = slice(ends[r], ends[r + 1])
+            if some.start < some.stop:
+                for shown, few in below:
+                    out.put(where[some], shown[some], few[some])
     return out.ended()
 
 
@@ -331,56 +413,72 @@ def _decode_blocks(words: np.ndarray, used: np.ndarray, n: int, tables: _Tables,
     model = _Model(lanes, tables)
     packed = tables.packed()
 
-    def take(at, unit, start, part) -> None:
-        now = code[at] - unit * start.astype(U)
-        r = unit * part.astype(U)
-        more = np.flatnonzero(r < U(1 << 32))
+    def moved(at, now, r) -> None:
+        """Words go into those of the blocks ``at`` (None: the first) whose ranges are small."""
+        more = (r < U(1 << 32)).nonzero()[0]
         if len(more):
-            p = pos[at][more]
-            now[more] = (now[more] << U(32)) | words[np.minimum(p, top)]
-            r[more] <<= U(32)
-            pos[np.arange(lanes)[at][more]] = p + 1
+            whose = more if at is None else at[more]
+            p = pos.take(whose)
+            now[more] = (now.take(more) << U(32)) | words.take(np.minimum(p, top))
+            r[more] = r.take(more) << U(32)
+            pos[whose] = p + 1
+
+    def take(k, unit, start, part) -> None:
+        """What ``start`` and ``part`` say of the first k blocks is taken off."""
+        now, r = code[:k], rng[:k]
+        now -= unit * start.astype(U)
+        np.multiply(unit, part.astype(U), out=r)
+        moved(None, now, r)
+
+    def take_at(at, unit, start, part) -> None:
+        now, r = code.take(at) - unit * start.astype(U), unit * part.astype(U)
+        moved(at, now, r)
         code[at], rng[at] = now, r
 
-    def shown(at):
-        unit = rng[at] >> U(24)
-        return unit, np.minimum(code[at] // unit, U(TOTAL - 1)).astype(np.int64)
+    def shown(code, rng):
+        unit = rng >> U(24)
+        return unit, np.minimum(code // unit, U(TOTAL - 1)).astype(np.int64)
 
     for t in range(steps):
         k = lanes if t < last else lanes - 1
         if t and t % EPOCH == 0:
             model.settle(t, grid[t - EPOCH : t])
         s2, m2, q, past = model.predict(k)
-        unit, value = shown(slice(0, k))
+        unit, value = shown(code[:k], rng[:k])
         part1 = ((value - m2) / np.maximum(q, 1)).astype(np.int64)  # exact: both are small
-        held = packed[slots[slot_of[model.a[:k]] + np.clip(part1, 0, (1 << PARTS1) - 1, out=part1)]]
-        x, start, part = (held >> 32).astype(np.int32), q * (held >> 16 & 0xFFFF), q * (held & 0xFFFF)
+        np.maximum(part1, 0, out=part1)
+        np.minimum(part1, (1 << PARTS1) - 1, out=part1)
+        part1 += slot_of.take(model.a[:k])
+        held = packed.take(slots.take(part1))
+        x, part = (held >> 32).astype(np.int32), q * (held & 0xFFFF)
+        held >>= 16
+        held &= 0xFFFF
+        start = np.multiply(q, held, out=held)
         start += m2
-        hit2 = np.flatnonzero(value < m2)
-        x[hit2], start[hit2], part[hit2] = s2[hit2], 0, m2[hit2]
-        rest = np.flatnonzero(value >= past)
+        hit2 = (value < m2).nonzero()[0]
+        x[hit2], start[hit2], part[hit2] = s2.take(hit2), 0, m2.take(hit2)
+        rest = (value >= past).nonzero()[0]
         if len(rest):
-            over, offset, base = past[rest], model.offset[rest], rest * (model.n + 1)
+            over, offset, base = past.take(rest), model.offset.take(rest), rest * (model.n + 1)
             m0 = (TOTAL - over) >> PARTS0
-            v = (value[rest] - over) // m0
-            i = np.searchsorted(model.cum0, (v + offset).astype(np.int32), side="right") - 1
+            v = ((value.take(rest) - over) / m0).astype(np.int32)  # exact: both are small
+            i = model.cum0.searchsorted(v + offset, side="right") - 1
             i = np.minimum(np.maximum(i, base), base + model.n - 1)
-            kinds, low = i - base, model.cum0[i]
+            kinds, low = i - base, model.cum0.take(i)
             start[rest] = over + (low - offset) * m0
-            part[rest] = (model.cum0[i + 1] - low) * m0
+            i += 1
+            part[rest] = (model.cum0.take(i) - low) * m0
             x[rest] = np.minimum(kinds, HEAD0)
-        take(slice(0, k), unit, start, part)
+        take(k, unit, start, part)
         if len(rest) and int(kinds.max()) > HEAD0:
             far = np.flatnonzero(kinds > HEAD0)
             where, bits = rest[far], kinds[far] - HEAD0
             value = np.int64(1) << bits
             low = np.minimum(bits, 16)
-            for few, shift in ((bits - low, low), (low, 0)):
-                if not few.any():
-                    continue
-                unit, v = shown(where)
+            for few, shift in ((bits - low, low), (low, 0)) if int(bits.max()) > 16 else ((low, 0),):
+                unit, v = shown(code.take(where), rng.take(where))
                 v >>= 24 - few
-                take(where, unit, v << (24 - few), np.int64(1) << (24 - few))
+                take_at(where, unit, v << (24 - few), np.int64(1) << (24 - few))
                 value += v << shift
             x[where] = np.minimum(value + HEAD0 - 1, len(tables.names) - 1)
         grid[t, :k] = x

@@ -5,8 +5,9 @@ ids are its chunks' ids in turn, as long as chunks end where such a split must b
 that follows another character, and between a letter and an ASCII sign.  A chunk's ids come from the
 tokenizers library once and are then looked up.  The cache is bounded; chunks beyond it are encoded each time.
 
-A batch of texts is first cut at its spaces and line feeds by Arrow, and its distinct words are numbered; chunks are
-looked for in those only, and the batch's ids are gathered from theirs.
+A batch of texts is first cut at its spaces and line feeds by Arrow, and its distinct words are numbered, without the
+stop or comma that ends them; what is not in the table of known words is cut into chunks, and the batch's ids are
+gathered from its words'.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from array import array
 
 CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 32
-TEXT_BYTES = 4_000_000
+TEXT_BYTES = 8_000_000
 START = "\x1e"  # stands for the start of a text, which no space precedes; texts that hold it are odd
 ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -58,6 +59,40 @@ class _Known(dict):
         return ids
 
 
+def _gathered(flat, starts, sizes):
+    """The runs of ``flat`` that begin at ``starts``, one after another."""
+    import numpy as np
+
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
+    at += np.repeat(starts - (ends - sizes), sizes)
+    return flat[at]
+
+
+def _without_stops(words):
+    """The words of a string array without the stop or comma that follows a letter at their end, and those signs (0: none)."""
+    import numpy as np
+    import pyarrow as pa
+
+    _, offsets, data = words.buffers()
+    offsets = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return words, np.zeros(len(words), np.uint8)
+    sizes, at = np.diff(offsets), offsets[1:] - 1
+    last, before, third = (data.take(at - i, mode="wrap") for i in range(3))
+    letter = ((before | 32) - np.uint8(97) < 26) & (sizes > 1)
+    # the Latin-1 letters in UTF-8
+    letter |= (third == 0xC3) & (before >= 0x80) & (before < 0xC0) & (before != 0x97) & (before != 0xB7) & (sizes > 2)
+    stop = letter & ((last == 46) | (last == 44))
+    kept = np.ones(len(data), bool)
+    kept[at[stop]] = False
+    offsets[1:] -= np.cumsum(stop, dtype=np.int32)
+    cores = pa.StringArray.from_buffers(len(words), pa.py_buffer(offsets), pa.py_buffer(data[kept]))
+    return cores, np.where(stop, last, np.uint8(0))
+
+
 class ChunkEncoder:
     """Ids of texts; null counts as empty.
 
@@ -68,13 +103,16 @@ class ChunkEncoder:
 
     def __init__(self, path: str, spaces_matter: bool, most: int = CACHE_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import numpy as np
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         if array("I").itemsize != 4:
             raise RuntimeError("ids need unsigned 32-bit arrays")
         self.known = _Known(tokenizer, spaces_matter, most // 3)
-        self.words: dict[bytes, bytes] = {}
+        # the words known, their ids one after another, and where each word's begin (and the last ends)
+        self.words, self.flat, self.bounds = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
         self.most, self.spaces_matter = most, spaces_matter
         self.chunks = re.compile(
             rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
@@ -91,43 +129,70 @@ class ChunkEncoder:
             chunks = self.chunks(text)
         return b"".join(map(self.known.__getitem__, chunks))
 
-    def _new(self, word: bytes) -> bytes:
-        """The ids of a word as ``arrays`` cuts them off."""
-        text, space = word.decode(), ""
-        if self.spaces_matter:
-            if text[:1] == START:
-                text = text[1:]
-            elif text[:1] != "\n":
-                space = " "  # and no more for the space that ends a text
-        core, tail = (text[:-1], text[-1]) if text[-1:] in (".", ",") else (text, "")
-        # letters, which the tokenizer's model takes as they are, and perhaps a stop
-        if core.isalpha() and (self.spaces_matter or core.islower()) and (core.isascii() or _PLAIN(core)):
-            signs = core if core.isascii() else core.translate(_SIGNS)
-            ids = array("I", [t.id for t in self.known.model(_SIGNS[0x20] + signs if space else signs)]).tobytes()
-            return ids + self.known[tail] if tail else ids
-        return b"".join(map(self.known.__getitem__, self.chunks(space + text)))
-
-    def _words(self, dictionary) -> list[bytes]:
-        """The ids of each word of a string array."""
+    def _new(self, words: list[str]):
+        """(ids, bounds) of words as ``arrays`` cuts them off."""
+        import numpy as np
+
+        ids, bounds, model, known = array("I"), [0], self.known.model, self.known.__getitem__
+        for text in words:
+            space = ""
+            if self.spaces_matter:
+                if text[:1] == START:
+                    text = text[1:]
+                elif text[:1] != "\n":
+                    space = " "  # and no more for the space that ends a text
+            # letters, which the tokenizer's model takes as they are
+            if text.isalpha() and (self.spaces_matter or text.islower()) and (text.isascii() or _PLAIN(text)):
+                signs = text if text.isascii() else text.translate(_SIGNS)
+                ids.extend([t.id for t in model(_SIGNS[0x20] + signs if space else signs)])
+            else:
+                ids.frombytes(b"".join(map(known, self.chunks(space + text))))
+            bounds.append(len(ids))
+        return np.array(ids, "<u4"), np.array(bounds, np.int64)
+
+    def _cores(self, words):
+        """(ids, starts, sizes) of each word of a string array; words that are new are kept while there is room."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        found = pc.index_in(words, value_set=self.words)
+        missing = words.filter(found.is_null())
+        flat, bounds = self._new(missing.to_pylist())
+        which = found.fill_null(0).to_numpy().astype(np.int64)
+        which[found.is_null().to_numpy(zero_copy_only=False)] = len(self.words) + np.arange(len(missing))
+        every = np.concatenate([self.flat, flat])
+        places = np.concatenate([self.bounds[:-1], bounds + self.bounds[-1]])
+        starts, sizes = places[which], places[which + 1] - places[which]
+        room = self.most - len(self.words)
+        if room > 0 and len(missing):
+            short = np.flatnonzero(pc.binary_length(missing).to_numpy() <= LONGEST_CACHED)[:room]
+            some = np.diff(bounds)[short]
+            self.words = pa.concat_arrays([self.words, missing.take(pa.array(short))])
+            self.flat = np.concatenate([self.flat, _gathered(flat, bounds[short], some)])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(some)])
+        return every, starts, sizes
+
+    def _words(self, dictionary):
+        """(ids, bounds) of each word of a string array."""
         import numpy as np
 
         n = len(dictionary)
         if not n:
-            return []
-        _, offsets, data = dictionary.buffers()
-        places = np.frombuffer(offsets, np.int32)[dictionary.offset : dictionary.offset + n + 1].tolist()
-        data, get, keep = data.to_pybytes() if data else b"", self.words.get, self.words.__setitem__
-        words = [data[a:b] for a, b in zip(places[:-1], places[1:])]
-        out = [get(w) for w in words]
-        room, new = self.most - len(self.words), self._new
-        for i, ids in enumerate(out):
-            if ids is None:
-                word = words[i]
-                out[i] = ids = new(word)
-                if room > 0 and len(word) <= LONGEST_CACHED:
-                    keep(word, ids)
-                    room -= 1
-        return out
+            return np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        cores, stops = _without_stops(dictionary)
+        numbered = cores.dictionary_encode()
+        flat, starts, sizes = self._cores(numbered.dictionary)
+        which = numbered.indices.to_numpy()
+        # a word is the run of its core and that of its stop
+        signs = [np.frombuffer(self.known[x], "<u4") for x in ".,"]
+        at, size = np.zeros((n, 2), np.int64), np.zeros((n, 2), np.int64)
+        at[:, 0], size[:, 0] = starts[which], sizes[which]
+        for sign, ids in zip(b".,", signs):
+            ends = stops == sign
+            at[ends, 1], size[ends, 1] = len(flat), len(ids)
+            flat = np.concatenate([flat, ids])
+        return _gathered(flat, at.reshape(-1), size.reshape(-1)), np.concatenate([[0], np.cumsum(size.sum(axis=1))])
 
     def arrays(self, texts):
         """(ids, bounds): text i of a string array has the ids ``ids[bounds[i]:bounds[i + 1]]``."""
@@ -160,25 +225,22 @@ class ChunkEncoder:
             cut = pc.replace_substring(lowered, "\n", " ")
         lists = pc.split_pattern(cut, " ")
         numbered = lists.flatten().dictionary_encode()
-        words = self._words(numbered.dictionary)
+        flat, places = self._words(numbered.dictionary)
+        starts, sizes = places[:-1], np.diff(places)
         if self.spaces_matter and len(alone):
             # an odd text is a word of its own
-            place = len(words) + np.arange(len(alone))
-            words += [self._alone(texts[int(i)].as_py()) for i in alone]
-        flat = np.frombuffer(b"".join(words), "<u4")
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) // 4
-        starts = np.cumsum(sizes) - sizes
-        which = numbered.indices.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+            place = len(sizes) + np.arange(len(alone))
+            more = [np.frombuffer(self._alone(texts[int(i)].as_py()), "<u4") for i in alone]
+            sizes = np.concatenate([sizes, [len(x) for x in more]])
+            starts, flat = np.cumsum(sizes) - sizes, np.concatenate([flat, *more])
+        which = numbered.indices.to_numpy(zero_copy_only=False)
         bounds = lists.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         if self.spaces_matter and len(alone):
             which = which.copy()
             which[bounds[alone]] = place  # an odd text was cut to one word, of nothing
         n = sizes[which]
-        ends = np.cumsum(n)
-        at = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int64)
-        at += np.repeat(starts[which] - (ends - n), n)
-        return flat[at], np.concatenate([[0], ends])[bounds]
+        return _gathered(flat, starts[which], n), np.concatenate([[0], np.cumsum(n)])[bounds]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit bytes."""
@@ -192,7 +254,7 @@ _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
 def encoder(path: str, spaces_matter: bool, most: int = CACHE_CHUNKS) -> ChunkEncoder:
-    """One encoder for each Python worker and tokenizer file, with up to ``most`` chunks cached (some 200 bytes each)."""
+    """One encoder for each Python worker and tokenizer file, with up to ``most`` words kept (some 40 bytes each)."""
     key = (path, spaces_matter)
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path, spaces_matter, most)
