@@ -10,6 +10,9 @@ The best path is the one of the highest summed scores.  For a BPE model, whose s
 SentencePiece's own encoding: with piece_bpe_32k.model the ids of 150 documents (sf0.1, first 4000 characters) agreed
 with the library's for none, 124,865 ids to its 109,838.  The merge encoding is not offered.
 
+The pieces that end at a place follow from the few characters before it; what they are is kept for such endings, and only
+endings of longer pieces are looked up further.  The agenda holds no more paths than are still wanted.
+
 Spaces become U+2581, with one before the text.  A character without a piece of its own is spelt in byte pieces, each
 scored BYTE_PENALTY below the lowest piece.  Where no piece reaches over a place, every path passes it: before a
 U+2581 that follows another character, and between a letter and such ASCII signs as no piece has after a letter (found
@@ -23,6 +26,7 @@ import heapq
 import re
 import zlib
 from array import array
+from bisect import insort
 from operator import itemgetter
 
 from pyspark.sql import DataFrame
@@ -34,6 +38,7 @@ SPACE = "▁"
 BYTE_PENALTY = 10.0
 CACHE_CHUNKS = 700_000
 LONGEST_CACHED = 32
+ENDING, ENDINGS = 4, 150_000  # characters of an ending, and endings kept
 N_BEST = 3
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _IDS, _SCORE, _LOSS = map(itemgetter, range(3))
@@ -53,15 +58,41 @@ class _Known(dict):
         return got
 
 
+class _Endings(dict):
+    """The last characters before a place (ENDING, or all there are) to the edges that end there, the longest first, and the
+    sizes of longer pieces that end so, the longest first.
+
+    An edge is (characters, score, ids as bytes).  Endings are kept while there is room.
+    """
+
+    def __init__(self, edges: dict[str, tuple[int, float, bytes]], byte_ids: list[int], byte_score: float):
+        super().__init__()
+        self.edges, self.byte_ids, self.byte_score = edges, byte_ids, byte_score
+        sizes: dict[str, set[int]] = {}
+        for p in edges:
+            if len(p) > ENDING:
+                sizes.setdefault(p[-ENDING:], set()).add(len(p))
+        self.longer = {end: tuple(sorted(found, reverse=True)) for end, found in sizes.items()}
+
+    def __missing__(self, end: str) -> tuple:
+        found = [self.edges[p] for p in (end[i:] for i in range(len(end))) if p in self.edges]
+        if not found or found[-1][0] != 1:
+            raw = end[-1].encode("utf-8", "surrogatepass")
+            found.append((1, self.byte_score * len(raw), array("I", [self.byte_ids[b] for b in raw]).tobytes()))
+        got = tuple(found), self.longer.get(end, ())
+        if len(self) < ENDINGS:
+            self[end] = got
+        return got
+
+
 class Lattice:
     """Segmentations over a set of scored pieces."""
 
     def __init__(self, pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
         self.pieces, self.byte_ids = pieces, byte_ids
-        # every start of a piece: (score, ids) where it is a piece itself, else None
-        self.starts: dict[str, tuple[float, tuple[int, ...]] | None] = {p[:i]: None for p in pieces for i in range(1, len(p))}
-        self.starts.update((p, (score, (i,))) for p, (i, score) in pieces.items())
+        self.edges = {p: (len(p), score, array("I", [i]).tobytes()) for p, (i, score) in pieces.items()}
         self.byte_score = min((s for _, s in pieces.values() if s > -1e8), default=0.0) - BYTE_PENALTY
+        self.endings = _Endings(self.edges, byte_ids, self.byte_score)
         after = {x for p in pieces for x in re.findall(rf"(?<=[{_LETTERS}])[^{_LETTERS}]", p)}
         ends = "".join(re.escape(x) for x in map(chr, (10, *range(33, 127))) if not x.isalnum() and x not in after)
         cut = rf"{SPACE}?[{_LETTERS}]+(?=[{SPACE}{ends}]|\Z)|{SPACE}*[^{SPACE}]+|{SPACE}+"
@@ -82,69 +113,81 @@ class Lattice:
                 pieces[model.id_to_piece(i)] = (i, model.get_score(i))
         return cls(pieces, byte_ids)
 
-    def _edges(self, s: str):
+    def _forward(self, s: str):
         """The lattice over ``s`` and its forward pass.
 
-        For each place: the edges that end there (start, score, ids), the best score up to it, and the edge it comes by.
+        For each place: the edges that end there, the best score up to it, and the edge it comes by.
         """
-        n, get = len(s), self.starts.get
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        best, via = [0.0] + [-float("inf")] * n, [0] * (n + 1)
-        for i in range(n):
-            so_far, single = best[i], False
-            for j in range(i + 1, n + 1):
-                hit = get(s[i:j], False)
-                if hit:
-                    edges, score = into[j], hit[0]
-                    if so_far + score > best[j]:
-                        best[j], via[j] = so_far + score, len(edges)
-                    edges.append((i, score, hit[1]))
-                    single = single or j == i + 1
-                elif hit is False:
-                    break
-            if not single:
-                raw = s[i].encode("utf-8", "surrogatepass")
-                edges, score = into[i + 1], self.byte_score * len(raw)
-                if so_far + score > best[i + 1]:
-                    best[i + 1], via[i + 1] = so_far + score, len(edges)
-                edges.append((i, score, tuple(self.byte_ids[b] for b in raw)))
+        endings, pieces = self.endings, self.edges
+        into, best, via = [()], [0.0], [None]
+        for j in range(1, len(s) + 1):
+            edges, longer = endings[s[j - ENDING if j > ENDING else 0 : j]]
+            if longer:
+                more = [pieces[s[j - size : j]] for size in longer if size <= j and s[j - size : j] in pieces]
+                if more:
+                    edges = (*more, *edges)
+            top, taken = -float("inf"), edges[0]
+            for edge in edges:
+                score = best[j - edge[0]] + edge[1]
+                if score > top:
+                    top, taken = score, edge
+            into.append(edges)
+            best.append(top)
+            via.append(taken)
         return into, best, via
 
-    def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations of ``s`` (all, if fewer), best first: (score, ids)."""
-        into, best, via = self._edges(s)
-        out: list[tuple[float, list[int]]] = []
-        # (negated score of the best path that ends in this suffix, order, place the suffix starts at, suffix)
+    def _edges(self, s: str):
+        """``_forward`` with edges as (start, score, ids), and the number of the edge each place comes by."""
+        into, best, via = self._forward(s)
+        spelt = [[(j - size, score, tuple(memoryview(ids).cast("I"))) for size, score, ids in edges] for j, edges in enumerate(into)]
+        return spelt, best, [edges.index(edge) if edges else 0 for edges, edge in zip(into, via)]
+
+    def _paths(self, s: str, n: int) -> list[tuple[float, bytes]]:
+        """The n best segmentations of ``s`` (all, if fewer), best first: (score, ids as bytes)."""
+        into, best, via = self._forward(s)
+        out: list[tuple[float, bytes]] = []
+        # in order: negated score of the best path that ends in this suffix, number, place the suffix starts at, its score, it
         agenda: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(s), 0.0, None)]
-        pushed = 0
-        while agenda and len(out) < n:
-            cost, _, j, behind, suffix = heapq.heappop(agenda)
+        pushed, wanted = 0, n
+        while agenda and wanted:
+            cost, _, j, behind, suffix = agenda.pop(0)
+            wanted -= 1  # as many more; the agenda's own are as good as they look, so it needs no more than these
             while j:  # along the best prefix, leaving a deviation at every edge not taken
-                edges, taken = into[j], via[j]
-                if len(edges) > 1:
-                    for k, edge in enumerate(edges):
-                        if k != taken:
+                taken = via[j]
+                if wanted:
+                    for edge in into[j]:
+                        if edge is not taken:
+                            i, g = j - edge[0], behind + edge[1]
+                            least = -(best[i] + g)
+                            if len(agenda) == wanted:
+                                if least >= agenda[-1][0]:
+                                    continue
+                                agenda.pop()
                             pushed += 1
-                            g = behind + edge[1]
-                            heapq.heappush(agenda, (-(best[edge[0]] + g), pushed, edge[0], g, (edge[2], suffix)))
-                i, score, ids = edges[taken]
-                j, behind, suffix = i, behind + score, (ids, suffix)
-            path: list[int] = []
+                            insort(agenda, (least, pushed, i, g, (edge[2], suffix)))
+                j -= taken[0]
+                behind += taken[1]
+                suffix = taken[2], suffix
+            path = []
             while suffix:
-                path += suffix[0]
+                path.append(suffix[0])
                 suffix = suffix[1]
-            out.append((-cost, path))
+            out.append((-cost, b"".join(path)))
         return out
 
+    def n_best(self, s: str, n: int) -> list[tuple[float, list[int]]]:
+        """The n best segmentations of ``s`` (all, if fewer), best first: (score, ids)."""
+        return [(score, list(memoryview(ids).cast("I"))) for score, ids in self._paths(s, n)]
+
     def _solved(self, n: int) -> _Known:
         """Solutions by chunk: (ids of the best as bytes, its score, loss of the second or infinity, [(loss, ids)] of
         the others)."""
         if n not in self.known:
 
             def solve(chunk: str) -> tuple:
-                best, *rest = self.n_best(chunk, n)
-                others = [(best[0] - score, array("I", ids).tobytes()) for score, ids in rest]
-                return array("I", best[1]).tobytes(), best[0], others[0][0] if others else float("inf"), others
+                best, *rest = self._paths(chunk, n)
+                others = tuple([(best[0] - score, ids) for score, ids in rest])
+                return best[1], best[0], others[0][0] if others else float("inf"), others
 
             self.known[n] = _Known(solve)
         return self.known[n]
