@@ -19,6 +19,7 @@ from docspark.llm.tokens import encoder
 END_ID = 1
 SEGMENT_IDS = 8_000_000
 CACHE_CHUNKS = 500_000
+TEXT_BYTES = 8_000_000
 
 
 def write_ids(
@@ -46,7 +47,7 @@ def write_ids(
         from docspark.llm import rangecoder
 
         part = TaskContext.get().partitionId()
-        encode = encoder(tokenizer, False, CACHE_CHUNKS)
+        encode = encoder(tokenizer, False, CACHE_CHUNKS, TEXT_BYTES)
         docs, ids, lengths, n, nth, before = [], [], [], 0, 0, 0
 
         def row():

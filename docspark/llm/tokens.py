@@ -18,7 +18,7 @@ from array import array
 
 CACHE_CHUNKS = 300_000
 LONGEST_CACHED = 32
-TEXT_BYTES = 8_000_000
+TEXT_BYTES = 3_000_000  # of texts that are worked on at a time
 START = "\x1e"  # stands for the start of a text, which no space precedes; texts that hold it are odd
 ODD = r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|  | \n|\n "
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -101,7 +101,7 @@ class ChunkEncoder:
     separates words, and case is of no matter: ASCII letters are lowered first, unless the text may hold a special token.
     """
 
-    def __init__(self, path: str, spaces_matter: bool, most: int = CACHE_CHUNKS):
+    def __init__(self, path: str, spaces_matter: bool, most: int = CACHE_CHUNKS, text_bytes: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import numpy as np
         import pyarrow as pa
@@ -113,7 +113,7 @@ class ChunkEncoder:
         self.known = _Known(tokenizer, spaces_matter, most // 3)
         # the words known, their ids one after another, and where each word's begin (and the last ends)
         self.words, self.flat, self.bounds = pa.array([], pa.string()), np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        self.most, self.spaces_matter = most, spaces_matter
+        self.most, self.spaces_matter, self.text_bytes = most, spaces_matter, text_bytes or TEXT_BYTES
         self.chunks = re.compile(
             rf" ?{_WORD}|\n(?=[A-Za-z])|[ \n]*[^ \n]+|[ \n]+" if spaces_matter else rf"{_WORD}|[^ \n]+"
         ).findall
@@ -203,7 +203,7 @@ class ChunkEncoder:
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         ids, bounds, at = [np.zeros(0, "<u4")], [np.zeros(1, np.int64)], 0
         while at < len(texts):  # some at a time: what is worked on is several times as large
-            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + self.text_bytes, side="right")))
             got, cuts = self._arrays(texts.slice(at, to - at))
             ids.append(got)
             bounds.append(cuts[1:] + bounds[-1][-1])
@@ -253,9 +253,9 @@ class ChunkEncoder:
 _ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
 
 
-def encoder(path: str, spaces_matter: bool, most: int = CACHE_CHUNKS) -> ChunkEncoder:
+def encoder(path: str, spaces_matter: bool, most: int = CACHE_CHUNKS, text_bytes: int | None = None) -> ChunkEncoder:
     """One encoder for each Python worker and tokenizer file, with up to ``most`` words kept (some 40 bytes each)."""
     key = (path, spaces_matter)
     if key not in _ENCODERS:
-        _ENCODERS[key] = ChunkEncoder(path, spaces_matter, most)
+        _ENCODERS[key] = ChunkEncoder(path, spaces_matter, most, text_bytes)
     return _ENCODERS[key]
