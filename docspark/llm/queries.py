@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.llm import jaccard, quality_rules, secrets, topk
+from docspark.llm import jaccard, quality_rules, secrets, topk, variants
 from docspark.llm.common import shared_dir, table
 
 
@@ -71,5 +71,16 @@ def op10_piece_segmentation(spark, sf_dir):
     return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding, op9_quality_classifier, op10_piece_segmentation)}
-ORACLE_SQL: dict[str, str] = {"op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op5_secret_scan": secrets.oracle_sql(), "op6_exact_top_k": topk.ORACLE_SQL}
+def op11_spelling_variants(spark, sf_dir):
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+_OPERATORS = (
+    op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding,
+    op9_quality_classifier, op10_piece_segmentation, op11_spelling_variants,
+)
+QUERIES = {f.__name__: f for f in _OPERATORS}
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op5_secret_scan": secrets.oracle_sql(),
+    "op6_exact_top_k": topk.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL,
+}
