@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from docspark.llm import jaccard, quality_rules, secrets, topk, variants
+from docspark.llm import jaccard, lexical, quality_rules, secrets, topk, variants
 from docspark.llm.common import shared_dir, table
 
 
@@ -75,12 +75,16 @@ def op11_spelling_variants(spark, sf_dir):
     return variants.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 _OPERATORS = (
     op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding,
-    op9_quality_classifier, op10_piece_segmentation, op11_spelling_variants,
+    op9_quality_classifier, op10_piece_segmentation, op11_spelling_variants, op12_lexical_search,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": jaccard.ORACLE_SQL, "op3_quality_rules": quality_rules.ORACLE_SQL, "op5_secret_scan": secrets.oracle_sql(),
-    "op6_exact_top_k": topk.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL,
+    "op6_exact_top_k": topk.ORACLE_SQL, "op11_spelling_variants": variants.ORACLE_SQL, "op12_lexical_search": lexical.ORACLE_SQL,
 }
