@@ -358,6 +358,15 @@ def _tiles(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int
     signed = written(
         _signed(slim, n, num, den).withColumn("_row", F.monotonically_increasing_id()), "jaccard-sets"
     )
+    return slim, signed, *tiles_of(signed)
+
+
+def tiles_of(signed: DataFrame) -> tuple[DataFrame, ...]:
+    """The classes of the sets, the tiles that several of them share, and the bitmaps of those in tiles.
+
+    ``signed`` is a written table, one row a document: _row (unique), _id, _hash (of its text), n (members), k0, k1 (the
+    set's key), bits (its bitmap) and sigs (the tiles it falls into).
+    """
     one = F.min_by(F.struct("_id", "_hash"), "_row")
     classes = signed.where("n > 0").groupBy("k0", "k1", "n").agg(F.min("_row").alias("rep"), F.min("_id").alias("least_id"), one.alias("one"))
     classes = written(classes.select("k0", "k1", "n", "rep", "least_id", F.col("one._id").alias("an_id"), F.col("one._hash").alias("a_hash")), "jaccard-classes")
@@ -385,7 +394,7 @@ def _tiles(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int
     discard(large)
     discard(shared)
     bits = signed.select(F.col("_row").alias("rep"), "n", "bits").join(tiles.select("rep").distinct(), "rep", "left_semi")
-    return slim, signed, classes, tiles, written(bits, "jaccard-bits")
+    return classes, tiles, written(bits, "jaccard-bits")
 
 
 def _once(tiles: DataFrame) -> DataFrame:
@@ -435,6 +444,17 @@ def jaccard_components(
     component's id only where no other is; an empty table gives no rows; other columns are not read.
     """
     slim, signed, classes, tiles, bits = _tiles(df, id_col, text_col, n, num, den)
+    final = groups_of(slim, classes, tiles, bits, n, num, den)
+    full = signed.select("_id", "n", "k0", "k1").join(final, ["k0", "k1", "n"], "left")
+    own = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
+    return full.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def groups_of(slim: DataFrame, classes: DataFrame, tiles: DataFrame, bits: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(k0, k1, n, component_id) of every class: steps 3 to 5 over the tiles, which are removed.  A written table.
+
+    ``slim`` gives the texts again: _id, _text and _hash.
+    """
     stars = tiles.where("rep <> center").select(F.col("rep").alias("a"), F.col("center").alias("b")).distinct()
     stars = written(_within_bound(stars, bits, num, den), "jaccard-stars")
     links = _exact(stars, slim, classes, n, num, den)
@@ -460,9 +480,7 @@ def jaccard_components(
     least = written(named.groupBy("label").agg(F.min("least_id").alias("component_id")), "jaccard-least")
     final = written(named.join(least, "label").select("k0", "k1", "n", "component_id"), "jaccard-final")
     discard(links, first, second, classes, named, least)
-    full = signed.select("_id", "n", "k0", "k1").join(final, ["k0", "k1", "n"], "left")
-    own = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.col("component_id"))
-    return full.select(F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return final
 
 
 ORACLE_SQL = r"""
