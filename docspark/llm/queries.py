@@ -79,9 +79,16 @@ def op12_lexical_search(spark, sf_dir):
     return lexical.search(lexical.build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_document_fingerprints(spark, sf_dir):
+    from docspark.llm.minhash import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 _OPERATORS = (
     op1_best_fit_packing, op2_ngram_jaccard, op3_quality_rules, op4_license_scan, op5_secret_scan, op6_exact_top_k, op7_token_id_files, op8_sharding,
     op9_quality_classifier, op10_piece_segmentation, op11_spelling_variants, op12_lexical_search,
+    op13_document_fingerprints,
 )
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLE_SQL: dict[str, str] = {
