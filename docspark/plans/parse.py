@@ -14,12 +14,12 @@ from docspark.operators.clients import make_client
 from docspark.operators.enrich import described, enrichment_warnings, with_prompts
 from docspark.operators.gate import escalations, evaluate_pages
 from docspark.operators.render import render_documents
-from docspark.plans.batch import path_message, path_status
-from docspark.plans.cache import ResultCache, full_key, split_hits
+from docspark.plans.batch import FAILURES, path_message, path_status
+from docspark.plans.cache import ResultCache, full_key
 from docspark.staging import staged
 from docspark.schema import EnrichmentConfig
 from docspark.sources.engines import MINERU_COMMAND, Cascade, CommandEngine, DoclingEngine, MinerUEngine, region_rasters, run_engine, text_layer_tokens
-from docspark.sources.files import scan_files
+from docspark.sources.files import read_files, scan_files
 
 WARNINGS = "doc_key string, page_idx int, code string, message string"
 
@@ -85,35 +85,46 @@ def default_engine(config: EnrichmentConfig) -> Callable:
 
 
 def parse_batch(
-    spark: SparkSession, paths: list[str], config: EnrichmentConfig | None = None, engine: Callable | None = None,
+    spark: SparkSession, paths: list[str] | DataFrame, config: EnrichmentConfig | None = None, engine: Callable | None = None,
     cache_path: str | None = None, client: Callable | None = None,
 ) -> DataFrame:
     """One output a path, ordered by ``input_pos``.  Missing and unsupported files, and failures, are warnings.
 
-    Files that the cache holds are not parsed; a path given twice is parsed once and told twice.
+    ``paths`` is a list, or a table (input_pos, path).  Files that the cache holds are not parsed; a path given twice is
+    parsed once and told twice.  What is sorted out before the engine runs are keys; contents are read for those that are
+    left, where they are left, and stay in their partitions.
     """
     config = config or EnrichmentConfig()
-    scanned = scan_files(spark, [str(p) for p in paths], config).withColumn("status", path_status(F.col("exists"), F.col("accepted")))
-    once = scanned.dropDuplicates(["path"]).withColumn("file_path", F.col("path")).withColumn("doc_key", F.col("path")).withColumn("file_sha256", F.col("sha256"))
-    once = once.withColumn("cache_key", full_key(F.col("sha256"), F.col("mtime_ms"), config))
-    rejected = once.where("status is not null").withColumn("file_sha256", F.lit(""))
-    invalid = warned(rejected, F.col("status"), path_message(F.col("status"), F.col("path")), config)
-    wanted = once.where("status is null")
+    failed = F.lit(f"{config.parser}_error")
+    scanned = staged(scan_files(spark, paths, config), "scanned")
+    once = scanned.select("path", "exists", "accepted", "sha256", "mtime_ms", "error").dropDuplicates(["path"])
+    once = once.select("*", F.col("path").alias("doc_key"), F.col("path").alias("file_path"), full_key(F.col("sha256"), F.col("mtime_ms"), config).alias("cache_key"))
+    status = F.coalesce(path_status(F.col("exists"), F.col("accepted")), F.when(F.col("error").isNotNull(), failed))
+    once = staged(once.withColumn("status", status), "keys")
+    message = F.coalesce(path_message(F.col("status"), F.col("path")), F.col("error"))
+    rejected = once.where("status is not null").withColumn("file_sha256", F.when(F.col("status") == failed, F.col("sha256")).otherwise(""))
+    invalid = warned(rejected, F.col("status"), message, config)
+    wanted = once.where("status is null").select("doc_key", "path", "cache_key")
     cache = ResultCache(spark, cache_path) if cache_path else None
     hits = None
     if cache:
-        keys = wanted.select("cache_key", F.col("path").alias("doc_key"))
-        found, missing = split_hits(keys, cache.table())
+        found = staged(cache.get(wanted.select("cache_key", "doc_key")), "hits")
         hits = found.select("doc_key", F.col("doc_key").alias("file_path"), *[c for c in OUTPUT_COLUMNS if c != "file_path"])
-        wanted = wanted.join(missing.select("cache_key").distinct(), "cache_key", "left_semi")
-    wanted = staged(wanted, "files")
+        wanted = wanted.join(found.select("doc_key"), "doc_key", "left_anti")
+    read = read_files(wanted, config, content=True)
+    read = read.select(F.col("path").alias("doc_key"), "path", F.col("path").alias("file_path"), F.coalesce("sha256", F.lit("")).alias("file_sha256"), "mtime_ms", "content", "exists", "error")
+    read = staged(read, "files")
+    lost = read.where("content is null")  # read before, and no longer
+    gone = F.coalesce("error", F.concat(F.lit("File not found: "), F.col("path")))
+    invalid = invalid.unionByName(warned(lost, failed, gone, config))
+    wanted = read.where("content is not null")
     made = staged(run_engine(wanted, engine or default_engine(config)), "contents")
     contents = wanted.select("doc_key", "file_path", "file_sha256").join(made.withColumn("error", F.nullif("error", F.lit(""))), "doc_key")
     pdfs = wanted.where(F.lower("path").endswith(".pdf"))
     parsed = staged(parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs), "outputs")
     if cache:
-        kept = parsed.join(wanted.select("doc_key", "cache_key"), "doc_key")
-        cache.put(kept.where(~F.exists("warnings", lambda w: w["code"].isin("mineru_failed", "docling_failed", "mineru_error", "docling_error"))))
+        keys = wanted.select("doc_key", full_key(F.col("file_sha256"), F.col("mtime_ms"), config).alias("cache_key"))
+        cache.put(parsed.join(keys, "doc_key").where(~F.exists("warnings", lambda w: w["code"].isin(*FAILURES))))
     outputs = invalid.unionByName(parsed)
     if hits is not None:
         outputs = outputs.unionByName(hits.select(outputs.columns))

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from docspark.functions.ids import content_hash
 from docspark.schema import EnrichmentConfig
+from docspark.sources.scan import content_limit, reachable, scan
+from docspark.staging import staged
 
 
 ASKED_AT_ONCE = 32  # a store answers many questions as fast as one
@@ -53,22 +55,51 @@ def existing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
         return {p: f for p, f in zip(names, pool.map(full, names)) if f}
 
 
-def scan_files(spark: SparkSession, paths: list[str], config: EnrichmentConfig) -> DataFrame:
-    """(input_pos, path, exists, accepted, sha256, mtime_ms, content); content of rejected files is not read."""
-    asked = path_table(spark, paths)
-    there = existing(spark, [str(p) for p in paths])
+def _by_spark(names: DataFrame, config: EnrichmentConfig, content: bool, limit: int) -> DataFrame:
+    """What ``scan`` tells, for paths in stores that only Spark's readers reach: their names pass through the driver."""
+    spark = names.sparkSession
+    paths = [r["path"] for r in names.select("path").distinct().collect()]
+    there = existing(spark, paths)
     wanted = [p for p in there if re.search(r"[^/]\.([^./]*)$", p) and p.rpartition(".")[2].lower() in config.suffixes]
-    names = spark.createDataFrame([(p, there[p]) for p in there], "path string, _full string")
-    schema = "_full string, mtime_ms long, content binary"
+    full = spark.createDataFrame([(p, there.get(p), p in there) for p in paths], "path string, _full string, exists boolean")
     if wanted:
-        read = spark.read.format("binaryFile").load([literal_path(p) for p in wanted])
-        read = read.select(F.col("path").alias("_full"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+        read = spark.read.format("binaryFile").option("ignoreMissingFiles", "true").option("ignoreCorruptFiles", "true").load([literal_path(p) for p in wanted])
     else:
-        read = spark.createDataFrame([], schema)
-    rows = asked.join(names, "path", "left").join(read, "_full", "left")
+        read = spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+    looked = read.select(F.col("path").alias("_full"), "length", F.unix_millis("modificationTime").alias("mtime_ms"))
+    # the length is known before the content is read
+    held = read.where(F.col("length") <= limit).select(F.col("path").alias("_full"), content_hash(F.col("content")).alias("sha256"), "content")
+    rows = full.join(looked, "_full", "left").join(held, "_full", "left")
+    large = F.concat(F.lit("the file has "), F.col("length").cast("string"), F.lit(f" bytes, more than {limit}"))
+    error = F.when(F.col("length") > limit, large).when(F.col("length").isNotNull() & F.col("sha256").isNull(), "the file could not be read")
+    kept = F.col("content") if content else F.lit(None).cast("binary")
+    return rows.select("path", "exists", "length", "mtime_ms", "sha256", kept.alias("content"), error.alias("error"))
+
+
+def read_files(names: DataFrame, config: EnrichmentConfig, content: bool = False, limit: int | None = None) -> DataFrame:
+    """A row for each distinct ``path`` of ``names``: exists, length, mtime_ms, sha256, content, error.
+
+    Files whose suffix is not accepted are looked at and not read.  A file that is too large, gone or forbidden is a row with
+    an error, or one that does not exist; it never ends the job.
+    """
+    limit = content_limit(names.sparkSession) if limit is None else limit
+    rows = scan(names.where(reachable(F.col("path"))), config.suffixes, content, limit)
+    others = names.where(~reachable(F.col("path")))
+    return rows if others.isEmpty() else rows.unionByName(_by_spark(others, config, content, limit))
+
+
+def scan_files(spark: SparkSession, paths: list[str] | DataFrame, config: EnrichmentConfig, limit: int | None = None) -> DataFrame:
+    """(input_pos, path, exists, accepted, sha256, mtime_ms, error) of a list of paths, or of a table (input_pos, path).
+
+    Contents are hashed in pieces and not carried along: ``read_files`` gives those of the paths that are still wanted.
+    """
+    asked = paths if isinstance(paths, DataFrame) else path_table(spark, paths)
+    asked = asked.select("input_pos", F.col("path").cast("string").alias("path"))
+    read = staged(read_files(asked, config, limit=limit).drop("content", "length"), "scan")
+    rows = asked.join(read, "path", "left")
     return rows.select(
-        "input_pos", "path", F.col("_full").isNotNull().alias("exists"), is_accepted(F.col("path"), config).alias("accepted"),
-        F.coalesce(content_hash(F.col("content")), F.lit("")).alias("sha256"), "mtime_ms", "content",
+        "input_pos", "path", F.coalesce("exists", F.lit(False)).alias("exists"), is_accepted(F.col("path"), config).alias("accepted"),
+        F.coalesce("sha256", F.lit("")).alias("sha256"), "mtime_ms", "error",
     )
 
 
