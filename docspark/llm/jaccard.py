@@ -160,8 +160,8 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return slim.mapInArrow(sign, f"_id {kind}, _hash long, n long, k0 long, k1 long, sigs array<long>, bits binary")
 
 
-def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows of ``df`` whose id may be in ``ids``, so that a join shuffles few others.
+def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str, worth: bool = True) -> DataFrame:
+    """The rows of ``df`` whose id may be in ``ids``, so that a join shuffles few others; or those whose id is not.
 
     A bitmap of hashed ids of fixed size (at most 4 MB, in 1024 rows) is sent to every task.  It is only a first
     sieve: the join that follows decides.
@@ -171,8 +171,9 @@ def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str) -> Data
     maps = ids.groupBy(bucket(id_col).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place(id_col))).alias("_map"))
     at = F.bitmap_bit_position(place(col))
     byte = F.conv(F.hex(F.substring("_map", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = df.withColumn("_bucket", bucket(col)).join(F.broadcast(maps), "_bucket")
-    return held.where(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).drop("_bucket", "_map")
+    held = df.withColumn("_bucket", bucket(col)).join(F.broadcast(maps), "_bucket", "inner" if worth else "left")
+    found = F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1
+    return held.where(found if worth else ~F.coalesce(found, F.lit(False))).drop("_bucket", "_map")
 
 
 def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches, discard, written
-from docspark.llm.jaccard import _set_key, bitmap, groups_of, member_sets, tiles_of
+from docspark.llm.jaccard import _set_key, _worth_dealing, bitmap, groups_of, member_sets, tiles_of
 from docspark.llm.words import mix, text_groups
 
 SHINGLE = 5
@@ -173,8 +173,14 @@ def fingerprints(
     sigs = F.transform(bands, lambda i: F.xxhash64(F.substring("fp", i * width + 1, F.lit(width)), i))
     classes, tiles, bits = tiles_of(made.select("_id", "_hash", "_row", "n", "k0", "k1", "bits", sigs.alias("sigs")))
     final = groups_of(slim.drop("_row"), classes, tiles, bits, n, num, den)
-    # classes of one document are their own group: only the others are looked up
-    known = made.join(final, ["k0", "k1", "n"], "left")
+    # most documents are alone in their class and group: only the others are shuffled to be told theirs
+    sizes = made.groupBy("k0", "k1", "n").agg(F.count(F.lit(1)).alias("many"), F.min("_id").alias("least"))
+    shared = final.join(sizes, ["k0", "k1", "n"]).where("many > 1 or not (component_id <=> least)").select("k0", "k1", "n", "component_id")
+    shared = written(shared.withColumn("class", F.xxhash64("k0", "k1", "n")), "minhash-shared")
+    made = made.withColumn("_class", F.xxhash64("k0", "k1", "n"))
+    alone = _worth_dealing(made, "_class", shared, "class", False).withColumn("component_id", F.col("_id"))
+    told = _worth_dealing(made, "_class", shared, "class").join(shared.drop("class"), ["k0", "k1", "n"], "left")
+    known = told.withColumn("component_id", F.coalesce("component_id", "_id")).unionByName(alone)
     hexed = lambda c: F.lower(F.hex(c))
     return known.select(
         F.col("_id").alias(id_col), "n_chars", F.col("sha").alias("edited_sha256"), hexed("fp").alias("fingerprint"), hexed("other").alias("edited_fingerprint"),
