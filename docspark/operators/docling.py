@@ -6,8 +6,6 @@ of a depth-first walk -> ``elements``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,10 +15,12 @@ from docspark.functions.ids import element_id
 from docspark.functions.media import decoded_picture
 from docspark.functions.python_only import dumped_json
 from docspark.operators.elements import MOST_PAGES
-from docspark.staging import shared_dir, staged
+from docspark.staging import staged
 
 LEAVES = ("texts", "pictures", "tables")
 CONTAINERS = ("groups", "body")
+BODY = -1  # the body among the numbers of groups
+MOST_LEAVES = 1_000_000  # of a document that names groups again; what is written once has no bound
 
 
 def reference(child: Column) -> Column:
@@ -70,45 +70,96 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.join(nodes.select("doc_key", "node_type", "idx", "node"), ["doc_key", "node_type", "idx"])
 
 
+def _counted(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
+    """(containers, looping, rounds) by pointer doubling: a round looks twice as far as the one before.
+
+    ``ways`` holds how many ways lead from one container to another in exactly 2**k steps, as numbers, so that a group named
+    often is never copied.  ``containers`` (doc_key, node, size, reached): the leaves below each (as many as are told, a group
+    named twice counts twice), and whether the body reaches it.  ``looping``: documents whose body starts a way of as many
+    steps as there are containers, which only a cycle allows.  Written tables.
+    """
+    spark = edges.sparkSession
+    one, none = F.lit(1.0), F.lit(0.0)
+    inner = edges.where("node_type = 'groups'")
+    ends = inner.select("doc_key", F.col("p").alias("node")).union(inner.select("doc_key", F.col("idx").alias("node")))
+    many = staged(ends.distinct().groupBy("doc_key").agg(F.count(F.lit(1)).alias("containers")), "walk-sizes")
+    rows = edges.select("doc_key", F.col("p").alias("node"), F.when(F.col("node_type") == "groups", none).otherwise(one).alias("size"))
+    rows = rows.union(inner.select("doc_key", F.col("idx").alias("node"), none.alias("size")))
+    known = staged(rows.groupBy("doc_key", "node").agg(F.sum("size").alias("size"), (F.col("node") == BODY).alias("reached")), "walk-containers")
+    ways = staged(inner.groupBy("doc_key", F.col("p").alias("top"), F.col("idx").alias("bottom")).agg(F.count(F.lit(1)).cast("double").alias("ways")), "walk-ways")
+    looping, rounds = spark.createDataFrame([], f"doc_key {key}"), 0
+    while True:
+        # the documents whose body has a way of 2**rounds steps
+        deep = ways.where(F.col("top") == BODY).select("doc_key").distinct().join(many, "doc_key")
+        again = staged(deep.select("doc_key", (F.col("containers") <= 1 << rounds).alias("loops")), "walk-deep")
+        told = {r["loops"] for r in again.select("loops").distinct().collect()}  # two rows at most
+        if True in told:
+            looping = looping.union(again.where("loops").select("doc_key"))
+        if False not in told:
+            return known, looping, rounds
+        ways = ways.join(again.where("not loops").select("doc_key"), "doc_key", "left_semi")
+        up = ways.join(known.where("size > 0").select("doc_key", F.col("node").alias("bottom"), "size"), ["doc_key", "bottom"])
+        up = up.select("doc_key", F.col("top").alias("node"), (F.col("ways") * F.col("size")).alias("size"), F.lit(False).alias("reached"))
+        down = ways.join(known.where("reached").select("doc_key", F.col("node").alias("top")), ["doc_key", "top"])
+        down = down.select("doc_key", F.col("bottom").alias("node"), none.alias("size"), F.lit(True).alias("reached"))
+        further = known.union(up).union(down).groupBy("doc_key", "node").agg(F.sum("size").alias("size"), F.max("reached").alias("reached"))
+        on = ways.select("doc_key", F.col("top").alias("bottom"), F.col("bottom").alias("last"), F.col("ways").alias("more"))
+        twice = ways.join(on, ["doc_key", "bottom"]).groupBy("doc_key", "top", F.col("last").alias("bottom")).agg(F.sum(F.col("ways") * F.col("more")).alias("ways"))
+        known, ways, rounds = staged(further, "walk-containers"), staged(twice, "walk-ways"), rounds + 1
+
+
+def _placed(edges: DataFrame, rounds: int) -> DataFrame:
+    """(doc_key, node, start) of each time that the body comes to a container; ``edges`` have ``start``, their place in ``p``.
+
+    Again by doubling: the ways of 2**k steps carry the sum of their places, and each round joins them to all that is reached.
+    """
+    ways = edges.where("node_type = 'groups'").select("doc_key", F.col("p").alias("top"), F.col("idx").alias("bottom"), "start")
+    come = edges.select("doc_key").distinct().select("doc_key", F.lit(BODY).alias("node"), F.lit(0).cast("long").alias("start"))
+    for k in range(rounds):
+        step = ways.select("doc_key", F.col("top").alias("node"), F.col("bottom").alias("to"), F.col("start").alias("more"))
+        beyond = come.join(step, ["doc_key", "node"]).select("doc_key", F.col("to").alias("node"), (F.col("start") + F.col("more")).alias("start"))
+        come = staged(come.union(beyond), "walk-come")
+        if k + 1 < rounds:
+            on = ways.select("doc_key", F.col("top").alias("bottom"), F.col("bottom").alias("last"), F.col("start").alias("more"))
+            twice = ways.join(on, ["doc_key", "bottom"]).select("doc_key", "top", F.col("last").alias("bottom"), (F.col("start") + F.col("more")).alias("start"))
+            ways = staged(twice, "walk-ways")
+    return come
+
+
 def walk_trees(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``leaves`` (doc_key, element_idx, node_type, node) in depth-first order from the body, and ``bad`` trees.
 
-    Level by level, to any depth: each level is a written table, the containers of the one before joined with their
-    children.  A path of positions keeps the order, the containers above a node tell a cycle.  A tree with a cycle that
-    its body reaches has no leaves; ``bad`` (doc_key, code, message) names it.  A reference to the body names nothing.
+    Leaves are counted first, and a leaf's place is the sum of the places on its way down, each the leaves of the siblings
+    before.  Both take as many rounds as the depth has binary digits, whatever the documents' number and size, and rows
+    do not grow with the depth.  A group that is named again has its leaves again.
+
+    ``bad`` (doc_key, code, message) names trees with a cycle that the body reaches, and those whose groups are named so
+    often that they have more than MOST_LEAVES leaves and more than are written in them; such trees have no leaves here and
+    cost no other document.  A reference to the body names nothing.
     """
+    key = dict(nodes.dtypes)["doc_key"]
     edges = resolve_refs(child_refs(nodes).select("doc_key", F.struct("node_type", "idx").alias("parent"), "child_pos", "ref"), nodes)
     edges = edges.where("node_type in ('texts', 'pictures', 'tables', 'groups')")
-    edges = edges.select("doc_key", F.col("parent.node_type").alias("p_type"), F.col("parent.idx").alias("p_idx"), "child_pos", "node_type", "idx")
-    edges = staged(edges, "edges")  # every level reads them
-    spark = nodes.sparkSession
-    at = f"{shared_dir(spark)}/walk-{uuid.uuid4().hex}"
-    spine = edges.where("p_type = 'body'").select("doc_key").distinct()
-    level = spine.select("doc_key", F.lit("body").alias("node_type"), F.lit(0).alias("idx"), F.array().cast("array<int>").alias("path"), F.array().cast("array<int>").alias("above"))
-    depth, cyclic = 0, F.array_contains("above", F.col("idx"))
-    while True:
-        up = level.select("doc_key", F.col("node_type").alias("p_type"), F.col("idx").alias("p_idx"), "path", "above")
-        # only groups can come again; the body is not among those above
-        above = F.when(F.col("p_type") == "groups", F.array_append("above", F.col("p_idx"))).otherwise(F.col("above"))
-        reached = up.join(edges, ["doc_key", "p_type", "p_idx"]).select(
-            "doc_key", "node_type", "idx", F.array_append("path", F.col("child_pos")).alias("path"), above.alias("above")
-        )
-        reached.select("*", ((F.col("node_type") == "groups") & cyclic).alias("cyclic")).write.parquet(f"{at}/{depth}")
-        schema = f"doc_key {dict(nodes.dtypes)['doc_key']}, node_type string, idx int, path array<int>, above array<int>, cyclic boolean"
-        written = spark.read.schema(schema).parquet(f"{at}/{depth}")
-        level = written.where("node_type = 'groups'")
-        if level.isEmpty():
-            break
-        again = level.where("cyclic").select("doc_key").distinct()
-        if not again.isEmpty():
-            level = level.join(again, "doc_key", "left_anti")
-        depth += 1
-    found = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(at)
-    said = F.lit("the layout tree has a cycle")
-    bad = found.where("cyclic").select("doc_key").distinct().select("doc_key", F.lit("docling_failed").alias("code"), said.alias("message"))
-    order = F.row_number().over(Window.partitionBy("doc_key").orderBy("path")) - 1
-    leaves = found.where(F.col("node_type").isin(*LEAVES)).select("doc_key", "node_type", "idx", "path").join(bad.select("doc_key"), "doc_key", "left_anti")
-    return leaves.withColumn("element_idx", order).join(nodes, ["doc_key", "node_type", "idx"]).drop("idx", "path"), bad
+    p = F.when(F.col("parent.node_type") == "body", BODY).otherwise(F.col("parent.idx"))
+    edges = staged(edges.select("doc_key", p.alias("p"), "child_pos", "node_type", "idx"), "walk-edges")
+    known, looping, rounds = _counted(edges, key)
+    written = edges.where("node_type <> 'groups'").groupBy("doc_key").agg(F.count(F.lit(1)).alias("written"))
+    most = F.greatest(F.lit(MOST_LEAVES), F.coalesce("written", F.lit(0)))
+    large = known.where(F.col("node") == BODY).join(written, "doc_key", "left").where(F.col("size") > most).select("doc_key")
+    say = lambda rows, message: rows.select("doc_key", F.lit("docling_failed").alias("code"), F.lit(message).alias("message"))
+    large = large.join(looping, "doc_key", "left_anti")
+    bad = staged(say(looping, "the layout tree has a cycle").union(say(large, f"the layout tree has more than {MOST_LEAVES} leaves")), "walk-bad")
+    live = known.where("reached and size > 0").join(bad.select("doc_key"), "doc_key", "left_anti").select("doc_key", "node", "size")
+    steps = edges.join(live.select("doc_key", F.col("node").alias("p")), ["doc_key", "p"], "left_semi")
+    below = live.select("doc_key", F.lit("groups").alias("node_type"), F.col("node").alias("idx"), "size")
+    size = F.when(F.col("node_type") == "groups", F.coalesce("size", F.lit(0.0))).otherwise(1.0).cast("long")
+    steps = steps.join(below, ["doc_key", "node_type", "idx"], "left").withColumn("size", size).where("size > 0")
+    before = Window.partitionBy("doc_key", "p").orderBy("child_pos").rowsBetween(Window.unboundedPreceding, -1)
+    steps = staged(steps.select("doc_key", "p", "node_type", "idx", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start")), "walk-steps")
+    come = _placed(steps, rounds).select("doc_key", F.col("node").alias("p"), F.col("start").alias("first"))
+    leaves = steps.where("node_type <> 'groups'").join(come, ["doc_key", "p"])
+    leaves = leaves.select("doc_key", "node_type", "idx", (F.col("first") + F.col("start")).cast("int").alias("element_idx"))
+    return leaves.join(nodes, ["doc_key", "node_type", "idx"]).drop("idx"), bad
 
 
 def walk(nodes: DataFrame) -> DataFrame:

@@ -532,6 +532,7 @@ def arrival_rates(spark, sf_dir):
 
 
 from docspark import block_queries as _block_queries  # noqa: E402, F401  registers its queries here
+from docspark import export_queries as _export_queries  # noqa: E402, F401
 from docspark import file_queries as _file_queries  # noqa: E402, F401
 
 

@@ -1,6 +1,8 @@
 """Layout trees of any depth and number are walked whole; a cycle costs its own document only."""
 
 import json
+import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -57,3 +59,88 @@ def test_table_data_keeps_its_own_order(spark):
     assert [r.text for r in got if r.doc_key == "d"] == want
     # next to a table that is no object
     assert [sorted(json.loads(r.text).items()) for r in got if r.doc_key == "o"] == [[("a", 2), ("b", 1)]]
+
+
+def plain_walk(tree):
+    """The texts of a tree's leaves, or None for a cycle that the body reaches."""
+    out, above = [], []
+
+    def go(children):
+        for ref in children:
+            _, kind, at = ref.split("/")
+            nodes = tree.get(kind, [])
+            if not -len(nodes) <= int(at) < len(nodes):
+                continue
+            at = int(at) % len(nodes)
+            if kind == "texts":
+                out.append(nodes[at]["orig"])
+            elif kind == "groups":
+                if at in above:
+                    raise RecursionError
+                above.append(at)
+                go(nodes[at]["children"])
+                above.pop()
+
+    try:
+        go(tree["body"]["children"])
+    except RecursionError:
+        return None
+    return out
+
+
+def random_tree(rng, cycles):
+    n, texts = rng.randrange(9), rng.randrange(5)
+
+    def kids(at):
+        lowest = 0 if cycles and rng.random() < 0.1 else at + 1
+        refs = [f"#/groups/{rng.randrange(lowest, n)}" for _ in range(rng.randrange(4)) if lowest < n]
+        refs += [f"#/texts/{rng.randrange(-2, texts + 1)}" for _ in range(rng.randrange(4))] + ["#/body/0"] * (rng.random() < 0.1)
+        rng.shuffle(refs)
+        return refs
+
+    return {"body": {"children": kids(-1)}, "groups": [{"children": kids(i)} for i in range(n)], "texts": [{"orig": f"t{i}"} for i in range(texts)]}
+
+
+def test_any_tree_is_walked_as_by_recursion(spark):
+    rng = random.Random(2)
+    trees = {f"d{i}": random_tree(rng, i % 2) for i in range(300)}
+    rows = [(k, json.dumps(t)) for k, t in trees.items()]
+    nodes = docling.explode_nodes(spark.createDataFrame(rows, "doc_key string, content string"))
+    found, bad = docling.walk_trees(nodes)
+    got = {}
+    for r in docling.route_leaves(found).orderBy("doc_key", "seq").collect():
+        got.setdefault(r.doc_key, []).append((r.seq, r.text))
+    want = {k: plain_walk(t) for k, t in trees.items()}
+    assert {r.doc_key for r in bad.collect()} == {k for k, w in want.items() if w is None} and len(set(map(str, want.values()))) > 100
+    assert got == {k: list(enumerate(w)) for k, w in want.items() if w}
+
+
+def test_five_hundred_levels_beside_others(spark):
+    n = 500
+    deep = {"body": {"children": ["#/groups/0", "#/texts/1"]}, "groups": [{"children": [f"#/groups/{i + 1}", "#/texts/2"]} for i in range(n - 1)] + [{"children": ["#/texts/0"]}], "texts": [{"orig": t} for t in ("deep", "after", "up")]}
+    trees = {"d": deep} | {f"o{i}": {"body": {"children": ["#/texts/0"]}, "texts": [{"orig": "x"}]} for i in range(20)}
+    rows = [(k, json.dumps(t)) for k, t in trees.items()]
+    edges = []
+    plain = docling._counted
+    docling._counted = lambda *a: edges.append(plain(*a)) or edges[0]
+    try:
+        got = docling.route_leaves(docling.walk(docling.explode_nodes(spark.createDataFrame(rows, "doc_key string, content string"))))
+    finally:
+        docling._counted = plain
+    assert edges[0][2] == 9  # rounds
+    assert [r.text for r in got.where("doc_key = 'd'").orderBy("seq").collect()] == ["deep"] + ["up"] * (n - 1) + ["after"]
+    assert got.where("doc_key <> 'd'").count() == 20
+
+
+def test_groups_named_again_and_again_fail_alone(spark, monkeypatch):
+    def doubled(levels):
+        groups = [{"children": [f"#/groups/{i + 1}"] * 2} for i in range(levels - 1)] + [{"children": ["#/texts/0"] * 2}]
+        return {"body": {"children": ["#/groups/0"]}, "groups": groups, "texts": [{"label": "text", "orig": "x"}]}
+
+    trees = {"ten": doubled(10), "forty": doubled(40), "thousands": doubled(3000), "wide": {"body": {"children": ["#/texts/0"] * 1500}, "texts": [{"orig": "x"}]}}
+    monkeypatch.setattr(docling, "MOST_LEAVES", 1100)
+    rows = [(k, json.dumps(t)) for k, t in trees.items()]
+    began = time.time()
+    found, bad = docling.walk_trees(docling.explode_nodes(spark.createDataFrame(rows, "doc_key string, content string")))
+    assert {r.doc_key: r.message for r in bad.collect()} == {k: "the layout tree has more than 1100 leaves" for k in ("forty", "thousands")}
+    assert {r.doc_key: r["count"] for r in found.groupBy("doc_key").count().collect()} == {"ten": 1024, "wide": 1500} and time.time() - began < 120
