@@ -162,7 +162,7 @@ def fingerprints(
     are all alike, and their documents linked with nothing; ids that repeat follow each other in the order of the input,
     null ids come first; a lone document is its own next; an empty table gives no rows; other columns are not read.
     """
-    bounded_batches(df.sparkSession, "8m")
+    bounded_batches(df.sparkSession, "3m")
     if count % BAND:
         raise ValueError(f"count must be a multiple of {BAND}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
