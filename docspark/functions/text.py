@@ -18,6 +18,21 @@ def n_tokens(text: Column) -> Column:
     return F.size(tokens(text))
 
 
+def word_count(text: Column) -> Column:
+    """The number of words between white space, without a list of them."""
+    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+
+
+def letter_word_count(text: Column) -> Column:
+    """The number of words that are letters throughout."""
+    return F.regexp_count(text, F.lit(rf"(?<![^{SPACE}])\p{{L}}++(?![^{SPACE}])"))
+
+
+def words_length(text: Column) -> Column:
+    """The characters of all words together."""
+    return F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+
+
 def strip(text: Column) -> Column:
     """White space off both ends, like str.strip()."""
     return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+\\z", "")
@@ -30,15 +45,24 @@ def truncate_words(text: Column, most: int | Column) -> Column:
     return F.when(F.size(words) <= most, text).otherwise(F.concat(F.array_join(F.slice(words, F.lit(1), most), " "), F.lit("...")))
 
 
-def is_content_token(token: Column) -> Column:
-    """A word of letters, or a number with the usual signs of amounts, dates and ranges."""
+DIGIT = r"[\p{Nd}²³¹]"
+GARBLED = r"[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]"
+
+
+def is_number_token(token: Column) -> Column:
+    """A number with the usual signs of amounts, dates and ranges."""
     bare = F.regexp_replace(F.regexp_replace(token, r"^[()\[\].,%$:/+-]+|[()\[\].,%$:/+-]+\z", ""), "[,./]", "")
-    return token.rlike(r"^\p{L}+\z") | bare.rlike(r"^[\p{Nd}²³¹]+\z")
+    return bare.rlike(rf"^{DIGIT}+\z")
+
+
+def is_content_token(token: Column) -> Column:
+    """A word of letters, or a number."""
+    return token.rlike(r"^\p{L}+\z") | is_number_token(token)
 
 
 def is_garbled_token(token: Column) -> Column:
     """A Latin letter next to a digit."""
-    return token.rlike(r"[A-Za-z]\p{Nd}|\p{Nd}[A-Za-z]")
+    return token.rlike(GARBLED)
 
 
 def has_repeated_run(text: Column) -> Column:

@@ -17,16 +17,16 @@ SIGNALS = ("garbled_token_ratio", "mean_word_length", "dict_hit_rate", "repeated
 def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the five signals of a text and ``failing_signals``.
 
-    The text is split once.  Without a word, ratios are 0, the printable ratio is 1, and empty_text fails.
+    Words are counted on the text; they are listed only where a digit, or a letter next to one, is in it at all.  Without a
+    word, ratios are 0, the printable ratio is 1, and empty_text fails.
     """
-    words, body = F.col("_words"), F.col(text)
-    n = F.size(words)
-    ratio = lambda test: F.when(n == 0, 0.0).otherwise(F.size(F.filter(words, test)).cast("double") / n.cast("double"))
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    df = df.withColumn("_words", T.tokens(body)).withColumns({
-        "garbled_token_ratio": ratio(T.is_garbled_token),
-        "mean_word_length": F.when(n == 0, 0.0).otherwise(letters.cast("double") / n.cast("double")),
-        "dict_hit_rate": ratio(T.is_content_token),
+    body, n = F.col(text), F.col("_n")
+    ratio = lambda count: F.when(n == 0, 0.0).otherwise(count.cast("double") / n.cast("double"))
+    listed = lambda sign, test: F.when(body.rlike(sign), F.size(F.filter(T.tokens(body), test))).otherwise(0)
+    df = df.withColumn("_n", T.word_count(body)).withColumns({
+        "garbled_token_ratio": ratio(listed(T.GARBLED, T.is_garbled_token)),
+        "mean_word_length": ratio(T.words_length(body)),
+        "dict_hit_rate": ratio(T.letter_word_count(body) + listed(T.DIGIT, T.is_number_token)),
         "has_repeated_char_run": (n > 0) & T.has_repeated_run(body),
         "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.printable_ratio(body)),
     })
@@ -35,7 +35,7 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
         F.col("has_repeated_char_run"), F.col("ascii_printable_ratio") < PRINTABLE_MIN,
     )
     failing = F.array_compact(F.array(*[F.when(f, name) for f, name in zip(fails, SIGNALS)]))
-    return df.withColumn("failing_signals", F.when(n == 0, F.array(F.lit("empty_text"))).otherwise(failing)).drop("_words")
+    return df.withColumn("failing_signals", F.when(n == 0, F.array(F.lit("empty_text"))).otherwise(failing)).drop("_n")
 
 
 def ordered_join(order: str, text: str, when: Column, sep: str = "\n") -> Column:
@@ -47,7 +47,7 @@ def ordered_join(order: str, text: str, when: Column, sep: str = "\n") -> Column
 def page_texts(elements: DataFrame) -> DataFrame:
     """One row a page with elements: element_count, extracted (words of text elements), text (all but furniture)."""
     shown = ~F.col("type").isin(*FURNITURE) & (F.col("text") != "")
-    counted = F.when(F.col("type").isin(*TEXT_TYPES), T.n_tokens(F.col("text")))
+    counted = F.when(F.col("type").isin(*TEXT_TYPES), T.word_count(F.col("text")))
     return elements.groupBy("doc_key", "page_idx").agg(
         F.count(F.lit(1)).cast("int").alias("element_count"), F.coalesce(F.sum(counted), F.lit(0)).alias("extracted"),
         ordered_join("seq", "text", shown).alias("text"),
