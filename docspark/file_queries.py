@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark import queries as Q
+from docspark.operators import elements
 from docspark.operators.assemble import warned
 from docspark.plans.cache import ResultCache
 from docspark.plans.parse import parse_batch
 from docspark.schema import EnrichmentConfig
 from docspark.sources.files import read_files, scan_files
+from docspark.sources.html import page_blocks
 from docspark.sources.scan import write_file
 from docspark.staging import shared_dir, staged
 
@@ -107,3 +109,21 @@ def cache_snapshots(spark, sf_dir):
     kept.put(said("third ", docs.where(n % 10 == 0)))
     found = kept.get(docs.select("doc_id", "cache_key").union(docs.select("doc_id", F.concat("cache_key", F.lit("x")))))
     return found.select("doc_id", F.get("warnings", F.lit(0))["message"].alias("said"))
+
+
+@Q.register("""
+WITH b AS (SELECT doc_id, unnest([0, 1, 2, 3, 4]) AS seq FROM documents)
+SELECT doc_id::VARCHAR AS doc_key, seq::INTEGER AS seq, CASE seq WHEN 0 THEN 'header' WHEN 1 THEN 'heading' WHEN 2 THEN 'text' WHEN 3 THEN 'list_item' ELSE 'footer' END AS type,
+       CASE seq WHEN 0 THEN 'menu ' || doc_id WHEN 1 THEN repeat('#', (doc_id % 3 + 1)::INTEGER) || ' Page ' || doc_id WHEN 2 THEN 'in ' || lang || ' & from ' || source WHEN 3 THEN n_chars || ' signs' ELSE 'end' END AS text
+FROM b JOIN documents USING (doc_id)""")
+def html_levels(spark, sf_dir):
+    """A web page for every document: headings of three levels, references, nested tags, scripts and comments."""
+    n = F.col("doc_id").cast("string")
+    level = (F.col("doc_id") % 3 + 1).cast("string")
+    cat = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    page = cat(
+        "<html><head><script>if (a < b) { '<p>no</p>' }</script><style>p {}</style></head><body><nav>menu\n ", n, "</nav><h", level, " class='a>b'>Page <i>", n, "</i></h", level,
+        "><!-- <p>not shown</p> --><p>in <b>", F.col("lang"), "</b> &amp; from\t", F.col("source"), "</p><ul><li>", F.col("n_chars").cast("string"), " signs</li></ul><footer>end</footer></body></html>",
+    )
+    pages = Q.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), page.alias("html"))
+    return elements.route_blocks(elements.explode_blocks(page_blocks(pages))).select("doc_key", "seq", "type", "text")

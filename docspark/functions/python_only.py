@@ -21,7 +21,16 @@ _TAG = re.compile(rf"<[/!?a-z]{_REST}", re.I)
 # a cell: an opening tag and the text up to the tag that closes it; a closing tag alone is an empty cell
 _CELL = re.compile(rf"(?:<t[dh]\b{_REST}((?:(?!</?t[dh]\b).)*))?</t[dh]\b{_REST}", re.I | re.S)
 _ROW_START, _ROW_END = re.compile(rf"<tr\b{_REST}", re.I), re.compile(r"</tr\s*>", re.I)
-_COMMENT, _TABLE = re.compile(r"<!--.*?-->", re.S), re.compile(rf"<table\b{_REST}", re.I)
+_TABLE = re.compile(rf"<table\b{_REST}", re.I)
+
+
+def _without_comments(source: str) -> str:
+    """``source`` without its closed comments, in one pass: what is never closed is looked for once."""
+    kept, at = [], 0
+    while (start := source.find("<!--", at)) >= 0 and (end := source.find("-->", start + 4)) >= 0:
+        kept.append(source[at:start])
+        at = end + 3
+    return "".join([*kept, source[at:]])
 
 
 def _cells(row: str) -> list[str]:
@@ -34,7 +43,7 @@ def table_to_markdown(html: str | None) -> str:
 
     A row ends at its closing tag and begins after the last opening one before that.
     """
-    source = _COMMENT.sub("", html or "")
+    source = _without_comments(html or "")
     if not _TABLE.search(source):
         return ""
     ended = _ROW_END.split(source)[:-1]

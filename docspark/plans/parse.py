@@ -97,8 +97,10 @@ def parse_batch(
     config = config or EnrichmentConfig()
     failed = F.lit(f"{config.parser}_error")
     scanned = staged(scan_files(spark, paths, config), "scanned")
-    once = scanned.select("path", "exists", "accepted", "sha256", "mtime_ms", "error").dropDuplicates(["path"])
-    once = once.select("*", F.col("path").alias("doc_key"), F.col("path").alias("file_path"), full_key(F.col("sha256"), F.col("mtime_ms"), config).alias("cache_key"))
+    # a document's key is the first place where its path is asked for: what is made of it needs no join to be put there
+    kept = [F.first(c).alias(c) for c in ("exists", "accepted", "sha256", "mtime_ms", "error")]
+    once = scanned.groupBy("path").agg(F.min("input_pos").alias("first"), *kept)
+    once = once.select("*", F.col("first").cast("string").alias("doc_key"), F.col("path").alias("file_path"), full_key(F.col("sha256"), F.col("mtime_ms"), config).alias("cache_key"))
     status = F.coalesce(path_status(F.col("exists"), F.col("accepted")), F.when(F.col("error").isNotNull(), failed))
     once = staged(once.withColumn("status", status), "keys")
     message = F.coalesce(path_message(F.col("status"), F.col("path")), F.col("error"))
@@ -108,11 +110,11 @@ def parse_batch(
     cache = ResultCache(spark, cache_path) if cache_path else None
     hits = None
     if cache:
-        found = staged(cache.get(wanted.select("cache_key", "doc_key")), "hits")
-        hits = found.select("doc_key", F.col("doc_key").alias("file_path"), *[c for c in OUTPUT_COLUMNS if c != "file_path"])
+        found = staged(cache.get(wanted), "hits")
+        hits = found.drop("file_path").withColumnRenamed("path", "file_path").select("doc_key", *OUTPUT_COLUMNS)
         wanted = wanted.join(found.select("doc_key"), "doc_key", "left_anti")
-    read = read_files(wanted, config, content=True)
-    read = read.select(F.col("path").alias("doc_key"), "path", F.col("path").alias("file_path"), F.coalesce("sha256", F.lit("")).alias("file_sha256"), "mtime_ms", "content", "exists", "error")
+    read = read_files(wanted.select("path", F.col("doc_key").alias("key")), config, content=True)
+    read = read.select(F.col("key").alias("doc_key"), "path", F.col("path").alias("file_path"), F.coalesce("sha256", F.lit("")).alias("file_sha256"), "mtime_ms", "content", "error")
     read = staged(read, "files")
     lost = read.where("content is null")  # read before, and no longer
     gone = F.coalesce("error", F.concat(F.lit("File not found: "), F.col("path")))
@@ -128,7 +130,12 @@ def parse_batch(
     outputs = invalid.unionByName(parsed)
     if hits is not None:
         outputs = outputs.unionByName(hits.select(outputs.columns))
-    return scanned.select("input_pos", F.col("path").alias("doc_key")).join(outputs, "doc_key").select("input_pos", *OUTPUT_COLUMNS).orderBy("input_pos")
+    kind = dict(scanned.dtypes)["input_pos"]
+    placed = outputs.withColumn("input_pos", F.col("doc_key").cast(kind))
+    again = scanned.join(once.select("path", "first", "doc_key"), "path").where("input_pos <> first").select("input_pos", "doc_key")
+    repeated = again.join(outputs, "doc_key").select("input_pos", *OUTPUT_COLUMNS)
+    # rows with their pictures are shuffled once, to their places
+    return placed.select("input_pos", *OUTPUT_COLUMNS).unionByName(repeated).orderBy("input_pos")
 
 
 def parse(spark: SparkSession, path: str, config: EnrichmentConfig | None = None, engine: Callable | None = None, **options) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.ids import content_hash
 from docspark.schema import EnrichmentConfig
-from docspark.sources.scan import content_limit, reachable, scan
+from docspark.sources.scan import SCHEMA, content_limit, reachable, scan
 from docspark.staging import staged
 
 
@@ -73,11 +73,13 @@ def _by_spark(names: DataFrame, config: EnrichmentConfig, content: bool, limit:
     large = F.concat(F.lit("the file has "), F.col("length").cast("string"), F.lit(f" bytes, more than {limit}"))
     error = F.when(F.col("length") > limit, large).when(F.col("length").isNotNull() & F.col("sha256").isNull(), "the file could not be read")
     kept = F.col("content") if content else F.lit(None).cast("binary")
-    return rows.select("path", "exists", "length", "mtime_ms", "sha256", kept.alias("content"), error.alias("error"))
+    made = rows.select("path", "exists", "length", "mtime_ms", "sha256", kept.alias("content"), error.alias("error"))
+    keys = names.select("path", F.col("key") if "key" in names.columns else F.lit(None).cast("string").alias("key")).distinct()
+    return made.join(keys, "path").select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 def read_files(names: DataFrame, config: EnrichmentConfig, content: bool = False, limit: int | None = None) -> DataFrame:
-    """A row for each distinct ``path`` of ``names``: exists, length, mtime_ms, sha256, content, error.
+    """A row for each distinct ``path`` of ``names``, with its ``key`` if it has one: exists, length, mtime_ms, sha256, content, error.
 
     Files whose suffix is not accepted are looked at and not read.  A file that is too large, gone or forbidden is a row with
     an error, or one that does not exist; it never ends the job.
@@ -95,7 +97,7 @@ def scan_files(spark: SparkSession, paths: list[str] | DataFrame, config: Enrich
     """
     asked = paths if isinstance(paths, DataFrame) else path_table(spark, paths)
     asked = asked.select("input_pos", F.col("path").cast("string").alias("path"))
-    read = staged(read_files(asked, config, limit=limit).drop("content", "length"), "scan")
+    read = staged(read_files(asked, config, limit=limit).drop("content", "length", "key"), "scan")
     rows = asked.join(read, "path", "left")
     return rows.select(
         "input_pos", "path", F.coalesce("exists", F.lit(False)).alias("exists"), is_accepted(F.col("path"), config).alias("accepted"),

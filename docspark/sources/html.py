@@ -21,12 +21,13 @@ def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
         class Blocks(HTMLParser):
             def __init__(self):
                 super().__init__()
-                self.blocks, self.kind, self.parts, self.skip = [], None, [], 0
+                self.blocks, self.kind, self.parts, self.skip, self.level = [], None, [], 0, 1
 
             def close_block(self):
                 text = " ".join("".join(self.parts).split())
                 if self.kind and text:
-                    self.blocks.append({"type": self.kind, "text": text, "page_idx": 0})
+                    level = {"text_level": self.level} if self.kind == "title" else {}
+                    self.blocks.append({"type": self.kind, "text": text, "page_idx": 0} | level)
                 self.kind, self.parts = None, []
 
             def handle_starttag(self, tag, attrs):

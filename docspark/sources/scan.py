@@ -1,7 +1,7 @@
 """Files as a data source that tells what went wrong with each, and never ends the job.
 
-``spark.read.format("docspark_files")`` reads the files that a manifest names: a folder of JSON lines with a ``path`` each, as
-Spark writes them.  The driver knows the manifest's parts and their sizes, never the paths; a partition is a range of bytes
+``spark.read.format("docspark_files")`` reads the files that a manifest names: a folder of JSON lines with a ``path`` each (and a
+``key`` that goes along with it), as Spark writes them.  The driver knows the manifest's parts and their sizes, never the paths; a partition is a range of bytes
 of one part.  A task looks at its files one by one, reads them in pieces (the hash of a file of any size needs one piece at
 a time) and hands their bytes on in bounded batches.
 
@@ -27,7 +27,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from docspark.staging import shared_dir
 
 FORMAT = "docspark_files"
-SCHEMA = "path string, exists boolean, length long, mtime_ms long, sha256 string, content binary, error string"
+SCHEMA = "path string, key string, exists boolean, length long, mtime_ms long, sha256 string, content binary, error string"
 PIECE = 1 << 20
 BATCH_BYTES = 16 << 20
 RANGE_BYTES = 1 << 16
@@ -107,7 +107,7 @@ def write_file(path: str, content: bytes) -> None:
 
 
 def probe(path: str, read: bool, keep: bool, limit: int) -> tuple:
-    """One row of ``SCHEMA``.  Whatever fails is the row's error."""
+    """A path and what ``SCHEMA`` has of its file.  Whatever fails is the row's error."""
     found = digest = None
     try:
         found = look(path)
@@ -193,7 +193,7 @@ class FileScanReader(DataSourceReader):
     def read(self, partition):
         import pyarrow as pa
 
-        kinds = [pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
+        kinds = [pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
         names = [c.split()[0] for c in SCHEMA.split(", ")]
 
         def batch(rows):
@@ -203,11 +203,13 @@ class FileScanReader(DataSourceReader):
         if partition is None:  # an empty manifest
             return
         for line in lines_from(partition.part, partition.start, partition.end):
-            path = json.loads(line)["path"]
+            asked = json.loads(line)
+            path = asked["path"]
             ending = re.search(r"[^/]\.([^./]*)$", path)
             read = not self.suffixes or bool(ending) and ending[1].lower() in self.suffixes
-            rows.append(probe(path, read, self.keep, self.limit))
-            size += len(rows[-1][5] or b"") + 1000
+            row = probe(path, read, self.keep, self.limit)
+            rows.append((path, asked.get("key"), *row[1:]))
+            size += len(row[5] or b"") + 1000
             if size >= BATCH_BYTES:
                 yield batch(rows)
                 rows, size = [], 0
@@ -216,14 +218,14 @@ class FileScanReader(DataSourceReader):
 
 
 def scan(paths: DataFrame, suffixes=(), content: bool = False, limit: int = LIMIT, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """A row of ``SCHEMA`` for each of the distinct ``paths`` (path); nulls are left out.
+    """A row of ``SCHEMA`` for each of the distinct ``paths`` (path, and key if there is one); nulls are left out.
 
     The files are looked at whenever the result is computed: stage it to have them read once.
     """
     spark = paths.sparkSession
     spark.dataSource.register(FileScan)
     at = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
-    paths.select("path").where("path is not null").distinct().write.json(at)
+    paths.select("path", *[c for c in ("key",) if c in paths.columns]).where("path is not null").distinct().write.json(at)
     made = spark.read.format(FORMAT).options(manifest=at, suffixes=",".join(suffixes), content=str(content), limit=limit, range=range_bytes)
     return made.load()
 
