@@ -13,16 +13,21 @@ MIME_TYPES = {
 MAX_PICTURE = 10 * 1024 * 1024
 
 
+# Media types by the bytes (in hexadecimal) at places of the head.
+SIGNATURES = (
+    ("image/jpeg", ((0, "FFD8FF"),)), ("image/png", ((0, "89504E470D0A1A0A"),)), ("image/gif", ((0, "474946383761"),)),
+    ("image/gif", ((0, "474946383961"),)), ("image/webp", ((0, "52494646"), (8, "57454250"))),
+)
+
+
 def media_type(content: Column) -> Column:
     """The media type that the first bytes tell; image/png if they tell none."""
-    head = F.hex(F.substring(content, 1, 12))
-    return (
-        F.when(F.startswith(head, F.lit("FFD8FF")), "image/jpeg")
-        .when(F.startswith(head, F.lit("89504E470D0A1A0A")), "image/png")
-        .when(F.startswith(head, F.lit("474946383761")) | F.startswith(head, F.lit("474946383961")), "image/gif")
-        .when(F.startswith(head, F.lit("52494646")) & (F.substring(head, 17, 8) == "57454250"), "image/webp")
-        .otherwise("image/png")
-    )
+    head = F.hex(F.substring(content, 1, 16))
+    told = F.lit("image/png")
+    for kind, marks in reversed(SIGNATURES):
+        fits = [F.substring(head, 2 * at + 1, len(digits)) == digits for at, digits in marks]
+        told = F.when(fits[0] if len(fits) == 1 else fits[0] & fits[1], kind).otherwise(told)
+    return told
 
 
 def decoded_picture(uri: Column) -> Column:

@@ -76,10 +76,15 @@ def printable_ratio(text: Column) -> Column:
     return kept.cast("double") / F.greatest(F.length(text), F.lit(1)).cast("double")
 
 
+# a model's thinking, in the order in which it is taken out
+THINKING = (r"(?is)<think>.*?</think>", r"(?is)<thinking>.*?</thinking>")
+
+
 def strip_thinking(text: Column) -> Column:
     """A model's answer without its thinking spans, stripped."""
-    bare = F.regexp_replace(text, r"(?is)<think>.*?</think>", "")
-    return strip(F.regexp_replace(bare, r"(?is)<thinking>.*?</thinking>", ""))
+    for span in THINKING:
+        text = F.regexp_replace(text, span, "")
+    return strip(text)
 
 
 def heading(text: Column, level: Column) -> Column:

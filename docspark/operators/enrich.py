@@ -1,7 +1,7 @@
 """Descriptions of images, tables and equations from a vision model.
 
 Prompts are built in the JVM.  A client is anything with ``call(image, prompt, mode) -> dict`` that does not raise; one
-is made in each Python worker by a factory.  Only rows of the modalities asked for reach Python.
+is made in each task by a factory.  Only requests that are not answered yet reach Python.
 """
 
 from __future__ import annotations
@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import blocks as B
+from docspark.operators.answers import Answers, request_key
 from docspark.operators.context import block_context
 from docspark.schema import EnrichmentConfig
+from docspark.staging import staged
 
 NO_TABLE = "(only an image of the table is at hand)"
 _ASK = 'Answer with JSON of the form {"description": "<your description>"}.'
@@ -65,46 +67,33 @@ def with_prompts(elements: DataFrame, blocks: DataFrame, config: EnrichmentConfi
     return rows.withColumn("prompt", F.when(kind.isin(*config.modalities, *others, ""), asked)).drop("block", "context")
 
 
-def described(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
-    """``enrich_elements`` with ``enrichment_error``: why no client could be made."""
-    asked = elements.where("prompt is not null")
-    picture = "picture" if "picture" in elements.columns else "image_bytes"
+def described(elements: DataFrame, factory: Callable[[], VLMClient], answers: Answers | None = None, model: str = "") -> DataFrame:
+    """``enrich_elements`` with ``enrichment_error``: why no client could be made.
 
-    def describe(batches):
-        import pyarrow as pa
-
-        try:
-            client, failed = factory(), None
-        except Exception as error:  # noqa: BLE001  told as a warning of each document
-            client, failed = None, str(error)
-        for batch in batches:
-            told, errors = [], []
-            for image, text, mode in zip(*[batch.column(c).to_pylist() for c in (picture, "prompt", "type")]):
-                said = ""
-                if client is not None:
-                    try:
-                        answer = client.call(image, text, mode)
-                        said = "" if "error" in answer else str(answer.get("description", "")).strip()
-                    except Exception:  # noqa: BLE001  one call that fails leaves its element as it was
-                        said = ""
-                told.append(said)
-                errors.append(failed)
-            columns = [pa.array(told, pa.string()) if n == "description" else c for n, c in zip(batch.schema.names, batch.columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string())], [*batch.schema.names, "enrichment_error"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.schema)
-    made = asked.mapInArrow(describe, f"{kinds}, enrichment_error string").withColumn("is_enriched", F.col("description") != "")
+    Equal requests of all documents are asked once, and those that ``answers`` knows of ``model`` not at all; a picture goes
+    to the model from the first element that has the request.
+    """
+    picture = "picture" if "picture" in elements.columns else "image_bytes"
+    asked = elements.where("prompt is not null").withColumn("_place", F.monotonically_increasing_id())
+    asked = staged(asked.withColumn("_request", request_key(F.col(picture), F.col("prompt"), F.col("type"), model)), "asked")
+    # a request's first element stands for it: only keys are grouped
+    firsts = asked.groupBy("_request").agg(F.min("_place").alias("_place")).select("_place")
+    requests = asked.join(firsts, "_place", "left_semi").select(F.col("_request").alias("request"), F.col(picture).alias("picture"), "prompt", F.col("type").alias("mode"))
+    told = (answers or Answers(elements.sparkSession)).ask(requests, factory)
+    told = told.select(F.col("request").alias("_request"), F.col("description").alias("_said"), F.col("error").alias("enrichment_error"))
+    made = asked.join(told, "_request", "left").withColumn("description", F.coalesce("_said", F.lit("")))
+    made = made.withColumn("is_enriched", F.col("description") != "").drop("_request", "_place", "_said")
     others = elements.where("prompt is null").withColumn("enrichment_error", F.lit(None).cast("string"))
     return others.unionByName(made).drop("prompt", "picture")
 
 
-def enrich_elements(elements: DataFrame, factory: Callable[[], VLMClient]) -> DataFrame:
+def enrich_elements(elements: DataFrame, factory: Callable[[], VLMClient], answers: Answers | None = None, model: str = "") -> DataFrame:
     """``elements`` (with ``prompt``) after the model has described those with a prompt.
 
     An answer with an error, without a description, or a call that fails leaves the element as it was.  The model sees
     ``picture`` where there is such a column, else ``image_bytes``.
     """
-    return described(elements, factory).drop("enrichment_error")
+    return described(elements, factory, answers, model).drop("enrichment_error")
 
 
 def enrichment_warnings(elements: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from docspark.operators import docling as D
 from docspark.operators import elements as E
 from docspark.operators.assemble import OUTPUT_COLUMNS, assemble, warned
-from docspark.operators.clients import make_client
+from docspark.operators.answers import Answers
+from docspark.operators.clients import make_client, model_name
 from docspark.operators.enrich import described, enrichment_warnings, with_prompts
 from docspark.operators.gate import escalations, evaluate_pages
 from docspark.operators.render import render_documents
@@ -26,13 +27,13 @@ WARNINGS = "doc_key string, page_idx int, code string, message string"
 
 def parse_contents(
     contents: DataFrame, config: EnrichmentConfig | None = None, client: Callable | None = None, layer_tokens: DataFrame | None = None,
-    files: DataFrame | None = None,
+    files: DataFrame | None = None, answers_path: str | None = None,
 ) -> DataFrame:
     """Outputs of ``contents`` (doc_key, file_path, file_sha256, content), what an engine made of each document.
 
     A content that is null, cannot be read or has no block is a failure of its document, told by a warning; its message is
     that of the column ``error``, if there is one.  ``files`` (doc_key, content) are the PDF files that the pictures to be
-    described are cut out of.
+    described are cut out of.  Answers of the model are kept below ``answers_path``, if there is one, and not asked for again.
     """
     config = config or EnrichmentConfig()
     spark = contents.sparkSession
@@ -63,7 +64,7 @@ def parse_contents(
             if files is not None:
                 regions = asked.where("type = 'image' and prompt is not null").select("doc_key", "block_pos", "page_idx", "bbox")
                 asked = asked.join(region_rasters(files, regions), ["doc_key", "block_pos"], "left")
-            elements = described(asked, client or (lambda: make_client(config)))
+            elements = described(asked, client or (lambda: make_client(config)), Answers(spark, answers_path), model_name(config))
         elements = staged(elements, "elements")
         if config.enabled:
             told = told.unionByName(enrichment_warnings(elements))
@@ -86,12 +87,12 @@ def default_engine(config: EnrichmentConfig) -> Callable:
 
 def parse_batch(
     spark: SparkSession, paths: list[str] | DataFrame, config: EnrichmentConfig | None = None, engine: Callable | None = None,
-    cache_path: str | None = None, client: Callable | None = None,
+    cache_path: str | None = None, client: Callable | None = None, answers_path: str | None = None,
 ) -> DataFrame:
     """One output a path, ordered by ``input_pos``.  Missing and unsupported files, and failures, are warnings.
 
     ``paths`` is a list, or a table (input_pos, path).  Files that the cache holds are not parsed; a path given twice is
-    parsed once and told twice.  What is sorted out before the engine runs are keys; contents are read for those that are
+    parsed once and told twice; places are unique.  What is sorted out before the engine runs are keys; contents are read for those that are
     left, where they are left, and stay in their partitions.
     """
     config = config or EnrichmentConfig()
@@ -123,7 +124,7 @@ def parse_batch(
     made = staged(run_engine(wanted, engine or default_engine(config)), "contents")
     contents = wanted.select("doc_key", "file_path", "file_sha256").join(made.withColumn("error", F.nullif("error", F.lit(""))), "doc_key")
     pdfs = wanted.where(F.lower("path").endswith(".pdf"))
-    parsed = staged(parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs), "outputs")
+    parsed = staged(parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs, answers_path), "outputs")
     if cache:
         keys = wanted.select("doc_key", full_key(F.col("file_sha256"), F.col("mtime_ms"), config).alias("cache_key"))
         cache.put(parsed.join(keys, "doc_key").where(~F.exists("warnings", lambda w: w["code"].isin(*FAILURES))))

@@ -81,7 +81,7 @@ def test_crop_boxes_stay_in_the_image_and_need_an_area():
 
 def test_text_blocks_of_an_answer_are_joined():
     body = {"content": [{"type": "reasoning", "text": "hm"}, {"type": "text", "text": '{"description": '}, {"type": "text", "text": '"a"}'}]}
-    assert clients.parsed_answer(clients.answer_text(body)) == {"description": "a"}
+    assert clients.Client("bedrock").read(body) == {"description": "a"}
 
 
 def test_passes_wait_for_a_place(tmp_path, monkeypatch):

@@ -193,7 +193,7 @@ def test_prompts(spark):
     block = F.parse_json(F.lit('{"latex": "L", "content": "C"}'))
     by = [spark.range(1).select(enrich.prompt_content(block, F.lit("equation"), b).alias("p")).first().p for b in ("process", "enrich")]
     assert by == ["L", "C"]
-    assert clients.bedrock_request(b"GIF87a", "p")["messages"][0]["content"][0]["source"]["media_type"] == "image/gif"
+    assert clients.Client("bedrock").request(b"GIF87a", "p")["messages"][0]["content"][0]["source"]["media_type"] == "image/gif"
     assert "error" in clients.make_client(EnrichmentConfig()).call(None, "p", "text") or True
 
 
