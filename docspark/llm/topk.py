@@ -15,6 +15,7 @@ the last of them is a bound that candidates of the blocks to come must reach.  T
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from operator import mul
 
 from pyspark.sql import DataFrame, Window
@@ -24,6 +25,7 @@ from docspark.llm.common import bounded_batches, discard, written
 from docspark.operators.numbering import number_rows
 
 BLOCK_ROWS = 4096
+BLOCK_COMPONENTS = 1 << 20  # five arrays of numbers each
 QUERY_ROWS = 1024
 LEAST_BLOCKS = 16
 MOST_FILES = 512  # of blocks; a task reads one or more
@@ -50,7 +52,7 @@ class ImpactIndex:
         self.keys = -np.take_along_axis(size.T, self.ids, axis=1)  # ascending
         self.mean = float(size.mean()) if size.size else 0.0
         # reach[d, v]: how many postings of dimension d have a component of size v or more, up to a size
-        self.top_size = min(int(size.max(initial=0)), MAX_SIZE)
+        self.top_size = min(int(size.max(initial=0)), MAX_SIZE, max(1, BLOCK_COMPONENTS // max(1, x.shape[1])))
         self.reach = np.stack([np.searchsorted(k, -np.arange(self.top_size + 2), side="right") for k in self.keys]) if size.size else None
 
     def _reach(self, live, least):
@@ -105,6 +107,8 @@ class ImpactIndex:
         """
         import numpy as np
 
+        if q.dtype == object:
+            return _exact(self.ints.tolist(), q, range(len(self.ints)), k, ids, skip)
         if len(q) and self.biggest * sum(abs(c) for c in q.tolist()) >= EXACT:  # beyond what floats hold: whole numbers
             left = self.possible(q.astype(np.float64), k + (skip >= 0), least)
             left = left[left != skip]
@@ -122,8 +126,60 @@ class ImpactIndex:
         return left[best], exact[best]
 
 
+class WholeNumbers:
+    """Vectors with components beyond 64 bits, few of them, as Python's whole numbers: all are scored."""
+
+    def __init__(self, x):
+        self.ints = x
+
+    def top(self, q, k: int, ids, skip: int = -1, least: float = -math.inf):
+        return _exact(self.ints.tolist(), q, range(len(self.ints)), k, ids, skip)
+
+
+def _exact(rows, q, left, k: int, ids, skip: int):
+    """The k best (position, score) of the rows at ``left``, in whole numbers."""
+    q = [int(c) for c in q.tolist()]
+    scored = sorted((-sum(map(mul, map(int, rows[j]), q)), int(ids[j]), j) for j in left if j != skip)[:k]
+    return [j for _, _, j in scored], [-s for s, _, _ in scored]
+
+
+def whole(x, scale: float):
+    """floor(scale * x) of each component: 64-bit integers, or Python's where one is beyond those."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        y = np.floor(x * scale)
+    if (np.abs(y) < 2.0**63).all():
+        return y.astype(np.int64)
+    exact = lambda v: math.floor(Fraction(v) * Fraction(scale))
+    out = np.empty(x.shape, object)
+    out.ravel()[:] = [exact(v) for v in x.ravel().tolist()]
+    return out
+
+
+def queries_of(x, scale: float) -> list:
+    """Each row of ``x`` by itself as whole numbers."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        y = np.floor(x * scale)
+    small = (np.abs(y) < 2.0**63).all(axis=1)
+    ints = np.where(small[:, None], y, 0.0).astype(np.int64)
+    return [q if ok else whole(v, scale) for q, ok, v in zip(ints, small.tolist(), x)]
+
+
+def index_of(x, scale: float) -> list:
+    """[(positions, index)] of the vectors that are rows of ``x``: those within 64 bits, and those beyond."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        small = (np.abs(np.floor(x * scale)) < 2.0**63).all(axis=1)
+    parts = [(np.flatnonzero(small), ImpactIndex), (np.flatnonzero(~small), WholeNumbers)]
+    return [(at, kind(whole(x[at], scale))) for at, kind in parts if len(at)]
+
+
 def _vectors(column):
-    """{length: (positions, matrix)} of a pyarrow list array of integers."""
+    """{length: (positions, matrix)} of a pyarrow list array of numbers."""
     import numpy as np
 
     starts = column.offsets.to_numpy()
@@ -140,20 +196,18 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
 
     Defined cases: vectors null, or with null or non-finite components, take no part; rows with null ids neither;
     vectors of different lengths never meet; repeated rows and ids are rows of their own; fewer than k candidates
-    give all there are; an empty table gives no rows.  Scores are exact.  A component, or a score
-    among the k, that does not fit a 64-bit integer is an error.
+    give all there are; an empty table gives no rows.  Scores are exact, for finite components of any size; only a score among
+    the k that does not fit the result's 64-bit integer is an error.
     """
     spark = df.sparkSession
     bounded_batches(spark)
     good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("q"))
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", good))
-    too_large = F.raise_error(F.lit("a component does not fit a 64-bit integer")).cast("long")
-    whole = lambda x: F.when(F.abs(x * scale) < 2.0**63, F.floor(x * scale).cast("long")).otherwise(too_large)
-    ints = rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), F.transform("v", whole).alias("v"))
+    ints = rows.select("id", F.coalesce("q", F.lit(False)).alias("q"), "v")
     numbered = number_rows(ints, ["id"], "topk-rows")
-    n = numbered.count()
-    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS))
+    n, held_components = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("v")), F.lit(0))).first()
+    blocks = max(LEAST_BLOCKS, -(-n // BLOCK_ROWS), -(-held_components // BLOCK_COMPONENTS))
     item = F.struct("row_number", "id", "v")
     dealt = numbered.select(F.pmod("row_number", F.lit(blocks)).cast("int").alias("c"), item.alias("item"))
     held = dealt.repartition(min(4 * blocks, MOST_FILES), "c").groupBy("c").agg(F.collect_list("item").alias("items"))
@@ -177,18 +231,17 @@ def top_k(df: DataFrame, id_col: str, vector_col: str, is_query, k: int = 5, sca
                 row, ids = (have.field(c).to_numpy() for c in ("row_number", "id"))
                 own, who = (want.field(c).to_numpy() for c in ("row_number", "id"))
                 if batch.column("c")[i].as_py() != block:
-                    block, built = batch.column("c")[i].as_py(), {s: (at, ImpactIndex(x)) for s, (at, x) in _vectors(have.field("v")).items()}
+                    block, built = batch.column("c")[i].as_py(), {s: [(at[part], index) for part, index in index_of(x, scale)] for s, (at, x) in _vectors(have.field("v")).items()}
                 so_far = best.setdefault(batch.column("s")[i].as_py(), (own.copy(), who.copy(), [[] for _ in own]))[2]
                 for s, (at_q, vectors) in _vectors(want.field("v")).items():
-                    if s not in built:
-                        continue
-                    at, index = built[s]
-                    where = {int(r): j for j, r in enumerate(row[at])}
-                    for j, q in zip(at_q, vectors):
-                        least = np.nextafter(-float(so_far[j][-1][0]), -math.inf) if len(so_far[j]) == k else -math.inf
-                        found = zip(*index.top(q, k, ids[at], where.get(int(own[j]), -1), least))
-                        more = [(-min(max(int(x), LEAST), MOST), int(ids[at[b]]), int(row[at[b]])) for b, x in found]
-                        so_far[j] = sorted(so_far[j] + more)[:k]
+                    asked_for = queries_of(vectors, scale) if s in built else ()
+                    for at, index in built.get(s, ()):
+                        where = {int(r): j for j, r in enumerate(row[at])}
+                        for j, q in zip(at_q, asked_for):
+                            least = np.nextafter(-float(so_far[j][-1][0]), -math.inf) if len(so_far[j]) == k else -math.inf
+                            found = zip(*index.top(q, k, ids[at], where.get(int(own[j]), -1), least))
+                            more = [(-min(max(int(x), LEAST), MOST), int(ids[at[b]]), int(row[at[b]])) for b, x in found]
+                            so_far[j] = sorted(so_far[j] + more)[:k]
         for own, who, kept in best.values():
             out = [(o, w, r, v, -s) for o, w, items in zip(own, who, kept) for s, v, r in items]
             cols = zip(*out) if out else [()] * 5
