@@ -250,12 +250,12 @@ class ChunkEncoder:
         return [got[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
 
 
-_ENCODERS: dict[tuple[str, bool], ChunkEncoder] = {}
+_ENCODERS: dict[tuple, ChunkEncoder] = {}
 
 
 def encoder(path: str, spaces_matter: bool, most: int = CACHE_CHUNKS, text_bytes: int | None = None) -> ChunkEncoder:
-    """One encoder for each Python worker and tokenizer file, with up to ``most`` words kept (some 40 bytes each)."""
-    key = (path, spaces_matter)
+    """One encoder for each Python worker, tokenizer file and sizes, with up to ``most`` words kept (some 40 bytes each)."""
+    key = (path, spaces_matter, most, text_bytes)
     if key not in _ENCODERS:
         _ENCODERS[key] = ChunkEncoder(path, spaces_matter, most, text_bytes)
     return _ENCODERS[key]
