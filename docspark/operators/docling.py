@@ -6,6 +6,8 @@ of a depth-first walk -> ``elements``.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +72,12 @@ def resolve_refs(refs: DataFrame, nodes: DataFrame) -> DataFrame:
     return r.join(nodes.select("doc_key", "node_type", "idx", "node"), ["doc_key", "node_type", "idx"])
 
 
+def _both(*tables: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Tables that do not need each other, written at once."""
+    with ThreadPoolExecutor(len(tables)) as pool:
+        return list(pool.map(lambda t: staged(*t), tables))
+
+
 def _counted(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
     """(containers, looping, rounds) by pointer doubling: a round looks twice as far as the one before.
 
@@ -91,13 +99,13 @@ def _counted(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
     while True:
         # the documents whose body has a way of 2**rounds steps
         deep = ways.where(F.col("top") == BODY).select("doc_key").distinct().join(many, "doc_key")
-        again = staged(deep.select("doc_key", (F.col("containers") <= 1 << rounds).alias("loops")), "walk-deep")
-        told = {r["loops"] for r in again.select("loops").distinct().collect()}  # two rows at most
+        deep = deep.select("doc_key", (F.col("containers") <= 1 << rounds).alias("loops"))
+        told = {r["loops"] for r in deep.select("loops").distinct().collect()}  # two rows at most
         if True in told:
-            looping = looping.union(again.where("loops").select("doc_key"))
+            looping = looping.union(deep.where("loops").select("doc_key"))
         if False not in told:
             return known, looping, rounds
-        ways = ways.join(again.where("not loops").select("doc_key"), "doc_key", "left_semi")
+        ways = ways.join(deep.where("not loops").select("doc_key"), "doc_key", "left_semi")
         up = ways.join(known.where("size > 0").select("doc_key", F.col("node").alias("bottom"), "size"), ["doc_key", "bottom"])
         up = up.select("doc_key", F.col("top").alias("node"), (F.col("ways") * F.col("size")).alias("size"), F.lit(False).alias("reached"))
         down = ways.join(known.where("reached").select("doc_key", F.col("node").alias("top")), ["doc_key", "top"])
@@ -105,7 +113,7 @@ def _counted(edges: DataFrame, key: str) -> tuple[DataFrame, DataFrame, int]:
         further = known.union(up).union(down).groupBy("doc_key", "node").agg(F.sum("size").alias("size"), F.max("reached").alias("reached"))
         on = ways.select("doc_key", F.col("top").alias("bottom"), F.col("bottom").alias("last"), F.col("ways").alias("more"))
         twice = ways.join(on, ["doc_key", "bottom"]).groupBy("doc_key", "top", F.col("last").alias("bottom")).agg(F.sum(F.col("ways") * F.col("more")).alias("ways"))
-        known, ways, rounds = staged(further, "walk-containers"), staged(twice, "walk-ways"), rounds + 1
+        (known, ways), rounds = _both((further, "walk-containers"), (twice, "walk-ways")), rounds + 1
 
 
 def _placed(edges: DataFrame, rounds: int) -> DataFrame:
@@ -118,11 +126,11 @@ def _placed(edges: DataFrame, rounds: int) -> DataFrame:
     for k in range(rounds):
         step = ways.select("doc_key", F.col("top").alias("node"), F.col("bottom").alias("to"), F.col("start").alias("more"))
         beyond = come.join(step, ["doc_key", "node"]).select("doc_key", F.col("to").alias("node"), (F.col("start") + F.col("more")).alias("start"))
-        come = staged(come.union(beyond), "walk-come")
-        if k + 1 < rounds:
-            on = ways.select("doc_key", F.col("top").alias("bottom"), F.col("bottom").alias("last"), F.col("start").alias("more"))
-            twice = ways.join(on, ["doc_key", "bottom"]).select("doc_key", "top", F.col("last").alias("bottom"), (F.col("start") + F.col("more")).alias("start"))
-            ways = staged(twice, "walk-ways")
+        if k + 1 == rounds:
+            return come.union(beyond)
+        on = ways.select("doc_key", F.col("top").alias("bottom"), F.col("bottom").alias("last"), F.col("start").alias("more"))
+        twice = ways.join(on, ["doc_key", "bottom"]).select("doc_key", "top", F.col("last").alias("bottom"), (F.col("start") + F.col("more")).alias("start"))
+        come, ways = _both((come.union(beyond), "walk-come"), (twice, "walk-ways"))
     return come
 
 
