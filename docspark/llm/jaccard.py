@@ -353,7 +353,7 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFr
 def _tiles(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int) -> tuple[DataFrame, ...]:
     """The texts (``_id``, ``_text``, ``_hash``), their sets, classes, the tiles that several classes share, and their bitmaps."""
     spark = df.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, "4m")
     text = F.col(text_col).cast("string")
     slim = df.select(F.col(id_col).alias("_id"), text.alias("_text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hash"))
     signed = written(
