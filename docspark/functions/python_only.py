@@ -1,4 +1,4 @@
-"""Functions that no built-in expression can give: tolerant HTML and JSON, and Python's own number format.
+"""Functions that no built-in expression can give: tolerant HTML and JSON.
 
 All run batch by batch over Arrow, and none raises: a value that cannot be read has a defined result.
 """
@@ -11,7 +11,7 @@ from html import unescape
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0"
 
@@ -98,4 +98,9 @@ table_markdown = _mapped(lambda v: table_to_markdown(v if isinstance(v, str) els
 robust_json = _mapped(lambda v: tolerant_json(v if isinstance(v, str) else None))
 answer_description = _mapped(lambda v: description(v if isinstance(v, str) else None))
 dumped_json = _mapped(lambda v: json.dumps(json.loads(v)) if isinstance(v, str) else "[]")
-two_decimals = _mapped(lambda v: None if v is None or v != v else f"{v:.2f}")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def tables_markdown(bodies: pd.Series) -> pd.Series:
+    """The tables of a document's bodies, null where there is no body, or no array."""
+    return bodies.map(lambda of: None if of is None else [None if b is None else table_to_markdown(b) for b in of])

@@ -87,6 +87,18 @@ def strip_thinking(text: Column) -> Column:
     return strip(text)
 
 
+def two_decimals(ratio: Column) -> Column:
+    """A ratio from 0 to under 0.3 with two decimals, rounded by its exact binary value, ties to even.
+
+    2**60 times such a number of at least 2**-8 is a whole number; smaller ones are far from a tie, so cutting changes nothing.
+    25 times that fits 64 bits, and in it a hundredth is 2**58.
+    """
+    scaled = (ratio * F.lit(float(1 << 60))).cast("bigint") * 25
+    whole, rest, half = F.shiftright(scaled, 58), scaled.bitwiseAND(F.lit((1 << 58) - 1)), F.lit(1 << 57)
+    up = (rest > half) | ((rest == half) & (whole % 2 == 1))
+    return F.concat(F.lit("0."), F.lpad((whole + up.cast("bigint")).cast("string"), 2, "0"))
+
+
 def heading(text: Column, level: Column) -> Column:
     """``text`` after the number signs of its level (1 to 6; 1 if null), unless it starts with one."""
     marks = F.expr("repeat('#', 6)")

@@ -28,21 +28,30 @@ def assemble(docs: DataFrame, elements: DataFrame, pages: DataFrame, warnings: D
     full = docs.join(counts, "doc_key", "left")
     for other in (listed_pages, listed_elements, told):
         full = full.join(other, "doc_key", "left")
-    some = lambda c, kind: F.coalesce(F.col(c).cast(f"array<{kind}>"), F.array().cast(f"array<{kind}>")).alias(c)
-    return full.select(
-        "doc_key", F.lit(SCHEMA_VERSION).alias("schema_version"), "file_path", "file_sha256", F.coalesce("page_count", F.lit(0)).alias("page_count"),
-        some("pages", PAGE), some("elements", ELEMENT), some("warnings", WARNING), config.as_column().alias("enrichment_config"),
-    )
+    listed = [F.col(c).cast(f"array<{kind}>") for c, kind in (("pages", PAGE), ("elements", ELEMENT), ("warnings", WARNING))]
+    return full.select(*output_of(config, F.col("page_count"), *listed))
+
+
+def output_of(config: EnrichmentConfig, page_count: Column, pages: Column, elements: Column, warnings: Column) -> list[Column]:
+    """The columns of an output, of a row with doc_key, file_path and file_sha256.  What is null is 0 or empty."""
+    some = lambda c, name: F.coalesce(c, F.array().cast(_KINDS[name])).alias(name)
+    return [
+        F.col("doc_key"), F.lit(SCHEMA_VERSION).alias("schema_version"), F.col("file_path"), F.col("file_sha256"),
+        F.coalesce(page_count, F.lit(0)).cast("int").alias("page_count"),
+        some(pages, "pages"), some(elements, "elements"), some(warnings, "warnings"), config.as_column().alias("enrichment_config"),
+    ]
+
+
+def warning_of(code: Column, message: Column) -> Column:
+    """The one warning of a document, as ``warnings``."""
+    return F.array(F.struct(F.lit(None).cast("int").alias("page_idx"), code.alias("code"), message.alias("message"))).cast(_KINDS["warnings"])
 
 
 def warned(docs: DataFrame, code: Column, message: Column, config: EnrichmentConfig) -> DataFrame:
     """Outputs of documents that have nothing but one warning."""
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    warning = F.array(F.struct(F.lit(None).cast("int").alias("page_idx"), code.alias("code"), message.alias("message")))
-    return docs.select(
-        "doc_key", F.lit(SCHEMA_VERSION).alias("schema_version"), "file_path", "file_sha256", F.lit(0).alias("page_count"), none(PAGE).alias("pages"),
-        none(ELEMENT).alias("elements"), warning.cast(f"array<{WARNING}>").alias("warnings"), config.as_column().alias("enrichment_config"),
-    )
+    none = {name: F.lit(None).cast(kind) for name, kind in _KINDS.items()}
+    return docs.select(*output_of(config, F.lit(0), none["pages"], none["elements"], warning_of(code, message)))
 
 
+_KINDS = {"pages": f"array<{PAGE}>", "elements": f"array<{ELEMENT}>", "warnings": f"array<{WARNING}>"}
 OUTPUT_COLUMNS = ["schema_version", "file_path", "file_sha256", "page_count", "pages", "elements", "warnings", "enrichment_config"]

@@ -15,6 +15,7 @@ from docspark.functions.python_only import table_markdown
 from docspark.functions.text import heading
 
 MOST_PAGES = 1_000_000  # a document with a page beyond has an error, as its pages are told one by one
+BAD_PAGE = f"page_idx is not a whole number under {MOST_PAGES}"
 ELEMENT_COLUMNS = ("element_id", "type", "text", "description", "bbox", "page_idx", "is_enriched", "image_bytes")
 
 
@@ -73,4 +74,4 @@ def route_blocks(blocks: DataFrame, sha256: Column | None = None) -> DataFrame:
 def bad_documents(blocks: DataFrame) -> DataFrame:
     """``warnings`` of documents that have a block whose page is no whole number, or too large a one."""
     bad = blocks.where(page_of(F.col("block")).isNull()).select("doc_key").distinct()
-    return bad.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("mineru_error").alias("code"), F.lit(f"page_idx is not a whole number under {MOST_PAGES}").alias("message"))
+    return bad.select("doc_key", F.lit(None).cast("int").alias("page_idx"), F.lit("mineru_error").alias("code"), F.lit(BAD_PAGE).alias("message"))

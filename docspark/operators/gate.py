@@ -14,28 +14,38 @@ LAYER_TOKENS_MIN, COVERAGE_MIN = 50, 0.30
 SIGNALS = ("garbled_token_ratio", "mean_word_length", "dict_hit_rate", "repeated_char_run", "ascii_printable_ratio")
 
 
-def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with the five signals of a text and ``failing_signals``.
+def signals(body: Column, n: Column) -> dict[str, Column]:
+    """The five signals of a text of ``n`` words, by name.
 
     Words are counted on the text; they are listed only where a digit, or a letter next to one, is in it at all.  Without a
-    word, ratios are 0, the printable ratio is 1, and empty_text fails.
+    word, ratios are 0 and the printable ratio is 1.
     """
-    body, n = F.col(text), F.col("_n")
     ratio = lambda count: F.when(n == 0, 0.0).otherwise(count.cast("double") / n.cast("double"))
     listed = lambda sign, test: F.when(body.rlike(sign), F.size(F.filter(T.tokens(body), test))).otherwise(0)
-    df = df.withColumn("_n", T.word_count(body)).withColumns({
+    return {
         "garbled_token_ratio": ratio(listed(T.GARBLED, T.is_garbled_token)),
         "mean_word_length": ratio(T.words_length(body)),
         "dict_hit_rate": ratio(T.letter_word_count(body) + listed(T.DIGIT, T.is_number_token)),
         "has_repeated_char_run": (n > 0) & T.has_repeated_run(body),
         "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.printable_ratio(body)),
-    })
+    }
+
+
+def failing_signals(of, n: Column) -> Column:
+    """The names of the signals that fail, of ``of[signal]``; empty_text where there is no word."""
     fails = (
-        F.col("garbled_token_ratio") > GARBLED_MAX, F.col("mean_word_length") < WORD_LENGTH_MIN, F.col("dict_hit_rate") < CONTENT_MIN,
-        F.col("has_repeated_char_run"), F.col("ascii_printable_ratio") < PRINTABLE_MIN,
+        of["garbled_token_ratio"] > GARBLED_MAX, of["mean_word_length"] < WORD_LENGTH_MIN, of["dict_hit_rate"] < CONTENT_MIN,
+        of["has_repeated_char_run"], of["ascii_printable_ratio"] < PRINTABLE_MIN,
     )
     failing = F.array_compact(F.array(*[F.when(f, name) for f, name in zip(fails, SIGNALS)]))
-    return df.withColumn("failing_signals", F.when(n == 0, F.array(F.lit("empty_text"))).otherwise(failing)).drop("_n")
+    return F.when(n == 0, F.array(F.lit("empty_text"))).otherwise(failing)
+
+
+def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with the five signals of a text and ``failing_signals``."""
+    df = df.withColumn("_n", T.word_count(F.col(text)))
+    df = df.withColumns(signals(F.col(text), F.col("_n")))
+    return df.withColumn("failing_signals", failing_signals(df, F.col("_n"))).drop("_n")
 
 
 def ordered_join(order: str, text: str, when: Column, sep: str = "\n") -> Column:
@@ -72,26 +82,33 @@ def evaluate_pages(elements: DataFrame, layer_tokens: DataFrame | None = None) -
         pages = pages.withColumn("n_tokens", F.lit(None).cast("bigint"))
     else:
         pages = pages.join(layer_tokens.select("doc_key", "page_idx", "n_tokens"), ["doc_key", "page_idx"], "left")
-    pages = with_signals(pages)
-    known = F.coalesce(F.col("n_tokens") >= LAYER_TOKENS_MIN, F.lit(False))
-    coverage = F.when(known, F.col("extracted").cast("double") / F.col("n_tokens").cast("double"))
+    pages = with_signals(pages).withColumn("blank", T.strip(F.col("text")) == "")
+    return pages.withColumns(decision(pages)).drop("blank")
+
+
+def decision(page) -> dict[str, Column]:
+    """What the gate decides of ``page[...]``: extracted, n_tokens, blank, failing_signals and the signals."""
+    known = F.coalesce(page["n_tokens"] >= LAYER_TOKENS_MIN, F.lit(False))
+    coverage = F.when(known, page["extracted"].cast("double") / page["n_tokens"].cast("double"))
     thin = F.coalesce(coverage < COVERAGE_MIN, F.lit(False))
-    blank = T.strip(F.col("text")) == ""
-    poor = ~thin & ~blank & (F.size("failing_signals") > 0)
-    return pages.withColumn("coverage", coverage).withColumns({
+    poor = ~thin & ~page["blank"] & (F.size(page["failing_signals"]) > 0)
+    return {
+        "coverage": coverage,
         "quality_decision": F.when(thin | poor, "promote_to_vlm").otherwise("keep"),
         "layer": F.when(thin, 1).when(poor, 2).cast("int"),
-        "reason": F.when(poor, F.concat(F.lit("heuristic_failed: "), F.array_join("failing_signals", ", "))),
+        "reason": F.when(poor, F.concat(F.lit("heuristic_failed: "), F.array_join(page["failing_signals"], ", "))),
         "vlm_used": thin | poor,
-    })
+    }
 
 
-def escalations(pages: DataFrame) -> DataFrame:
-    """``warnings`` of the pages that the gate escalates.  Only these few rows format a ratio in Python."""
-    from docspark.functions.python_only import two_decimals
+def escalation_message(page) -> Column:
+    """What is said of an escalated page: the coverage with two decimals, or the signals that fail."""
+    thin = F.concat(F.lit("coverage="), T.two_decimals(page["coverage"]), F.lit("<0.3"))
+    why = F.when(page["layer"] == 1, thin).otherwise(page["reason"])
+    return F.concat(F.lit("Page "), page["page_idx"].cast("string"), F.lit(" escalated to VLM: "), why)
 
+
+def escalations(pages: DataFrame) -> DataFrame:
+    """``warnings`` of the pages that the gate escalates."""
     up = pages.where("quality_decision = 'promote_to_vlm'")
-    thin = up.where("layer = 1").withColumn("reason", F.concat(F.lit("coverage="), two_decimals("coverage"), F.lit("<0.3")))
-    rows = up.where("layer = 2").unionByName(thin)
-    message = F.concat(F.lit("Page "), F.col("page_idx").cast("string"), F.lit(" escalated to VLM: "), F.col("reason"))
-    return rows.select("doc_key", "page_idx", F.lit("quality_gate_escalation").alias("code"), message.alias("message"))
+    return up.select("doc_key", "page_idx", F.lit("quality_gate_escalation").alias("code"), escalation_message(up).alias("message"))

@@ -12,6 +12,7 @@ from docspark.operators import elements as E
 from docspark.operators.assemble import OUTPUT_COLUMNS, assemble, warned
 from docspark.operators.answers import Answers
 from docspark.operators.clients import make_client, model_name
+from docspark.operators.documents import parsed_documents
 from docspark.operators.enrich import described, enrichment_warnings, with_prompts
 from docspark.operators.gate import escalations, evaluate_pages
 from docspark.operators.render import render_documents
@@ -36,6 +37,9 @@ def parse_contents(
     described are cut out of.  Answers of the model are kept below ``answers_path``, if there is one, and not asked for again.
     """
     config = config or EnrichmentConfig()
+    if config.parser == "mineru" and not config.enabled:
+        # written, as filters of what follows would be pushed down and with them all that outputs are made of
+        return staged(parsed_documents(contents, config, layer_tokens), "outputs")
     spark = contents.sparkSession
     docs = contents.select("doc_key", "file_path", "file_sha256")
     keyed = contents.select(F.col("file_sha256").alias("doc_sha"), "doc_key", "content")
@@ -124,7 +128,8 @@ def parse_batch(
     made = staged(run_engine(wanted, engine or default_engine(config)), "contents")
     contents = wanted.select("doc_key", "file_path", "file_sha256").join(made.withColumn("error", F.nullif("error", F.lit(""))), "doc_key")
     pdfs = wanted.where(F.lower("path").endswith(".pdf"))
-    parsed = staged(parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs, answers_path), "outputs")
+    parsed = parse_contents(contents, config, client, text_layer_tokens(pdfs), pdfs, answers_path)
+    parsed = parsed if hasattr(parsed, "staged_at") else staged(parsed, "outputs")
     if cache:
         keys = wanted.select("doc_key", full_key(F.col("file_sha256"), F.col("mtime_ms"), config).alias("cache_key"))
         cache.put(parsed.join(keys, "doc_key").where(~F.exists("warnings", lambda w: w["code"].isin(*FAILURES))))

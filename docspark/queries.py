@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from docspark.functions import blocks as B
 from docspark.functions import geometry, ids, media
 from docspark.functions import text as T
-from docspark.operators import context, docling, elements, enrich, export, gate, render
+from docspark.operators import context, docling, documents, elements, enrich, export, gate, render
 from docspark.plans import batch, cache
 from docspark.schema import EnrichmentConfig
 from docspark.sources import files
@@ -232,10 +232,19 @@ g AS (SELECT *, NOT thin AND NOT no_words AND failing <> '' AS poor FROM w)"""
 
 
 def gated_pages(spark, sf_dir) -> DataFrame:
-    made = document_elements(spark, sf_dir)
+    """Rows of pages, from documents that are one row each until then."""
+    doc, lines = F.col("doc_id"), F.split("text", "\n", -1)
+    kind = lambda i: F.when(i == 0, "title").when((i + 1) % 7 == 0, "list").when((i + 1) % 11 == 0, "footer").otherwise("text")
+    level = (doc % 6 + 1).cast("int")
+    elements = F.transform(lines, lambda t, i: F.struct(
+        F.floor(i / 10).cast("int").alias("page_idx"), B.block_type(kind(i)).alias("type"), F.when((i == 0) & (t != ""), T.heading(t, level)).otherwise(t).alias("text"),
+    ))
+    docs = documents.with_pages(table(spark, sf_dir, "documents").select(doc.alias("doc_key"), elements.alias("elements")))
     # a text layer is known of every third document, up to five times the words that were extracted
-    words = gate.page_texts(made).where("doc_key % 3 = 0").select("doc_key", "page_idx", (F.col("extracted") * (F.col("doc_key") % 5 + 1)).alias("n_tokens"))
-    return gate.evaluate_pages(made, words)
+    words = F.when(F.col("doc_key") % 3 == 0, F.transform("pages", lambda p: p["extracted"] * (F.col("doc_key") % 5 + 1)))
+    docs = documents.with_decisions(docs.withColumn("layer_words", words), F.col("layer_words"))
+    # not ``explode``: the filter that Spark infers from it would be pushed down, and with it all that pages are made of
+    return docs.select("doc_key", F.explode_outer("pages").alias("p")).where("p is not null").select("doc_key", "p.*")
 
 
 @register(PAGES_SQL + """SELECT doc_key, page_idx, element_count, extracted, CASE WHEN thin OR poor THEN 'promote_to_vlm' ELSE 'keep' END AS quality_decision,
