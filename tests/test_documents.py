@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from docspark import parse_contents
+from docspark import EnrichmentConfig, parse_contents
 from docspark.functions.text import two_decimals
 from docspark.operators import documents as D
 from docspark.operators import elements as E
@@ -69,5 +69,5 @@ def test_two_decimals_as_python(spark):
 
 
 def test_no_exchange(spark):
-    plan = D.parsed_documents(contents(spark, {"a": []}), __import__("docspark").EnrichmentConfig())._jdf.queryExecution().executedPlan().toString()
+    plan = D.parsed_documents(contents(spark, {"a": []}), EnrichmentConfig())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
