@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from docspark.staging import discard, shared_dir
 from docspark.staging import staged as written
 
-__all__ = ["bounded_batches", "discard", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "discard", "few_rows_at_once", "shared_dir", "table", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,3 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches to Python hold at most about ``size``, however long the texts are (a session setting)."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+@contextmanager
+def few_rows_at_once(spark: SparkSession, rows: int = 4) -> Iterator[None]:
+    """Parquet files of very wide rows are read some rows at once by the actions within; a file of 4096 would be held whole."""
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

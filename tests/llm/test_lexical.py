@@ -111,3 +111,18 @@ def test_proof_spares_the_lower_tiers():
     read.clear()
     # beyond what anyone here can reach: out by the bounds of the first tier
     assert len(best_of_block(lazily, n, np.array([1]), np.array([100]), 1, 10**9)[0]) == 0 and read == [0]
+
+
+def test_blocks_are_read_few_at_once(spark, docs, monkeypatch):
+    # the reader holds a batch of rows as columns: 4096 blocks of megabytes are more than an executor's memory
+    key, seen = "spark.sql.parquet.columnarReaderBatchSize", {}
+    before, kept = spark.conf.get(key), lexical.written
+
+    def written(df, label):
+        seen[label] = int(spark.conf.get(key))
+        return kept(df, label)
+
+    monkeypatch.setattr(lexical, "written", written)
+    rows, items = corpus(7, 30)
+    assert found(spark, docs, rows, items) == plain(rows, items)
+    assert {seen[x] for x in ("lexical-index", "lexical-df", "lexical-best")} == {4} and spark.conf.get(key) == before
