@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions.text import let
+
 # Media types by suffix.
 MIME_TYPES = {
     "pdf": "application/pdf", "png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "tif": "image/tiff", "tiff": "image/tiff",
@@ -49,11 +51,6 @@ def mime_type(path: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ending), F.lit("application/octet-stream"))
 
 
-def let(value: Column, use) -> Column:
-    """What ``use`` makes of a value, which is worked out once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def number(digits: Column, little: bool = False) -> Column:
     """The whole number in hexadecimal digits of up to seven bytes, least byte first if ``little``; null if there are none."""
     if little:

@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 
 # Every character that str.isspace accepts, as a Java character class body.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+# the same classes, and their opposite, with the usual characters told first
+_IS_SPACE, _NO_SPACE = f"[[^!-~]&&[{SPACE}]]", f"[!-~[^{SPACE}]]"
+
+
+def let(value: Column, use) -> Column:
+    """What ``use`` makes of a value, which is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def tokens(text: Column) -> Column:
@@ -20,17 +28,23 @@ def n_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The number of words between white space, without a list of them."""
-    return F.regexp_count(text, F.lit(f"[^{SPACE}]+"))
+    # a sign for each word and the space before it
+    return F.length(F.rtrim(F.regexp_replace(text, f"{_IS_SPACE}*+{_NO_SPACE}++", "a"), F.lit(SPACES)))
+
 
+def brief(text: Column) -> Column:
+    """A text with one ``a`` for each run of letters: all else that the signals look at is in it, at a fraction of the length."""
+    return F.regexp_replace(text, r"[a-zA-Z\p{L}]++", "a")
 
-def letter_word_count(text: Column) -> Column:
-    """The number of words that are letters throughout."""
-    return F.regexp_count(text, F.lit(rf"(?<![^{SPACE}])\p{{L}}++(?![^{SPACE}])"))
 
+def spaced(text: Column) -> Column:
+    """A text with one plain space between words and none around them."""
+    return F.trim(F.regexp_replace(text, f"{_IS_SPACE}++", " "))
 
-def words_length(text: Column) -> Column:
-    """The characters of all words together."""
-    return F.length(F.regexp_replace(text, f"[{SPACE}]+", ""))
+
+def spaced_word_count(text: Column) -> Column:
+    """The number of words of a ``spaced`` text."""
+    return F.when(text == "", 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit(" "))) + 1)
 
 
 def strip(text: Column) -> Column:
@@ -65,15 +79,35 @@ def is_garbled_token(token: Column) -> Column:
     return token.rlike(GARBLED)
 
 
+SIGNS = r"()\[\].,%$:/+-"
+# what is_number_token accepts, as a whole word of a ``spaced`` text
+NUMBER_WORD = rf"(?<![^ ])[{SIGNS}]*+{DIGIT}[{DIGIT[1:-1]},./]*+[{SIGNS}]*+(?![^ ])"
+
+
+def content_word_count(spaced_brief: Column) -> Column:
+    """The number of words that are letters throughout, or numbers, of a ``spaced`` ``brief`` text."""
+    one = F.when(spaced_brief.rlike(DIGIT), F.regexp_replace(spaced_brief, NUMBER_WORD, "a")).otherwise(spaced_brief)
+    apart = F.concat(F.lit(" "), F.replace(one, F.lit(" "), F.lit("  ")), F.lit(" "))
+    return let(apart, lambda t: F.floor((F.length(t) - F.length(F.replace(t, F.lit(" a ")))) / 3).cast("int"))
+
+
+def garbled_word_count(text: Column, brief_text: Column) -> Column:
+    """The number of words with a Latin letter next to a digit; words are listed only with a digit, where a letter is next to one."""
+    with_digit = rf"(?<![^{SPACE}])[^{SPACE}\p{{Nd}}]*+\p{{Nd}}{_NO_SPACE}*+"
+    found = F.size(F.filter(F.regexp_extract_all(text, F.lit(with_digit), F.lit(0)), is_garbled_token))
+    return F.when(brief_text.rlike(r"a\p{Nd}|\p{Nd}a"), found).otherwise(0)
+
+
 def has_repeated_run(text: Column) -> Column:
     """One character, not a line feed, seven times or more in a row."""
     return text.rlike(r"([^\n])\1{6,}")
 
 
-def printable_ratio(text: Column) -> Column:
-    """Printable characters over all (1 at least); of white space only the plain space is printable."""
-    kept = F.length(F.regexp_replace(text, r"[\p{C}\p{Z}&&[^ ]]", ""))
-    return kept.cast("double") / F.greatest(F.length(text), F.lit(1)).cast("double")
+def printable_ratio(text: Column, brief_text: Column | None = None) -> Column:
+    """Printable characters over all (1 at least); of white space only the plain space is printable.  Letters are printable."""
+    brief_text = text if brief_text is None else brief_text
+    lost = F.length(brief_text) - F.length(F.regexp_replace(brief_text, r"[[^ -~]&&[\p{C}\p{Z}]]", ""))
+    return (F.length(text) - lost).cast("double") / F.greatest(F.length(text), F.lit(1)).cast("double")
 
 
 # a model's thinking, in the order in which it is taken out

@@ -98,8 +98,11 @@ def with_decisions(docs: DataFrame, layer: Column | None = None) -> DataFrame:
     """
     pages = F.col("pages")
     known = lambda i: F.lit(None).cast("bigint") if layer is None else F.get(layer, i).cast("bigint")
-    docs = docs.withColumn("pages", F.transform(pages, lambda p, i: _put(p, n=T.word_count(p["text"]), n_tokens=known(i))))
-    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, **signals(p["text"], p["n"]), blank=T.strip(p["text"]) == "").dropFields("text")))
+    docs = docs.withColumn("pages", F.transform(pages, lambda p, i: _put(p, brief=T.brief(p["text"]), n_tokens=known(i))))
+    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, spaced=T.spaced(p["brief"]))))
+    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, n=T.spaced_word_count(p["spaced"]), blank=p["spaced"] == "")))
+    told = lambda p: signals(p["text"], p["brief"], p["spaced"], p["n"])
+    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, **told(p)).dropFields("text", "brief", "spaced")))
     docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, failing_signals=failing_signals(p, p["n"])).dropFields("n")))
     return docs.withColumn("pages", F.transform(pages, lambda p: _put(p, **decision(p))))
 

@@ -14,20 +14,19 @@ LAYER_TOKENS_MIN, COVERAGE_MIN = 50, 0.30
 SIGNALS = ("garbled_token_ratio", "mean_word_length", "dict_hit_rate", "repeated_char_run", "ascii_printable_ratio")
 
 
-def signals(body: Column, n: Column) -> dict[str, Column]:
-    """The five signals of a text of ``n`` words, by name.
+def signals(body: Column, brief: Column, spaced: Column, n: Column) -> dict[str, Column]:
+    """The five signals of a text of ``n`` words, by name; ``brief`` is the text with runs of letters cut to one sign, ``spaced`` that
+    with plain spaces, so that most signals go over a fraction of the text.
 
-    Words are counted on the text; they are listed only where a digit, or a letter next to one, is in it at all.  Without a
-    word, ratios are 0 and the printable ratio is 1.
+    Without a word, ratios are 0 and the printable ratio is 1.
     """
     ratio = lambda count: F.when(n == 0, 0.0).otherwise(count.cast("double") / n.cast("double"))
-    listed = lambda sign, test: F.when(body.rlike(sign), F.size(F.filter(T.tokens(body), test))).otherwise(0)
     return {
-        "garbled_token_ratio": ratio(listed(T.GARBLED, T.is_garbled_token)),
-        "mean_word_length": ratio(T.words_length(body)),
-        "dict_hit_rate": ratio(T.letter_word_count(body) + listed(T.DIGIT, T.is_number_token)),
+        "garbled_token_ratio": ratio(T.garbled_word_count(body, brief)),
+        "mean_word_length": ratio(F.length(body) - F.length(brief) + F.length(F.replace(spaced, F.lit(" ")))),
+        "dict_hit_rate": ratio(T.content_word_count(spaced)),
         "has_repeated_char_run": (n > 0) & T.has_repeated_run(body),
-        "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.printable_ratio(body)),
+        "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.printable_ratio(body, brief)),
     }
 
 
@@ -43,9 +42,11 @@ def failing_signals(of, n: Column) -> Column:
 
 def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the five signals of a text and ``failing_signals``."""
-    df = df.withColumn("_n", T.word_count(F.col(text)))
-    df = df.withColumns(signals(F.col(text), F.col("_n")))
-    return df.withColumn("failing_signals", failing_signals(df, F.col("_n"))).drop("_n")
+    df = df.withColumn("_brief", T.brief(F.col(text)))
+    df = df.withColumn("_spaced", T.spaced(F.col("_brief")))
+    df = df.withColumn("_n", T.spaced_word_count(F.col("_spaced")))
+    df = df.withColumns(signals(F.col(text), F.col("_brief"), F.col("_spaced"), F.col("_n")))
+    return df.withColumn("failing_signals", failing_signals(df, F.col("_n"))).drop("_brief", "_spaced", "_n")
 
 
 def ordered_join(order: str, text: str, when: Column, sep: str = "\n") -> Column:

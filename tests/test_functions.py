@@ -3,6 +3,9 @@
 import json
 import math
 import os
+import random
+import re
+import unicodedata
 import uuid
 
 import pytest
@@ -14,6 +17,7 @@ from docspark.functions import geometry, ids, media
 from docspark.functions import text as T
 from docspark.functions.python_only import description, table_to_markdown, tolerant_json
 from docspark.operators import clients, context, docling, elements, enrich, export, gate, render
+from docspark.operators.gate import with_signals
 from docspark.sources import engines, files
 
 
@@ -239,3 +243,33 @@ def test_bench_export(spark):
     assert got[0]["level"] == 2 and got[0]["text"] == "T" and got[0]["char_span"] == [0, 1] and got[1]["char_span"][0] == 2
     assert got[1]["content"]["cells"][3] == {"row": 1, "col": 1, "text": "", "is_header": False} and got[2]["content"] == {"kind": "figure", "alt_text": "alt"}
     assert got[3]["type"] == "paragraph" and got[3]["bbox"]["y1"] == 4.0
+
+
+def test_signals_over_a_brief_text(spark):
+    rng, parts = random.Random(4), ["word", "Über", "日本", "7", "1,234.5", "($9.50)", "1:2", "a7", "é7", "7é", "x-y", "-", "3rd", "²", "５", "\x01", "\xa0", "\u2003", " ", "\n", "\x1c", "b" * 8, "--", ",", "𝒜", "𝒜1"]
+    texts = ["", " ", "\n\xa0", "a", *["".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\t"]) for _ in range(rng.randrange(1, 30))) for _ in range(400)]]
+    digit = lambda c: unicodedata.category(c) == "Nd" or c in "²³¹"
+
+    def number(w):
+        bare = re.sub("[,./]", "", w.strip("()[].,%$:/+-"))
+        return bare != "" and all(map(digit, bare))
+
+    latin, nd = (lambda c: c.isascii() and c.isalpha()), (lambda c: unicodedata.category(c) == "Nd")
+    garbled = lambda w: any(latin(a) and nd(b) or nd(a) and latin(b) for a, b in zip(w, w[1:]))
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    got = {r.i: r for r in with_signals(df.withColumn("n", T.word_count(F.col("text")))).collect()}
+    for i, t in enumerate(texts):
+        words, r = t.split(), got[i]
+        n = len(words)
+        assert r.n == n, t
+        assert r.garbled_token_ratio == (sum(map(garbled, words)) / n if n else 0.0), t
+        assert r.mean_word_length == (sum(map(len, words)) / n if n else 0.0), t
+        assert r.dict_hit_rate == (sum(w.isalpha() or number(w) for w in words) / n if n else 0.0), t
+        assert r.ascii_printable_ratio == (sum(c == " " or c.isprintable() for c in t) / max(len(t), 1) if n else 1.0), t
+        assert r.has_repeated_char_run == (n > 0 and re.search(r"([^\n])\1{6}", t) is not None), t
+
+
+def test_no_signal_counts_in_a_list_of_all_words(spark):
+    # a list of all words, each tested by expressions of its own, took most of the gate's time
+    plan = with_signals(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("regexp_extract_all") == 1
