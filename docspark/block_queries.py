@@ -250,8 +250,10 @@ def tree_kinds(spark, sf_dir):
     )
     # the texts differ in their fields
     content = F.concat(F.lit('{"texts":['), first, F.lit(","), last, F.lit("],"), F.substr(F.to_json(tree), F.lit(2)))
-    trees = Q.table(spark, sf_dir, "orders").select(o.alias("doc_key"), content.alias("content"))
-    made = docling.route_leaves(docling.walk(docling.explode_nodes(trees)))
+    # numbers alone are dealt out: a file of them is a few tasks, and most of the work is what is made of each
+    orders = Q.table(spark, sf_dir, "orders").select("o_orderkey").repartition(4 * spark.sparkContext.defaultParallelism)
+    trees = orders.select(o.alias("doc_key"), content.alias("content"))
+    made = docling.route_leaves(docling.walk_contents(trees))
     return made.select("doc_key", "seq", "type", "text", "page_idx", "bbox", F.decode("image_bytes", "UTF-8").alias("picture"))
 
 

@@ -16,11 +16,13 @@ from docspark.functions.geometry import bbox_from_sides
 from docspark.functions.ids import element_id
 from docspark.functions.media import decoded_picture
 from docspark.functions.python_only import dumped_json
+from docspark.functions.text import let
 from docspark.operators.elements import MOST_PAGES
 from docspark.staging import staged
 
 LEAVES = ("texts", "pictures", "tables")
 CONTAINERS = ("groups", "body")
+LEVELS = 8  # that a tree's own row is walked down
 BODY = -1  # the body among the numbers of groups
 MOST_LEAVES = 1_000_000  # of a document that names groups again; what is written once has no bound
 
@@ -28,9 +30,9 @@ MOST_LEAVES = 1_000_000  # of a document that names groups again; what is writte
 def reference(child: Column) -> Column:
     """struct(node_type, idx) of a child: the text of a reference, or an object that holds one.  Null if malformed."""
     text = F.when(B.kind_of(child) == "STRING", F.try_variant_get(child, "$", "string")).otherwise(F.try_variant_get(child, "$['$ref']", "string"))
-    parts = F.split(text, "/")
-    idx = F.when(F.try_element_at(parts, F.lit(3)).rlike(r"^-?\d{1,9}$"), F.try_element_at(parts, F.lit(3)).cast("int"))
-    return F.when(idx.isNotNull(), F.struct(F.try_element_at(parts, F.lit(2)).alias("node_type"), idx.alias("idx")))
+    at = lambda parts, i: F.try_element_at(parts, F.lit(i))
+    named = lambda p: F.struct(at(p, 2).alias("node_type"), at(p, 3).cast("int").alias("idx"))
+    return let(F.split(text, "/"), lambda p: F.when(at(p, 3).rlike(r"^-?\d{1,9}$"), named(p)))
 
 
 def explode_nodes(trees: DataFrame, key: str = "doc_key", content: str = "content") -> DataFrame:
@@ -175,6 +177,58 @@ def walk(nodes: DataFrame) -> DataFrame:
     return walk_trees(nodes)[0]
 
 
+def walk_contents(trees: DataFrame, key: str = "doc_key", content: str = "content") -> DataFrame:
+    """The ``leaves`` of ``walk_trees``, with ``raw``, from contents (one row a key).
+
+    A tree is walked where it lies, level by level: groups are replaced by their children in an array of its row, without an
+    exchange.  Groups that are left after as many levels as there are groups are a cycle.  Trees with groups below LEVELS,
+    those whose groups are named so often that the array outgrows what is written, and those with nodes that are null go by
+    ``walk_trees``.
+    """
+    named = lambda name: F.coalesce(F.try_variant_get("_tree", f"$.{name}", "array<variant>"), F.array().cast("array<variant>")).alias(name)
+    raw = F.from_json("content", "tables array<struct<data:string>>")["tables"]["data"]
+    docs = trees.select(F.col(key).alias("doc_key"), F.col(content).alias("content")).withColumn("_tree", F.try_parse_json("content"))
+    body = F.try_variant_get("_tree", "$.body", "variant").alias("body")
+    docs = docs.select("doc_key", "content", body, *map(named, (*LEAVES, "groups")), raw.alias("raw"))
+    size = lambda r: F.coalesce(*[F.when(r["node_type"] == t, F.size(t)) for t in (*LEAVES, "groups")], F.lit(0))
+
+    def kids(node: Column) -> Column:
+        refs = F.transform(F.try_variant_get(node, "$.children", "array<variant>"), reference)
+        placed = F.transform(F.filter(refs, lambda r: r.isNotNull()), lambda r: let(size(r), lambda n: F.struct(
+            r["node_type"].alias("node_type"), F.when(r["idx"] < 0, n + r["idx"]).otherwise(r["idx"]).alias("idx"), n.alias("n")
+        )))
+        return F.coalesce(F.filter(placed, lambda r: (r["idx"] >= 0) & (r["idx"] < r["n"])), F.array().cast("array<struct<node_type:string,idx:int,n:int>>"))
+
+    docs = docs.withColumn("_top", kids(F.col("body"))).withColumn("_kids", F.transform("groups", kids))
+    count = lambda lists: F.aggregate(lists, F.lit(0).cast("long"), lambda n, x: n + F.size(x))
+    docs = docs.withColumn("_most", F.greatest(F.size("_top") + count(F.col("_kids")), F.lit(1000)))
+    is_group = lambda r: r["node_type"] == "groups"
+
+    def deeper(walked: Column, levels: int) -> Column:
+        if not levels:
+            return walked
+        long = F.aggregate(walked, F.lit(0).cast("long"), lambda n, r: n + F.when(is_group(r), F.size(F.get("_kids", r["idx"]))).otherwise(1))
+        opened = F.flatten(F.transform(walked, lambda r: F.when(is_group(r), F.get("_kids", r["idx"])).otherwise(F.array(r))))
+        step = F.when(~F.exists(walked, is_group), walked).when(long <= F.col("_most"), opened)
+        return let(step, lambda w: deeper(w, levels - 1))
+
+    whole = F.lit(True)
+    for name in (*LEAVES, "groups"):
+        whole = whole & ~F.exists(name, lambda x: x.isNull())
+    docs = docs.withColumn("_walked", F.when(whole, deeper(F.col("_top"), LEVELS)))
+    docs = docs.withColumn("_left", F.exists("_walked", is_group))
+    rest = F.when(F.coalesce(F.col("_left"), F.lit(True)) & (F.col("_left").isNull() | (F.size("groups") > LEVELS)), F.array(F.struct("doc_key", "content")))
+    # not ``where``, nor ``explode``: filters would be pushed down, and with them all that the walk is made of
+    rest = staged(docs.select(F.explode_outer(rest).alias("r")).where("r is not null").select("r.*"), "walk-rest")
+    node = lambda r: F.coalesce(*[F.when(r["node_type"] == t, F.get(t, r["idx"])) for t in LEAVES])
+    leaf = lambda r: F.struct(r["node_type"].alias("node_type"), node(r).alias("node"), F.when(r["node_type"] == "tables", F.get("raw", r["idx"])).alias("raw"))
+    found = docs.select("doc_key", F.posexplode_outer(F.when(~F.col("_left"), F.transform("_walked", leaf))).alias("element_idx", "leaf"))
+    found = found.where("leaf is not null").select("doc_key", "element_idx", "leaf.*")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(walk(staged(explode_nodes(rest), "nodes")).select(found.columns))
+
+
 def route_leaves(leaves: DataFrame, sha256: Column | None = None) -> DataFrame:
     """``elements`` of the leaves, with ``too_large`` where a picture's bytes were left out."""
     node, sha256 = F.col("node"), F.col("doc_key") if sha256 is None else sha256
@@ -197,9 +251,10 @@ def route_leaves(leaves: DataFrame, sha256: Column | None = None) -> DataFrame:
         decoded_picture(F.coalesce(F.try_variant_get(node, "$.image.uri", "string"), F.lit(""))).alias("_picture"),
         F.coalesce(B.field(node, "caption"), F.lit("")).alias("_caption"), told.alias("_data"), sha256.alias("_sha"),
     ).where(~B.bbox_is_bad(F.col("bbox")))
-    tables = rows.where("node_type = 'tables'").withColumn("_text", F.concat(F.col("_caption"), F.lit("\n"), dumped_json("_data")))
-    rows = rows.where("node_type <> 'tables'").unionByName(tables)
-    is_text, is_picture = F.col("node_type") == "texts", F.col("node_type") == "pictures"
+    is_text, is_picture, is_table = (F.col("node_type") == t for t in LEAVES)
+    # one pass over what leaves are made of: only the data of tables is told to Python, null elsewhere
+    rows = rows.withColumn("_data", F.when(is_table, dumped_json(F.when(is_table, F.col("_data")))))
+    rows = rows.withColumn("_text", F.when(is_table, F.concat("_caption", F.lit("\n"), "_data")).otherwise(F.col("_text")))
     return rows.select(
         "doc_key", "seq", F.col("seq").alias("block_pos"), element_id(F.col("_sha"), F.col("page_idx"), F.col("seq")).alias("element_id"),
         F.when(is_text, B.label_type(F.col("_label"))).when(is_picture, "image").otherwise("table").alias("type"),

@@ -144,3 +144,30 @@ def test_groups_named_again_and_again_fail_alone(spark, monkeypatch):
     found, bad = docling.walk_trees(docling.explode_nodes(spark.createDataFrame(rows, "doc_key string, content string")))
     assert {r.doc_key: r.message for r in bad.collect()} == {k: "the layout tree has more than 1100 leaves" for k in ("forty", "thousands")}
     assert {r.doc_key: r["count"] for r in found.groupBy("doc_key").count().collect()} == {"ten": 1024, "wide": 1500} and time.time() - began < 120
+
+
+def test_contents_are_walked_in_their_rows_and_as_by_recursion(spark):
+    rng = random.Random(5)
+    trees = {f"d{i}": random_tree(rng, i % 2) for i in range(200)}
+    chain = [{"children": [f"#/groups/{i + 1}"]} for i in range(19)] + [{"children": ["#/texts/0"]}]
+    trees["deep"] = {"body": {"children": ["#/groups/0"]}, "groups": chain, "texts": [{"orig": "end"}]}
+    trees["wide"] = {"body": {"children": ["#/groups/0"] * 40}, "groups": [{"children": ["#/groups/1"] * 40}, {"children": ["#/texts/0"]}], "texts": [{"orig": "x"}]}
+    rows = [*[(k, json.dumps(t)) for k, t in trees.items()], ("odd", "{"), ("none", None), ("null", '{"body":{"children":["#/texts/-1"]},"texts":[{"orig":"a"},null]}')]
+    df = spark.createDataFrame(rows, "doc_key string, content string")
+    got = {}
+    for r in docling.route_leaves(docling.walk_contents(df)).orderBy("doc_key", "seq").collect():
+        got.setdefault(r.doc_key, []).append(r.text)
+    for k, t in trees.items():
+        assert got.get(k, []) == (plain_walk(t) or []), k
+    by_rounds = docling.route_leaves(docling.walk(docling.explode_nodes(df.where("doc_key in ('odd', 'none', 'null')"))))
+    assert sorted((r.doc_key, r.text) for r in by_rounds.collect()) == sorted((k, x) for k in ("odd", "none", "null") for x in got.get(k, []))
+
+
+def test_usual_trees_need_no_rounds(spark, monkeypatch):
+    # many joins over all nodes took most of the time; a cycle is told in the row too
+    monkeypatch.setattr(docling, "walk_trees", lambda nodes: 1 / 0)
+    trees = {"a": {"body": {"children": ["#/groups/0", "#/texts/0"]}, "groups": [{"children": ["#/texts/-1"]}], "texts": [{"orig": "1"}, {"orig": "2"}]}}
+    trees["loop"] = {"body": {"children": ["#/groups/0"]}, "groups": [{"children": ["#/groups/0", "#/texts/0"]}], "texts": [{"orig": "1"}]}
+    rows = [(k, json.dumps(t)) for k, t in trees.items()]
+    got = docling.route_leaves(docling.walk_contents(spark.createDataFrame(rows, "doc_key string, content string")))
+    assert [(r.doc_key, r.text) for r in got.orderBy("seq").collect()] == [("a", "2"), ("a", "1")]
