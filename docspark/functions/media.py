@@ -39,9 +39,13 @@ def decoded_picture(uri: Column) -> Column:
     """
     comma = F.instr(uri, ",")
     payload = F.regexp_replace(F.when(comma > 0, F.substring(uri, comma + 1, F.length(uri))).otherwise(uri), "[^A-Za-z0-9+/=]", "")
-    raw = F.when(F.length(payload) % 4 == 0, F.try_to_binary(payload, F.lit("base64")))
-    large = F.coalesce(F.octet_length(raw) > MAX_PICTURE, F.lit(False))
-    return F.struct(F.when(~large, raw).alias("bytes"), large.alias("too_large"))
+    decoded = let(payload, lambda p: F.when(F.length(p) % 4 == 0, F.try_to_binary(p, F.lit("base64"))))
+
+    def told(raw: Column) -> Column:
+        large = F.coalesce(F.octet_length(raw) > MAX_PICTURE, F.lit(False))
+        return F.struct(F.when(~large, raw).alias("bytes"), large.alias("too_large"))
+
+    return let(decoded, told)
 
 
 def mime_type(path: Column) -> Column:

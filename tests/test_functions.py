@@ -273,3 +273,9 @@ def test_no_signal_counts_in_a_list_of_all_words(spark):
     # a list of all words, each tested by expressions of its own, took most of the gate's time
     plan = with_signals(spark.createDataFrame([("a",)], "text string"))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" not in plan and plan.count("regexp_extract_all") == 1
+
+
+def test_a_picture_is_decoded_once(spark):
+    made = spark.createDataFrame([("a",)], "uri string").select(media.decoded_picture(F.col("uri")).alias("p")).select(F.sha2("p.bytes", 256), "p.too_large")
+    plan = made._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("unbase64(") + plan.count("to_binary(") == 1 and plan.count("regexp_replace(") == 1
