@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import queries as Q
 from docspark.functions import blocks as B
 from docspark.functions import media
-from docspark.operators import docling, elements, enrich, export, render
+from docspark.operators import docling, documents, elements, enrich, export, render
 from docspark.plans import batch
 from docspark.schema import EnrichmentConfig
 from docspark.sources import files
@@ -58,7 +58,7 @@ def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     kind = F.element_at(F.array(*kinds), ((F.col("l_orderkey") + n) % 10 + 1).cast("int"))
     lists = Q.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("doc_key")).agg(json_list(n, part, kind).alias("content"))
-    made = elements.route_blocks(elements.explode_blocks(lists))
+    made = documents.element_rows(lists)
     return made.select("doc_key", "seq", "page_idx", "type", "text", "bbox", "element_id")
 
 

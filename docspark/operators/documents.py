@@ -63,6 +63,13 @@ def with_elements(docs: DataFrame, blocks: str, sha256: str) -> DataFrame:
     return docs.withColumn("elements", F.filter(numbered, lambda x: ~B.bbox_is_bad(x["bbox"]))).drop("_ordered", "_tables")
 
 
+def element_rows(contents: DataFrame) -> DataFrame:
+    """The ``elements`` of ``route_blocks``, from contents (doc_key, content; one row a document) without an exchange or a second pass."""
+    docs = with_elements(contents.select("doc_key", routed_blocks(F.col("content")).alias("_blocks")), "_blocks", "doc_key")
+    # not ``explode``: the filter that Spark infers from it would be pushed down, and with it all that elements are made of
+    return docs.select("doc_key", F.explode_outer("elements").alias("e")).where("e is not null").select("doc_key", "e.*")
+
+
 def _filled(items: Column, blank: Callable[[Column], Column]) -> Column:
     """``items``, structs in the order of ``page_idx``, with ``blank(page)`` for each page that has none, up to the last."""
     before = lambda k: F.when(k == 0, 0).otherwise(F.get(items, k - 1)["page_idx"] + 1)

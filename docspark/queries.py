@@ -157,8 +157,7 @@ WITH {BLOCKS}, {TYPED}
 SELECT doc_id::VARCHAR AS doc_key, (row_number() OVER (PARTITION BY doc_id ORDER BY page_idx, pos) - 1)::INTEGER AS seq, page_idx, type, text,
        {UUID5 % "doc_id || ':' || page_idx || ':' || pos"} AS element_id FROM typed""")
 def content_list_elements(spark, sf_dir):
-    blocks = elements.explode_blocks(document_contents(spark, sf_dir))
-    return elements.route_blocks(blocks).select("doc_key", "seq", "page_idx", "type", "text", "element_id")
+    return documents.element_rows(document_contents(spark, sf_dir)).select("doc_key", "seq", "page_idx", "type", "text", "element_id")
 
 
 @register("""

@@ -64,3 +64,18 @@ def test_partitions_do_not_matter(spark, monkeypatch, name):
     plain = queries.table
     monkeypatch.setattr(queries, "table", lambda *a: plain(*a).repartition(7))
     assert sorted(map(repr, queries.QUERIES[name](spark, SF).collect())) == want
+
+
+def test_element_rows_are_those_of_blocks_in_one_pass(spark):
+    from docspark.operators import documents, elements
+
+    blocks = [{"type": "table", "table_body": "<table><tr><td>a</td></tr></table>", "page_idx": 1}, "stray", {"type": "title", "text": "T"}, {"text": "x", "bbox": [1, "a"]}, {"text": "y", "page_idx": -1}, {"text": "z", "page_idx": "no"}]
+    import json
+
+    df = spark.createDataFrame([("a", json.dumps(blocks)), ("b", "{"), ("c", "[]")], "doc_key string, content string")
+    columns = ["doc_key", "seq", "block_pos", "page_idx", "type", "text", "bbox", "element_id"]
+    want = elements.route_blocks(elements.explode_blocks(df)).select(columns)
+    got = documents.element_rows(df).select(columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan
