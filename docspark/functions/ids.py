@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions.text import let
+
 OID_NAMESPACE = "6ba7b8129dad11d180b400c04fd430c8"  # fixed value: the OID namespace of RFC 4122
 
 
 def uuid5(name: Column) -> Column:
     """The version 5 UUID of ``name`` in the OID namespace."""
-    h = F.sha1(F.concat(F.unhex(F.lit(OID_NAMESPACE)), F.encode(name, "UTF-8")))
-    cut = lambda at, n: F.substring(h, at, n)
-    variant = F.lower(F.hex(F.conv(cut(17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
-    return F.concat_ws("-", cut(1, 8), cut(9, 4), F.concat(F.lit("5"), cut(14, 3)), F.concat(variant, cut(18, 3)), cut(21, 12))
+
+    def written(h: Column) -> Column:
+        cut = lambda at, n: F.substring(h, at, n)
+        variant = F.translate(cut(17, 1), "0123456789abcdef", "89ab89ab89ab89ab")
+        return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
+
+    return let(F.sha1(F.concat(F.unhex(F.lit(OID_NAMESPACE)), F.encode(name, "UTF-8"))), written)
 
 
 def element_id(sha256: Column, page_idx: Column, seq: Column) -> Column:

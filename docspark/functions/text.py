@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 # Every character that str.isspace accepts, as a Java character class body.
 SPACE = r"\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-# the same classes, and their opposite, with the usual characters told first
+# the same class, and its opposite, with the usual characters told first
 _IS_SPACE, _NO_SPACE = f"[[^!-~]&&[{SPACE}]]", f"[!-~[^{SPACE}]]"
+# letters one by one up to U+00FF: Java tells those from a table, and ranges and properties by a chain of calls
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha()) + r"\p{L}"
+_DIGIT_OR_ODD = "[^" + "".join(f"\\x{i:02x}" for i in range(32, 127) if not chr(i).isdigit()) + "]"
 
 
 def let(value: Column, use) -> Column:
@@ -28,18 +30,28 @@ def n_tokens(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """The number of words between white space, without a list of them."""
-    # a sign for each word and the space before it
-    return F.length(F.rtrim(F.regexp_replace(text, f"{_IS_SPACE}*+{_NO_SPACE}++", "a"), F.lit(SPACES)))
+    return let(spaced(brief(text)), spaced_word_count)
 
 
 def brief(text: Column) -> Column:
     """A text with one ``a`` for each run of letters: all else that the signals look at is in it, at a fraction of the length."""
-    return F.regexp_replace(text, r"[a-zA-Z\p{L}]++", "a")
+    return F.regexp_replace(text, f"[{_LETTERS}]++", "a")
 
 
-def spaced(text: Column) -> Column:
-    """A text with one plain space between words and none around them."""
-    return F.trim(F.regexp_replace(text, f"{_IS_SPACE}++", " "))
+def is_odd(text: Column) -> Column:
+    """Whether a text has a character that is not printable ASCII."""
+    return text.rlike("[^ -~]")
+
+
+def has_digit(text: Column) -> Column:
+    """False only where a text has no digit of any script."""
+    return text.rlike(_DIGIT_OR_ODD)
+
+
+def spaced(text: Column, odd: Column | None = None) -> Column:
+    """A text with one plain space between words and none around them; only odd texts are looked through for other spaces."""
+    one = lambda t: F.when(is_odd(t) if odd is None else odd, F.regexp_replace(t, f"{_IS_SPACE}++", " ")).when(F.contains(t, F.lit("  ")), F.regexp_replace(t, "  ++", " ")).otherwise(t)
+    return F.trim(let(F.replace(text, F.lit("\n"), F.lit(" ")), one))
 
 
 def spaced_word_count(text: Column) -> Column:
@@ -84,30 +96,40 @@ SIGNS = r"()\[\].,%$:/+-"
 NUMBER_WORD = rf"(?<![^ ])[{SIGNS}]*+{DIGIT}[{DIGIT[1:-1]},./]*+[{SIGNS}]*+(?![^ ])"
 
 
-def content_word_count(spaced_brief: Column) -> Column:
-    """The number of words that are letters throughout, or numbers, of a ``spaced`` ``brief`` text."""
-    one = F.when(spaced_brief.rlike(DIGIT), F.regexp_replace(spaced_brief, NUMBER_WORD, "a")).otherwise(spaced_brief)
+def content_word_count(spaced_brief: Column, digit: Column | None = None) -> Column:
+    """The number of words that are letters throughout, or numbers, of a ``spaced`` ``brief`` text; ``digit``: its ``has_digit``, if known."""
+    digit = has_digit(spaced_brief) if digit is None else digit
+    one = F.when(digit, F.regexp_replace(spaced_brief, NUMBER_WORD, "a")).otherwise(spaced_brief)
     apart = F.concat(F.lit(" "), F.replace(one, F.lit(" "), F.lit("  ")), F.lit(" "))
     return let(apart, lambda t: F.floor((F.length(t) - F.length(F.replace(t, F.lit(" a ")))) / 3).cast("int"))
 
 
-def garbled_word_count(text: Column, brief_text: Column) -> Column:
+def garbled_word_count(text: Column, brief_text: Column, digit: Column | None = None) -> Column:
     """The number of words with a Latin letter next to a digit; words are listed only with a digit, where a letter is next to one."""
     with_digit = rf"(?<![^{SPACE}])[^{SPACE}\p{{Nd}}]*+\p{{Nd}}{_NO_SPACE}*+"
     found = F.size(F.filter(F.regexp_extract_all(text, F.lit(with_digit), F.lit(0)), is_garbled_token))
-    return F.when(brief_text.rlike(r"a\p{Nd}|\p{Nd}a"), found).otherwise(0)
+    digit = has_digit(brief_text) if digit is None else digit
+    return F.when(digit & brief_text.rlike(r"a\p{Nd}|\p{Nd}a"), found).otherwise(0)
 
 
 def has_repeated_run(text: Column) -> Column:
     """One character, not a line feed, seven times or more in a row."""
-    return text.rlike(r"([^\n])\1{6,}")
+    return text.rlike(r"(?d)(.)\1\1\1\1\1\1")
 
 
 def printable_ratio(text: Column, brief_text: Column | None = None) -> Column:
     """Printable characters over all (1 at least); of white space only the plain space is printable.  Letters are printable."""
-    brief_text = text if brief_text is None else brief_text
-    lost = F.length(brief_text) - F.length(F.regexp_replace(brief_text, r"[[^ -~]&&[\p{C}\p{Z}]]", ""))
-    return (F.length(text) - lost).cast("double") / F.greatest(F.length(text), F.lit(1)).cast("double")
+    return ratio_of_printable(F.length(text), unprintable_count(text if brief_text is None else brief_text))
+
+
+def ratio_of_printable(size: Column, lost: Column) -> Column:
+    return (size - lost).cast("double") / F.greatest(size, F.lit(1)).cast("double")
+
+
+def unprintable_count(text: Column, odd: Column | None = None) -> Column:
+    """The number of characters that are not printable; apart from line feeds they are looked for in odd texts only."""
+    kept = lambda t: F.when(is_odd(t) if odd is None else odd, F.length(F.regexp_replace(t, r"[[^ -~]&&[\p{C}\p{Z}]]", ""))).otherwise(F.length(t))
+    return F.length(text) - let(F.replace(text, F.lit("\n"), F.lit("")), kept)
 
 
 # a model's thinking, in the order in which it is taken out

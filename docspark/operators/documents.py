@@ -17,7 +17,7 @@ from docspark.functions.ids import element_id
 from docspark.functions.python_only import tables_markdown
 from docspark.operators.assemble import output_of, warning_of
 from docspark.operators.elements import BAD_PAGE, ELEMENT_COLUMNS, page_of, parsed_content
-from docspark.operators.gate import decision, escalation_message, failing_signals, signals
+from docspark.operators.gate import COUNTS, counts, decision, escalation_message, failing_signals, signals
 from docspark.schema import ELEMENT, FURNITURE, PAGE, TEXT_TYPES, WARNING, EnrichmentConfig
 
 
@@ -77,40 +77,65 @@ def _filled(items: Column, blank: Callable[[Column], Column]) -> Column:
     return F.flatten(F.transform(items, lambda g, k: F.when(g["page_idx"] > before(k), F.concat(blanks(g, k), F.array(g))).otherwise(F.array(g))))
 
 
+def _told(e: Column) -> Column:
+    """What the gate has to know of an element; the text is left out where it looks at none."""
+    shown, counted = ~e["type"].isin(*FURNITURE) & (e["text"] != ""), e["type"].isin(*TEXT_TYPES)
+    text = F.when(shown | counted, e["text"]).otherwise("")
+    return F.struct(e["page_idx"].alias("page_idx"), shown.alias("shown"), counted.alias("counted"), text.alias("text"))
+
+
+def _added(of: Column) -> Column:
+    """The counts of a page from those of its elements, whose texts are joined by line feeds."""
+    zero = F.struct(*[(F.lit(False) if k == "has_run" else F.lit(0).cast("bigint")).alias(k) for k in (*COUNTS, "extracted", "n_shown")])
+
+    def add(a: Column, e: Column) -> Column:
+        sums = [(a[k] + F.when(e["shown"], e[k]).otherwise(0)).alias(k) for k in COUNTS if k != "has_run"]
+        run, words = a["has_run"] | (e["shown"] & e["has_run"]), a["extracted"] + F.when(e["counted"], e["n"]).otherwise(0)
+        return F.struct(*sums, run.alias("has_run"), words.alias("extracted"), (a["n_shown"] + e["shown"].cast("bigint")).alias("n_shown"))
+
+    def joined(a: Column) -> Column:
+        feeds = F.greatest(a["n_shown"] - 1, F.lit(0).cast("bigint"))
+        return _put(a, n_lost=a["n_lost"] + feeds, size=a["size"] + feeds).dropFields("n_shown")
+
+    return F.aggregate(of, zero, add, joined)
+
+
 def with_pages(docs: DataFrame, elements: str = "elements") -> DataFrame:
-    """``docs`` with ``pages``, every page 0..last: page_idx, element_count, extracted (words of text elements), text.
+    """``docs`` with ``pages``, every page 0..last: page_idx, element_count, extracted (words of text elements), and the gate's counts.
 
-    ``elements`` are in the order of their pages; a document without any has no page.
+    ``elements`` are in the order of their pages; a document without any has no page.  A text is gone through once, as an element's:
+    what is counted adds up, since no word, number or run goes over a line feed.
     """
-    listed, starts, found = F.col(elements), F.col("_starts"), F.col("_found")
-    page = lambda i: F.get(listed, i)["page_idx"]
-    first = F.transform(listed, lambda e, i: F.when((i == 0) | (page(i - 1) != e["page_idx"]), i))
+    told, starts, found = F.col("_told"), F.col("_starts"), F.col("_found")
+    page = lambda i: F.get(told, i)["page_idx"]
+    docs = docs.withColumn("_told", F.transform(elements, _told))
+    docs = docs.withColumn("_told", F.transform(told, lambda e: _put(e, brief=T.brief(e["text"]))))
+    docs = docs.withColumn("_told", F.transform(told, lambda e: _put(e, odd=T.is_odd(e["brief"]), digit=T.has_digit(e["brief"]))))
+    docs = docs.withColumn("_told", F.transform(told, lambda e: _put(e, spaced=T.spaced(e["brief"], e["odd"]))))
+    of = lambda e: counts(e["text"], e["brief"], e["spaced"], e["odd"], e["digit"])
+    docs = docs.withColumn("_told", F.transform(told, lambda e: _put(e, **of(e)).dropFields("text", "brief", "spaced", "odd", "digit")))
+    first = F.transform(told, lambda e, i: F.when((i == 0) | (page(i - 1) != e["page_idx"]), i))
     docs = docs.withColumn("_starts", F.filter(first, lambda i: i.isNotNull()))
-    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(listed))
-    docs = docs.withColumn("_found", F.transform(starts, lambda s, k: F.struct(page(s).alias("page_idx"), F.slice(listed, s + 1, end(k) - s).alias("of"))))
-    words = lambda of: F.aggregate(F.filter(of, lambda e: e["type"].isin(*TEXT_TYPES)), F.lit(0).cast("bigint"), lambda n, e: n + T.word_count(e["text"]))
-    shown = lambda of: F.filter(of, lambda e: ~e["type"].isin(*FURNITURE) & (e["text"] != ""))
-    docs = docs.withColumn("_found", F.transform(found, lambda p: F.struct(
-        p["page_idx"].alias("page_idx"), F.size(p["of"]).alias("element_count"), words(p["of"]).alias("extracted"),
-        F.array_join(F.transform(shown(p["of"]), lambda e: e["text"]), "\n").alias("text"),
-    )))
-    blank = lambda i: F.struct(i.alias("page_idx"), F.lit(0).alias("element_count"), F.lit(0).cast("bigint").alias("extracted"), F.lit("").alias("text"))
-    return docs.withColumn("pages", _filled(found, blank)).drop("_starts", "_found")
+    end = lambda k: F.coalesce(F.get(starts, k + 1), F.size(told))
+    docs = docs.withColumn("_found", F.transform(starts, lambda s, k: F.struct(page(s).alias("page_idx"), F.slice(told, s + 1, end(k) - s).alias("of"))))
+    docs = docs.withColumn("_found", F.transform(found, lambda p: F.struct(p["page_idx"].alias("page_idx"), F.size(p["of"]).alias("element_count"), _added(p["of"]).alias("of"))))
+    names = (*COUNTS, "extracted")
+    flat = lambda p: F.struct(p["page_idx"].alias("page_idx"), p["element_count"].alias("element_count"), *[p["of"][k].alias(k) for k in names])
+    docs = docs.withColumn("_found", F.transform(found, flat))
+    none = [(F.lit(False) if k == "has_run" else F.lit(0).cast("bigint")).alias(k) for k in names]
+    blank = lambda i: F.struct(i.alias("page_idx"), F.lit(0).alias("element_count"), *none)
+    return docs.withColumn("pages", _filled(found, blank)).drop("_told", "_starts", "_found")
 
 
 def with_decisions(docs: DataFrame, layer: Column | None = None) -> DataFrame:
-    """``docs`` whose ``pages`` have the gate's decision and its signals instead of their text.
+    """``docs`` whose ``pages`` have the gate's decision and its signals instead of their counts.
 
     ``layer`` is an array: the words of each page's text layer, null where none is known.
     """
     pages = F.col("pages")
     known = lambda i: F.lit(None).cast("bigint") if layer is None else F.get(layer, i).cast("bigint")
-    docs = docs.withColumn("pages", F.transform(pages, lambda p, i: _put(p, brief=T.brief(p["text"]), n_tokens=known(i))))
-    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, spaced=T.spaced(p["brief"]))))
-    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, n=T.spaced_word_count(p["spaced"]), blank=p["spaced"] == "")))
-    told = lambda p: signals(p["text"], p["brief"], p["spaced"], p["n"])
-    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, **told(p)).dropFields("text", "brief", "spaced")))
-    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, failing_signals=failing_signals(p, p["n"])).dropFields("n")))
+    docs = docs.withColumn("pages", F.transform(pages, lambda p, i: _put(p, n_tokens=known(i), blank=p["n"] == 0, **signals(p))))
+    docs = docs.withColumn("pages", F.transform(pages, lambda p: _put(p, failing_signals=failing_signals(p, p["n"])).dropFields(*COUNTS)))
     return docs.withColumn("pages", F.transform(pages, lambda p: _put(p, **decision(p))))
 
 

@@ -14,19 +14,33 @@ LAYER_TOKENS_MIN, COVERAGE_MIN = 50, 0.30
 SIGNALS = ("garbled_token_ratio", "mean_word_length", "dict_hit_rate", "repeated_char_run", "ascii_printable_ratio")
 
 
-def signals(body: Column, brief: Column, spaced: Column, n: Column) -> dict[str, Column]:
-    """The five signals of a text of ``n`` words, by name; ``brief`` is the text with runs of letters cut to one sign, ``spaced`` that
-    with plain spaces, so that most signals go over a fraction of the text.
+def counts(body: Column, brief: Column, spaced: Column, odd: Column | None = None, digit: Column | None = None) -> dict[str, Column]:
+    """What the signals are made of, by name: numbers that add up over the parts of a text between line feeds.
 
-    Without a word, ratios are 0 and the printable ratio is 1.
+    ``brief`` is the text with runs of letters cut to one sign, ``spaced`` that with plain spaces, so that most go over a fraction of it;
+    ``odd`` and ``digit`` tell whether it is odd and may have a digit, where that is known.
     """
+    whole = lambda c: c.cast("bigint")
+    return {
+        "n": whole(T.spaced_word_count(spaced)), "n_garbled": whole(T.garbled_word_count(body, brief, digit)), "n_content": whole(T.content_word_count(spaced, digit)),
+        "n_signs": whole(F.length(body) - F.length(brief) + F.length(F.replace(spaced, F.lit(" ")))), "n_lost": whole(T.unprintable_count(brief, odd)),
+        "size": whole(F.length(body)), "has_run": T.has_repeated_run(body),
+    }
+
+
+COUNTS = ("n", "n_garbled", "n_content", "n_signs", "n_lost", "size", "has_run")
+
+
+def signals(of) -> dict[str, Column]:
+    """The five signals, by name, from ``of[count]``.  Without a word, ratios are 0 and the printable ratio is 1."""
+    n = of["n"]
     ratio = lambda count: F.when(n == 0, 0.0).otherwise(count.cast("double") / n.cast("double"))
     return {
-        "garbled_token_ratio": ratio(T.garbled_word_count(body, brief)),
-        "mean_word_length": ratio(F.length(body) - F.length(brief) + F.length(F.replace(spaced, F.lit(" ")))),
-        "dict_hit_rate": ratio(T.content_word_count(spaced)),
-        "has_repeated_char_run": (n > 0) & T.has_repeated_run(body),
-        "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.printable_ratio(body, brief)),
+        "garbled_token_ratio": ratio(of["n_garbled"]),
+        "mean_word_length": ratio(of["n_signs"]),
+        "dict_hit_rate": ratio(of["n_content"]),
+        "has_repeated_char_run": (n > 0) & of["has_run"],
+        "ascii_printable_ratio": F.when(n == 0, 1.0).otherwise(T.ratio_of_printable(of["size"], of["n_lost"])),
     }
 
 
@@ -44,9 +58,9 @@ def with_signals(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with the five signals of a text and ``failing_signals``."""
     df = df.withColumn("_brief", T.brief(F.col(text)))
     df = df.withColumn("_spaced", T.spaced(F.col("_brief")))
-    df = df.withColumn("_n", T.spaced_word_count(F.col("_spaced")))
-    df = df.withColumns(signals(F.col(text), F.col("_brief"), F.col("_spaced"), F.col("_n")))
-    return df.withColumn("failing_signals", failing_signals(df, F.col("_n"))).drop("_brief", "_spaced", "_n")
+    df = df.withColumns({f"_{k}": c for k, c in counts(F.col(text), F.col("_brief"), F.col("_spaced")).items()})
+    df = df.withColumns(signals({k: F.col(f"_{k}") for k in COUNTS}))
+    return df.withColumn("failing_signals", failing_signals(df, F.col("_n"))).drop("_brief", "_spaced", *[f"_{k}" for k in COUNTS])
 
 
 def ordered_join(order: str, text: str, when: Column, sep: str = "\n") -> Column:

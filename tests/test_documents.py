@@ -71,3 +71,23 @@ def test_two_decimals_as_python(spark):
 def test_no_exchange(spark):
     plan = D.parsed_documents(contents(spark, {"a": []}), EnrichmentConfig())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_counts_of_elements_add_up_to_pages(spark):
+    rng, parts = random.Random(9), ["word", "Über", "7", "1,234.5", "a7", "7é", "x-y", "-", "²", "５", "\x01", "\xa0", " ", " ", "\n", "\r", "\x1c", "b" * 8, "1" * 7, "bbbb", "𝒜1"]
+    text = lambda: "".join(rng.choice(parts) + rng.choice(["", " ", "  ", "\t"]) for _ in range(rng.randrange(12)))
+    kinds = ["text", "title", "list", "footer", "image", "odd"]
+    of = {f"d{i}": [{"type": rng.choice(kinds), "page_idx": rng.choice([0, 0, 1, 3]), "text": text()} for _ in range(rng.randrange(9))] for i in range(150)}
+    df = contents(spark, of)
+    names = ("page_idx", "element_count", "extracted", "garbled_token_ratio", "mean_word_length", "dict_hit_rate", "has_repeated_char_run", "ascii_printable_ratio", "failing_signals", "reason")
+    rows = E.route_blocks(E.explode_blocks(df)).cache()
+    want = {(p.doc_key, *(str(p[c]) for c in names)) for p in evaluate_pages(rows).collect()}
+    docs = D.with_elements(df.select("doc_key", D.routed_blocks(F.col("content")).alias("b")), "b", "doc_key")
+    got = D.with_decisions(D.with_pages(docs)).select("doc_key", "pages").collect()
+    assert {(d.doc_key, *(str(p[c]) for c in names)) for d in got for p in d.pages} == want and want
+
+
+def test_a_text_is_gone_through_once(spark):
+    # words were counted by a search of their own, letters found again in each page's text, and each id hashed six times
+    plan = D.parsed_documents(contents(spark, {"a": []}), EnrichmentConfig())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha(") + plan.count("sha1(") == 1 and plan.count(r"\p{L}]++") == 1 and "rtrim(" not in plan
