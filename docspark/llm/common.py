@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docspark.staging import discard, shared_dir
 from docspark.staging import staged as written
 
-__all__ = ["bounded_batches", "discard", "few_rows_at_once", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "discard", "few_rows_at_once", "shared_dir", "table", "tidy", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,25 @@ def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def tidy(of: Callable) -> Callable:
+    """``of``, batches to batches, at whose end the worker hands the memory it freed back: it is kept, waiting, for later tasks."""
+
+    def run(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 @contextmanager
 def few_rows_at_once(spark: SparkSession, rows: int = 4) -> Iterator[None]:
     """Parquet files of very wide rows are read some rows at once by the actions within; a file of 4096 would be held whole."""

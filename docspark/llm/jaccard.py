@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, discard, written
+from docspark.llm.common import bounded_batches, discard, tidy, written
 from docspark.llm.components import components
 from docspark.llm.words import gram_hashes, mix, text_groups, word_hashes
 
@@ -157,10 +157,10 @@ def _signed(slim: DataFrame, n: int, num: int, den: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["_id", "_hash", "n", "k0", "k1", "sigs", "bits"])
 
     kind = dict(slim.dtypes)["_id"]
-    return slim.mapInArrow(sign, f"_id {kind}, _hash long, n long, k0 long, k1 long, sigs array<long>, bits binary")
+    return slim.mapInArrow(tidy(sign), f"_id {kind}, _hash long, n long, k0 long, k1 long, sigs array<long>, bits binary")
 
 
-def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str, worth: bool = True) -> DataFrame:
+def worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str, worth: bool = True) -> DataFrame:
     """The rows of ``df`` whose id may be in ``ids``, so that a join shuffles few others; or those whose id is not.
 
     A bitmap of hashed ids of fixed size (at most 4 MB, in 1024 rows) is sent to every task.  It is only a first
@@ -178,7 +178,7 @@ def _worth_dealing(df: DataFrame, col: str, ids: DataFrame, id_col: str, worth:
 
 def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     """(``rep``, ``members``) of the needed classes, computed again from one text of each.  A written table."""
-    sieved = _worth_dealing(slim, "_hash", needed, "a_hash")
+    sieved = worth_dealing(slim, "_hash", needed, "a_hash")
     same = (F.col("_hash") == F.col("a_hash")) & F.col("_id").eqNullSafe(F.col("an_id"))
     joined = sieved.join(needed.select("an_id", "a_hash", "rep", "k0", "k1"), same)
 
@@ -197,7 +197,7 @@ def _members(slim: DataFrame, needed: DataFrame, n: int) -> DataFrame:
             reps, members = zip(*kept) if kept else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(members, pa.binary())], ["rep", "members"])
 
-    got = joined.select("_text", "rep", "k0", "k1").mapInArrow(fetch, "rep long, members binary")
+    got = joined.select("_text", "rep", "k0", "k1").mapInArrow(tidy(fetch), "rep long, members binary")
     got = written(got, "jaccard-members")
     # rows that repeat id and text were found again by several tasks
     if got.count() > got.select("rep").distinct().count():
@@ -250,7 +250,7 @@ def _within_bound(pairs: DataFrame, bits: DataFrame, num: int, den: int) -> Data
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    return full.mapInArrow(test, "a long, b long")
+    return full.mapInArrow(tidy(test), "a long, b long")
 
 
 def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -274,7 +274,7 @@ def _exact(pairs: DataFrame, slim: DataFrame, classes: DataFrame, n: int, num: i
             at = pa.array(keep, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], ["a", "b"])
 
-    links = written(full.mapInArrow(test, "a long, b long"), "jaccard-links")
+    links = written(full.mapInArrow(tidy(test), "a long, b long"), "jaccard-links")
     discard(needed, sets)
     return links
 
@@ -345,7 +345,7 @@ def _tile_pairs(tiles: DataFrame, bits: DataFrame, num: int, den: int) -> DataFr
             a, b = zip(*found) if found else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    found = written(every.mapInArrow(compare, "a long, b long").distinct(), "jaccard-rest")
+    found = written(every.mapInArrow(tidy(compare), "a long, b long").distinct(), "jaccard-rest")
     discard(held, large, *spare)
     return found
 
@@ -377,7 +377,7 @@ def tiles_of(signed: DataFrame) -> tuple[DataFrame, ...]:
     # a tile is two numbers before its rows are sent anywhere; nearly all tiles hold one class and end here
     sums = emitted.groupBy("sig").agg(F.min("rep").alias("center"), F.count(F.lit(1)).cast("int").alias("size")).where("size > 1")
     shared = written(sums, "jaccard-shared")
-    tiles = _worth_dealing(emitted, "sig", shared, "sig").join(shared, "sig").select("sig", "rep", "n", "center", "size")
+    tiles = worth_dealing(emitted, "sig", shared, "sig").join(shared, "sig").select("sig", "rep", "n", "center", "size")
     # large tiles are few, and dealt into blocks by hash
     undealt = written(tiles, "jaccard-tiles")
     large = undealt.groupBy("sig").agg(F.ceil(F.sum("n") / BLOCK_MEMBERS).alias("_blocks")).where("_blocks > 1")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import bounded_batches, discard, written
-from docspark.llm.jaccard import _set_key, _worth_dealing, bitmap, groups_of, member_sets, tiles_of
+from docspark.llm.jaccard import _set_key, bitmap, groups_of, member_sets, tiles_of, worth_dealing
 from docspark.llm.words import mix, text_groups
 
 SHINGLE = 5
@@ -178,8 +178,8 @@ def fingerprints(
     shared = final.join(sizes, ["k0", "k1", "n"]).where("many > 1 or not (component_id <=> least)").select("k0", "k1", "n", "component_id")
     shared = written(shared.withColumn("class", F.xxhash64("k0", "k1", "n")), "minhash-shared")
     made = made.withColumn("_class", F.xxhash64("k0", "k1", "n"))
-    alone = _worth_dealing(made, "_class", shared, "class", False).withColumn("component_id", F.col("_id"))
-    told = _worth_dealing(made, "_class", shared, "class").join(shared.drop("class"), ["k0", "k1", "n"], "left")
+    alone = worth_dealing(made, "_class", shared, "class", False).withColumn("component_id", F.col("_id"))
+    told = worth_dealing(made, "_class", shared, "class").join(shared.drop("class"), ["k0", "k1", "n"], "left")
     known = told.withColumn("component_id", F.coalesce("component_id", "_id")).unionByName(alone)
     hexed = lambda c: F.lower(F.hex(c))
     return known.select(

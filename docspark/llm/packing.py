@@ -20,7 +20,7 @@ from collections import deque
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, written
+from docspark.llm.common import bounded_batches, tidy, written
 from docspark.llm.tokens import encoder
 from docspark.operators.numbering import number_rows
 
@@ -146,7 +146,7 @@ def token_pieces(
 
     kind = dict(slim.dtypes)["_id"]
     schema = f"_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return slim.mapInArrow(cut, schema)
+    return slim.mapInArrow(tidy(cut), schema)
 
 
 def pack_documents(

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches
+from docspark.llm.common import bounded_batches, tidy
 from docspark.llm.words import gram_hashes, mix, text_groups, word_hashes
 
 BITS = 18
@@ -157,7 +157,7 @@ def score(df: DataFrame, weights: bytes, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(out, pa.float64())], [*names, "score"])
 
     schema = "".join(f"{name} {kind}, " for name, kind in slim.dtypes if name != "_text")
-    got = slim.mapInArrow(rate, f"{schema}score double")
+    got = slim.mapInArrow(tidy(rate), f"{schema}score double")
     kept = [F.col(f"_kept{i}").alias(c) for i, c in enumerate(keep)]
     predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
     return got.select(*([] if id_col in keep else [F.col("_id").alias(id_col)]), *kept, held_out("_id").alias("held_out"), "score", predicted)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import bounded_batches, written
+from docspark.llm.common import bounded_batches, tidy, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -69,7 +69,7 @@ def document_rules(df: DataFrame, id_col: str, text_col: str, host_col: str) ->
 
     kinds = dict(slim.dtypes)
     counts = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-    got = slim.mapInArrow(rules, f"_id {kinds['_id']}, _host {kinds['_host']}, {counts}")
+    got = slim.mapInArrow(tidy(rules), f"_id {kinds['_id']}, _host {kinds['_host']}, {counts}")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return got.withColumn("base_failed", failed)
 
