@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark import queries as Q
@@ -24,9 +24,9 @@ def with_files(rows: DataFrame) -> DataFrame:
 
     def write(batches):
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                if content is not None:
-                    write_file(path, content)
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                if content.is_valid:
+                    write_file(path.as_py(), content.as_py())
             yield batch.select(["id", "path"])
 
     return staged(rows.select("id", "path", F.col("content").cast("binary")).mapInArrow(write, "id long, path string"), "written")
@@ -36,6 +36,11 @@ def new_folder(spark) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
+def spread(spark, n: Column) -> Column:
+    """One of many folders, by a row's number: in a single one all tasks would wait for each other with each file."""
+    return F.concat(F.lit(f"{new_folder(spark)}/"), F.pmod(n, F.lit(FOLDERS)).cast("string"), F.lit("/"))
+
+
 class GivenContents:
     """An engine for files that hold their own content lists; one that says ``fail`` fails."""
 
@@ -46,6 +51,7 @@ class GivenContents:
 
 
 FEW_BYTES = 2000
+FOLDERS = 1024
 
 
 @Q.register(f"""
@@ -59,7 +65,7 @@ def file_scan(spark, sf_dir):
     """Every page as a file: some are missing, some of a kind that is not accepted, some larger than what may be handed on."""
     n = F.col("page_id")
     ending = F.element_at(F.array(*map(F.lit, (".pdf", ".PNG", ".csv", ".tar.webp"))), (n % 4 + 1).cast("int"))
-    path = F.concat(F.lit(f"{new_folder(spark)}/a [b]/"), n.cast("string"), F.lit(" é"), ending)
+    path = F.concat(spread(spark, n), F.lit("a [b]/"), n.cast("string"), F.lit(" é"), ending)
     pages = Q.table(spark, sf_dir, "pages").select(n.alias("id"), path.alias("path"), F.when(n % 7 != 3, F.col("html")).alias("content"))
     found = scan_files(spark, with_files(pages).withColumnRenamed("id", "input_pos"), EnrichmentConfig(), FEW_BYTES)
     status = F.when(~F.col("exists"), "file_not_found").when(~F.col("accepted"), "unsupported_type").when(F.col("error").isNotNull(), "unreadable").otherwise("fine")
@@ -70,7 +76,7 @@ def file_scan(spark, sf_dir):
 def file_contents(spark, sf_dir):
     """Every document as a file (every ninth is missing), read back."""
     n = F.col("doc_id")
-    path = F.concat(F.lit(f"{new_folder(spark)}/"), n.cast("string"), F.lit(".pdf"))
+    path = F.concat(spread(spark, n), n.cast("string"), F.lit(".pdf"))
     rows = with_files(Q.table(spark, sf_dir, "documents").select(n.alias("id"), path.alias("path"), F.when(n % 9 != 4, F.col("text")).alias("content")))
     read = staged(read_files(rows, EnrichmentConfig(), content=True), "read")
     return rows.join(read.where("exists"), "path").select(F.col("id").alias("doc_id"), "length", F.decode("content", "UTF-8").alias("text"))
@@ -82,15 +88,15 @@ SELECT input_pos, doc_id, CASE WHEN doc_id % 10 IN (3, 5, 7) THEN 0 ELSE pages E
        CASE doc_id % 10 WHEN 3 THEN 'file_not_found' WHEN 5 THEN 'unsupported_type' WHEN 7 THEN 'mineru_failed' END AS code FROM a JOIN d USING (doc_id)""")
 def batch_outputs(spark, sf_dir):
     """Every document as a file that holds its content list, parsed as a batch; some paths are asked for twice."""
-    n, folder = F.col("doc_id"), new_folder(spark)
-    path = F.concat(F.lit(f"{folder}/"), n.cast("string"), F.when(n % 10 == 5, ".txt").otherwise(".pdf"))
+    n = F.col("doc_id")
+    path = F.concat(spread(spark, n), n.cast("string"), F.when(n % 10 == 5, ".txt").otherwise(".pdf"))
     contents = Q.document_contents(spark, sf_dir).withColumn("doc_id", F.col("doc_key").cast("long"))
     made = with_files(contents.select(n.alias("id"), path.alias("path"), F.when(n % 10 == 7, "fail").when(n % 10 != 3, F.col("content")).alias("content")))
     asked = made.select((F.col("id") * 2).alias("input_pos"), "path").union(made.where("id % 4 = 0").select(F.col("id") * 2 + 1, "path"))
-    outputs = parse_batch(spark, asked, EnrichmentConfig(), GivenContents)
     codes = F.filter(F.transform("warnings", lambda w: w["code"]), lambda c: c != "quality_gate_escalation")
     doc_id = F.regexp_extract("file_path", r"([0-9]+)\.[a-z]+$", 1).cast("long")
-    return outputs.select("input_pos", doc_id.alias("doc_id"), "page_count", F.size("elements").alias("n_elements"), F.try_element_at(codes, F.lit(1)).alias("code"))
+    told = [doc_id.alias("doc_id"), F.col("page_count"), F.size("elements").alias("n_elements"), F.try_element_at(codes, F.lit(1)).alias("code")]
+    return parse_batch(spark, asked, EnrichmentConfig(), GivenContents, columns=told)
 
 
 @Q.register("""SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'third ' WHEN doc_id % 3 = 0 THEN 'second ' ELSE 'first ' END || doc_id AS said

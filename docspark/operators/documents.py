@@ -148,9 +148,13 @@ def dense_layer(layer_tokens: DataFrame) -> DataFrame:
 
 
 def parsed_documents(contents: DataFrame, config: EnrichmentConfig, layer_tokens: DataFrame | None = None) -> DataFrame:
-    """Outputs of block contents (doc_key, file_path, file_sha256, content, and error where it is known), one row each."""
+    """Outputs of block contents (doc_key, file_path, file_sha256, content, and error and layer where they are known), one row each.
+
+    ``layer`` is an array, the words of each page's text layer; ``layer_tokens``, rows of the same, have to be joined.
+    """
     error = F.col("error") if "error" in contents.columns else F.lit(None).cast("string")
-    docs = contents.select("doc_key", "file_path", "file_sha256", error.alias("_error"), routed_blocks(F.col("content")).alias("_blocks"))
+    own = "layer" in contents.columns and layer_tokens is None
+    docs = contents.select("doc_key", "file_path", "file_sha256", *(["layer"] if own else []), error.alias("_error"), routed_blocks(F.col("content")).alias("_blocks"))
     none = F.coalesce(F.size("_blocks") <= 0, F.lit(True))
     bad = F.exists("_blocks", lambda b: b["page_idx"].isNull())
     docs = docs.withColumn("_failure", F.when(none, "mineru_failed").when(bad, "mineru_error"))
@@ -158,7 +162,7 @@ def parsed_documents(contents: DataFrame, config: EnrichmentConfig, layer_tokens
     docs = with_pages(with_elements(docs, "_blocks", "file_sha256"))
     if layer_tokens is not None:
         docs = docs.join(dense_layer(layer_tokens), "doc_key", "left")
-    docs = with_decisions(docs, None if layer_tokens is None else F.col("layer"))
+    docs = with_decisions(docs, F.col("layer") if "layer" in docs.columns else None)
     told = F.transform(F.filter("pages", lambda p: p["vlm_used"]), lambda p: F.struct(
         p["page_idx"].alias("page_idx"), F.lit("quality_gate_escalation").alias("code"), escalation_message(p).alias("message")
     ))

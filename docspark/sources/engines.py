@@ -18,8 +18,10 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 TIMEOUT_S = 900
+TOLD_BYTES = 1 << 20  # of contents that a task of engines hands on at once
 
 
 class Engine(Protocol):
@@ -53,6 +55,9 @@ def in_flight(most: int):
     with ExitStack() as stack:
         places = [stack.enter_context(open(at / str(i), "w")) for i in range(most)]
         held = None
+        if len(places) == 1:  # no other place can get free meanwhile
+            fcntl.flock(places[0], fcntl.LOCK_EX)
+            held = places[0]
         while held is None:
             for place in places:
                 try:
@@ -172,73 +177,107 @@ class Cascade:
         return out
 
 
-def run_engine(files: DataFrame, factory: Callable[[], Engine], size: int | None = None) -> DataFrame:
+def run_engine(files: DataFrame, factory: Callable[[], Engine], size: int | None = None, keep: tuple[str, ...] = (), layers: bool = False) -> DataFrame:
     """(doc_key, content, error) for ``files`` (doc_key, path, content), in passes of ``size`` files.
 
     A pass that fails is tried again file by file, so that one bad file costs no other.  Files stay in their partitions;
-    on one machine at most ``max_in_flight`` passes run at once.
+    on one machine at most ``max_in_flight`` passes run at once.  The columns ``keep`` of a file go along with what is made of
+    it, so that nothing has to be joined to it; with ``layers`` so does ``layer``, what ``page_words`` tells of a PDF.  A file
+    without content is told with its own ``error``, if there is such a column, and goes through no engine.
     """
     size, most = size or batch_size(), max_in_flight()
-    slim = files.select("doc_key", "path", "content")
+    own_error = ["error"] if "error" in files.columns else []
+    names = ["doc_key", "path", "content", *own_error, *keep]
+    fields = [StructField(c, StringType()) for c in ("doc_key", "content", "error")] + [files.schema[c] for c in keep]
+    schema = StructType(fields + ([StructField("layer", ArrayType(LongType()))] if layers else []))
 
     def run(batches):
         import pyarrow as pa
 
-        engine, rows = factory(), []
+        engine, group, made, held = factory(), [], [], 0
 
         def one_pass(group):
-            asked = {f"{i}_{Path(p).stem}": (Path(p).name, b) for i, (_, p, b) in enumerate(group)}
+            asked = {f"{i}_{Path(p).stem}": (Path(p).name, b) for i, (_, p, b, *_) in enumerate(group)}
             with in_flight(most):
                 found = engine.run(asked)
-            return [(k, found.get(name), None) for (k, *_), name in zip(group, asked)]
+            return [(found.get(name), None) for name in asked]
 
         def results(group):
             try:
                 return one_pass(group)
             except Exception as error:  # noqa: BLE001
                 if len(group) == 1:
-                    return [(group[0][0], None, str(error))]
+                    return [(None, str(error))]
                 return [r for item in group for r in results([item])]
 
-        def told(got):
-            k, c, e = zip(*got)
-            return pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(c, pa.string()), pa.array(e, pa.string())], ["doc_key", "content", "error"])
+        def rows(group):
+            for (key, path, content, *more), (text, error) in zip(group, results(group)):
+                yield (key, text, error, *more[len(own_error) :], *([page_words(content) if path.lower().endswith(".pdf") else None] if layers else []))
+
+        def told(made):
+            arrays = [pa.array(c, k) for c, k in zip(zip(*made), kinds)]
+            return pa.RecordBatch.from_arrays(arrays, schema.names)
 
         for batch in batches:
-            rows += zip(*[batch.column(c).to_pylist() for c in ("doc_key", "path", "content")])
-            while len(rows) >= size:
-                yield told(results(rows[:size]))
-                rows = rows[size:]
-        if rows:
-            yield told(results(rows))
+            columns = [batch.column(c) for c in names]
+            kinds = [pa.string()] * 3 + [batch.column(c).type for c in keep] + ([pa.list_(pa.int64())] if layers else [])
+            for i in range(batch.num_rows):  # one by one, as all contents of a batch would be there twice
+                row = [c[i].as_py() for c in columns]
+                if row[2] is None:
+                    made.append((row[0], None, *(row[3:4] if own_error else [None]), *row[3 + len(own_error) :], *([None] if layers else [])))
+                    continue
+                group.append(row)
+                if len(group) == size:
+                    found, group = list(rows(group)), []
+                    made, held = made + found, held + sum(len(r[1] or "") for r in found)
+                    if held >= TOLD_BYTES:
+                        yield told(made)
+                        made, held = [], 0
+        if group:
+            made += rows(group)
+        if made:
+            yield told(made)
+
+    return files.select(*names).mapInArrow(run, schema)
+
 
-    return slim.mapInArrow(run, "doc_key string, content string, error string")
+def page_words(content: bytes) -> list[int] | None:
+    """The words of each page's text layer of a PDF; 0 for a page that fails, None for a file that does or is no PDF.
+
+    PDF readers look for a file's mark in its first 1024 bytes; a file without it is not opened.
+    """
+    if b"%PDF" not in content[:2048]:
+        return None
+    try:
+        import pypdfium2
+
+        pdf = pypdfium2.PdfDocument(content)
+        pages = len(pdf)
+    except Exception:  # noqa: BLE001  no reader here, or no PDF: the layer is not known
+        return None
+
+    def words(i):
+        try:
+            return len(pdf[i].get_textpage().get_text_range().split())
+        except Exception:  # noqa: BLE001
+            return 0
+
+    return [words(i) for i in range(pages)]
 
 
 def text_layer_tokens(files: DataFrame) -> DataFrame:
-    """(doc_key, page_idx, n_tokens) of PDF text layers.  A page that fails counts 0; a file that fails gives no row."""
+    """(doc_key, page_idx, n_tokens) of the text layers of ``files`` (doc_key, content), as ``page_words`` tells them."""
 
     def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for key, content in zip(batch.column("doc_key").to_pylist(), batch.column("content").to_pylist()):
-                try:
-                    import pypdfium2
-
-                    pdf = pypdfium2.PdfDocument(content)
-                    for i in range(len(pdf)):
-                        try:
-                            rows.append((key, i, len(pdf[i].get_textpage().get_text_range().split())))
-                        except Exception:  # noqa: BLE001
-                            rows.append((key, i, 0))
-                except Exception:  # noqa: BLE001  no reader here, or no PDF: the layer is not known
-                    continue
+            told = zip(batch.column("doc_key").to_pylist(), (page_words(c.as_py()) for c in batch.column("content")))
+            rows = [(key, i, n) for key, words in told for i, n in enumerate(words or ())]
             k, p, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.string()), pa.array(p, pa.int32()), pa.array(n, pa.int64())], ["doc_key", "page_idx", "n_tokens"])
 
-    return files.select("doc_key", "content").mapInArrow(count, "doc_key string, page_idx int, n_tokens long")
+    return files.where("content is not null").select("doc_key", "content").mapInArrow(count, "doc_key string, page_idx int, n_tokens long")
 
 
 def _settings(dpi: int, max_pixels: int) -> tuple[int, int]:

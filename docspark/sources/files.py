@@ -78,26 +78,27 @@ def _by_spark(names: DataFrame, config: EnrichmentConfig, content: bool, limit:
     return made.join(keys, "path").select(*[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def read_files(names: DataFrame, config: EnrichmentConfig, content: bool = False, limit: int | None = None) -> DataFrame:
+def read_files(names: DataFrame, config: EnrichmentConfig, content: bool = False, limit: int | None = None, look: bool = False) -> DataFrame:
     """A row for each distinct ``path`` of ``names``, with its ``key`` if it has one: exists, length, mtime_ms, sha256, content, error.
 
     Files whose suffix is not accepted are looked at and not read.  A file that is too large, gone or forbidden is a row with
-    an error, or one that does not exist; it never ends the job.
+    an error, or one that does not exist; it never ends the job.  With ``look`` files are only looked at, where tasks reach them.
     """
     limit = content_limit(names.sparkSession) if limit is None else limit
-    rows = scan(names.where(reachable(F.col("path"))), config.suffixes, content, limit)
+    rows = scan(names.where(reachable(F.col("path"))), config.suffixes, content, limit, look=look)
     others = names.where(~reachable(F.col("path")))
     return rows if others.isEmpty() else rows.unionByName(_by_spark(others, config, content, limit))
 
 
-def scan_files(spark: SparkSession, paths: list[str] | DataFrame, config: EnrichmentConfig, limit: int | None = None) -> DataFrame:
+def scan_files(spark: SparkSession, paths: list[str] | DataFrame, config: EnrichmentConfig, limit: int | None = None, look: bool = False) -> DataFrame:
     """(input_pos, path, exists, accepted, sha256, mtime_ms, error) of a list of paths, or of a table (input_pos, path).
 
     Contents are hashed in pieces and not carried along: ``read_files`` gives those of the paths that are still wanted.
+    With ``look`` they are not hashed either, where tasks reach them.
     """
     asked = paths if isinstance(paths, DataFrame) else path_table(spark, paths)
     asked = asked.select("input_pos", F.col("path").cast("string").alias("path"))
-    read = staged(read_files(asked, config, limit=limit).drop("content", "length", "key"), "scan")
+    read = staged(read_files(asked, config, limit=limit, look=look).drop("content", "length", "key"), "scan")
     rows = asked.join(read, "path", "left")
     return rows.select(
         "input_pos", "path", F.coalesce("exists", F.lit(False)).alias("exists"), is_accepted(F.col("path"), config).alias("accepted"),

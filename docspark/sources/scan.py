@@ -6,8 +6,8 @@ of one part.  A task looks at its files one by one, reads them in pieces (the ha
 a time) and hands their bytes on in bounded batches.
 
 Paths without a scheme and ``file:`` paths are read from the file system, others by pyarrow where it knows their store.
-Options: ``manifest``; ``suffixes`` (comma-separated; files with others are looked at, not read); ``content`` (true to hand
-bytes on); ``limit`` (bytes of content; a larger file is told by an error, its hash too); ``range`` (bytes of a manifest
+Options: ``manifest``; ``suffixes`` (comma-separated; files with others are looked at, not read); ``look`` (true to read none);
+``content`` (true to hand bytes on); ``limit`` (bytes of content; a larger file is told by an error, its hash too); ``range`` (bytes of a manifest
 part in a partition).
 """
 
@@ -99,9 +99,13 @@ def write_file(path: str, content: bytes) -> None:
         with system.open_output_stream(name) as out:  # such stores show an object when it is complete
             out.write(content)
         return
-    os.makedirs(os.path.dirname(name), exist_ok=True)
     beside = f"{name}.{os.getpid()}.part"
-    with open(beside, "wb") as out:
+    try:
+        out = open(beside, "wb")  # noqa: SIM115
+    except FileNotFoundError:
+        os.makedirs(os.path.dirname(name), exist_ok=True)
+        out = open(beside, "wb")  # noqa: SIM115
+    with out:
         out.write(content)
     os.replace(beside, name)
 
@@ -175,6 +179,7 @@ class FileScanReader(DataSourceReader):
         self.manifest = options["manifest"].rstrip("/")
         self.suffixes = {s for s in options.get("suffixes", "").split(",") if s}
         self.keep = options.get("content", "false").lower() == "true"
+        self.look = options.get("look", "false").lower() == "true"
         self.limit, self.range = int(options.get("limit", LIMIT)), int(options.get("range", RANGE_BYTES))
 
     def partitions(self):
@@ -206,7 +211,7 @@ class FileScanReader(DataSourceReader):
             asked = json.loads(line)
             path = asked["path"]
             ending = re.search(r"[^/]\.([^./]*)$", path)
-            read = not self.suffixes or bool(ending) and ending[1].lower() in self.suffixes
+            read = not self.look and (not self.suffixes or bool(ending) and ending[1].lower() in self.suffixes)
             row = probe(path, read, self.keep, self.limit)
             rows.append((path, asked.get("key"), *row[1:]))
             size += len(row[5] or b"") + 1000
@@ -217,7 +222,7 @@ class FileScanReader(DataSourceReader):
             yield batch(rows)
 
 
-def scan(paths: DataFrame, suffixes=(), content: bool = False, limit: int = LIMIT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def scan(paths: DataFrame, suffixes=(), content: bool = False, limit: int = LIMIT, range_bytes: int = RANGE_BYTES, look: bool = False) -> DataFrame:
     """A row of ``SCHEMA`` for each of the distinct ``paths`` (path, and key if there is one); nulls are left out.
 
     The files are looked at whenever the result is computed: stage it to have them read once.
@@ -226,7 +231,7 @@ def scan(paths: DataFrame, suffixes=(), content: bool = False, limit: int = LIMI
     spark.dataSource.register(FileScan)
     at = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
     paths.select("path", *[c for c in ("key",) if c in paths.columns]).where("path is not null").distinct().write.json(at)
-    made = spark.read.format(FORMAT).options(manifest=at, suffixes=",".join(suffixes), content=str(content), limit=limit, range=range_bytes)
+    made = spark.read.format(FORMAT).options(manifest=at, suffixes=",".join(suffixes), content=str(content), limit=limit, range=range_bytes, look=str(look))
     return made.load()
 
 

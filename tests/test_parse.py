@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docspark import EnrichmentConfig, parse, parse_batch, parse_contents, render_markdown
 from docspark.plans.batch import throughput
 from docspark.plans.cache import ResultCache
-from docspark.sources.engines import Cascade, CommandEngine, run_engine
+from docspark.sources.engines import Cascade, CommandEngine, page_words, run_engine
 from docspark.streaming.arrivals import arriving_files, gated_texts
 
 BLOCKS = [
@@ -109,3 +109,36 @@ def test_streams(spark, tmp_path):
     got = gated_texts(spark.createDataFrame([("fine words here",), ("a1 b2 c3",), ("",)], "text string"))
     assert [r.quality_decision for r in got.collect()] == ["keep", "promote_to_vlm", "keep"]
     assert got.where(F.col("quality_decision") == "keep").count() == 2
+
+
+def test_outputs_are_put_in_their_places_without_what_nobody_asked_for(spark, paths):
+    told = [F.col("page_count"), F.size("elements").alias("n")]
+    whole = parse_batch(spark, paths, None, Fake)
+    got = parse_batch(spark, paths, None, Fake, columns=told)
+    assert got.collect() == whole.select("input_pos", *told).collect() and got.count() == len(paths)
+    shuffled = [line for line in got._jdf.queryExecution().explainString(got.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")).split("\n\n") if "Exchange" in line.split("\n")[0]]
+    assert shuffled and not any("elements" in line for line in shuffled)
+
+
+def test_what_goes_along_with_a_file(spark, monkeypatch):
+    import sys
+    from types import SimpleNamespace
+
+    class Pages(list):
+        def __init__(self, content):
+            super().__init__(SimpleNamespace(get_textpage=lambda t=t: SimpleNamespace(get_text_range=lambda: t)) for t in content.decode().split("\n")[1:])
+
+    monkeypatch.setitem(sys.modules, "pypdfium2", SimpleNamespace(PdfDocument=Pages))
+    assert page_words(b"%PDF-1\na b\n\nc") == [2, 0, 1] and page_words(b"a b\nc") is None
+    df = spark.createDataFrame([("a", "a.pdf", b"ok", None, 1), ("b", "b.pdf", None, "gone", 2), ("c", "c.pdf", b"bad", None, 3)], "doc_key string, path string, content binary, error string, n long")
+    got = {r.doc_key: r for r in run_engine(df, Fake, 2, keep=("n",), layers=True).collect()}
+    assert [(r.n, r.error, r.content is None, r.layer) for _, r in sorted(got.items())] == [(1, None, False, None), (2, "gone", True, None), (3, "broken file", True, None)]
+
+
+def test_a_layer_in_the_row_is_that_of_joined_rows(spark):
+    words = json.dumps([{"type": "text", "text": "one two three", "page_idx": i} for i in range(3)])
+    rows = spark.createDataFrame([("a", "a.pdf", "1", words, [9, 90, 900]), ("b", "b.pdf", "2", words, None)], "doc_key string, file_path string, file_sha256 string, content string, layer array<bigint>")
+    tokens = rows.select("doc_key", F.posexplode("layer").alias("page_idx", "n_tokens"))
+    joined = {r.doc_key: r for r in parse_contents(rows.drop("layer"), layer_tokens=tokens).collect()}
+    assert {r.doc_key: r for r in parse_contents(rows).collect()} == joined
+    assert [p.vlm_used for p in joined["a"].pages] == [False, True, True] and not any(p.vlm_used for p in joined["b"].pages)
