@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.sources.scan import hand_back
 from docspark.staging import discard, shared_dir
 from docspark.staging import staged as written
 
@@ -27,17 +28,10 @@ def tidy(of: Callable) -> Callable:
     """``of``, batches to batches, at whose end the worker hands the memory it freed back: it is kept, waiting, for later tasks."""
 
     def run(batches):
-        import ctypes
-
-        import pyarrow as pa
-
         try:
             yield from of(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            hand_back()
 
     return run
 

@@ -16,14 +16,17 @@ import uuid
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from docspark.sources.scan import local_path, pieces, store, write_file
+from docspark.sources.scan import hand_back, local_path, pieces, store, write_file
 
 FORMAT = "docspark_corpus"
 BRACKETS = {"object": ("{\n", "\n}\n"), "list": ("[\n", "\n]\n")}
 BETWEEN = b",\n"
-BATCH_BYTES = 8 << 20
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20  # of contents that a task holds at once
+FIRST_SIGNS = 64
 
 
 @dataclass
@@ -85,7 +88,9 @@ class CorpusWriter(DataSourceArrowWriter):
         part, out = Part(TaskContext.get().partitionId()), None
         try:
             for batch in iterator:
-                for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+                # one by one: all at once would be there twice, and as Python's strings up to four times as large
+                for name, content in zip(batch.column("name"), batch.column("content")):
+                    name, content = name.as_py(), content.as_py()
                     if self.form == "files":
                         line = (content or "null").encode("utf-8", "surrogatepass")
                         write_file(f"{self.path}/{name}.json", line)
@@ -101,6 +106,7 @@ class CorpusWriter(DataSourceArrowWriter):
         finally:
             if out is not None:
                 out.close()
+            hand_back()
         return part
 
     def commit(self, messages) -> None:
@@ -152,6 +158,7 @@ class CorpusReader(DataSourceReader):
                 rows, size = [], 0
         if rows:
             yield batch(rows)
+        hand_back()
 
 
 def _lines(path: str):
@@ -185,12 +192,20 @@ def read_manifest(path: str) -> dict:
 def write_corpus(documents: DataFrame, path: str, form: str = "object") -> None:
     """Write ``documents`` (name, content: JSON text) in the order of their names below ``path``, a folder that is not there yet.
 
-    Rows are range-sorted by name over the cluster and streamed to their parts; no task and no row holds more than it reads.
+    Rows are range-sorted by name over the cluster and streamed to their parts in batches of some MB, however many rows there are; no
+    task and no row holds more than it reads.  What tells the ranges apart is names and the first signs of contents: a sample
+    of them goes through the driver.
     Null content is null; names that repeat are written each.
     """
-    documents.sparkSession.dataSource.register(Corpus)
-    ordered = documents.select("name", "content").repartitionByRange("name", "content").sortWithinPartitions("name", "content")
-    ordered.write.format(FORMAT).option("path", path).option("form", form).mode("append").save()
+    spark = documents.sparkSession
+    spark.dataSource.register(Corpus)
+    rows = documents.select("name", "content").repartitionByRange("name", F.substring("content", 1, FIRST_SIGNS))
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+    try:
+        rows.sortWithinPartitions("name", "content").write.format(FORMAT).option("path", path).option("form", form).mode("append").save()
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:

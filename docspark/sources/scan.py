@@ -91,6 +91,18 @@ def pieces(path: str, start: int = 0, end: int | None = None):
             yield piece
 
 
+def hand_back() -> None:
+    """Gives the system what this worker has freed; it is kept, waiting, for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def write_file(path: str, content: bytes) -> None:
     """A file that appears whole or not at all, as it is written beside its place first."""
     name = local_path(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docspark import parse_contents
 from docspark.functions.media import mime_type, picture_size
 from docspark.operators import export
+from docspark.sources import corpus
 from docspark.sources.corpus import Part, in_order, line_of, read_corpus, read_manifest, write_corpus
 
 
@@ -117,3 +118,36 @@ def test_picture_headers(spark):
 def test_mime_types(spark):
     df = spark.createDataFrame([("/a/b.PDF",), ("c.tiff",), ("d",), ("e.docx",)], "p string")
     assert [r[0] for r in df.select(mime_type(F.col("p"))).collect()] == ["application/pdf", "image/tiff"] + ["application/octet-stream"] * 2
+
+
+def test_a_corpus_is_written_some_bytes_at_once(spark, tmp_path, monkeypatch):
+    """However long the contents are, a task is handed a few MB of them at once, and the driver samples no whole content."""
+    seen = tmp_path / "seen"
+    before = spark.conf.get(corpus.ARROW_BYTES)
+
+    class Watched(corpus.CorpusWriter):
+        def write(self, iterator):
+            def told():
+                for batch in iterator:
+                    with open(seen, "a") as out:
+                        out.write(f"{batch.nbytes}\n")
+                    yield batch
+
+            return super().write(told())
+
+    class Source(corpus.Corpus):
+        def writer(self, schema, overwrite):
+            return Watched(self.options["path"], "list")
+
+    ranges = []
+    by_range = type(spark.range(0)).repartitionByRange
+    monkeypatch.setattr(type(spark.range(0)), "repartitionByRange", lambda self, *by: ranges.append(self.select(*by)) or by_range(self, *by))
+    monkeypatch.setattr(corpus, "Corpus", Source)
+    rows = spark.range(0, 30, 1, 1).select(F.format_string("n%02d", F.col("id") % 5).alias("name"), F.concat(F.lit('"'), F.repeat(F.lit("x"), 1_000_000 + F.col("id").cast("int")), F.lit('"')).alias("content"))
+    write_corpus(rows, str(tmp_path / "c"))
+    sizes = [int(n) for n in seen.read_text().split()]
+    assert sum(sizes) > 30_000_000 and max(sizes) < 6_000_000
+    assert max(len(v or "") for r in ranges[0].collect() for v in r) <= corpus.FIRST_SIGNS
+    assert spark.conf.get(corpus.ARROW_BYTES) == before
+    contents = json.loads(corpus_text(str(tmp_path / "c")))
+    assert [len(c) - 1_000_000 for c in contents] == [i for k in range(5) for i in range(k, 30, 5)]
